@@ -1,0 +1,18 @@
+"""Join helpers: size-checked broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.  Counts a ``limit(max_rows + 1)``
+    so the check stops early on a large side instead of counting it all."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast hint only behind a checked row bound; otherwise leave the
+    choice to the planner (sort-merge, or AQE's runtime broadcast switch)."""
+    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
