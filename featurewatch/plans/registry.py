@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_drift"]
+_MODULES = ["q_drift", "q_log"]
 
 
 def _collect():

@@ -29,6 +29,7 @@ LOG_SQL = """log AS (
          least(value / 100.0, 1.0)::DOUBLE AS probability,
          value AS latency_ms,
          TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS feat_k,
+         CASE WHEN event_type <> 'view' THEN value END AS feat_value,
          event_type,
          CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status_code,
          user_id
@@ -47,13 +48,22 @@ def prediction_log(spark: SparkSession, d: str) -> DataFrame:
         prediction=(F.col("value") >= 50).cast("int"),
         probability=F.least(F.col("value") / 100.0, F.lit(1.0)),
         latency_ms=F.col("value"),
-        features=F.from_json("props", "map<string,string>"),
+        # the props JSON plus the event value, which 'view' events do not carry
+        features=F.map_concat(
+            F.from_json("props", "map<string,string>"),
+            F.create_map(F.lit("value"),
+                         F.when(F.col("event_type") != "view", F.col("value").cast("string")))),
         extra={"event_type": F.col("event_type"), "user_id": F.col("user_id"),
                "status_code": F.when(F.col("event_type") == "error", 500)
                .when(F.col("event_type") == "signup", 404).otherwise(200)},
     )
 
 
+FB_LATEST_SQL = """fb AS (
+  SELECT prediction_id, outcome AS actual_outcome, feedback_timestamp FROM (
+    SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY feedback_timestamp DESC, fb_seq DESC) AS rn
+    FROM fb_raw) WHERE rn = 1)"""
+
 FEEDBACK_SQL = """fb_raw AS (
   SELECT CAST(user_id * 100 + TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS VARCHAR) AS prediction_id,
          CAST(value >= 50 AS INTEGER) AS outcome, ts AS feedback_timestamp, event_id AS fb_seq
