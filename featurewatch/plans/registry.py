@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_drift", "q_log"]
+_MODULES = ["q_drift", "q_log", "q_classify"]
 
 
 def _collect():
