@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_drift", "q_log", "q_classify", "q_features"]
+_MODULES = ["q_drift", "q_log", "q_classify", "q_features", "q_store"]
 
 
 def _collect():
