@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_drift", "q_log", "q_classify", "q_features", "q_store"]
+_MODULES = ["q_drift", "q_log", "q_classify", "q_features", "q_store", "q_quality"]
 
 
 def _collect():
