@@ -71,8 +71,7 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
     filtered aggregate.  Returns one row with ``p_<i>`` columns."""
     red = df.filter(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("cnt"))
     cum = running_sums(red, [], [value_col], {"cum": F.col("cnt")}, buckets=buckets)
-    n = red.agg(F.sum("cnt").alias("n"))
-    j = cum.crossJoin(F.broadcast(n))
+    j = cum.withColumn("n", red.agg(F.sum("cnt")).scalar())
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
@@ -93,14 +92,14 @@ def latency_percentiles(log: DataFrame, buckets: int | None = None) -> DataFrame
     lat = log.select(F.col("latency_ms").alias("v")).filter(F.col("v").isNotNull())
     basic = lat.agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("avg"),
                     F.min("v").alias("min"), F.max("v").alias("max"))
-    pct = exact_percentiles(lat, "v", [0.5, 0.95, 0.99], buckets)
+    pct = exact_percentiles(lat, "v", [0.5, 0.95, 0.99], buckets).select(F.struct("*").alias("s")).scalar()
     z = F.lit(0.0)
-    return basic.crossJoin(pct).select(
+    return basic.select(
         "count",
         *[F.round(F.coalesce(F.col(c), z), 2).alias(f"{c}_ms") for c in ("avg", "min", "max")],
-        F.round(F.coalesce("p_0", z), 2).alias("p50_ms"),
-        F.round(F.coalesce("p_1", z), 2).alias("p95_ms"),
-        F.round(F.coalesce("p_2", z), 2).alias("p99_ms"))
+        F.round(F.coalesce(pct["p_0"], z), 2).alias("p50_ms"),
+        F.round(F.coalesce(pct["p_1"], z), 2).alias("p95_ms"),
+        F.round(F.coalesce(pct["p_2"], z), 2).alias("p99_ms"))
 
 
 def latency_percentiles_approx(log: DataFrame, accuracy: int = 10000) -> DataFrame:
@@ -127,13 +126,9 @@ def missing_rates(log: DataFrame, red: float = 0.20, amber: float = 0.05) -> Dat
 def throughput(log: DataFrame, window_minutes: int = 60, as_of: str | None = None) -> DataFrame:
     """A4 with P9: rows with ``timestamp >= as_of - window``; ``as_of`` defaults to
     the newest logged time so results are repeatable (not wall clock)."""
-    if as_of is None:
-        ref = log.agg(F.max("timestamp").alias("as_of"))
-    else:
-        ref = log.sparkSession.range(1).select(F.lit(as_of).cast("timestamp_ntz").alias("as_of"))
-    cutoff = F.col("as_of") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(window_minutes))
-    j = log.select("timestamp").crossJoin(F.broadcast(ref))
-    n = j.agg(F.count_if(F.col("timestamp") >= cutoff).alias("requests_in_window"))
+    ref = log.agg(F.max("timestamp")).scalar() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
+    cutoff = ref - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(window_minutes))
+    n = log.agg(F.count_if(F.col("timestamp") >= cutoff).alias("requests_in_window"))
     per_min = (F.round(F.col("requests_in_window") / F.lit(window_minutes), 2) if window_minutes > 0
                else F.lit(0.0))
     return n.select(F.lit(window_minutes).alias("window_minutes"), "requests_in_window",

@@ -37,7 +37,11 @@ def _bucketed(df: DataFrame, groups: Sequence[str], order_col: str, buckets: int
     # percentile_approx needs a numeric/datetime input; order keys are numeric or timestamps.
     bounds = df.groupBy(*groups).agg(
         F.percentile_approx(key, probs, 10000).alias("__bounds"))
-    joined = df.join(F.broadcast(bounds), list(groups)) if groups else df.crossJoin(F.broadcast(bounds))
+    if groups:
+        # one row per group: groups are low-cardinality by contract (features, models)
+        joined = df.join(F.broadcast(bounds), list(groups))
+    else:
+        joined = df.withColumn("__bounds", bounds.select("__bounds").scalar())
     return joined.withColumn(
         "__bucket", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
 
