@@ -82,9 +82,14 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
         aggs.append(F.min(F.when(F.col("cum") > hi_rank, F.col(value_col))).alias(f"hi_{i}"))
         aggs.append(F.first(pos - lo_rank).alias(f"fr_{i}"))
     sel = j.agg(*aggs)
-    return sel.select(*[
-        (F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * F.col(f"fr_{i}")).alias(f"p_{i}")
-        for i in range(len(probs))])
+    return sel.select(*[numpy_lerp(F.col(f"lo_{i}"), F.col(f"hi_{i}"), F.col(f"fr_{i}")).alias(f"p_{i}")
+                        for i in range(len(probs))])
+
+
+def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
+    """numpy's linear interpolation between neighbours a <= b at fraction t
+    (it switches to the upper form for t >= 0.5 to stay monotone)."""
+    return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
 
 
 def latency_percentiles(log: DataFrame, buckets: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from featurewatch.operators import feedback as FB
 from featurewatch.operators import log_stats as LS
-from featurewatch.plans.roles import FB_LATEST_SQL, FEEDBACK_SQL, LOG_SQL, feedback_raw, prediction_log
+from featurewatch.plans.roles import np_percentile_sql, sround, FB_LATEST_SQL, FEEDBACK_SQL, LOG_SQL, feedback_raw, prediction_log
 from featurewatch.sources.tables import load
 
 Q, SQL = {}, {}
@@ -63,13 +63,14 @@ def latency_percentiles(spark, d):
     return LS.latency_percentiles(prediction_log(spark, d))
 
 
-SQL["latency_percentiles"] = W + """
-SELECT count(latency_ms) AS count, round(coalesce(avg(latency_ms), 0), 2) AS avg_ms,
-  round(coalesce(min(latency_ms), 0), 2) AS min_ms, round(coalesce(max(latency_ms), 0), 2) AS max_ms,
-  round(coalesce(quantile_cont(latency_ms, 0.5), 0), 2) AS p50_ms,
-  round(coalesce(quantile_cont(latency_ms, 0.95), 0), 2) AS p95_ms,
-  round(coalesce(quantile_cont(latency_ms, 0.99), 0), 2) AS p99_ms
-FROM log WHERE latency_ms IS NOT NULL"""
+SQL["latency_percentiles"] = W + f"""
+SELECT count, round(coalesce(avg_ms, 0), 2) AS avg_ms, round(coalesce(min_ms, 0), 2) AS min_ms,
+  round(coalesce(max_ms, 0), 2) AS max_ms,
+  coalesce({sround(np_percentile_sql("v", 0.5), 2)}, 0.0) AS p50_ms,
+  coalesce({sround(np_percentile_sql("v", 0.95), 2)}, 0.0) AS p95_ms,
+  coalesce({sround(np_percentile_sql("v", 0.99), 2)}, 0.0) AS p99_ms
+FROM (SELECT count(latency_ms) AS count, avg(latency_ms) AS avg_ms, min(latency_ms) AS min_ms, max(latency_ms) AS max_ms,
+        list(latency_ms ORDER BY latency_ms) AS v FROM log WHERE latency_ms IS NOT NULL)"""
 
 
 @q("latency_percentiles_approx")

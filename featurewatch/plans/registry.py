@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ["q_drift", "q_log", "q_classify", "q_features", "q_store", "q_quality", "q_ml"]
+_MODULES = ["q_drift", "q_log", "q_classify", "q_features", "q_store", "q_quality", "q_ml", "q_stream"]
 
 
 def _collect():

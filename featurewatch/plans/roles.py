@@ -21,6 +21,22 @@ from featurewatch.sources.tables import load
 
 DRIFT_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+
+def np_percentile_sql(sorted_list: str, q: float) -> str:
+    """numpy.percentile (linear) of a sorted DuckDB list, same float steps as Spark."""
+    pos = f"((len({sorted_list}) - 1) * CAST({q} AS DOUBLE))"
+    a = f"{sorted_list}[CAST(floor({pos}) AS BIGINT) + 1]"
+    b = f"{sorted_list}[CAST(ceil({pos}) AS BIGINT) + 1]"
+    t = f"({pos} - floor({pos}))"
+    return f"(CASE WHEN {t} >= 0.5 THEN {b} - ({b} - {a}) * (1 - {t}) ELSE {a} + ({b} - {a}) * {t} END)"
+
+
+def sround(expr: str, digits: int) -> str:
+    """DuckDB rounding with Spark's semantics: HALF_UP on the shortest decimal
+    text of the double (Spark rounds 33.745 to 33.75; DuckDB's binary round
+    gives 33.74)."""
+    return f"CAST(round(CAST(CAST({expr} AS VARCHAR) AS DECIMAL(38, 22)), {digits}) AS DOUBLE)"
+
 # ------------------------------------------------------------ prediction log
 
 LOG_SQL = """log AS (
@@ -38,8 +54,12 @@ LOG_SQL = """log AS (
 
 def prediction_log(spark: SparkSession, d: str) -> DataFrame:
     """S9 on the driver table: each event is one logged prediction."""
+    return log_from_events(load(spark, d, "events"))
+
+
+def log_from_events(ev: DataFrame) -> DataFrame:
+    """Events (batch or stream) -> prediction-log rows."""
     from featurewatch.operators.log_stats import build_log
-    ev = load(spark, d, "events")
     return build_log(
         ev,
         id_col=F.col("event_id").cast("string"),
@@ -73,7 +93,11 @@ FEEDBACK_SQL = """fb_raw AS (
 def feedback_raw(spark: SparkSession, d: str) -> DataFrame:
     """Feedback calls: a purchase event confirms the outcome of the prediction
     whose id is ``user_id * 100 + k``; some ids are unknown, some repeat."""
-    ev = load(spark, d, "events").filter(F.col("event_type") == "purchase")
+    return feedback_from_events(load(spark, d, "events"))
+
+
+def feedback_from_events(ev: DataFrame) -> DataFrame:
+    ev = ev.filter(F.col("event_type") == "purchase")
     return ev.select(
         (F.col("user_id") * 100 + F.get_json_object("props", "$.k").try_cast("bigint"))
         .cast("string").alias("prediction_id"),
