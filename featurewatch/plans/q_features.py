@@ -550,3 +550,116 @@ def alias_resolve(spark, d):
 
 SQL["alias_resolve"] = f"""
 SELECT {LI_KEY_SQL}, l_quantity AS quantity, l_extendedprice AS price, CAST(NULL AS DOUBLE) AS missing FROM lineitem"""
+
+
+# ------------------------------------------------------ D13: serving features
+
+def serving_requests(spark, d):
+    """Scoring requests in the reference's field spellings (spaced, accented
+    and underscored), one per line item; some fields absent, some NULL."""
+    li = load(spark, d, "lineitem")
+    c = F.col
+    return li.select(
+        *LI_KEY,
+        (c("l_quantity") / 5).alias("IAA"), (c("l_discount") * 100).alias("IEG"), (c("l_tax") * 100).alias("IPS"),
+        F.when(c("l_linenumber") > 1, c("l_extendedprice") / 10000).alias("IDA"),
+        c("l_linenumber").cast("double").alias("IPV"),
+        ((c("l_quantity") / 5 + c("l_discount") * 100) / 2).alias("INDE_22"),
+        F.when(c("l_returnflag") != "N", c("l_quantity") / 5).alias("Matem"),
+        (c("l_tax") * 100).alias("Portug"),
+        (6 + c("l_linenumber") * 2).alias("Idade_22"),
+        F.when(c("l_returnflag") == "A", "Menina").when(c("l_returnflag") == "R", "Menino").otherwise("Outro")
+        .alias("Gênero"),
+        F.when(c("l_linestatus") == "F", "Escola Pública").otherwise("Rede Decisão").alias("Instituição de ensino"),
+        F.concat(F.lit("Fase "), c("l_linenumber").cast("string")).alias("Fase"),
+        (F.year("l_shipdate") - 5).alias("Ano_ingresso"),
+        F.when(c("l_linestatus") == "F", "Ágata").alias("Pedra 20"),
+        F.when(c("l_returnflag") == "R", "Quartzo").when(c("l_returnflag") == "A", "Pedra X").alias("Pedra 21"),
+        F.when(c("l_quantity") > 25, "Topázio").otherwise("Ametista").alias("Pedra 22"),
+        F.when(c("l_discount") > 0.05, "Sim").otherwise("Não").alias("Atingiu_PV"),
+        F.when(c("l_tax") > 0.04, "yes").otherwise("no").alias("Indicado"),
+        F.when(c("l_discount") >= 0.09, "Destaque IEG").otherwise("Não").alias("Destaque_IEG"),
+        F.when(c("l_quantity") > 40, c("l_quantity") / 5).alias("Inglês"),
+        F.when(c("l_suppkey") > 50, c("l_suppkey").cast("double")).alias("Cf"),
+        F.lit(3).alias("N_Av"),
+        F.when(c("l_linestatus") == "F", "Mantido na mesma fase com ressalvas").otherwise("  promovido de FASE ")
+        .alias("Rec Av1"))
+
+
+@q("pipeline_serving_features")
+def pipeline_serving_features(spark, d):
+    from featurewatch.operators.pipeline import serving_features
+    r = serving_requests(spark, d)
+    out = serving_features(r, keep=LI_KEY)
+    return out.select(*LI_KEY, *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c not in LI_KEY])
+
+
+_SERVING_REQ_SQL = f"""r AS (SELECT {LI_KEY_SQL},
+  l_quantity / 5 AS "IAA", l_discount * 100 AS "IEG", l_tax * 100 AS "IPS",
+  CASE WHEN l_linenumber > 1 THEN l_extendedprice / 10000 END AS "IDA", CAST(l_linenumber AS DOUBLE) AS "IPV",
+  (l_quantity / 5 + l_discount * 100) / 2 AS "INDE_22",
+  CASE WHEN l_returnflag <> 'N' THEN l_quantity / 5 END AS "Matem", l_tax * 100 AS "Portug",
+  6 + l_linenumber * 2 AS "Idade_22",
+  CASE l_returnflag WHEN 'A' THEN 'Menina' WHEN 'R' THEN 'Menino' ELSE 'Outro' END AS "Gênero",
+  CASE WHEN l_linestatus = 'F' THEN 'Escola Pública' ELSE 'Rede Decisão' END AS "Instituição de ensino",
+  'Fase ' || CAST(l_linenumber AS VARCHAR) AS "Fase", year(l_shipdate) - 5 AS "Ano_ingresso",
+  CASE WHEN l_linestatus = 'F' THEN 'Ágata' END AS "Pedra 20",
+  CASE l_returnflag WHEN 'R' THEN 'Quartzo' WHEN 'A' THEN 'Pedra X' END AS "Pedra 21",
+  CASE WHEN l_quantity > 25 THEN 'Topázio' ELSE 'Ametista' END AS "Pedra 22",
+  CASE WHEN l_discount > 0.05 THEN 'Sim' ELSE 'Não' END AS "Atingiu_PV",
+  CASE WHEN l_tax > 0.04 THEN 'yes' ELSE 'no' END AS "Indicado",
+  CASE WHEN l_discount >= 0.09 THEN 'Destaque IEG' ELSE 'Não' END AS "Destaque_IEG",
+  CASE WHEN l_quantity > 40 THEN l_quantity / 5 END AS "Inglês",
+  CASE WHEN l_suppkey > 50 THEN CAST(l_suppkey AS DOUBLE) END AS "Cf", 3 AS "N_Av",
+  CASE WHEN l_linestatus = 'F' THEN 'Mantido na mesma fase com ressalvas' ELSE '  promovido de FASE ' END AS "Rec Av1"
+FROM lineitem)"""
+
+_STONE = "CASE {c} WHEN 'Quartzo' THEN 1 WHEN 'Ágata' THEN 2 WHEN 'Ametista' THEN 3 WHEN 'Topázio' THEN 4 END"
+_REC = ("CASE WHEN contains(lower(trim(\"Rec Av1\")), 'mantido na mesma fase com ressalvas') THEN 2 "
+        "WHEN contains(lower(trim(\"Rec Av1\")), 'promovido de fase') THEN 4 "
+        "WHEN contains(lower(trim(\"Rec Av1\")), 'mantido na mesma fase') THEN 3 "
+        "WHEN contains(lower(trim(\"Rec Av1\")), 'em observação') THEN 1 "
+        "WHEN contains(lower(trim(\"Rec Av1\")), 'sem informação') THEN 0 ELSE 0 END")
+
+
+def _serving_sql():
+    p20, p21, p22 = (_STONE.format(c=f'"Pedra {y}"') for y in ("20", "21", "22"))
+    ind = '["IAA", "IEG", "IPS", "IDA", "IPV"]'
+    truthy = "('sim', 'yes', 'true', '1')"
+    cols = {
+        "IAA": '"IAA"', "IEG": '"IEG"', "IPS": '"IPS"', "IDA": '"IDA"', "IPV": '"IPV"',
+        "INDE 22": '"INDE_22"', "Matem": '"Matem"', "Portug": '"Portug"', "Idade 22": '"Idade_22"',
+        "Genero_encoded": "coalesce(CASE \"Gênero\" WHEN 'Menina' THEN 0 WHEN 'Menino' THEN 1 END, 0)",
+        "Escola_encoded": ("coalesce(CASE \"Instituição de ensino\" WHEN 'Escola Pública' THEN 0 "
+                           "WHEN 'Rede Decisão' THEN 1 WHEN 'Escola JP II' THEN 2 END, 0)"),
+        "Anos_na_PM": 'CASE WHEN "Ano_ingresso" > 100 THEN 2022 - "Ano_ingresso" ELSE "Ano_ingresso" END',
+        "Fase_encoded": ("coalesce(CASE \"Fase\" WHEN 'Alfa' THEN 0 WHEN 'Fase 1' THEN 1 WHEN 'Fase 2' THEN 2 "
+                         "WHEN 'Fase 3' THEN 3 WHEN 'Fase 4' THEN 4 WHEN 'Fase 5' THEN 5 WHEN 'Fase 6' THEN 6 "
+                         "WHEN 'Fase 7' THEN 7 WHEN 'Fase 8' THEN 8 END, 0)"),
+        "Pedra_20_encoded": f"CASE WHEN ({p20}) IS NULL THEN 0 ELSE {p20} END",
+        "Pedra_21_encoded": f"CASE WHEN ({p21}) IS NULL THEN 0 ELSE {p21} END",
+        "Pedra_22_encoded": p22,
+        "Evolucao_pedra_20_22": f"CASE WHEN ({p20}) IS NULL THEN 0 WHEN ({p22}) IS NOT NULL THEN ({p22}) - ({p20}) ELSE 0 END",
+        "Evolucao_pedra_21_22": f"CASE WHEN ({p21}) IS NULL THEN 0 WHEN ({p22}) IS NOT NULL THEN ({p22}) - ({p21}) ELSE 0 END",
+        "tinha_pedra_20": f"CAST(({p20}) IS NOT NULL AS INTEGER)",
+        "tinha_pedra_21": f"CAST(({p21}) IS NOT NULL AS INTEGER)",
+        "Ponto_virada_flag": f"CAST(coalesce(lower(\"Atingiu_PV\") IN {truthy}, false) AS INTEGER)",
+        "Indicado_flag": f"CAST(coalesce(lower(\"Indicado\") IN {truthy}, false) AS INTEGER)",
+        "Destaque_IEG_flag": (f"greatest(CAST(coalesce(lower(\"Destaque_IEG\") IN {truthy}, false) AS INTEGER), "
+                              "CAST(coalesce(contains(\"Destaque_IEG\", 'Destaque'), false) AS INTEGER))"),
+        "Destaque_IDA_flag": "0", "Destaque_IPV_flag": "0",
+        "Tem_nota_ingles": 'CAST("Inglês" IS NOT NULL AS INTEGER)',
+        "Rec_av1_encoded": _REC, "Rec_av2_encoded": "0",
+        "Cf": '"Cf"', "Ct": "NULL", "Nº Av": '"N_Av"',
+        "tem_ranking_cf": 'CAST("Cf" IS NOT NULL AS INTEGER)', "tem_ranking_ct": "0",
+        "Variancia_indicadores": ("CASE WHEN len(v) >= 3 THEN sqrt(list_sum(list_transform(v, lambda x: "
+                                  "(x - list_sum(v) / len(v)) * (x - list_sum(v) / len(v)))) / (len(v) - 1)) ELSE 0.0 END"),
+        "Ratio_IDA_IEG": 'coalesce("IDA", 0.0) / (coalesce("IEG", 0.0) + 0.01)',
+    }
+    from featurewatch.operators.pipeline import MODEL_FEATURES_NO_IAN
+    sel = ", ".join(f'round(TRY_CAST({cols[n]} AS DOUBLE), 6) AS "{n}"' for n in MODEL_FEATURES_NO_IAN)
+    return (f"WITH {_SERVING_REQ_SQL},\nrv AS (SELECT *, list_filter({ind}, lambda x: x IS NOT NULL) AS v FROM r)\n"
+            f"SELECT {LI_KEY_SQL}, {sel} FROM rv")
+
+
+SQL["pipeline_serving_features"] = _serving_sql()
