@@ -47,27 +47,28 @@ def delta_neutral_serving(later: Column, earlier: Column, had_history: Column,
             .otherwise(F.coalesce(sup, F.lit(0))))
 
 
-def _present(cols: Sequence[Column]) -> Column:
-    return F.filter(F.array(*[c.cast("double") for c in cols]), lambda x: x.isNotNull())
-
-
-def _sample_std(vals: Column) -> Column:
-    n = F.size(vals)
-    mean = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x) / n
-    ss = F.aggregate(vals, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    return F.sqrt(ss / (n - 1))
+def _moments(cols: Sequence[Column]) -> tuple[Column, Column, Column]:
+    """(count, mean, sum of squared deviations) of the non-null values, as plain
+    arithmetic over a column list fixed at plan time (no array lambdas, so the
+    projection stays inside whole-stage codegen).  Two-pass like numpy."""
+    xs = [c.cast("double") for c in cols]
+    n = sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0))
+    mean = total / n
+    ss = sum((F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in xs), F.lit(0.0))
+    return n, mean, ss
 
 
 def rowwise_std(cols: Sequence[Column]) -> Column:
     """Row-wise sample std (ddof 1) over non-null values; NULL below 2 values."""
-    vals = _present(cols)
-    return F.when(F.size(vals) >= 2, _sample_std(vals))
+    n, _, ss = _moments(cols)
+    return F.when(n >= 2, F.sqrt(ss / (n - 1)))
 
 
 def rowwise_std_serving(cols: Sequence[Column], supplied: Column | None = None, min_values: int = 3) -> Column:
     """Supplied value wins; std when >= 3 values present, else 0.0."""
-    vals = _present(cols)
-    comp = F.when(F.size(vals) >= min_values, _sample_std(vals)).otherwise(F.lit(0.0))
+    n, _, ss = _moments(cols)
+    comp = F.when(n >= min_values, F.sqrt(ss / (n - 1))).otherwise(F.lit(0.0))
     return F.coalesce(supplied, comp) if supplied is not None else comp
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 
 def nan_to_null(c: Column) -> Column:
-    """NaN -> NULL for a double column (other values unchanged)."""
-    return F.when(~F.isnan(c), c)
+    """NaN -> NULL for a double column (other values unchanged).  ``nanvl``
+    references its input once, so large input expressions are not duplicated
+    in generated code."""
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
 def to_double(c: Column) -> Column:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from featurewatch.functions.nulls import nan_to_null
 from featurewatch.operators.ordering import running_sums
+from featurewatch.session import materialize
 
 REF, PROD = "reference", "production"
 
@@ -66,12 +67,14 @@ def restrict_to_reference(long: DataFrame) -> DataFrame:
     return long.filter(F.col("side") == REF).unionByName(prod)
 
 
-def reduce_values(long: DataFrame) -> DataFrame:
-    """``(feature, value) -> n_ref, n_prod`` over non-null values."""
-    return (long.filter(F.col("value").isNotNull())
-            .groupBy("feature", "value")
-            .agg(F.count_if(F.col("side") == REF).alias("n_ref"),
-                 F.count_if(F.col("side") == PROD).alias("n_prod")))
+def reduce_values(long: DataFrame, materialized: bool = True) -> DataFrame:
+    """``(feature, value) -> n_ref, n_prod`` over non-null values, computed once
+    (checkpointed) because every statistic below reads it."""
+    red = (long.filter(F.col("value").isNotNull())
+           .groupBy("feature", "value")
+           .agg(F.count_if(F.col("side") == REF).alias("n_ref"),
+                F.count_if(F.col("side") == PROD).alias("n_prod")))
+    return materialize(red) if materialized else red
 
 
 def _moments(red: DataFrame) -> DataFrame:
@@ -93,30 +96,39 @@ def _moments(red: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------- histogram (H1)
 
-def _edges(lo: Column, hi: Column, bins: int) -> Column:
-    """numpy.linspace(lo, hi, bins + 1): start + i * step, last edge exactly hi."""
-    step = (hi - lo) / F.lit(float(bins))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins)),
-                       lambda i: F.when(i == bins, hi).otherwise(i.cast("double") * step + lo))
+def _edge(i: int, lo: Column, hi: Column, bins: int) -> Column:
+    """numpy.linspace(lo, hi, bins + 1)[i]: i * step + lo, the last edge exactly hi."""
+    if i == bins:
+        return hi
+    return F.lit(float(i)) * ((hi - lo) / F.lit(float(bins))) + lo
 
 
-def _bin_index(edges: Column, x: Column, bins: int) -> Column:
-    """numpy.histogram bin (1-based): number of edges <= x, last bin right-closed."""
-    return F.least(F.size(F.filter(edges, lambda e: e <= x)), F.lit(bins))
+def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """numpy.histogram bin (1-based): number of edges <= x, last bin right-closed.
+    Explicit comparisons (bins is fixed at plan time) keep codegen."""
+    hits = sum((F.when(_edge(i, lo, hi, bins) <= x, 1).otherwise(0) for i in range(bins + 1)), F.lit(0))
+    return F.least(hits, F.lit(bins))
 
 
 def histogram_from_reduced(red: DataFrame, moments: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
-    edges = moments.select("feature", "n_ref", "n_prod", _edges(F.col("lo"), F.col("hi"), bins).alias("edges"))
-    counted = (red.join(F.broadcast(edges.select("feature", "edges")), "feature")
-               .withColumn("bin", _bin_index(F.col("edges"), F.col("value"), bins))
+    m = moments.select("feature", "n_ref", "n_prod", "lo", "hi")
+    counted = (red.join(F.broadcast(m.select("feature", "lo", "hi")), "feature")
+               .withColumn("bin", _bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
                .groupBy("feature", "bin")
                .agg(F.sum("n_ref").alias("ref_count"), F.sum("n_prod").alias("prod_count")))
-    grid = edges.select("feature", "n_ref", "n_prod", "edges",
-                        F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    grid = m.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+
+    def edge_at(k: Column) -> Column:
+        out = None
+        for i in range(bins + 1):
+            e = _edge(i, F.col("lo"), F.col("hi"), bins)
+            out = F.when(k == i, e) if out is None else out.when(k == i, e)
+        return out
+
     return (grid.join(counted, ["feature", "bin"], "left")
             .select("feature", "bin",
-                    F.element_at("edges", F.col("bin")).alias("lower_edge"),
-                    F.element_at("edges", F.col("bin") + 1).alias("upper_edge"),
+                    edge_at(F.col("bin") - 1).alias("lower_edge"),
+                    edge_at(F.col("bin")).alias("upper_edge"),
                     F.coalesce("ref_count", F.lit(0)).cast("long").alias("ref_count"),
                     F.coalesce("prod_count", F.lit(0)).cast("long").alias("prod_count"),
                     "n_ref", "n_prod"))

@@ -42,8 +42,19 @@ def _bucketed(df: DataFrame, groups: Sequence[str], order_col: str, buckets: int
         joined = df.join(F.broadcast(bounds), list(groups))
     else:
         joined = df.withColumn("__bounds", bounds.select("__bounds").scalar())
-    return joined.withColumn(
-        "__bucket", F.size(F.filter("__bounds", lambda b: b < key))).drop("__bounds")
+    return joined.withColumn("__bucket", count_below(F.col("__bounds"), key, buckets - 1)).drop("__bounds")
+
+
+def count_below(bounds: Column, key: Column, n: int, lo: int = 0, hi: int | None = None) -> Column:
+    """Number of entries of the sorted array ``bounds`` (length ``n``) that are
+    ``< key``: a balanced CASE tree, O(log n) comparisons per row and plain
+    codegen'd expressions (an array lambda would leave whole-stage codegen)."""
+    hi = n if hi is None else hi
+    if hi - lo <= 4:
+        return sum((F.when(bounds[j] < key, 1).otherwise(0) for j in range(lo, hi)), F.lit(lo))
+    mid = (lo + hi) // 2
+    return F.when(bounds[mid] < key, count_below(bounds, key, n, mid + 1, hi)) \
+        .otherwise(count_below(bounds, key, n, lo, mid))
 
 
 def running_sums(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str],

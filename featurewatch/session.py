@@ -29,6 +29,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # HotSpot does not JIT methods above 8000 bytes of bytecode; wide feature
+        # projections exceed that, so let Spark fall back for those stages only.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
@@ -64,3 +67,14 @@ def storage_root(spark: SparkSession) -> str:
 
 def storage_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([storage_root(spark).rstrip("/"), *parts])
+
+
+def materialize(df):
+    """Compute ``df`` once into the shared checkpoint directory and return a
+    frame over the stored result.  Used where several branches of one plan
+    read the same reduced table: without it each branch re-scans the input
+    (column pruning makes the branches differ, defeating exchange reuse).
+    A reliable checkpoint also cuts lineage, so a lost executor does not
+    trigger recomputation from the raw scan."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
