@@ -72,8 +72,11 @@ def asof_join_range(entity: DataFrame, ekey: str, ets: str, row_id: Sequence[str
     j = entity.join(f, cond, "left")
     payload = F.struct(*[F.col(view.out(c)) for c in view.features], F.col("__fts").alias(f"{view.prefix}feature_ts"))
     best = F.max_by(payload, F.struct(F.col("__fts"), F.col("__tb")))
-    keep = [c for c in entity.columns if c not in row_id]
-    agg = j.groupBy(*row_id).agg(*[F.first(c).alias(c) for c in keep], best.alias("__b"))
+    # grouping by (key, row id) is satisfied by the join's hash partitioning on
+    # the key, so the per-row max_by needs no second shuffle
+    group = [ekey] + [c for c in row_id if c != ekey]
+    keep = [c for c in entity.columns if c not in group]
+    agg = j.groupBy(*group).agg(*[F.first(c).alias(c) for c in keep], best.alias("__b"))
     return agg.select(*entity.columns, "__b.*")
 
 
