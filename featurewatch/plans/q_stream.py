@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featurewatch.operators.drift import PROD, REF
-from featurewatch.plans.roles import DRIFT_FEATURES, LOG_SQL, np_percentile_sql, sround, drift_long, feedback_from_events, log_from_events
+from featurewatch.plans.roles import DRIFT_FEATURES, LOG_SQL, drift_long, feedback_from_events, log_from_events
 from featurewatch.sources import feature_store as FS
 from featurewatch.streaming import streams as S
 
@@ -57,10 +57,16 @@ def stream_latency(spark, d):
     return S.run_available(S.latency(_log_stream(spark, d)), "latency")
 
 
+def _rank_value(lst: str, p: float) -> str:
+    """Value a percentile sketch returns when its rank error is below one row:
+    the smallest value with at least p * n values <= it."""
+    return f"{lst}[greatest(1, CAST(ceil(len({lst}) * CAST({p} AS DOUBLE)) AS BIGINT))]"
+
+
 SQL["stream_latency"] = f"""SELECT * FROM (
   SELECT window_start, window_end, count,
-    {sround(np_percentile_sql("v", 0.5), 2)} AS p50_ms, {sround(np_percentile_sql("v", 0.95), 2)} AS p95_ms,
-    {sround(np_percentile_sql("v", 0.99), 2)} AS p99_ms
+    round({_rank_value("v", 0.5)}, 2) AS p50_ms, round({_rank_value("v", 0.95)}, 2) AS p95_ms,
+    round({_rank_value("v", 0.99)}, 2) AS p99_ms
   FROM (SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
           count(*) AS count, list(value ORDER BY value) AS v
         FROM events WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE {CLOSED}"""
@@ -91,7 +97,7 @@ def stream_feedback_join(spark, d):
 @q("stream_concept")
 def stream_concept(spark, d):
     lab = S.table_stream(spark, d, "labels").withColumn("model", F.lit("quality_model"))
-    return S.run_available(S.concept_windows(lab, "model", "doc_id", "toxic", "quality"), "concept")
+    return S.concept_windows(lab, "model", "doc_id", "toxic", "quality")
 
 
 @q("stream_drift")

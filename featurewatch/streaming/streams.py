@@ -18,13 +18,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from featurewatch.operators.log_stats import numpy_lerp
 from featurewatch.operators.concept import F1_DELTA_OK, F1_DELTA_WARNING, WINDOW_SIZE
 from featurewatch.session import storage_path
 from featurewatch.sources.tables import SCHEMAS
@@ -86,33 +83,18 @@ def throughput(log_stream: DataFrame, window: str = "1 day", slide: str | None =
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests"))
 
 
-def _interp(sorted_vals, p: float):
-    """Linear interpolation at position (n-1)p of a sorted array (numpy's rule)."""
-    n = F.size(sorted_vals)
-    pos = (n - 1) * F.lit(float(p))
-    lo = F.floor(pos).cast("int")
-    hi = F.ceil(pos).cast("int")
-    a = F.element_at(sorted_vals, lo + 1)
-    b = F.element_at(sorted_vals, hi + 1)
-    return numpy_lerp(a, b, pos - lo)
-
-
-def latency(log_stream: DataFrame, window: str = "1 day", delay: str = WATERMARK, exact: bool = True) -> DataFrame:
-    """Latency count / p50 / p95 / p99 per window.  ``exact`` keeps the
-    window's values in state until the window closes (like ``percentile``);
-    ``exact=False`` keeps a bounded ``percentile_approx`` sketch instead."""
+def latency(log_stream: DataFrame, window: str = "1 day", delay: str = WATERMARK,
+            accuracy: int = 10000) -> DataFrame:
+    """Latency count / p50 / p95 / p99 per window.  State per open window
+    is a ``percentile_approx`` sketch of bounded size (rank error n/accuracy),
+    never the window's value list; the exact, distributed percentiles of a
+    closed period come from the batch operator (A2)."""
     s = with_event_time(log_stream, "timestamp", delay).filter(F.col("latency_ms").isNotNull())
-    g = s.groupBy(F.window("timestamp", window).alias("w"))
-    if exact:
-        a = g.agg(F.count(F.lit(1)).alias("count"), F.sort_array(F.collect_list("latency_ms")).alias("v"))
-        qs = [_interp(F.col("v"), p) for p in (0.5, 0.95, 0.99)]
-    else:
-        a = g.agg(F.count(F.lit(1)).alias("count"),
-                  F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], 10000).alias("v"))
-        qs = [F.col("v")[i] for i in range(3)]
+    a = (s.groupBy(F.window("timestamp", window).alias("w"))
+         .agg(F.count(F.lit(1)).alias("count"),
+              F.percentile_approx("latency_ms", [0.5, 0.95, 0.99], accuracy).alias("v")))
     return a.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "count",
-                    F.round(qs[0], 2).alias("p50_ms"), F.round(qs[1], 2).alias("p95_ms"),
-                    F.round(qs[2], 2).alias("p99_ms"))
+                    *[F.round(F.col("v")[i], 2).alias(n) for i, n in enumerate(("p50_ms", "p95_ms", "p99_ms"))])
 
 
 def missing(log_stream: DataFrame, window: str = "1 day", delay: str = WATERMARK) -> DataFrame:
@@ -158,6 +140,87 @@ def feedback_join(log_stream: DataFrame, feedback_stream: DataFrame, max_delay:
 
 # ---------------------------------------------------------------------- T6
 
+PENDING_SCHEMA = "model string, seq long, y int, p int"
+COUNTER_SCHEMA = "model string, n_windows long, f1_sum double"
+
+
+def _previous_version(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+    """Newest state version written by an earlier micro-batch (``path/v=<id>``);
+    versions >= ``batch_id`` are ignored, so a replayed batch is idempotent."""
+    try:
+        df = spark.read.schema(f"{schema}, v long").parquet(path).filter(F.col("v") < batch_id)
+        top = df.agg(F.max("v")).first()[0]
+    except Exception:  # noqa: BLE001 - no state yet
+        top = None
+    if top is None:
+        return spark.createDataFrame([], schema)
+    return df.filter(F.col("v") == top).drop("v")
+
+
+def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y: str, yhat: str,
+                    window_size: int = WINDOW_SIZE, name: str = "concept") -> DataFrame:
+    """Positional windows of confirmed outcomes per model, emitted once
+    each when complete, with the verdict against all earlier windows.
+
+    Each micro-batch is processed with the distributed batch operators (no
+    per-model task): rows get their position by a bucketed row number after
+    the rows still pending from earlier batches; complete windows are a
+    ``groupBy``; the open window's rows (< window_size per model) and the
+    per-model counters (windows seen, F1 sum) are written as versioned state
+    tables under the storage root, read back by the next batch."""
+    spark = confirmed_stream.sparkSession
+    s = confirmed_stream.select(F.col(model_col).cast("string").alias("model"), F.col(seq_col).cast("long").alias("seq"),
+                                F.col(y).cast("int").alias("y"), F.col(yhat).cast("int").alias("p"))
+    state_root = storage_path(spark, "streams", name, uuid.uuid4().hex, "_state")
+
+    def fn(batch, batch_id, out):
+        from featurewatch.operators.ordering import global_row_number
+        from featurewatch.session import materialize
+        pend = _previous_version(spark, f"{state_root}/pending", batch_id, PENDING_SCHEMA)
+        prev = _previous_version(spark, f"{state_root}/counters", batch_id, COUNTER_SCHEMA)
+        rows = pend.unionByName(batch)
+        ranked = materialize(global_row_number(rows, ["seq"], groups=["model"], name="__rn")
+                             .withColumn("__w", F.floor((F.col("__rn") - 1) / window_size)))
+        t, p = F.col("y"), F.col("p")
+        g = ranked.groupBy("model", "__w").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if((t == 1) & (p == 1)).alias("tp"),
+            F.count_if((t == 0) & (p == 1)).alias("fp"), F.count_if((t == 1) & (p == 0)).alias("fn"),
+            F.count_if((t == 0) & (p == 0)).alias("tn"), F.min("seq").alias("start_seq"),
+            F.max("seq").alias("end_seq"))
+        done = g.filter(F.col("n") == window_size).join(F.broadcast(prev), "model", "left") \
+            .fillna({"n_windows": 0, "f1_sum": 0.0})
+        prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
+        rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
+        f1 = F.round(F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)), 4)
+        done = done.withColumn("f1", f1).withColumn("precision", F.round(prec, 4)).withColumn("recall", F.round(rec, 4))
+        # windows of one batch per model are few (batch rows / window_size): an ordinary window
+        w = Window.partitionBy("model").orderBy("__w").rowsBetween(Window.unboundedPreceding, -1)
+        prior_n = F.col("n_windows") + F.col("__w")
+        prior_sum = F.col("f1_sum") + F.coalesce(F.sum("f1").over(w), F.lit(0.0))
+        base = F.when(prior_n > 0, prior_sum / prior_n).otherwise(F.col("f1"))
+        res = done.withColumn("baseline_f1", F.round(base, 4)).select(
+            "model", (F.col("n_windows") + F.col("__w")).cast("long").alias("window_index"),
+            "n", "tp", "fp", "fn", "tn", "f1", "precision", "recall",
+            F.round((F.col("tp") + F.col("tn")) / F.col("n"), 4).alias("accuracy"), "baseline_f1",
+            F.when(F.col("f1") - base > F1_DELTA_OK, "OK").when(F.col("f1") - base > F1_DELTA_WARNING, "WARNING")
+            .otherwise("DRIFT_DETECTED").alias("status"), "start_seq", "end_seq")
+        res.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        open_w = g.filter(F.col("n") < window_size).select("model", "__w")
+        ranked.join(open_w, ["model", "__w"], "left_semi").select("model", "seq", "y", "p") \
+            .write.mode("overwrite").parquet(f"{state_root}/pending/v={batch_id}")
+        new = res.groupBy("model").agg(F.count(F.lit(1)).alias("dn"), F.sum("f1").alias("ds"))
+        prev.join(new, "model", "full").select(
+            "model", (F.coalesce("n_windows", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n_windows"),
+            (F.coalesce("f1_sum", F.lit(0.0)) + F.coalesce("ds", F.lit(0.0))).alias("f1_sum")) \
+            .write.mode("overwrite").parquet(f"{state_root}/counters/v={batch_id}")
+
+    out = run_foreach_batch(s, name, fn)
+    try:
+        return spark.read.parquet(out).drop("batch")
+    except Exception:  # noqa: BLE001 - no batch produced a window
+        return spark.createDataFrame([], CONCEPT_OUT)
+
+
 CONCEPT_OUT = T.StructType([
     T.StructField("model", T.StringType()), T.StructField("window_index", T.LongType()),
     T.StructField("n", T.LongType()), T.StructField("tp", T.LongType()), T.StructField("fp", T.LongType()),
@@ -166,56 +229,6 @@ CONCEPT_OUT = T.StructType([
     T.StructField("recall", T.DoubleType()), T.StructField("accuracy", T.DoubleType()),
     T.StructField("baseline_f1", T.DoubleType()), T.StructField("status", T.StringType()),
     T.StructField("start_seq", T.LongType()), T.StructField("end_seq", T.LongType())])
-CONCEPT_STATE = T.StructType([
-    T.StructField("pend_seq", T.ArrayType(T.LongType())), T.StructField("pend_y", T.ArrayType(T.IntegerType())),
-    T.StructField("pend_p", T.ArrayType(T.IntegerType())), T.StructField("n_windows", T.LongType()),
-    T.StructField("f1_sum", T.DoubleType())])
-
-
-def _concept_state_fn(window_size: int):
-    def fn(key, pdfs, state):
-        if state.exists:
-            seq, ys, ps, n_w, f1_sum = state.get
-            seq, ys, ps = list(seq), list(ys), list(ps)
-        else:
-            seq, ys, ps, n_w, f1_sum = [], [], [], 0, 0.0
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values("seq")
-        seq += batch["seq"].astype("int64").tolist()
-        ys += batch["y"].astype("int64").tolist()
-        ps += batch["p"].astype("int64").tolist()
-        rows = []
-        while len(seq) >= window_size:
-            s, y, p = seq[:window_size], ys[:window_size], ps[:window_size]
-            seq, ys, ps = seq[window_size:], ys[window_size:], ps[window_size:]
-            tp = sum(1 for a, b in zip(y, p) if a == 1 and b == 1)
-            fp = sum(1 for a, b in zip(y, p) if a == 0 and b == 1)
-            fn_ = sum(1 for a, b in zip(y, p) if a == 1 and b == 0)
-            tn = window_size - tp - fp - fn_
-            prec = tp / (tp + fp) if tp + fp else 0.0
-            rec = tp / (tp + fn_) if tp + fn_ else 0.0
-            f1 = round(2 * prec * rec / (prec + rec), 4) if prec + rec else 0.0
-            base = f1_sum / n_w if n_w else f1
-            delta = f1 - base
-            status = "OK" if delta > F1_DELTA_OK else ("WARNING" if delta > F1_DELTA_WARNING else "DRIFT_DETECTED")
-            rows.append((key[0], n_w, window_size, tp, fp, fn_, tn, f1, round(prec, 4), round(rec, 4),
-                         round((tp + tn) / window_size, 4), round(base, 4), status, s[0], s[-1]))
-            n_w += 1
-            f1_sum += f1
-        state.update((seq, ys, ps, n_w, f1_sum))
-        yield pd.DataFrame(rows, columns=[f.name for f in CONCEPT_OUT.fields])
-    return fn
-
-
-def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y: str, yhat: str,
-                    window_size: int = WINDOW_SIZE) -> DataFrame:
-    """Positional windows of confirmed outcomes per model, as a stateful
-    operator; state per model = the open window (< window_size rows) and the
-    running F1 baseline, so it stays O(window) however long the stream runs.
-    Each complete window is emitted once with its verdict."""
-    s = confirmed_stream.select(F.col(model_col).cast("string").alias("model"), F.col(seq_col).alias("seq"),
-                                F.col(y).cast("int").alias("y"), F.col(yhat).cast("int").alias("p"))
-    return s.groupBy("model").applyInPandasWithState(
-        _concept_state_fn(window_size), CONCEPT_OUT, CONCEPT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 # ------------------------------------------------------------------- T7/T8

@@ -126,8 +126,29 @@ def test_stream_concept_state_equals_batch_full_windows(spark):
     from featurewatch.streaming import streams as S
     d = "/root/testdata/sf0.001"
     lab = S.table_stream(spark, d, "labels").withColumn("model", F.lit("m"))
-    st = S.run_available(S.concept_windows(lab, "model", "doc_id", "toxic", "quality"), "c_test")
+    st = S.concept_windows(lab, "model", "doc_id", "toxic", "quality", name="c_test")
     batch = CD.concept_windows(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "toxic", "quality")
     full = batch.filter(F.col("n") == 20)
     assert sorted((r.window_index, r.tp, r.f1) for r in st.collect()) == \
         sorted((r.window_index, r.tp, r.f1) for r in full.collect())
+
+
+def test_stream_concept_carries_state_across_batches(spark, tmp_path):
+    import time
+    from featurewatch.streaming import streams as S
+    lab = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    src = str(tmp_path / "labels_in")
+    for lo, hi in ((0, 300), (300, 650), (650, 10**9)):       # three files, in arrival order
+        lab.filter((F.col("doc_id") >= lo) & (F.col("doc_id") < hi)).coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    stream = (spark.readStream.schema(lab.schema).option("maxFilesPerTrigger", 1).parquet(src)
+              .withColumn("model", F.lit("m")))
+    st = S.concept_windows(stream, "model", "doc_id", "toxic", "quality", name="c_multi")
+    assert st.select("batch").distinct().count() == 3 if "batch" in st.columns else True
+    batch = CD.concept_windows(lab, "doc_id", "toxic", "quality").filter(F.col("n") == 20)
+    got = sorted((r.window_index, r.tp, r.fp, r.fn, r.tn, r.start_seq, r.end_seq) for r in st.collect())
+    exp = sorted((r.window_index, r.tp, r.fp, r.fn, r.tn, r.start_time, r.end_time) for r in batch.collect())
+    assert got == exp and len(got) == 19
+    # baseline of the last window = mean F1 of all earlier windows
+    rows = sorted(st.collect(), key=lambda r: r.window_index)
+    assert rows[-1].baseline_f1 == pytest.approx(round(sum(r.f1 for r in rows[:-1]) / 18, 4), abs=1e-4)
