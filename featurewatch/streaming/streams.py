@@ -144,9 +144,11 @@ PENDING_SCHEMA = "model string, seq long, y int, p int"
 COUNTER_SCHEMA = "model string, n_windows long, f1_sum double"
 
 
-def _previous_version(spark: SparkSession, path: str, batch_id: int, schema: str) -> DataFrame:
+def _previous_version(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
     """Newest state version written by an earlier micro-batch (``path/v=<id>``);
     versions >= ``batch_id`` are ignored, so a replayed batch is idempotent."""
+    if isinstance(schema, T.StructType):
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     try:
         df = spark.read.schema(f"{schema}, v long").parquet(path).filter(F.col("v") < batch_id)
         top = df.agg(F.max("v")).first()[0]
@@ -250,20 +252,18 @@ def materialize_stream(stream: DataFrame, key: str, ts: str, cols: list[str], ti
                        name: str = "materialize") -> DataFrame:
     """Incremental latest-per-key snapshot.  Each micro-batch merges its
     rows into the previous snapshot version and writes a new version
-    directory (never overwriting the table it reads); the checkpoint is the
-    high-water mark, so a rerun processes only new files."""
+    directory ``v=<batch>`` (never overwriting the table it reads).  The
+    previous version is found on storage, not in driver memory, so a
+    restarted query resumes from its checkpoint (the high-water mark) and the
+    last written snapshot; a replayed batch rewrites the same version."""
     from featurewatch.operators.asof import latest_per_key
     spark = stream.sparkSession
-    state = {"last": None}
+    rows_schema = stream.select(key, ts, *cols).schema
 
     def fn(batch, batch_id, out):
-        cur = batch.select(key, ts, *cols)
-        if state["last"] is not None:
-            cur = spark.read.parquet(state["last"]).select(key, ts, *cols).unionByName(cur)
-        snap = latest_per_key(cur, key, ts, cols, tiebreak)
-        path = f"{out}/v={batch_id:08d}"
-        snap.write.mode("overwrite").parquet(path)
-        state["last"] = path
-
-    run_foreach_batch(stream, name, fn)
-    return spark.read.parquet(state["last"]) if state["last"] else None
+        prev = _previous_version(spark, out, batch_id, rows_schema)
+        cur = prev.select(key, ts, *cols).unionByName(batch.select(key, ts, *cols))
+        latest_per_key(cur, key, ts, cols, tiebreak).write.mode("overwrite").parquet(f"{out}/v={batch_id}")
+
+    out = run_foreach_batch(stream, name, fn)
+    return _previous_version(spark, out, 2 ** 62, rows_schema)
