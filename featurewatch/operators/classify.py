@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurewatch.operators.ordering import running_sums
+from featurewatch.session import materialize
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -52,9 +53,9 @@ def classification_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 def auc_roc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
     """A10: area under ROC via tie-averaged rank sums; one class only -> 0.0."""
-    red = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-           .groupBy(score).agg(F.count_if(F.col(label) == 1).alias("npos"),
-                               F.count_if(F.col(label) == 0).alias("nneg")))
+    red = materialize(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+                      .groupBy(score).agg(F.count_if(F.col(label) == 1).alias("npos"),
+                                          F.count_if(F.col(label) == 0).alias("nneg")))
     cum = running_sums(red, [], [score], {"cum": F.col("npos") + F.col("nneg")}, buckets=buckets)
     cnt = F.col("npos") + F.col("nneg")
     avg_rank = F.col("cum") - cnt + (cnt + 1) / 2.0

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from featurewatch.functions.derive import risk_band
 from featurewatch.operators.ordering import global_row_number, running_sums
+from featurewatch.session import materialize
 
 
 def build_log(df: DataFrame, id_col: Column, seq_col: Column, ts_col: Column, prediction: Column,
@@ -69,7 +70,9 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
     ``value -> count``, ranked with bucketed running counts, and the two
     order statistics around each position ``(n-1)p`` are selected by a
     filtered aggregate.  Returns one row with ``p_<i>`` columns."""
-    red = df.filter(F.col(value_col).isNotNull()).groupBy(value_col).agg(F.count(F.lit(1)).alias("cnt"))
+    # the reduced table feeds bounds, totals, offsets and the count: store it once
+    red = materialize(df.filter(F.col(value_col).isNotNull()).groupBy(value_col)
+                      .agg(F.count(F.lit(1)).alias("cnt")))
     cum = running_sums(red, [], [value_col], {"cum": F.col("cnt")}, buckets=buckets)
     j = cum.withColumn("n", red.agg(F.sum("cnt")).scalar())
     aggs = []

@@ -45,7 +45,7 @@ def _split(spark, d):
 
 
 def _fit(spark, d, model_type, params=None):
-    k = (d, model_type, tuple(sorted((params or {}).items())))
+    k = (id(spark), d, model_type, tuple(sorted((params or {}).items())))
     if k not in _MODELS:
         s = _split(spark, d)
         train = s.filter(F.col("split") == "train")
@@ -197,7 +197,7 @@ def score_from_store(spark, d):
                                              (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label"))
     store = _store_frame(spark, d)
     train = store.join(cust, "cust_id").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
-    model = Z.create_estimator("logistic_regression", feats, n_rows=1500).fit(train)
+    model = Z.create_estimator("logistic_regression", feats, n_rows=train.count()).fit(train)
     ids = cust.filter(F.col("label") == 1).select("cust_id")
     found = online_lookup(ids, "cust_id", store)
     ready = found.filter("found").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))

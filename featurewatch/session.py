@@ -45,14 +45,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint dir; create a private one only when unset
     (tests / local runs).  Never overrides a cluster-provided setting."""
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="fw-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    if not current:
+        current = tempfile.mkdtemp(prefix="fw-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    try:
+        sc = spark.sparkContext
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(current)
+    except Exception:  # noqa: BLE001 - remote sessions read spark.checkpoint.dir themselves
+        pass
+    return current
 
 
 def storage_root(spark: SparkSession) -> str:
