@@ -152,3 +152,25 @@ def test_stream_concept_carries_state_across_batches(spark, tmp_path):
     # baseline of the last window = mean F1 of all earlier windows
     rows = sorted(st.collect(), key=lambda r: r.window_index)
     assert rows[-1].baseline_f1 == pytest.approx(round(sum(r.f1 for r in rows[:-1]) / 18, 4), abs=1e-4)
+
+
+def test_asof_plans_agree_under_hot_key(spark):
+    """A third of all rows on one key: both plans agree row for row, and the
+    union plan spreads the hot key over many (key, time bucket) partitions."""
+    n = 6000
+    base = F.lit(T0).cast("timestamp_ntz")
+
+    def key(c):
+        return F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 97).cast("string")))
+
+    f = spark.range(n).select(key("id").alias("key"), (base + F.make_dt_interval(F.col("id") % 900)).alias("ts"),
+                              F.col("id").alias("fid"), (F.col("id") * 1.5).alias("v"))
+    e = spark.range(n).select(F.col("id").alias("eid"), key("id").alias("key"),
+                              (base + F.make_dt_interval((F.col("id") * 7) % 1000)).alias("t"))
+    view = A.ViewInput("v", f, "key", "ts", ["v"], tiebreak="fid", ttl_days=90)
+    r = A.asof_join_range(e, "key", "t", ["eid"], view).select("eid", "v", "feature_ts")
+    u = A.asof_join_union(e, "key", "t", [view], bucket_days=30).select("eid", "v", "feature_ts")
+    assert r.exceptAll(u).count() == 0 and u.exceptAll(r).count() == 0 and u.count() == n
+    hot_buckets = (f.filter(F.col("key") == "hot")
+                   .select(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (30 * 86400))).distinct().count())
+    assert hot_buckets >= 25
