@@ -32,6 +32,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         # HotSpot does not JIT methods above 8000 bytes of bytecode; wide feature
         # projections exceed that, so let Spark fall back for those stages only.
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        # reliable checkpoints written by materialize() are removed once their
+        # DataFrame is garbage-collected (long-running monitoring jobs)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .getOrCreate()
