@@ -85,7 +85,7 @@ def _bucket(ts: Column, width_days: int) -> Column:
 
 
 def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[ViewInput],
-                    bucket_days: int = 30) -> DataFrame:
+                    bucket_days: int = 30, materialize_input: bool = False) -> DataFrame:
     """J1/J2, scalable plan: one union + one bucketed sort for all views."""
     ecols = entity.columns
     payloads = {}
@@ -109,6 +109,11 @@ def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[View
         for p in parts:
             u = u.unionByName(p)
     u = u.withColumn("__b", _bucket(F.col("__t"), bucket_days))
+    if materialize_input:
+        # the union feeds both the carry-in aggregate and the final sort; storing it
+        # once avoids computing the entity rows (often a join) twice
+        from featurewatch.session import materialize
+        u = materialize(u)
 
     # carry-in: latest feature row per (key, bucket), carried to later buckets
     pcols = [f"__p{j}" for j in range(len(views))]
