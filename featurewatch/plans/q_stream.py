@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featurewatch.operators.drift import PROD, REF
-from featurewatch.plans.roles import DRIFT_FEATURES, LOG_SQL, drift_long, feedback_from_events, log_from_events
+from featurewatch.plans.roles import DRIFT_FEATURES, FEEDBACK_SQL, LOG_SQL, drift_long, feedback_from_events, log_from_events
 from featurewatch.sources import feature_store as FS
 from featurewatch.streaming import streams as S
 
@@ -94,12 +94,43 @@ def stream_feedback_join(spark, d):
     return S.run_available(S.feedback_join(log, fb), "feedback_join")
 
 
+SQL["stream_feedback_join"] = f"""WITH {LOG_SQL}, {FEEDBACK_SQL},
+wm AS (SELECT least((SELECT max(ts) FROM events), (SELECT max(ts) FROM events WHERE event_type = 'purchase'))
+              - INTERVAL 1 HOUR AS w),
+m AS (SELECT l.prediction_id, l."timestamp", l.prediction, f.outcome AS actual_outcome, f.feedback_timestamp
+      FROM log l JOIN fb_raw f ON l.prediction_id = f.prediction_id
+        AND f.feedback_timestamp >= l."timestamp" AND f.feedback_timestamp <= l."timestamp" + INTERVAL 30 DAY),
+u AS (SELECT l.prediction_id, l."timestamp", l.prediction, CAST(NULL AS INTEGER) AS actual_outcome,
+             CAST(NULL AS TIMESTAMP) AS feedback_timestamp
+      FROM log l WHERE l."timestamp" + INTERVAL 30 DAY < (SELECT w FROM wm)
+        AND NOT EXISTS (SELECT 1 FROM m WHERE m.prediction_id = l.prediction_id AND m."timestamp" = l."timestamp"))
+SELECT * FROM m UNION ALL SELECT * FROM u"""
+
+
 @q("stream_concept")
 def stream_concept(spark, d):
     lab = S.table_stream(spark, d, "labels").withColumn("model", F.lit("quality_model"))
     return S.concept_windows(lab, "model", "doc_id", "toxic", "quality")
 
 
+def _stream_concept_sql():
+    """Complete windows only (the open window stays in state); baseline = mean F1
+    of all earlier windows, the window's own F1 for the first."""
+    from featurewatch.plans.q_classify import _WINDOWS
+    return f"""WITH {_WINDOWS},
+b AS (SELECT *, avg(f1) OVER (ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base0
+      FROM w WHERE n = 20),
+c AS (SELECT *, coalesce(base0, f1) AS base FROM b)
+SELECT 'quality_model' AS model, window_index, n, tp, fp, fn, tn, f1, precision, recall, accuracy,
+  round(base, 4) AS baseline_f1,
+  CASE WHEN f1 - base > -0.05 THEN 'OK' WHEN f1 - base > -0.10 THEN 'WARNING' ELSE 'DRIFT_DETECTED' END AS status,
+  start_time AS start_seq, end_time AS end_seq
+FROM c"""
+
+
+SQL["stream_concept"] = _stream_concept_sql()
+
+
 @q("stream_drift")
 def stream_drift(spark, d):
     from featurewatch.functions.nulls import nan_to_null
@@ -114,6 +145,15 @@ def stream_drift(spark, d):
     return S.drift_per_batch(S.table_stream(spark, d, "lineitem"), ref, to_long)
 
 
+def _stream_drift_sql():
+    """One input file = one micro-batch (id 0): its report equals the batch drift report."""
+    from featurewatch.plans.q_drift import SQL as DSQL
+    return "SELECT *, 0 AS batch_id FROM (" + DSQL["drift_report"] + ")"
+
+
+SQL["stream_drift"] = _stream_drift_sql()
+
+
 @q("stream_materialize")
 def stream_materialize(spark, d):
     from featurewatch.plans.q_store import ORDERS_VALUE
