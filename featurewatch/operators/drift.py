@@ -139,13 +139,14 @@ def histogram_pair(long: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
     red = reduce_values(long)
     h = histogram_from_reduced(red, _moments(red), bins)
     return h.select("feature", "bin", "lower_edge", "upper_edge", "ref_count", "prod_count",
-                    (F.col("ref_count") / F.col("n_ref") + HIST_EPS).alias("ref_share"),
-                    (F.col("prod_count") / F.col("n_prod") + HIST_EPS).alias("prod_share"))
+                    (F.try_divide(F.col("ref_count"), F.col("n_ref")) + HIST_EPS).alias("ref_share"),
+                    (F.try_divide(F.col("prod_count"), F.col("n_prod")) + HIST_EPS).alias("prod_share"))
 
 
 def _psi_kl(hist: DataFrame) -> DataFrame:
-    r = F.col("ref_count") / F.col("n_ref") + HIST_EPS
-    p = F.col("prod_count") / F.col("n_prod") + HIST_EPS
+    # a feature seen on one side only has a zero count on the other: NULL, not an error
+    r = F.try_divide(F.col("ref_count"), F.col("n_ref")) + HIST_EPS
+    p = F.try_divide(F.col("prod_count"), F.col("n_prod")) + HIST_EPS
     h = hist.select("feature", r.alias("r"), p.alias("p"))
     agg = h.groupBy("feature").agg(
         F.sum((F.col("p") - F.col("r")) * F.log(F.col("p") / F.col("r"))).alias("psi"),
@@ -185,7 +186,8 @@ def _ks_from_reduced(red: DataFrame, buckets: int | None = None) -> DataFrame:
     tot = red.groupBy("feature").agg(F.sum("n_ref").alias("tr"), F.sum("n_prod").alias("tp"))
     return (cum.join(F.broadcast(tot), "feature")
             .groupBy("feature", "tr", "tp")
-            .agg(F.max(F.abs(F.col("cum_ref") / F.col("tr") - F.col("cum_prod") / F.col("tp")))
+            .agg(F.max(F.abs(F.try_divide(F.col("cum_ref"), F.col("tr"))
+                             - F.try_divide(F.col("cum_prod"), F.col("tp"))))
                  .alias("d")))
 
 

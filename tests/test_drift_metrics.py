@@ -168,3 +168,13 @@ def test_throughput_and_retention(spark):
     assert t.requests_in_window == 2 and t.avg_per_minute == 0.03   # minutes 100 and 120 are >= 120 - 60
     kept = LS.log_retention(log, max_rows=2, buckets=3).orderBy("seq").collect()
     assert [r.seq for r in kept] == [3, 4]
+
+
+def test_one_sided_features_do_not_fail(spark, samples):
+    ref, prod = samples[0], samples[2]
+    long = (_long(spark, ref, prod).unionByName(_long(spark, [], [1.0, 2.0, 3.0, 4.0, 5.0, 6.0], "prod_only"))
+            .unionByName(_long(spark, [1.0, 2.0], [], "ref_only")))
+    rep = {r.feature for r in D.drift_report(long).collect()}
+    assert rep == {"x"}
+    assert {r.feature for r in D.psi(long).collect()} >= {"x"}
+    assert D.ks_statistic(long).filter("feature = 'x'").first().ks_statistic > 0
