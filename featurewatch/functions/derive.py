@@ -54,7 +54,7 @@ def _moments(cols: Sequence[Column]) -> tuple[Column, Column, Column]:
     xs = [c.cast("double") for c in cols]
     n = sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
     total = sum((F.coalesce(x, F.lit(0.0)) for x in xs), F.lit(0.0))
-    mean = total / n
+    mean = F.try_divide(total, n)          # NULL for an all-NULL row, never an ANSI error
     ss = sum((F.coalesce((x - mean) * (x - mean), F.lit(0.0)) for x in xs), F.lit(0.0))
     return n, mean, ss
 
