@@ -46,9 +46,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint dir; create a private one only when unset
-    (tests / local runs).  Never overrides a cluster-provided setting."""
+    and the master is local (tests).  Never overrides a cluster-provided
+    setting; a cluster without one is an error, because a folder of the
+    driver's machine would lose data there."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="fw-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
