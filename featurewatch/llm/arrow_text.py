@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,10 +14,20 @@ from pyspark.sql import DataFrame, functions as F
 PIECE_BYTES = 2 << 20
 
 
+def importable(df: DataFrame) -> DataFrame:
+    """Lets Python workers import this library from where the driver has it (where they run on the same image or it is
+    sent with --py-files, this changes nothing)."""
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id`` (long) and ``text`` (null: empty); other columns are dropped, so their names cannot clash."""
-    return df.select(F.col(id_col).cast("long").alias("id"),
-                     F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return importable(df).select(F.col(id_col).cast("long").alias("id"),
+                                 F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

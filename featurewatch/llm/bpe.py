@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featurewatch.llm.arrow_text import binary_parts, id_and_text, list_array, row_pieces, runs
+from featurewatch.llm.arrow_text import binary_parts, id_and_text, importable, list_array, row_pieces, runs
 
 # Symbols of the automaton. A document's first code point has FIRST added.
 LETTER, NUMBER, OTHER, SPACE_JOINS, BLANK_LAST, BLANK, QUOTE1, QUOTE2, FIRST = range(9)
@@ -404,7 +404,7 @@ def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bpe.decode(lists.flatten().to_numpy(), lengths), pa.binary())],
                                              ["doc_id", "decoded"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"),
+    return importable(df).select(F.col(id_col).cast("long").alias("doc_id"),
                      F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids")
                      ).mapInArrow(run, "doc_id long, decoded binary")
 

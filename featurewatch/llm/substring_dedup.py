@@ -25,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from featurewatch.llm.arrow_text import binary_parts, runs
+from featurewatch.llm.arrow_text import binary_parts, importable, runs
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -205,7 +205,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = size // block_bytes + 1
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
+    docs = importable(df).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
     index = docs.groupBy("block").applyInArrow(_index(window, parts), "part int, block long, hashes binary, docs binary, which binary")
     matches = index.groupBy("part").applyInArrow(_merge, "block long, part int, hits binary, sources binary")
