@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurewatch.llm import bpe, langid, packing, simhash, substring_dedup
+from featurewatch.llm import bpe, langid, packing, simhash, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -54,3 +54,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = langid.identify(docs, langid.fit_on_others(docs))
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.fit_on_others(docs, _table(spark, sf_dir, "labels")))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
