@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurewatch.llm import bpe, langid, packing, simhash, substring_dedup, toxicity
+from featurewatch.llm import ann, bpe, langid, packing, simhash, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,3 +61,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = toxicity.score(docs, toxicity.fit_on_others(docs, _table(spark, sf_dir, "labels")))
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+@_query
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5, id_col="vec_id", vector_col="embedding")
+
+
+@_query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = topk.scaled_components(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 1024)
+    return topk.top_k(rows, F.col("id") % 100 == 0, k=10)
+
+
+ORACLE_SQL["op3_topk"] = """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+        FROM embeddings
+        WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+        SELECT q.vec_id AS query_id, c.vec_id,
+               CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+    r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
