@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurewatch.llm import ann, bpe, langid, packing, simhash, substring_dedup, topk, toxicity
+from featurewatch.llm import ann, bpe, html_text, langid, packing, simhash, substring_dedup, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -86,3 +86,8 @@ ORACLE_SQL["op3_topk"] = """
         FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
     SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
+
+
+@_query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
