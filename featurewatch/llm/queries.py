@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurewatch.llm import ann, bpe, html_text, langid, packing, simhash, substring_dedup, topk, toxicity
+from featurewatch.llm import ann, bpe, html_text, langid, packing, simhash, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -91,3 +91,65 @@ ORACLE_SQL["op3_topk"] = """
 @_query
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+#: The tables hold no list and no fetch times, so the query derives both from ``pages``: hosts, parent domains and
+#: first path parts are listed and dropped at dates that a hash of the pattern gives; a page was fetched at a time that
+#: its id gives, within the same 30 days.
+_FIRST_DAY = 1704067200
+
+
+def _dated(patterns: DataFrame, listing: str, step: int) -> DataFrame:
+    v = F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("long")
+    day = lambda n: F.timestamp_seconds(F.lit(_FIRST_DAY) + n * 86400)
+    rows = patterns.withColumn("v", v).filter(F.col("v") % step == 0)
+    added = rows.select("pattern", F.lit("add").alias("action"), day(F.col("v") % 25).alias("listed_at"))
+    removed = rows.filter("v % 4 <> 0").select("pattern", F.lit("remove").alias("action"), day(F.col("v") % 25 + 3 + F.col("v") % 7).alias("listed_at"))
+    again = rows.filter("v % 5 = 0").select("pattern", F.lit("add").alias("action"), day(F.col("v") % 25 + 14).alias("listed_at"))
+    return added.union(removed).union(again).withColumn("list", F.lit(listing))
+
+
+@_query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    places = pages.select(host.alias("host"), F.split(path, "/")[0].alias("part")).filter("host is not null").distinct()
+    hosts = places.select(F.concat(F.lit("domain:"), "host").alias("pattern")).distinct()
+    parents = places.select(F.concat(F.lit("domain:"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).alias("pattern")).filter("pattern <> 'domain:'").distinct()
+    paths = places.filter("part <> ''").select(F.concat(F.lit("prefix:"), "host", F.lit("/"), "part").alias("pattern"))
+    entries = _dated(hosts, "hosts", 2).union(_dated(parents, "domains", 1)).union(_dated(paths, "paths", 3))
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(_FIRST_DAY) + F.col("page_id") * 7919 % (30 * 86400)))
+    out = url_filter.evaluate(captures, entries, "page_id")
+    return out.select(F.col("id").alias("page_id"), "host", F.size("matches").cast("long").alias("n_matches"),
+                      F.array_join(F.transform("matches", lambda m: F.concat(m["list"], F.lit(" "), m["pattern"])), "; ").alias("matched"), "blocked")
+
+
+ORACLE_SQL["op8_url_filter"] = r"""
+    WITH p AS (
+        SELECT page_id, nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?(?:[/?#]|$)', 1)), '\.$', ''), '') AS host,
+               regexp_replace(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1), '^/', '') AS path,
+               1704067200 + page_id * 7919 % 2592000 AS fetched
+        FROM pages),
+    c AS (
+        SELECT page_id, fetched, 'domain:' || array_to_string(list_slice(string_split(host, '.'), i, 1000), '.') AS pattern
+        FROM p, unnest(generate_series(1, len(string_split(host, '.')))) AS u(i) WHERE host IS NOT NULL
+        UNION
+        SELECT page_id, fetched, 'prefix:' || host || '/' || array_to_string(list_slice(list_filter(string_split(path, '/'), lambda x: x <> ''), 1, i), '/')
+        FROM p, unnest(generate_series(1, len(list_filter(string_split(path, '/'), lambda x: x <> '')))) AS u(i) WHERE host IS NOT NULL),
+    places AS (SELECT DISTINCT host, split_part(path, '/', 1) AS part FROM p WHERE host IS NOT NULL),
+    patterns AS (
+        SELECT DISTINCT 'hosts' AS list, 2 AS step, 'domain:' || host AS pattern FROM places
+        UNION SELECT DISTINCT 'domains', 1, 'domain:' || regexp_extract(host, '([^.]+\.[^.]+)$', 1) FROM places WHERE regexp_extract(host, '([^.]+\.[^.]+)$', 1) <> ''
+        UNION SELECT DISTINCT 'paths', 3, 'prefix:' || host || '/' || part FROM places WHERE part <> ''),
+    h AS (SELECT list, pattern, v FROM (SELECT *, CAST('0x' || substr(md5(pattern), 1, 4) AS BIGINT) AS v FROM patterns) WHERE v % step = 0),
+    log AS (
+        SELECT list, pattern, 1 AS active, v % 25 AS day FROM h
+        UNION ALL SELECT list, pattern, 0, v % 25 + 3 + v % 7 FROM h WHERE v % 4 <> 0
+        UNION ALL SELECT list, pattern, 1, v % 25 + 14 FROM h WHERE v % 5 = 0),
+    latest AS (
+        SELECT c.page_id, l.list, l.pattern, arg_max(l.active, l.day * 2 + 1 - l.active) AS active
+        FROM c JOIN log l ON l.pattern = c.pattern AND 1704067200 + l.day * 86400 <= c.fetched
+        GROUP BY ALL),
+    m AS (SELECT page_id, count(*) AS n, string_agg(list || ' ' || pattern, '; ' ORDER BY list, pattern) AS matched FROM latest WHERE active = 1 GROUP BY page_id)
+    SELECT p.page_id, p.host, coalesce(m.n, 0) AS n_matches, coalesce(m.matched, '') AS matched, coalesce(m.n, 0) > 0 AS blocked
+    FROM p LEFT JOIN m ON m.page_id = p.page_id"""
