@@ -61,16 +61,21 @@ def _fingerprints(texts: list[bytes], size: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id`` and ``fp`` (the fingerprint's bits as a long) of every row."""
+    """``doc_id``, ``fp`` (the fingerprint's bits as a long) and ``text_hash`` (a long that tells rows of one id apart)."""
     def run(batches):
         for batch in batches:
             offsets, raw = binary_parts(batch.column(1))
             for a, b in row_pieces(offsets):
                 ends = offsets[a:b + 1].tolist()
                 fps = _fingerprints([raw[x:y].tobytes() for x, y in zip(ends, ends[1:], strict=False)], size, seed)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fps), batch.column(2).slice(a, b - a)],
+                                                 ["doc_id", "fp", "text_hash"])
 
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_and_text(df, id_col, text_col).withColumn("text_hash", text_hash(F.col("text"))).mapInArrow(run, "doc_id long, fp long, text_hash long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def _byte(position: int) -> Column:
@@ -173,12 +178,28 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id``: the smallest id among the rows that chains of near pairs join."""
+    """``doc_id``, ``fp``, ``text_hash`` and ``component_id``: the smallest id among the rows that chains of near pairs
+    join; ``component`` names the component also where no row of it has an id."""
     docs = materialize(fingerprints(df, id_col, text_col, size, seed))
     distinct = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = connected_components(links(distinct.select("fp")))
     rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return docs.join(named, "fp").select("doc_id", "fp", "component_id")
+        "fp", "least", F.coalesce("root", "fp").alias("component"))
+    least = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "component").select("fp", "component_id", "component")
+    return docs.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id", "component")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, seed: int = 42) -> DataFrame:
+    """The rows of ``df``, unchanged, less all but one of each component: the row with the smallest id stays (rows
+    without an id come last; of rows with one id the one with the smaller hash of its text, of equal rows one)."""
+    groups = near_duplicates(df, id_col, text_col, size, seed)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    kept = groups.groupBy("component").agg(F.min(order).alias("first")).select(
+        F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("own_id"),
+                     text_hash(F.col(text_col)).alias("own_hash"))
+    same = F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
+
+

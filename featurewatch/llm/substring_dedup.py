@@ -73,6 +73,7 @@ class Block:
         edge = inside[1:] & inside[:-1] & ~cut[1:-1]                 # inside a word on both sides
         starts = np.flatnonzero(inside & ~np.r_[False, edge][:len(raw)])
         ends = np.flatnonzero(inside & ~np.r_[edge, False][:len(raw)]) + 1
+        self.raw, self.offsets, self.begin = raw, offsets, starts
         self.size = ends - starts
         self.doc = np.searchsorted(offsets, starts, "right") - 1
         self.data = raw[inside]
@@ -144,6 +145,17 @@ class Block:
         return pa.array([data[e - t:e - 1].decode("utf-8", "replace") if t else "" for e, t in zip(ends.tolist(), total.tolist(), strict=True)], pa.string())
 
 
+    def cut_texts(self, gone: np.ndarray) -> pa.Array:
+        """The texts as they were, less the words that go and the white space after each."""
+        upto = np.r_[self.begin[1:], len(self.raw)]
+        upto = np.minimum(upto, self.offsets[self.doc + 1])[gone]
+        begin = self.begin[gone]
+        keep = np.ones(len(self.raw), bool)
+        keep[runs(begin, upto - begin)] = False
+        data, ends = self.raw[keep].tobytes(), np.r_[0, np.cumsum(keep)][self.offsets].tolist()
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
+
+
 def _index(window: int, parts: int):
     def run(key, table):
         block = Block(table, window)
@@ -180,7 +192,7 @@ def _merge(key, table):
                     ["block", "part", "hits", "sources"])
 
 
-def _parse(window: int, parts: int):
+def _parse(window: int, parts: int, keep_layout: bool):
     def run(key, table, matches):
         block = Block(table, window)
         cuts, source = block.ranges(parts), block.ids[block.least]
@@ -192,15 +204,15 @@ def _parse(window: int, parts: int):
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), factors)
         removed = np.bincount(block.doc[gone], minlength=block.n_docs)
         return pa.table([block.table["doc_id"], pa.array(block.n_words.astype(np.int64)), pa.array(removed.astype(np.int64)),
-                         block.kept_texts(gone), lists, block.table["row"]], ["doc_id", "n_words", "n_removed", "text", "factors", "row"])
+                         block.cut_texts(gone) if keep_layout else block.kept_texts(gone), lists, block.table["row"]], ["doc_id", "n_words", "n_removed", "text", "factors", "row"])
     return run
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row ``doc_id``, ``n_words``, ``n_removed``, ``text`` (the words left, joined by one space; text without a
-    factor is normalised in the same way), ``factors`` (array of start word, words and source document) and
-    ``row``: a struct of the columns named in ``carry``, whatever their names."""
+                   carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, keep_layout: bool = False) -> DataFrame:
+    """Per row ``doc_id``, ``n_words``, ``n_removed``, ``text`` (the words left, joined by one space, or with
+    ``keep_layout`` as they stood, the white space after a removed word gone too), ``factors`` (array of start word,
+    words and source document) and ``row``: a struct of the columns named in ``carry``, whatever their names."""
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = size // block_bytes + 1
@@ -211,5 +223,5 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matches = index.groupBy("part").applyInArrow(_merge, "block long, part int, hits binary, sources binary")
     kind = docs.schema["row"].dataType.simpleString()
     return docs.groupBy("block").cogroup(matches.groupBy("block")).applyInArrow(
-        _parse(window, parts), f"doc_id long, n_words long, n_removed long, text string, "
+        _parse(window, parts, keep_layout), f"doc_id long, n_words long, n_removed long, text string, "
         f"factors array<struct<start:bigint,length:bigint,source:bigint>>, row {kind}")
