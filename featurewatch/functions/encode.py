@@ -101,14 +101,19 @@ def flag_and_drop(df: DataFrame, source: str, flag_name: str) -> DataFrame:
 
 
 def impute_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
-    """Fill NULLs with the exact (interpolated) median of each column,
-    computed in ONE aggregate over ``fit`` (default: the same frame) and
-    attached as scalar subqueries (no join, no collect)."""
+    """Fill NULLs with the exact (interpolated) median of each column over
+    ``fit`` (default: the same frame).  All columns are reduced to
+    ``(column, value) -> count`` in one pass and ranked in buckets, so no task
+    holds a column's values; the medians are attached as scalar subqueries.  A
+    column without any value keeps its NULLs."""
+    from featurewatch.operators.log_stats import exact_percentiles
     src = fit if fit is not None else df
     cols = [c for c in cols if c in df.columns]
     if not cols:
         return df
-    med = src.agg(*[F.median(F.col(f"`{c}`")).alias(c) for c in cols])
+    long = src.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot([], cols, "__column", "__value")
+    med = exact_percentiles(long, "__value", [0.5], groups=["__column"]).agg(
+        *[F.max(F.when(F.col("__column") == c, F.col("p_0"))).alias(c) for c in cols])
     return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), med.select(F.col(f"`{c}`")).scalar()) for c in cols})
 
 
@@ -138,11 +143,9 @@ def encode_serving(df: DataFrame, name: str, mapping: Mapping, default: int = 0)
 
 
 def encode_lookup_join(df: DataFrame, key: str, dim: DataFrame, dim_key: str, code_col: str,
-                       out: str, default: int | None = 0, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Dictionary lookup as a join.  The dictionary is broadcast only when
-    its row count is checked to be below ``max_broadcast_rows``; otherwise a
-    shuffle join is planned."""
-    from featurewatch.operators.joins import broadcast_if_small
+                       out: str, default: int | None = 0) -> DataFrame:
+    """Dictionary lookup as a join; the planner and adaptive execution
+    choose broadcast or shuffle by the dictionary's size in bytes."""
     d = dim.select(F.col(dim_key).alias("__k"), F.col(code_col).alias(out))
-    j = df.join(broadcast_if_small(d, max_broadcast_rows), df[key] == F.col("__k"), "left").drop("__k")
+    j = df.join(d, df[key] == F.col("__k"), "left").drop("__k")
     return j if default is None else j.withColumn(out, F.coalesce(F.col(out), F.lit(default)))

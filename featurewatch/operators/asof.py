@@ -26,8 +26,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from featurewatch.operators.joins import broadcast_if_small
-
 DEFAULT_TTL_DAYS = 365
 
 
@@ -144,10 +142,10 @@ def _ptype(v: ViewInput, df: DataFrame):
                               F.col(v.ts).alias("__fts")).alias("x")).schema["x"].dataType
 
 
-def online_lookup(ids: DataFrame, key: str, latest: DataFrame, max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """One row per requested id with its latest values and ``found``.
-    The id list is the build side of the first join only behind a row bound."""
+def online_lookup(ids: DataFrame, key: str, latest: DataFrame) -> DataFrame:
+    """One row per requested id with its latest values and ``found``.  The
+    planner and adaptive execution choose the joins by size in bytes."""
     ids_d = ids.select(key).distinct()
-    matched = latest.join(broadcast_if_small(ids_d, max_broadcast_rows), key, "left_semi")
+    matched = latest.join(ids_d, key, "left_semi")
     j = ids_d.join(matched.withColumn("found", F.lit(True)), key, "left")
     return j.withColumn("found", F.coalesce(F.col("found"), F.lit(False)))

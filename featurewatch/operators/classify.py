@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurewatch.operators.ordering import running_sums
+from featurewatch.operators.ordering import BUCKETS, running_sums
 from featurewatch.session import materialize
 
 
@@ -51,7 +51,7 @@ def classification_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return metrics_from_counts(confusion_counts(df, y, yhat))
 
 
-def auc_roc(df: DataFrame, label: str, score: str, buckets: int | None = None) -> DataFrame:
+def auc_roc(df: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
     """A10: area under ROC via tie-averaged rank sums; one class only -> 0.0."""
     red = materialize(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
                       .groupBy(score).agg(F.count_if(F.col(label) == 1).alias("npos"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurewatch.operators.ordering import global_row_number
+from featurewatch.operators.ordering import BUCKETS, global_row_number
 
 # Fixed values from the reference's concept-drift rules.
 WINDOW_SIZE = 20
@@ -22,7 +22,7 @@ F1_DELTA_WARNING = -0.10
 def concept_windows(confirmed: DataFrame, order_col: str, y: str, yhat: str,
                     window_size: int = WINDOW_SIZE, min_rows: int = MIN_WINDOW_ROWS,
                     ts_col: str | None = None, groups: list[str] | None = None,
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int = BUCKETS) -> DataFrame:
     """W1 + W2: per window counts, precision, recall, F1, accuracy (rounded 4),
     first and last order value (and time); windows under ``min_rows`` dropped."""
     groups = groups or []
@@ -70,9 +70,8 @@ def concept_verdict(windows: DataFrame, confirmed: DataFrame | None = None) -> D
               .otherwise("DRIFT_DETECTED"))
     alert = (F.when(delta > F1_DELTA_OK, F.lit(None).cast("string"))
              .when(delta > F1_DELTA_WARNING,
-                   F.concat(F.lit("F1 caiu "), pct, F.lit("% na última janela (atenção recomendada)")))
-             .otherwise(F.concat(F.lit("Concept drift detectado! F1 caiu "), pct,
-                                 F.lit("% na última janela (retreinamento recomendado)"))))
+                   F.concat(F.lit("WARNING: F1 fell by "), pct, F.lit(" points")))
+             .otherwise(F.concat(F.lit("DRIFT_DETECTED: F1 fell by "), pct, F.lit(" points"))))
     return d.select(status.alias("status"), "confirmed_count", "n_windows",
                     F.round("latest_f1", 4).alias("latest_f1"), F.round("baseline_f1", 4).alias("baseline_f1"),
                     F.round(delta, 4).alias("f1_delta"), alert.alias("alert_message"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurewatch.functions.nulls import nan_to_null
-from featurewatch.operators.ordering import running_sums
+from featurewatch.operators.ordering import BUCKETS, running_sums
 from featurewatch.session import materialize
 
 REF, PROD = "reference", "production"
@@ -180,7 +180,7 @@ def psi_band(p: Column) -> Column:
 
 # ---------------------------------------------------------------- KS (H4/H5)
 
-def _ks_from_reduced(red: DataFrame, buckets: int | None = None) -> DataFrame:
+def _ks_from_reduced(red: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     cum = running_sums(red, ["feature"], ["value"],
                        {"cum_ref": F.col("n_ref"), "cum_prod": F.col("n_prod")}, buckets=buckets)
     tot = red.groupBy("feature").agg(F.sum("n_ref").alias("tr"), F.sum("n_prod").alias("tp"))
@@ -201,13 +201,13 @@ def kolmogorov_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Co
     return F.when(lam < 0.3, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
-def ks_statistic(long: DataFrame, buckets: int | None = None) -> DataFrame:
+def ks_statistic(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """H4: two-sample KS statistic per feature (max gap of the empirical CDFs)."""
     ks = _ks_from_reduced(reduce_values(long), buckets)
     return ks.select("feature", F.round("d", 6).alias("ks_statistic"))
 
 
-def ks_pvalue(long: DataFrame, buckets: int | None = None) -> DataFrame:
+def ks_pvalue(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     ks = _ks_from_reduced(reduce_values(long), buckets)
     return ks.select("feature", F.round("d", 6).alias("ks_statistic"),
                      F.round(kolmogorov_pvalue(F.col("d"), F.col("tr"), F.col("tp")), 6).alias("ks_pvalue"))
@@ -237,7 +237,7 @@ def verdict(pvalue: Column, shift: Column) -> Column:
             .otherwise("OK"))
 
 
-def drift_report(long: DataFrame, bins: int = DEFAULT_BINS, buckets: int | None = None,
+def drift_report(long: DataFrame, bins: int = DEFAULT_BINS, buckets: int = BUCKETS,
                  min_production: int = MIN_PRODUCTION_VALUES) -> DataFrame:
     """One row per feature with enough production values (H9)."""
     red = reduce_values(long)

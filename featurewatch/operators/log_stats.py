@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurewatch.functions.derive import risk_band
-from featurewatch.operators.ordering import global_row_number, running_sums
+from featurewatch.operators.feedback import feedback_join
+from featurewatch.operators.ordering import BUCKETS, running_sums
 from featurewatch.session import materialize
 
 
@@ -63,18 +64,27 @@ def prediction_stats(log: DataFrame) -> DataFrame:
         "last_prediction_time")
 
 
-def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
-                      buckets: int | None = None) -> DataFrame:
+def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float], groups: Sequence[str] = (),
+                      buckets: int = BUCKETS) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy / Spark ``percentile``)
     without holding all values in one task: values are reduced to
     ``value -> count``, ranked with bucketed running counts, and the two
     order statistics around each position ``(n-1)p`` are selected by a
-    filtered aggregate.  Returns one row with ``p_<i>`` columns."""
+    filtered aggregate.  One row with ``p_<i>`` columns, per group if given."""
     # the reduced table feeds bounds, totals, offsets and the count: store it once
-    red = materialize(df.filter(F.col(value_col).isNotNull()).groupBy(value_col)
+    red = materialize(df.filter(F.col(value_col).isNotNull()).groupBy(*groups, value_col)
                       .agg(F.count(F.lit(1)).alias("cnt")))
-    cum = running_sums(red, [], [value_col], {"cum": F.col("cnt")}, buckets=buckets)
-    j = cum.withColumn("n", red.agg(F.sum("cnt")).scalar())
+    cum = running_sums(red, groups, [value_col], {"cum": F.col("cnt")}, buckets=buckets)
+    # the running count of a group's largest value is the group's size; positions follow from it
+    sizes = red.groupBy(*groups).agg(F.sum("cnt").alias("n"))
+    if groups:
+        sizes = sizes.withColumnsRenamed({g: f"__{g}" for g in groups})
+        same = F.lit(True)
+        for g in groups:
+            same = same & cum[g].eqNullSafe(sizes[f"__{g}"])
+        j = cum.join(sizes, same)
+    else:
+        j = cum.withColumn("n", sizes.scalar())
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
@@ -84,9 +94,9 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float],
         aggs.append(F.min(F.when(F.col("cum") > lo_rank, F.col(value_col))).alias(f"lo_{i}"))
         aggs.append(F.min(F.when(F.col("cum") > hi_rank, F.col(value_col))).alias(f"hi_{i}"))
         aggs.append(F.first(pos - lo_rank).alias(f"fr_{i}"))
-    sel = j.agg(*aggs)
-    return sel.select(*[numpy_lerp(F.col(f"lo_{i}"), F.col(f"hi_{i}"), F.col(f"fr_{i}")).alias(f"p_{i}")
-                        for i in range(len(probs))])
+    sel = j.groupBy(*groups).agg(*aggs)
+    return sel.select(*groups, *[numpy_lerp(F.col(f"lo_{i}"), F.col(f"hi_{i}"), F.col(f"fr_{i}")).alias(f"p_{i}")
+                                 for i in range(len(probs))])
 
 
 def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
@@ -95,12 +105,12 @@ def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
 
 
-def latency_percentiles(log: DataFrame, buckets: int | None = None) -> DataFrame:
+def latency_percentiles(log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """A2: count/avg/min/max/p50/p95/p99 of non-null latencies, rounded to 2; empty -> zeros."""
     lat = log.select(F.col("latency_ms").alias("v")).filter(F.col("v").isNotNull())
     basic = lat.agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("avg"),
                     F.min("v").alias("min"), F.max("v").alias("max"))
-    pct = exact_percentiles(lat, "v", [0.5, 0.95, 0.99], buckets).select(F.struct("*").alias("s")).scalar()
+    pct = exact_percentiles(lat, "v", [0.5, 0.95, 0.99], buckets=buckets).select(F.struct("*").alias("s")).scalar()
     z = F.lit(0.0)
     return basic.select(
         "count",
@@ -136,7 +146,7 @@ def throughput(log: DataFrame, window_minutes: int = 60, as_of: str | None = Non
     the newest logged time so results are repeatable (not wall clock)."""
     ref = log.agg(F.max("timestamp")).scalar() if as_of is None else F.lit(as_of).cast("timestamp_ntz")
     cutoff = ref - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(window_minutes))
-    n = log.agg(F.count_if(F.col("timestamp") >= cutoff).alias("requests_in_window"))
+    n = log.filter(F.col("timestamp") >= cutoff).agg(F.count(F.lit(1)).alias("requests_in_window"))
     per_min = (F.round(F.col("requests_in_window") / F.lit(window_minutes), 2) if window_minutes > 0
                else F.lit(0.0))
     return n.select(F.lit(window_minutes).alias("window_minutes"), "requests_in_window",
@@ -174,18 +184,21 @@ def batch_summary(scored: DataFrame, batch_col: str, prediction_col: str = "pred
                     .cast("double").alias("risk_rate"))
 
 
-def log_retention(log: DataFrame, max_rows: int = 10000, buckets: int | None = None) -> DataFrame:
-    """Keep the newest ``max_rows`` rows by logging order.  Ranked with the
-    bucketed row number (no single-task sort for large caps)."""
-    ranked = global_row_number(log.withColumn("__neg_seq", -F.col("seq")), ["__neg_seq"],
-                               name="__rn", buckets=buckets)
-    return ranked.filter(F.col("__rn") <= max_rows).drop("__rn", "__neg_seq")
+def log_retention(log: DataFrame, max_rows: int = 10000) -> DataFrame:
+    """Keep the newest ``max_rows`` rows by logging order (``seq`` is unique).  The cut is the smallest of the
+    newest numbers, found by a top-k over that one column; the rows are then a plain filter."""
+    newest = log.select("seq").orderBy(F.col("seq").desc()).limit(max_rows)
+    return log.filter(F.col("seq") >= newest.agg(F.min("seq")).scalar())
 
 
-def recent_predictions(log: DataFrame, limit: int = 20) -> DataFrame:
+def recent_predictions(log: DataFrame, limit: int = 20, feedback: DataFrame | None = None) -> DataFrame:
     """Newest ``limit`` rows, newest first, rounded probability, band (or
-    '—' without probability) and feedback fields.  A top-k report: TakeOrdered."""
+    '—' without probability) and feedback fields.  A top-k report: TakeOrdered
+    over the log alone; ``feedback`` calls are then joined to those rows only."""
     top = log.orderBy(F.col("seq").desc()).limit(limit)
+    if feedback is not None:
+        calls = feedback.join(F.broadcast(top.select("prediction_id")), "prediction_id", "left_semi")  # at most ``limit`` ids
+        top = feedback_join(top, calls)
     return top.select(
         "prediction_id", "seq", "timestamp", "prediction",
         F.round("probability", 4).alias("probability"),

@@ -5,15 +5,20 @@ For cumulative distributions (KS statistic), positional windows (concept
 drift) and row numbers over a whole log we use a two-level scheme instead:
 
 1. approximate quantiles of the order key (a map-side sketch aggregate) cut
-   each group into ``buckets`` ranges of similar size;
+   each group into ``BUCKETS`` ranges of similar size;
 2. per (group, bucket) totals form a tiny table; an exclusive running sum over
    it gives each bucket's offset;
 3. a window partitioned by (group, bucket) adds the in-bucket running sum to
    the offset.
 
+A row finds its range in two steps, first among ``COARSE`` bounds, then among
+the fine bounds of that part, so the generated code and the bounds that a row
+carries stay small whatever the number of ranges or of shuffle partitions.
 Rows with equal order keys always land in the same bucket, so ties behave
-exactly as in a global window.  The bound and offset tables hold
-``groups x buckets`` rows, independent of the data volume.
+exactly as in a global window.  NULL groups are groups like any other; NULL
+order keys come first.  The bound and offset tables hold ``groups x buckets``
+rows, independent of the data volume; they are broadcast only when the groups
+were counted and are few.
 """
 
 from __future__ import annotations
@@ -23,26 +28,50 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featurewatch.session import materialize
 
-def default_buckets(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+COARSE = 32
+BUCKETS = 512
+#: With more groups than this the planner chooses the join of bounds and offsets.
+BROADCAST_GROUPS = 1000
 
 
-def _bucketed(df: DataFrame, groups: Sequence[str], order_col: str, buckets: int) -> DataFrame:
-    if buckets <= 1:
-        return df.withColumn("__bucket", F.lit(0))
-    probs = [i / buckets for i in range(1, buckets)]
+def _join_groups(df: DataFrame, side: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Inner join on ``keys``, NULL matching NULL; the side's keys are dropped."""
+    side = side.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & df[k].eqNullSafe(side[f"__k_{k}"])
+    return df.join(F.broadcast(side) if small else side, cond).drop(*[f"__k_{k}" for k in keys])
+
+
+def join_counted(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join with one row per group, NULL matching NULL.  The side is
+    stored and counted, and broadcast only if it has few rows."""
+    side = materialize(side)
+    return _join_groups(df, side, keys, side.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS)
+
+
+def _bucketed(df: DataFrame, groups: Sequence[str], order_col: str, buckets: int) -> tuple[DataFrame, bool]:
+    """``df`` with its ``__bucket``, and whether the groups are few."""
+    coarse = min(COARSE, max(2, buckets))
+    fine = -(-max(2, buckets) // coarse)
+    n = coarse * fine
     key = F.col(order_col)
     # percentile_approx needs a numeric/datetime input; order keys are numeric or timestamps.
-    bounds = df.groupBy(*groups).agg(
-        F.percentile_approx(key, probs, 10000).alias("__bounds"))
-    if groups:
-        # one row per group: groups are low-cardinality by contract (features, models)
-        joined = df.join(F.broadcast(bounds), list(groups))
-    else:
-        joined = df.withColumn("__bounds", bounds.select("__bounds").scalar())
-    return joined.withColumn("__bucket", count_below(F.col("__bounds"), key, buckets - 1)).drop("__bounds")
+    bounds = materialize(df.groupBy(*groups).agg(
+        F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n).alias("__bounds")))
+    small = not groups or bounds.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    first = bounds.select(*groups, F.array(*[F.col("__bounds")[k * fine - 1] for k in range(1, coarse)]).alias("__bounds"))
+    out = _join_groups(df, first, groups, small)
+    out = out.withColumn("__part", count_below(F.col("__bounds"), key, coarse - 1)).drop("__bounds")
+    if fine == 1:
+        return out.withColumnRenamed("__part", "__bucket"), small
+    parts = bounds.select(*groups, F.posexplode(F.array(*[
+        F.slice("__bounds", k * fine + 1, fine - 1) for k in range(coarse)])).alias("__part", "__bounds"))
+    out = _join_groups(out, parts, [*groups, "__part"], small)
+    return out.withColumn("__bucket", F.col("__part") * fine + count_below(F.col("__bounds"), key, fine - 1)).drop(
+        "__bounds", "__part"), small
 
 
 def count_below(bounds: Column, key: Column, n: int, lo: int = 0, hi: int | None = None) -> Column:
@@ -58,7 +87,7 @@ def count_below(bounds: Column, key: Column, n: int, lo: int = 0, hi: int | None
 
 
 def running_sums(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str],
-                 sums: dict[str, Column], buckets: int | None = None,
+                 sums: dict[str, Column], buckets: int = BUCKETS,
                  ties_together: bool = True) -> DataFrame:
     """Add inclusive running sums ``{name: expr}`` over ``order_cols`` within ``groups``.
 
@@ -66,10 +95,9 @@ def running_sums(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str]
     a bucket.  With ``ties_together`` rows sharing all order values get the same
     (RANGE frame) running sum, like a cumulative distribution.
     """
-    buckets = default_buckets(df) if buckets is None else buckets
     groups = list(groups)
     base = df.select("*", *[e.alias(f"__v_{n}") for n, e in sums.items()])
-    b = _bucketed(base, groups, order_cols[0], buckets)
+    b, small = _bucketed(base, groups, order_cols[0], buckets)
     part = groups + ["__bucket"]
     totals = b.groupBy(*part).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
     wt = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,14 +106,13 @@ def running_sums(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str]
     w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
     w = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if ties_together and len(order_cols) == 1
          else w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = b.join(F.broadcast(offsets), part)
-    out = out.select(*df.columns, *[
+    out = _join_groups(b, offsets, part, small)
+    return out.select(*df.columns, *[
         (F.col(f"__o_{n}") + F.sum(f"__v_{n}").over(w)).alias(n) for n in sums])
-    return out
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence[str], groups: Sequence[str] = (),
-                      name: str = "rn", buckets: int | None = None) -> DataFrame:
+                      name: str = "rn", buckets: int = BUCKETS) -> DataFrame:
     """``row_number() over (partition by groups order by order_cols)`` computed
     with the bucketed scheme; ``order_cols`` must identify rows uniquely."""
     return running_sums(df, groups, order_cols, {name: F.lit(1).cast("long")},

@@ -204,8 +204,8 @@ SELECT CASE WHEN n_windows = 0 THEN (CASE WHEN (SELECT count(*) FROM labels) = 0
   (SELECT count(*) FROM labels) AS confirmed_count, n_windows,
   round(latest_f1, 4) AS latest_f1, round(baseline_f1, 4) AS baseline_f1, round(delta, 4) AS f1_delta,
   CASE WHEN delta > -0.05 THEN NULL
-       WHEN delta > -0.10 THEN 'F1 caiu ' || printf('%.1f', abs(delta) * 100) || '% na última janela (atenção recomendada)'
-       ELSE 'Concept drift detectado! F1 caiu ' || printf('%.1f', abs(delta) * 100) || '% na última janela (retreinamento recomendado)'
+       WHEN delta > -0.10 THEN 'WARNING: F1 fell by ' || printf('%.1f', abs(delta) * 100) || ' points'
+       ELSE 'DRIFT_DETECTED: F1 fell by ' || printf('%.1f', abs(delta) * 100) || ' points'
   END AS alert_message
 FROM c"""
 

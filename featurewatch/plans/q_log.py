@@ -199,7 +199,7 @@ FROM log WHERE NOT EXISTS (SELECT 1 FROM fb_raw WHERE fb_raw.prediction_id = log
 
 @q("recent_predictions")
 def recent_predictions(spark, d):
-    return LS.recent_predictions(_joined(spark, d), limit=20)
+    return LS.recent_predictions(prediction_log(spark, d), limit=20, feedback=feedback_raw(spark, d))
 
 
 SQL["recent_predictions"] = WF + """

@@ -166,7 +166,7 @@ def test_throughput_and_retention(spark):
     log = _log(spark, [(m, 0, 0.1, 1.0) for m in (0, 10, 50, 100, 120)])
     t = LS.throughput(log, 60).first()
     assert t.requests_in_window == 2 and t.avg_per_minute == 0.03   # minutes 100 and 120 are >= 120 - 60
-    kept = LS.log_retention(log, max_rows=2, buckets=3).orderBy("seq").collect()
+    kept = LS.log_retention(log, max_rows=2).orderBy("seq").collect()
     assert [r.seq for r in kept] == [3, 4]
 
 
