@@ -5,17 +5,21 @@ feature row with ``ts <= t`` and ``ts >= t - ttl``; entity rows without such
 a row keep NULL features.  Ties at equal ``ts`` go to the larger tie-break
 value.  Two physical plans:
 
+``asof_join_union``  — the default.  Entity and feature rows of ALL views are
+    unioned and sorted once per ``(key, time bucket)``; a running
+    ``last(ignorenulls)`` carries each view's latest row forward.  The latest
+    feature row of each (key, bucket) is also put into the buckets after it,
+    up to the next bucket that has one or to the end of its TTL, so a hot key
+    is split into time buckets instead of one task holding its whole history.
+    The entity rows are read once.  Work is linear: one sort, no pairs.
+
 ``asof_join_range``  — left range join on the key plus ``groupBy(row id)``
-    ``max_by``.  Cheap when the TTL window holds few feature rows per entity
-    row; multiplies rows for keys with dense histories.
-
-``asof_join_union``  — default at scale.  Entity and feature rows of ALL views
-    are unioned and sorted once per ``(key, time bucket)``; a running
-    ``last(ignorenulls)`` carries each view's latest row forward.  A per
-    ``(key, bucket)`` "carry-in" (latest feature row of earlier buckets,
-    computed on the small bucket-level table) seeds every bucket, so a hot
-    key is split into time buckets instead of one task holding its whole
-    history.  Work is linear: one shuffle, one sort, no pairs.
+    ``max_by``.  Multiplies rows for keys with dense histories; only for callers
+    who know that the TTL window holds few feature rows per entity row.
+
+NULL keys match nothing: such entity rows keep NULL features (dealt over many
+buckets, as there may be many), such feature rows are left out, as are feature
+rows without a time.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_TTL_DAYS = 365
 
@@ -83,49 +88,39 @@ def _bucket(ts: Column, width_days: int) -> Column:
 
 
 def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[ViewInput],
-                    bucket_days: int = 30, materialize_input: bool = False) -> DataFrame:
-    """J1/J2, scalable plan: one union + one bucketed sort for all views."""
+                    bucket_days: int = 30) -> DataFrame:
+    """J1/J2, default plan: one union + one bucketed sort for all views."""
     ecols = entity.columns
-    payloads = {}
-    parts = []
+    n = len(views)
+    no_row = [F.lit(None).cast(_ptype(v, v.df)).alias(f"__p{j}") for j, v in enumerate(views)]
+    no_tie = [F.lit(None).cast(_tie_type(v)).alias(f"__tb{j}") for j, v in enumerate(views)]
+    astray = F.pmod(F.xxhash64(*[F.col(c) for c in ecols]), F.lit(1 << 16))    # rows without a key
     # entity rows: side 1 sorts after feature rows at equal time (ts <= t)
-    e = entity.select(F.col(ekey).alias("__k"), F.col(ets).alias("__t"), F.lit(1).alias("__side"),
-                      F.lit(None).cast("long").alias("__tb"), F.struct(*[F.col(c) for c in ecols]).alias("__e"))
-    for i, v in enumerate(views):
-        p = F.struct(*[F.col(c).alias(v.out(c)) for c in v.features], F.col(v.ts).alias("__fts"))
-        payloads[i] = p
-    for i, v in enumerate(views):
-        cols = [F.col(v.key).alias("__k"), F.col(v.ts).alias("__t"), F.lit(0).alias("__side"),
-                (F.col(v.tiebreak).cast("long") if v.tiebreak else F.lit(0).cast("long")).alias("__tb"),
-                F.lit(None).cast(e.schema["__e"].dataType).alias("__e")]
-        for j, v2 in enumerate(views):
-            cols.append((payloads[j] if j == i else F.lit(None).cast(_ptype(v2, v2.df))).alias(f"__p{j}"))
-        parts.append(v.df.select(*cols))
-    e = e.select("*", *[F.lit(None).cast(_ptype(v, v.df)).alias(f"__p{j}") for j, v in enumerate(views)])
-    u = e.unionByName(parts[0]) if len(parts) == 1 else e
-    if len(parts) > 1:
-        for p in parts:
-            u = u.unionByName(p)
-    u = u.withColumn("__b", _bucket(F.col("__t"), bucket_days))
-    if materialize_input:
-        # the union feeds both the carry-in aggregate and the final sort; storing it
-        # once avoids computing the entity rows (often a join) twice
-        from featurewatch.session import materialize
-        u = materialize(u)
-
-    # carry-in: latest feature row per (key, bucket), carried to later buckets
-    pcols = [f"__p{j}" for j in range(len(views))]
-    per_bucket = u.groupBy("__k", "__b").agg(*[
-        F.max_by(F.col(pc), F.when(F.col(pc).isNotNull(), F.struct("__t", "__tb"))).alias(pc) for pc in pcols])
-    wk = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_bucket.select("__k", "__b", *[F.last(pc, ignorenulls=True).over(wk).alias(pc) for pc in pcols])
-    seeds = carry.select("__k", F.lit(None).cast(u.schema["__t"].dataType).alias("__t"), F.lit(-1).alias("__side"),
-                         F.lit(None).cast("long").alias("__tb"),
-                         F.lit(None).cast(e.schema["__e"].dataType).alias("__e"), *pcols, "__b")
-    allrows = u.unionByName(seeds.select(*u.columns))
-    w = (Window.partitionBy("__k", "__b").orderBy(F.col("__side") >= 0, "__t", "__side", "__tb")
+    rows = entity.select(
+        F.col(ekey).alias("__k"), F.when(F.col(ekey).isNull(), astray).otherwise(_bucket(F.col(ets), bucket_days)).alias("__b"),
+        F.col(ets).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in ecols]).alias("__e"), *no_tie, *no_row)
+    no_entity = F.lit(None).cast(rows.schema["__e"].dataType).alias("__e")
+    for j, v in enumerate(views):
+        payload = F.struct(*[F.col(c).alias(v.out(c)) for c in v.features], F.col(v.ts).alias("__fts"))
+        tie = (F.col(v.tiebreak) if v.tiebreak else F.lit(0)).alias("__tie")
+        f = v.df.filter(F.col(v.key).isNotNull() & F.col(v.ts).isNotNull()).select(
+            F.col(v.key).alias("__k"), _bucket(F.col(v.ts), bucket_days).alias("__b"), F.col(v.ts).alias("__t"), tie, payload.alias("__p"))
+        newest = f.groupBy("__k", "__b").agg(F.max_by(F.struct("__t", "__tie", "__p"), F.struct("__t", "__tie")).alias("__l"))
+        following = F.lead("__b").over(Window.partitionBy("__k").orderBy("__b"))
+        if v.ttl_days is None:
+            last = F.coalesce(following, entity.agg(F.max(_bucket(F.col(ets), bucket_days))).scalar())
+        else:
+            last = F.least(following, F.col("__b") + v.ttl_days // bucket_days + 1)    # least() skips NULL
+        ahead = newest.withColumn("__last", last).filter(F.col("__last") > F.col("__b")).select(
+            "__k", F.explode(F.sequence(F.col("__b") + 1, F.col("__last"))).alias("__b"), "__l.*")
+        for part in (f, ahead.select(*f.columns)):
+            rows = rows.unionByName(part.select(
+                "__k", "__b", "__t", F.lit(0).alias("__side"), no_entity,
+                *[F.col("__tie").alias(f"__tb{i}") if i == j else no_tie[i] for i in range(n)],
+                *[F.col("__p").alias(f"__p{i}") if i == j else no_row[i] for i in range(n)]))
+    w = (Window.partitionBy("__k", "__b").orderBy("__t", "__side", *[f"__tb{j}" for j in range(n)])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = allrows.select("__side", "__e", *[F.last(pc, ignorenulls=True).over(w).alias(pc) for pc in pcols])
+    filled = rows.select("__side", "__e", *[F.last(f"__p{j}", ignorenulls=True).over(w).alias(f"__p{j}") for j in range(n)])
     ent = filled.filter(F.col("__side") == 1)
     out = [F.col(f"__e.{c}").alias(c) for c in ecols]
     et = F.col(f"__e.{ets}")
@@ -137,6 +132,10 @@ def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[View
     return ent.select(*out)
 
 
+def _tie_type(v: ViewInput):
+    return v.df.schema[v.tiebreak].dataType if v.tiebreak else T.IntegerType()
+
+
 def _ptype(v: ViewInput, df: DataFrame):
     return df.select(F.struct(*[F.col(c).alias(v.out(c)) for c in v.features],
                               F.col(v.ts).alias("__fts")).alias("x")).schema["x"].dataType

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurewatch.functions.project import parse_feature_refs
-from featurewatch.operators.asof import ViewInput, asof_join_range, asof_join_union, latest_per_key, online_lookup
+from featurewatch.operators.asof import ViewInput, asof_join_union, latest_per_key, online_lookup
 from featurewatch.plans.q_features import LI_KEY, LI_KEY_SQL, preprocessed_orders
 from featurewatch.sources import feature_store as FS
 from featurewatch.sources.tables import load
@@ -214,7 +214,7 @@ SELECT {LI_KEY_SQL}, cust_id, o_totalprice, feature_ts FROM j WHERE rn = 1"""
 
 @q("asof_join_ttl")
 def asof_join_ttl(spark, d):
-    return asof_join_range(entity_rows(spark, d), "cust_id", "l_shipdate", LI_KEY, _value_view(spark, d))
+    return asof_join_union(entity_rows(spark, d), "cust_id", "l_shipdate", [_value_view(spark, d)], bucket_days=90)
 
 
 SQL["asof_join_ttl"] = _ASOF_SQL

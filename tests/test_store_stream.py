@@ -61,6 +61,20 @@ def test_asof_multi_view_one_pass(spark, fixture_f3):
     assert out["e1"].v == 12.0 and out["e1"].w_v2 == 24.0
 
 
+@pytest.mark.parametrize("plan", ["range", "union"])
+def test_asof_null_keys_dense_keys_and_text_ties(spark, plan):
+    feats = [("a", _ts(1), "x", 1.0), ("a", _ts(1), "y", 2.0), ("a", None, "z", 9.0), (None, _ts(1), "x", 99.0)]
+    feats += [("dense", _ts(i / 50), f"{i:05d}", float(i)) for i in range(3000)]
+    f = spark.createDataFrame(feats, "key string, ts timestamp_ntz, tie string, v double")
+    ents = [(1, "a", _ts(2)), (2, None, _ts(2)), (3, "a", None), (4, "dense", _ts(30)), (5, "dense", _ts(59.99)), (6, "dense", _ts(500))]
+    e = spark.createDataFrame(ents + [(100 + i, None, _ts(i)) for i in range(50)], "eid int, key string, t timestamp_ntz")
+    for ttl in (365, None):
+        view = A.ViewInput("v", f, "key", "ts", ["v"], tiebreak="tie", ttl_days=ttl)
+        out = A.asof_join_range(e, "key", "t", ["eid"], view) if plan == "range" else A.asof_join_union(e, "key", "t", [view])
+        got = {r.eid: r.v for r in out.collect()}
+        assert got == {1: 2.0, 2: None, 3: None, 4: 1500.0, 5: 2999.0, 6: None if ttl else 2999.0} | {100 + i: None for i in range(50)}
+
+
 def test_latest_and_online_lookup(spark, fixture_f3):
     f, _ = fixture_f3
     latest = A.latest_per_key(f, "key", "ts", ["v", "id"], tiebreak="id")
