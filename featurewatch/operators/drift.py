@@ -18,12 +18,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featurewatch.functions.nulls import nan_to_null
-from featurewatch.operators.ordering import BUCKETS, running_sums
-from featurewatch.session import materialize
+from featurewatch.operators.ordering import BUCKETS, join_counted, running_sums
+from featurewatch.session import let_workers_import, materialize
 
 REF, PROD = "reference", "production"
 
@@ -37,6 +40,8 @@ PSI_CRITICAL = 0.2
 HIST_EPS = 1e-6
 MIN_PRODUCTION_VALUES = 5
 DEFAULT_BINS = 10
+#: Largest sample for the exact p-value.
+EXACT_ROWS = 10_000
 
 SEVERITY = {"OK": 0, "WARNING": 1, "DRIFT_DETECTED": 2}
 
@@ -61,10 +66,11 @@ def map_long_format(df: DataFrame, map_col: str, side: str) -> DataFrame:
 
 
 def restrict_to_reference(long: DataFrame) -> DataFrame:
-    """Keep production features that the reference knows."""
-    ref_feats = long.filter(F.col("side") == REF).select("feature").distinct()
-    prod = long.filter(F.col("side") == PROD).join(ref_feats, "feature", "left_semi")
-    return long.filter(F.col("side") == REF).unionByName(prod)
+    """Keep production features that the reference knows, before anything
+    is shuffled (the reference's features are stored and counted, and broadcast
+    if they are few)."""
+    known = long.filter(F.col("side") == REF).select("feature").distinct()
+    return join_counted(long, known, ["feature"])
 
 
 def reduce_values(long: DataFrame, materialized: bool = True) -> DataFrame:
@@ -85,8 +91,7 @@ def _moments(red: DataFrame) -> DataFrame:
         F.try_divide(F.sum(F.col("value") * F.col("n_prod")), F.sum("n_prod")).alias("prod_mean"),
     )
     # Two-pass population std of the reference (numpy's np.std).
-    second = (red.join(F.broadcast(first.select("feature", "ref_mean", F.col("n_ref").alias("__tot"))),
-                       "feature")
+    second = (join_counted(red.drop("__tot"), first.select("feature", "ref_mean", F.col("n_ref").alias("__tot")), ["feature"])
               .groupBy("feature")
               .agg(F.sqrt(F.try_divide(
                   F.sum(F.col("n_ref") * (F.col("value") - F.col("ref_mean")) ** 2),
@@ -112,7 +117,7 @@ def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
 
 def histogram_from_reduced(red: DataFrame, moments: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
     m = moments.select("feature", "n_ref", "n_prod", "lo", "hi")
-    counted = (red.join(F.broadcast(m.select("feature", "lo", "hi")), "feature")
+    counted = (join_counted(red, m.select("feature", "lo", "hi"), ["feature"])
                .withColumn("bin", _bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
                .groupBy("feature", "bin")
                .agg(F.sum("n_ref").alias("ref_count"), F.sum("n_prod").alias("prod_count")))
@@ -155,7 +160,8 @@ def _psi_kl(hist: DataFrame) -> DataFrame:
     # KL on the renormalised shares; bins are few (default 10), so the list is bounded.
     kl = F.aggregate("rp", F.lit(0.0), lambda acc, s: acc + (s["p"] / F.col("sp")) * F.log(
         (s["p"] / F.col("sp")) / (s["r"] / F.col("sr"))))
-    return agg.select("feature", "psi", kl.alias("kl"))
+    # what cannot be computed (a feature of one side only) counts as no drift
+    return agg.select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"), F.coalesce(kl, F.lit(0.0)).alias("kl"))
 
 
 def psi(long: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
@@ -184,7 +190,7 @@ def _ks_from_reduced(red: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     cum = running_sums(red, ["feature"], ["value"],
                        {"cum_ref": F.col("n_ref"), "cum_prod": F.col("n_prod")}, buckets=buckets)
     tot = red.groupBy("feature").agg(F.sum("n_ref").alias("tr"), F.sum("n_prod").alias("tp"))
-    return (cum.join(F.broadcast(tot), "feature")
+    return (join_counted(cum, tot, ["feature"])
             .groupBy("feature", "tr", "tp")
             .agg(F.max(F.abs(F.try_divide(F.col("cum_ref"), F.col("tr"))
                              - F.try_divide(F.col("cum_prod"), F.col("tp"))))
@@ -201,6 +207,34 @@ def kolmogorov_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Co
     return F.when(lam < 0.3, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), series)))
 
 
+def exact_pvalue(h: int, n1: int, n2: int) -> float:
+    """P(D >= d) for samples without ties under equal distributions, d = h / (n1 n2): one less the chance that a
+    random path from (0, 0) to (n1, n2) stays where |i n2 - j n1| < h, summed diagonal by diagonal."""
+    if h <= 0:
+        return 1.0
+    small, large = sorted((n1, n2))
+    i = np.arange(small + 1)
+    inside = np.zeros(small + 1)
+    inside[0] = 1.0
+    for s in range(1, small + large + 1):
+        j = s - i
+        inside = inside * np.maximum(j, 0) / s + np.r_[0.0, inside[:-1]] * i / s
+        inside[(j < 0) | (j > large) | (np.abs(i * large - j * small) >= h)] = 0.0
+    return float(min(1.0, max(0.0, 1.0 - inside[small])))
+
+
+def _exact_pvalues(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([float("nan") if pd.isna(x) or not a or not b else exact_pvalue(round(x * int(a) * int(b)), int(a), int(b))
+                      for x, a, b in zip(d, n1, n2, strict=True)], dtype="float64")
+
+
+def ks_pvalue_of(d: Column, n1: Column, n2: Column) -> Column:
+    """Exact where both samples have at most ``EXACT_ROWS`` values, else asymptotic.  One row per feature comes here."""
+    let_workers_import(SparkSession.active())
+    few = F.greatest(n1, n2) <= EXACT_ROWS
+    return F.when(few, F.pandas_udf(_exact_pvalues, T.DoubleType())(F.when(few, d), F.when(few, n1), F.when(few, n2))).otherwise(kolmogorov_pvalue(d, n1, n2))
+
+
 def ks_statistic(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """H4: two-sample KS statistic per feature (max gap of the empirical CDFs)."""
     ks = _ks_from_reduced(reduce_values(long), buckets)
@@ -210,7 +244,7 @@ def ks_statistic(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 def ks_pvalue(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     ks = _ks_from_reduced(reduce_values(long), buckets)
     return ks.select("feature", F.round("d", 6).alias("ks_statistic"),
-                     F.round(kolmogorov_pvalue(F.col("d"), F.col("tr"), F.col("tp")), 6).alias("ks_pvalue"))
+                     F.round(ks_pvalue_of(F.col("d"), F.col("tr"), F.col("tp")), 6).alias("ks_pvalue"))
 
 
 # ------------------------------------------------------------ mean shift (H6)
@@ -239,15 +273,21 @@ def verdict(pvalue: Column, shift: Column) -> Column:
 
 def drift_report(long: DataFrame, bins: int = DEFAULT_BINS, buckets: int = BUCKETS,
                  min_production: int = MIN_PRODUCTION_VALUES) -> DataFrame:
-    """One row per feature with enough production values (H9)."""
-    red = reduce_values(long)
+    """One row per feature that the reference knows (J7) with enough production values (H9)."""
+    return report_from_reduced(reduce_values(restrict_to_reference(long)), bins, buckets, min_production)
+
+
+def report_from_reduced(red: DataFrame, bins: int = DEFAULT_BINS, buckets: int = BUCKETS,
+                        min_production: int = MIN_PRODUCTION_VALUES) -> DataFrame:
+    """The report from ``reduce_values``'s table."""
     m = _moments(red)
     pk = _psi_kl(histogram_from_reduced(red, m, bins))
     ks = _ks_from_reduced(red, buckets)
     j = (m.filter((F.col("n_prod") >= min_production) & (F.col("n_ref") > 0))
          .join(ks, "feature").join(pk, "feature"))
-    p = kolmogorov_pvalue(F.col("d"), F.col("tr"), F.col("tp"))
     shift = _shift(j)
+    j = j.withColumn("__p", ks_pvalue_of(F.col("d"), F.col("tr"), F.col("tp")))
+    p = F.col("__p")
     return j.select(
         "feature",
         F.col("n_ref").cast("long").alias("n_reference"),
@@ -278,8 +318,9 @@ def drift_eligibility(long: DataFrame, min_production: int = MIN_PRODUCTION_VALU
         .otherwise("READY").alias("status"))
 
 
-def drift_summary(report: DataFrame) -> DataFrame:
-    """Overall status = worst feature verdict, with counts."""
+def drift_summary(report: DataFrame, long: DataFrame | None = None) -> DataFrame:
+    """Overall status with counts (H10): NO_DATA without production rows, NO_REFERENCE without reference rows (both from
+    ``long``), else the worst feature verdict, OK if no feature could be checked."""
     sev = (F.when(F.col("drift_status") == "DRIFT_DETECTED", 2)
            .when(F.col("drift_status") == "WARNING", 1).otherwise(0))
     agg = report.agg(
@@ -287,8 +328,26 @@ def drift_summary(report: DataFrame) -> DataFrame:
         F.count_if(F.col("drift_status") == "DRIFT_DETECTED").alias("drift_detected"),
         F.count_if(F.col("drift_status") == "WARNING").alias("warnings"),
         F.max(sev).alias("sev"))
-    return agg.select(
-        F.when(F.col("total_features_checked") == 0, "NO_DATA")
-        .when(F.col("sev") == 2, "DRIFT_DETECTED").when(F.col("sev") == 1, "WARNING")
-        .otherwise("OK").alias("status"),
-        "total_features_checked", "drift_detected", "warnings")
+    worst = F.when(F.col("sev") == 2, "DRIFT_DETECTED").when(F.col("sev") == 1, "WARNING").otherwise("OK")
+    if long is None:
+        status = F.when(F.col("total_features_checked") == 0, "NO_DATA").otherwise(worst)
+    else:
+        sides = long.agg(F.struct(F.count_if(F.col("side") == PROD).alias("prod"), F.count_if(F.col("side") == REF).alias("ref"))).scalar()
+        status = F.when(sides["prod"] == 0, "NO_DATA").when(sides["ref"] == 0, "NO_REFERENCE").otherwise(worst)
+    return agg.select(status.alias("status"), "total_features_checked", "drift_detected", "warnings")
+
+
+def drift_overview(log_long: DataFrame, reference_long: DataFrame | None, log: DataFrame | None = None) -> DataFrame:
+    """H10 as one row: the summary and, if the log is given, its prediction statistics (A1) as ``prediction_stats``.  A
+    missing reference gives NO_REFERENCE; one without the columns of a long table gives ERROR."""
+    from featurewatch.operators.log_stats import prediction_stats
+    if reference_long is not None and not {"feature", "value"} <= set(reference_long.columns):
+        none = F.lit(0).cast("long")
+        out = log_long.agg(F.lit("ERROR").alias("status"), none.alias("total_features_checked"), none.alias("drift_detected"), none.alias("warnings"))
+    else:
+        prod = log_long.select("feature", F.lit(PROD).alias("side"), "value")
+        long = prod if reference_long is None else prod.unionByName(reference_long.select("feature", F.lit(REF).alias("side"), "value"))
+        out = drift_summary(drift_report(long), long)
+    if log is not None:
+        out = out.withColumn("prediction_stats", prediction_stats(log).select(F.struct("*").alias("s")).scalar())
+    return out

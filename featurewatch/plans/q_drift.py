@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from featurewatch.operators import drift as D
-from featurewatch.plans.roles import drift_long, drift_long_sql
+from featurewatch.plans.roles import LOG_SQL, drift_long, drift_long_sql, prediction_log
 
 Q, SQL = {}, {}
 
@@ -140,11 +140,13 @@ SQL["drift_report"] = _BASE + _REPORT_SELECT
 
 @q("drift_summary")
 def drift_summary(spark, d):
-    return D.drift_summary(D.drift_report(drift_long(spark, d)))
+    long = drift_long(spark, d)
+    return D.drift_summary(D.drift_report(long), long)
 
 
 SQL["drift_summary"] = _BASE + ", rep AS (" + _REPORT_SELECT + """)
-SELECT CASE WHEN count(*) = 0 THEN 'NO_DATA'
+SELECT CASE WHEN (SELECT count(*) FROM long WHERE side = 'production') = 0 THEN 'NO_DATA'
+            WHEN (SELECT count(*) FROM long WHERE side = 'reference') = 0 THEN 'NO_REFERENCE'
             WHEN count(*) FILTER (WHERE drift_status = 'DRIFT_DETECTED') > 0 THEN 'DRIFT_DETECTED'
             WHEN count(*) FILTER (WHERE drift_status = 'WARNING') > 0 THEN 'WARNING' ELSE 'OK' END AS status,
        count(*) AS total_features_checked,
@@ -164,3 +166,16 @@ pr AS (SELECT feature, count(*) AS n_raw, count(value) AS n_valid FROM long WHER
 SELECT pr.feature, CAST(n_raw AS BIGINT) AS n_raw, CAST(n_valid AS BIGINT) AS n_valid,
   CASE WHEN rf.feature IS NULL THEN 'UNKNOWN' WHEN n_valid < 5 THEN 'INSUFFICIENT' ELSE 'READY' END AS status
 FROM pr LEFT JOIN rf USING (feature)"""
+
+
+@q("drift_overview")
+def drift_overview(spark, d):
+    long = drift_long(spark, d)
+    out = D.drift_overview(long.filter(F.col("side") == D.PROD), long.filter(F.col("side") == D.REF), prediction_log(spark, d))
+    return out.select("status", "total_features_checked", "drift_detected", "warnings",
+                      F.col("prediction_stats.total_predictions").alias("total_predictions"),
+                      F.col("prediction_stats.risk_rate").alias("risk_rate"))
+
+
+SQL["drift_overview"] = "SELECT s.*, p.total_predictions, p.risk_rate FROM (" + SQL["drift_summary"] + f""") s,
+  (WITH {LOG_SQL} SELECT count(*) AS total_predictions, round(coalesce(avg(prediction), 0.0), 6) AS risk_rate FROM log) p"""

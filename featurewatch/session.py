@@ -65,6 +65,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Lets Python workers import this library from where the driver has it.
+    On a cluster it is installed in the image or sent with --py-files, and
+    this changes nothing."""
+    env, root = spark.sparkContext.environment, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def storage_root(spark: SparkSession) -> str:
     root = spark.conf.get(STORAGE_CONF, None)
     if root:

@@ -178,3 +178,32 @@ def test_one_sided_features_do_not_fail(spark, samples):
     assert rep == {"x"}
     assert {r.feature for r in D.psi(long).collect()} >= {"x"}
     assert D.ks_statistic(long).filter("feature = 'x'").first().ks_statistic > 0
+
+
+def test_exact_pvalue_matches_all_arrangements():
+    from itertools import combinations
+    for n1, n2 in ((3, 4), (5, 5), (4, 7)):
+        stats = []
+        for own in combinations(range(n1 + n2), n1):
+            i = j = best = 0
+            for k in range(n1 + n2):
+                i, j = (i + 1, j) if k in own else (i, j + 1)
+                best = max(best, abs(i * n2 - j * n1))
+            stats.append(best)
+        for h in sorted(set(stats)):
+            assert D.exact_pvalue(h, n1, n2) == pytest.approx(sum(s >= h for s in stats) / len(stats))
+
+
+def test_one_sided_features_and_overall_states(spark):
+    rows = [("a", "reference", float(i)) for i in range(20)] + [("a", "production", float(i)) for i in range(20)] + [("only", "production", 1.0)] * 9
+    long = spark.createDataFrame(rows, "feature string, side string, value double")
+    psi = {r.feature: (r.psi, r.psi_status) for r in D.psi(long).collect()}
+    assert psi["only"] == (0.0, "OK")
+    assert {r.feature: r.kl_divergence for r in D.kl_divergence(long).collect()}["only"] == 0.0
+    rep = D.drift_report(long).collect()
+    assert [(r.feature, r.drift_status, r.ks_pvalue) for r in rep] == [("a", "OK", 1.0)]
+    prod, ref = long.filter("side = 'production'"), long.filter("side = 'reference'")
+    status = lambda *x: D.drift_overview(*x).first().status
+    assert status(prod, ref) == "OK" and status(prod.limit(0), ref) == "NO_DATA"
+    assert status(prod.filter("feature = 'only'"), ref) == "OK"          # rows, but none to check
+    assert status(prod, None) == "NO_REFERENCE" and status(prod, ref.select("feature")) == "ERROR"
