@@ -52,6 +52,29 @@ SQL["stream_throughput"] = f"""SELECT * FROM (
   FROM events GROUP BY 1, 2) WHERE {CLOSED}"""
 
 
+@q("stream_throughput_sliding")
+def stream_throughput_sliding(spark, d):
+    return S.run_available(S.throughput(_log_stream(spark, d), "1 day", "6 hours"), "throughput_sliding")
+
+
+SQL["stream_throughput_sliding"] = f"""SELECT * FROM (
+  SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, count(*) AS requests
+  FROM (SELECT ts, time_bucket(INTERVAL 6 HOURS, ts) - i * INTERVAL 6 HOURS AS w FROM events, range(4) r(i))
+  GROUP BY 1, 2) WHERE {CLOSED}"""
+
+
+@q("stream_error_rate")
+def stream_error_rate(spark, d):
+    return S.run_available(S.error_rate(_log_stream(spark, d)), "error_rate")
+
+
+SQL["stream_error_rate"] = f"""WITH {LOG_SQL} SELECT * FROM (
+  SELECT date_trunc('day', "timestamp") AS window_start, date_trunc('day', "timestamp") + INTERVAL 1 DAY AS window_end, count(*) AS total,
+    count(*) FILTER (WHERE status_code BETWEEN 400 AND 499) AS errors_4xx, count(*) FILTER (WHERE status_code BETWEEN 500 AND 599) AS errors_5xx,
+    round(count(*) FILTER (WHERE status_code BETWEEN 400 AND 599) / count(*), 4) AS error_rate
+  FROM log GROUP BY 1, 2) WHERE {CLOSED}"""
+
+
 @q("stream_latency")
 def stream_latency(spark, d):
     return S.run_available(S.latency(_log_stream(spark, d)), "latency")
@@ -91,20 +114,22 @@ SELECT * FROM (
 def stream_feedback_join(spark, d):
     log = _log_stream(spark, d)
     fb = feedback_from_events(S.table_stream(spark, d, "events"))
-    return S.run_available(S.feedback_join(log, fb), "feedback_join")
+    return S.latest_outcomes(S.run_available(S.feedback_join(log, fb), "feedback_join"))
 
 
 SQL["stream_feedback_join"] = f"""WITH {LOG_SQL}, {FEEDBACK_SQL},
 wm AS (SELECT least((SELECT max(ts) FROM events), (SELECT max(ts) FROM events WHERE event_type = 'purchase'))
               - INTERVAL 1 HOUR AS w),
-m AS (SELECT l.prediction_id, l."timestamp", l.prediction, f.outcome AS actual_outcome, f.feedback_timestamp
+m AS (SELECT l.prediction_id, l."timestamp", l.prediction, f.outcome AS actual_outcome, f.feedback_timestamp, f.fb_seq
       FROM log l JOIN fb_raw f ON l.prediction_id = f.prediction_id
         AND f.feedback_timestamp >= l."timestamp" AND f.feedback_timestamp <= l."timestamp" + INTERVAL 30 DAY),
 u AS (SELECT l.prediction_id, l."timestamp", l.prediction, CAST(NULL AS INTEGER) AS actual_outcome,
              CAST(NULL AS TIMESTAMP) AS feedback_timestamp
       FROM log l WHERE l."timestamp" + INTERVAL 30 DAY < (SELECT w FROM wm)
         AND NOT EXISTS (SELECT 1 FROM m WHERE m.prediction_id = l.prediction_id AND m."timestamp" = l."timestamp"))
-SELECT * FROM m UNION ALL SELECT * FROM u"""
+SELECT prediction_id, "timestamp", prediction, actual_outcome, feedback_timestamp FROM (
+  SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY feedback_timestamp DESC, fb_seq DESC) AS rn FROM m) WHERE rn = 1
+UNION ALL SELECT * FROM u"""
 
 
 @q("stream_concept")

@@ -2,9 +2,10 @@
 
 Sources are file streams over the input tables (Kafka or a landing
 directory in production); event time is cast to ``TIMESTAMP`` because
-watermarks refuse ``TIMESTAMP_NTZ``.  Sinks and checkpoints live under the
-shared storage root, so a restarted driver resumes from the checkpoint and a
-lost executor only replays its micro-batch.  ``run_available`` drives a
+watermarks refuse ``TIMESTAMP_NTZ``.  Sink, state and checkpoint of a query
+share one folder under the shared storage root.  A caller that gives that
+folder (``root``) again resumes the query from its checkpoint; a lost executor
+only replays its micro-batch.  ``run_available`` drives a
 query with ``Trigger.AvailableNow`` (process what is there, then stop),
 which is also how the tests compare stream output with the batch operator.
 
@@ -37,30 +38,60 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     return r.parquet(sf_dir)
 
 
-def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    run = uuid.uuid4().hex
-    return storage_path(spark, "streams", name, run, "data"), storage_path(spark, "streams", name, run, "_checkpoint")
+def _root(spark: SparkSession, name: str, root: str | None) -> str:
+    """Folder of one query: its checkpoint, sink and state belong together.
+    Give the same ``root`` again to resume the query; without one a new query
+    starts in a folder of its own under the shared storage root."""
+    return root or storage_path(spark, "streams", name, uuid.uuid4().hex)
 
 
-def run_available(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming query to completion (AvailableNow) into a Parquet sink
-    and return the sink as a batch table."""
+def run_available(sdf: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
+    """Run a streaming query over what is there (AvailableNow) into a Parquet
+    sink and return the sink as a batch table."""
     spark = sdf.sparkSession
-    out, ckpt = _paths(spark, name)
-    q = (sdf.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", ckpt)
-         .trigger(availableNow=True).start(out))
+    root = _root(spark, name, root)
+    q = (sdf.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{root}/_checkpoint")
+         .trigger(availableNow=True).start(f"{root}/data"))
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return spark.read.parquet(f"{root}/data")
 
 
-def run_foreach_batch(sdf: DataFrame, name: str, fn: Callable[[DataFrame, int, str], None]) -> str:
-    """Run ``fn(batch_df, batch_id, out_dir)`` per micro-batch (AvailableNow)."""
-    spark = sdf.sparkSession
-    out, ckpt = _paths(spark, name)
-    q = (sdf.writeStream.foreachBatch(lambda b, i: fn(b, i, out)).option("checkpointLocation", ckpt)
+def run_foreach_batch(sdf: DataFrame, fn: Callable[[DataFrame, int], None], root: str) -> None:
+    """Run ``fn(batch_df, batch_id)`` per micro-batch (AvailableNow)."""
+    q = (sdf.writeStream.foreachBatch(fn).option("checkpointLocation", f"{root}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return out
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def state_before(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
+    """The state that the micro-batch before wrote.  Every batch writes its
+    state as ``path/v=<batch id>``, empty or not, and batch ids have no gaps,
+    so the version is known and not searched for; a replayed batch reads the
+    same one again.  Any error other than the first batch's absence is raised."""
+    return spark.createDataFrame([], schema) if batch_id == 0 else spark.read.schema(schema).parquet(f"{path}/v={batch_id - 1}")
+
+
+def write_state(df: DataFrame, path: str, batch_id: int) -> None:
+    """Writes this batch's version and deletes the one before the last (the
+    last is kept for a replay)."""
+    df.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+    if batch_id >= 2:
+        _delete(df.sparkSession, f"{path}/v={batch_id - 2}")
 
 
 def with_event_time(df: DataFrame, col: str, delay: str = WATERMARK) -> DataFrame:
@@ -126,7 +157,8 @@ def feedback_join(log_stream: DataFrame, feedback_stream: DataFrame, max_delay:
                   delay: str = WATERMARK) -> DataFrame:
     """T5: prediction LEFT OUTER JOIN feedback arriving within ``max_delay``;
     both sides watermarked so join state is bounded.  Unmatched predictions
-    are emitted once the watermark passes their feedback deadline."""
+    are emitted once the watermark passes their feedback deadline.  Each call
+    gives a row; ``latest_outcomes`` reads the sink with the last call winning."""
     left = with_event_time(log_stream, "timestamp", delay).alias("l")
     right = with_event_time(feedback_stream.withColumnRenamed("prediction_id", "fb_prediction_id"),
                             "feedback_timestamp", delay).alias("r")
@@ -134,8 +166,17 @@ def feedback_join(log_stream: DataFrame, feedback_stream: DataFrame, max_delay:
             & (F.col("r.feedback_timestamp") >= F.col("l.timestamp"))
             & (F.col("r.feedback_timestamp") <= F.col("l.timestamp") + F.expr(f"INTERVAL {max_delay}")))
     j = left.join(right, cond, "leftOuter")
+    calls = [F.col("r.fb_seq")] if "fb_seq" in feedback_stream.columns else []
     return j.select("l.prediction_id", "l.timestamp", "l.prediction", F.col("r.outcome").alias("actual_outcome"),
-                    "r.feedback_timestamp")
+                    "r.feedback_timestamp", *calls)
+
+
+def latest_outcomes(joined: DataFrame) -> DataFrame:
+    """T5's table as J4 sees it: the last feedback call of each prediction wins."""
+    order = F.struct("feedback_timestamp", "fb_seq") if "fb_seq" in joined.columns else F.col("feedback_timestamp")
+    last = F.max_by(F.struct("actual_outcome", "feedback_timestamp"), order)
+    return joined.groupBy("prediction_id", "timestamp", "prediction").agg(last.alias("__l")).select(
+        "prediction_id", "timestamp", "prediction", "__l.actual_outcome", "__l.feedback_timestamp")
 
 
 # ---------------------------------------------------------------------- T6
@@ -144,23 +185,8 @@ PENDING_SCHEMA = "model string, seq long, y int, p int"
 COUNTER_SCHEMA = "model string, n_windows long, f1_sum double"
 
 
-def _previous_version(spark: SparkSession, path: str, batch_id: int, schema) -> DataFrame:
-    """Newest state version written by an earlier micro-batch (``path/v=<id>``);
-    versions >= ``batch_id`` are ignored, so a replayed batch is idempotent."""
-    if isinstance(schema, T.StructType):
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    try:
-        df = spark.read.schema(f"{schema}, v long").parquet(path).filter(F.col("v") < batch_id)
-        top = df.agg(F.max("v")).first()[0]
-    except Exception:  # noqa: BLE001 - no state yet
-        top = None
-    if top is None:
-        return spark.createDataFrame([], schema)
-    return df.filter(F.col("v") == top).drop("v")
-
-
 def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y: str, yhat: str,
-                    window_size: int = WINDOW_SIZE, name: str = "concept") -> DataFrame:
+                    window_size: int = WINDOW_SIZE, name: str = "concept", root: str | None = None) -> DataFrame:
     """Positional windows of confirmed outcomes per model, emitted once
     each when complete, with the verdict against all earlier windows.
 
@@ -168,18 +194,18 @@ def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y
     per-model task): rows get their position by a bucketed row number after
     the rows still pending from earlier batches; complete windows are a
     ``groupBy``; the open window's rows (< window_size per model) and the
-    per-model counters (windows seen, F1 sum) are written as versioned state
-    tables under the storage root, read back by the next batch."""
+    per-model counters (windows seen, F1 sum) are the state for the next
+    batch (``state_before``)."""
     spark = confirmed_stream.sparkSession
     s = confirmed_stream.select(F.col(model_col).cast("string").alias("model"), F.col(seq_col).cast("long").alias("seq"),
                                 F.col(y).cast("int").alias("y"), F.col(yhat).cast("int").alias("p"))
-    state_root = storage_path(spark, "streams", name, uuid.uuid4().hex, "_state")
+    root = _root(spark, name, root)
 
-    def fn(batch, batch_id, out):
+    def fn(batch, batch_id):
         from featurewatch.operators.ordering import global_row_number
         from featurewatch.session import materialize
-        pend = _previous_version(spark, f"{state_root}/pending", batch_id, PENDING_SCHEMA)
-        prev = _previous_version(spark, f"{state_root}/counters", batch_id, COUNTER_SCHEMA)
+        pend = state_before(spark, f"{root}/_state/pending", batch_id, PENDING_SCHEMA)
+        prev = state_before(spark, f"{root}/_state/counters", batch_id, COUNTER_SCHEMA)
         rows = pend.unionByName(batch)
         ranked = materialize(global_row_number(rows, ["seq"], groups=["model"], name="__rn")
                              .withColumn("__w", F.floor((F.col("__rn") - 1) / window_size)))
@@ -189,7 +215,7 @@ def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y
             F.count_if((t == 0) & (p == 1)).alias("fp"), F.count_if((t == 1) & (p == 0)).alias("fn"),
             F.count_if((t == 0) & (p == 0)).alias("tn"), F.min("seq").alias("start_seq"),
             F.max("seq").alias("end_seq"))
-        done = g.filter(F.col("n") == window_size).join(F.broadcast(prev), "model", "left") \
+        done = g.filter(F.col("n") == window_size).join(prev, "model", "left") \
             .fillna({"n_windows": 0, "f1_sum": 0.0})
         prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
         rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
@@ -206,21 +232,20 @@ def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y
             F.round((F.col("tp") + F.col("tn")) / F.col("n"), 4).alias("accuracy"), "baseline_f1",
             F.when(F.col("f1") - base > F1_DELTA_OK, "OK").when(F.col("f1") - base > F1_DELTA_WARNING, "WARNING")
             .otherwise("DRIFT_DETECTED").alias("status"), "start_seq", "end_seq")
-        res.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        res.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
         open_w = g.filter(F.col("n") < window_size).select("model", "__w")
-        ranked.join(open_w, ["model", "__w"], "left_semi").select("model", "seq", "y", "p") \
-            .write.mode("overwrite").parquet(f"{state_root}/pending/v={batch_id}")
+        write_state(ranked.join(open_w, ["model", "__w"], "left_semi").select("model", "seq", "y", "p"),
+                    f"{root}/_state/pending", batch_id)
         new = res.groupBy("model").agg(F.count(F.lit(1)).alias("dn"), F.sum("f1").alias("ds"))
-        prev.join(new, "model", "full").select(
+        write_state(prev.join(new, "model", "full").select(
             "model", (F.coalesce("n_windows", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n_windows"),
-            (F.coalesce("f1_sum", F.lit(0.0)) + F.coalesce("ds", F.lit(0.0))).alias("f1_sum")) \
-            .write.mode("overwrite").parquet(f"{state_root}/counters/v={batch_id}")
+            (F.coalesce("f1_sum", F.lit(0.0)) + F.coalesce("ds", F.lit(0.0))).alias("f1_sum")),
+            f"{root}/_state/counters", batch_id)
 
-    out = run_foreach_batch(s, name, fn)
-    try:
-        return spark.read.parquet(out).drop("batch")
-    except Exception:  # noqa: BLE001 - no batch produced a window
+    run_foreach_batch(s, fn, root)
+    if not exists(spark, f"{root}/data"):                 # the stream had no batch yet
         return spark.createDataFrame([], CONCEPT_OUT)
+    return spark.read.schema(CONCEPT_OUT).parquet(f"{root}/data").select(CONCEPT_OUT.fieldNames())
 
 
 CONCEPT_OUT = T.StructType([
@@ -236,34 +261,71 @@ CONCEPT_OUT = T.StructType([
 # ------------------------------------------------------------------- T7/T8
 
 def drift_per_batch(stream: DataFrame, reference_long: DataFrame, to_long: Callable[[DataFrame], DataFrame],
-                    name: str = "drift") -> DataFrame:
-    """The batch drift report of each micro-batch against a static reference."""
-    from featurewatch.operators.drift import drift_report
+                    name: str = "drift", root: str | None = None) -> DataFrame:
+    """The batch drift report of each micro-batch against a static reference.
+    The reference is reduced once (``value -> count``) and stored; a batch adds
+    its own reduced values to it.  Each batch overwrites its own folder, so a
+    replayed batch does not report twice."""
+    from featurewatch.operators.drift import PROD, reduce_values, report_from_reduced
+    spark = stream.sparkSession
+    root = _root(spark, name, root)
+    stored = f"{root}/_reference"
+    if not exists(spark, f"{stored}/_SUCCESS"):
+        reduce_values(reference_long, materialized=False).write.mode("overwrite").parquet(stored)
+    reference = spark.read.parquet(stored)
 
-    def fn(batch, batch_id, out):
-        rep = drift_report(reference_long.unionByName(to_long(batch)))
-        rep.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
+    def fn(batch, batch_id):
+        from featurewatch.session import materialize
+        own = to_long(batch).filter(F.col("side") == PROD)
+        known = own.join(reference.select("feature").distinct(), "feature", "left_semi")
+        both = reference.unionByName(reduce_values(known, materialized=False)).groupBy("feature", "value").agg(
+            F.sum("n_ref").alias("n_ref"), F.sum("n_prod").alias("n_prod"))
+        rep = report_from_reduced(materialize(both))
+        rep.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
 
-    out = run_foreach_batch(stream, name, fn)
-    return stream.sparkSession.read.parquet(out)
+    run_foreach_batch(stream, fn, root)
+    return spark.read.parquet(f"{root}/data").drop("batch")
 
 
 def materialize_stream(stream: DataFrame, key: str, ts: str, cols: list[str], tiebreak: str | None = None,
-                       name: str = "materialize") -> DataFrame:
-    """Incremental latest-per-key snapshot.  Each micro-batch merges its
-    rows into the previous snapshot version and writes a new version
-    directory ``v=<batch>`` (never overwriting the table it reads).  The
-    previous version is found on storage, not in driver memory, so a
-    restarted query resumes from its checkpoint (the high-water mark) and the
-    last written snapshot; a replayed batch rewrites the same version."""
+                       name: str = "materialize", root: str | None = None, parts: int = 64) -> DataFrame:
+    """Incremental latest-per-key snapshot.  Keys are dealt into ``parts``;
+    a micro-batch merges its rows into the parts that they touch, writes only
+    those as a new version (never overwriting what it reads) and then a
+    manifest of each part's newest version (at most ``parts`` rows).  Part
+    versions that no manifest needs any more are deleted.  A replayed batch
+    starts from the manifest of the batch before and writes the same version."""
     from featurewatch.operators.asof import latest_per_key
     spark = stream.sparkSession
-    rows_schema = stream.select(key, ts, *cols).schema
-
-    def fn(batch, batch_id, out):
-        prev = _previous_version(spark, out, batch_id, rows_schema)
-        cur = prev.select(key, ts, *cols).unionByName(batch.select(key, ts, *cols))
-        latest_per_key(cur, key, ts, cols, tiebreak).write.mode("overwrite").parquet(f"{out}/v={batch_id}")
-
-    out = run_foreach_batch(stream, name, fn)
-    return _previous_version(spark, out, 2 ** 62, rows_schema)
+    root = _root(spark, name, root)
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
+    schema = stream.select(key, ts, *cols).schema
+    manifest_schema = "part int, version long"
+    place = lambda version, p: f"{root}/data/v={version}/part={p}"
+
+    def read(versions: dict[int, int]) -> DataFrame:
+        return spark.read.schema(schema).parquet(*[place(v, p) for p, v in versions.items()]) if versions else spark.createDataFrame([], schema)
+
+    def fn(batch, batch_id):
+        before = {r.part: r.version for r in state_before(spark, f"{root}/_manifest", batch_id, manifest_schema).collect()}
+        rows = batch.select(key, ts, *cols)
+        touched = {r.part for r in rows.select(part.alias("part")).distinct().collect()}
+        old = {p: v for p, v in before.items() if p in touched}
+        merged = latest_per_key(read(old).unionByName(rows), key, ts, cols, tiebreak).withColumn("part", part)
+        if touched:
+            merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/data/v={batch_id}")
+        after = before | dict.fromkeys(touched, batch_id)
+        write_state(spark.createDataFrame(sorted(after.items()), manifest_schema), f"{root}/_manifest", batch_id)
+        if batch_id >= 1:                                 # superseded by the batch before, so no replay reads them
+            earlier = {r.part: r.version for r in state_before(spark, f"{root}/_manifest", batch_id - 1, manifest_schema).collect()} \
+                if exists(spark, f"{root}/_manifest/v={batch_id - 2}") else {}
+            for p, v in earlier.items():
+                if before.get(p) != v and after.get(p) != v:
+                    _delete(spark, place(v, p))
+
+    run_foreach_batch(stream, fn, root)
+    if not exists(spark, f"{root}/_manifest"):
+        return spark.createDataFrame([], schema)
+    last = spark.read.schema(f"{manifest_schema}, v long").parquet(f"{root}/_manifest")
+    top = last.agg(F.max("v")).first()[0]
+    return read({r.part: r.version for r in last.filter(F.col("v") == top).collect()} if top is not None else {})
