@@ -19,9 +19,10 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from featurewatch.ml.split import stratified_folds
+from featurewatch.ml.split import hash_order, stratified_folds
 from featurewatch.operators import classify as C
 from featurewatch.operators.ordering import global_row_number
+from featurewatch.session import materialize
 
 SEED = 42
 N_ITER = 50
@@ -59,10 +60,21 @@ def random_search(df: DataFrame, pipeline: Pipeline, grid: list, label: str = "l
     return cvm.bestModel, table
 
 
+def _parallel(spark, fn: Callable, jobs: Sequence, parallelism: int) -> DataFrame:
+    """Independent fits in a few threads; their small result tables are united."""
+    with ThreadPoolExecutor(max_workers=parallelism) as ex:
+        parts = list(ex.map(fn, jobs))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def cross_validate(df: DataFrame, make: Callable[[], Pipeline], label: str = "label", key: str = "id",
                    folds: int = CV_FOLDS, seed: int = SEED, parallelism: int = 4) -> DataFrame:
-    """Fresh fit per fold, 5 metrics per fold -> long table (metric, fold, value)."""
-    fdf = stratified_folds(df, key, label, k=folds, seed=seed).cache()
+    """Fresh fit per fold, 5 metrics per fold -> long table (metric, fold, value).
+    The folds are stored once; each fold's metrics are computed when it is fitted."""
+    fdf = materialize(stratified_folds(df, key, label, k=folds, seed=seed))
 
     def one(i):
         model = make().fit(fdf.filter(F.col("fold") != i))
@@ -70,40 +82,34 @@ def cross_validate(df: DataFrame, make: Callable[[], Pipeline], label: str = "la
         return m.unpivot([], ["accuracy", "precision", "recall", "f1_score", "auc_roc"], "metric", "value") \
             .withColumn("fold", F.lit(i))
 
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        parts = list(ex.map(one, range(folds)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _parallel(df.sparkSession, one, range(folds), parallelism)
 
 
 def learning_curve(df: DataFrame, make: Callable[[], Pipeline], label: str = "label", key: str = "id",
                    sizes: Sequence[float] = tuple(i / 10 for i in range(1, 11)), folds: int = CV_FOLDS,
                    seed: int = SEED, parallelism: int = 4) -> DataFrame:
     """F1 on train and validation folds for nested training fractions
-    (10 %..100 % of each fold's training rows, by hash order), mean and std
-    per size, and the diagnosis overfit / underfit / healthy."""
-    fdf = stratified_folds(df, key, label, k=folds, seed=seed)
-    fdf = global_row_number(fdf.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), ["__h", key],
-                            name="__pos").cache()
-    n = fdf.count()
+    (10 %..100 % of each fold's own training rows, in the hash order of the
+    folds), mean and std per size, and the diagnosis overfit / underfit / healthy."""
+    num, txt = hash_order(F.col(key), seed)
+    fdf = stratified_folds(df, key, label, k=folds, seed=seed).withColumn("__h", num).withColumn("__ht", txt)
+    trains = []
+    for i in range(folds):
+        own = fdf.filter(F.col("fold") != i)
+        n = own.count()
+        trains.append(materialize(global_row_number(own, ["__h", "__ht"], name="__pos").withColumn("__n", F.lit(n))))
+    fdf = materialize(fdf)
 
     def one(args):
         size, i = args
-        train = fdf.filter((F.col("fold") != i) & (F.col("__pos") <= F.lit(int(round(size * n)))))
+        train = trains[i].filter(F.col("__pos") <= F.round(F.lit(float(size)) * F.col("__n")))
         model = make().fit(train)
         tr = C.classification_metrics(scored(model, train), label, "yhat").select(F.col("f1_score").alias("train_f1"))
         va = C.classification_metrics(scored(model, fdf.filter(F.col("fold") == i)), label, "yhat") \
             .select(F.col("f1_score").alias("val_f1"))
         return tr.withColumn("val_f1", va.scalar()).withColumn("size", F.lit(float(size))).withColumn("fold", F.lit(i))
 
-    jobs = [(s, i) for s in sizes for i in range(folds)]
-    with ThreadPoolExecutor(max_workers=parallelism) as ex:
-        parts = list(ex.map(one, jobs))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
+    allp = _parallel(df.sparkSession, one, [(s, i) for s in sizes for i in range(folds)], parallelism)
     g = allp.groupBy("size").agg(F.avg("train_f1").alias("train_mean"), F.stddev_pop("train_f1").alias("train_std"),
                                  F.avg("val_f1").alias("val_mean"), F.stddev_pop("val_f1").alias("val_std"))
     gap = F.col("train_mean") - F.col("val_mean")
@@ -161,7 +167,7 @@ def importance_permutation(model: PipelineModel, df: DataFrame, vector_col: str,
     names_df = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "__j int, feature string")
     drop = allr.withColumn("drop", base_acc.scalar() - F.col("acc"))
     g = drop.groupBy("__j").agg(F.avg("drop").alias("importance"))
-    return g.join(F.broadcast(names_df), "__j").select("feature", F.round("importance", 6).alias("importance"))
+    return g.join(names_df, "__j").select("feature", F.round("importance", 6).alias("importance"))
 
 
 def uniform_importance(spark, names: Sequence[str]) -> DataFrame:

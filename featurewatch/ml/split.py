@@ -67,8 +67,17 @@ def class_weights_balanced(df: DataFrame, label: str) -> DataFrame:
 
 
 def with_weight_column(df: DataFrame, label: str, weights: DataFrame, out: str = "weight") -> DataFrame:
-    """Attach per-class weights (a two-row table) as an ML ``weightCol``."""
-    return df.join(F.broadcast(weights.select(label, F.col("weight").alias(out))), label, "left")
+    """Attach per-class weights (one row per class) as an ML ``weightCol``; a row
+    without a label weighs 1."""
+    w = weights.select(F.col(label).alias("__label"), F.col("weight").cast("double").alias(out))
+    return df.join(w, df[label] == F.col("__label"), "left").drop("__label").fillna({out: 1.0})
+
+
+def weighted(df: DataFrame, label: str, model_type: str, out: str = "weight") -> DataFrame:
+    """The class weights that a model type trains with: positives by n_neg / n_pos
+    for boosted trees (M2), balanced for the linear models (M3)."""
+    make = class_weights_balanced if model_type in ("logistic_regression", "svm") else class_weights
+    return with_weight_column(df, label, make(df, label), out)
 
 
 def reference_sample(df: DataFrame, key: str, n: int = REFERENCE_SAMPLE_ROWS, seed: int = SEED) -> DataFrame:

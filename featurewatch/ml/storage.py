@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
@@ -24,9 +25,10 @@ PREFIX = {"xgboost": "xgb", "catboost": "cat", "lightgbm": "lgb", "logistic_regr
 
 
 def new_model_id(model_type: str, when: _dt.datetime | None = None) -> str:
-    """S12 id: type prefix + timestamp (``xgb_20260216_094158``)."""
+    """S12 id: type prefix + timestamp (``xgb_20260216_094158``) and a random end, so
+    that two trainings within a second do not meet."""
     when = when or _dt.datetime.now(_dt.timezone.utc)
-    return f"{PREFIX.get(model_type, model_type)}_{when.strftime('%Y%m%d_%H%M%S')}"
+    return f"{PREFIX.get(model_type, model_type)}_{when.strftime('%Y%m%d_%H%M%S')}_{uuid.uuid4().hex[:8]}"
 
 
 def index_path(spark: SparkSession) -> str:
@@ -38,7 +40,7 @@ def save_trained_model(spark: SparkSession, model: PipelineModel, model_type: st
                        key: str | None = None, model_id: str | None = None) -> str:
     """Model + one index line + reference sample (S13); returns the id."""
     mid = model_id or new_model_id(model_type)
-    model.write().overwrite().save(storage_path(spark, "models", mid))
+    model.write().save(storage_path(spark, "models", mid))       # an id is never overwritten
     row = {"model_id": mid, "model_type": model_type,
            "trained_at": _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None).isoformat(timespec="seconds"),
            "metrics": {k: float(v) for k, v in metrics.items()},
@@ -75,13 +77,19 @@ def load_trained_model(spark: SparkSession, model_id: str | None = None) -> tupl
     return model_id, PipelineModel.load(storage_path(spark, "models", model_id))
 
 
-def load_reference_data(spark: SparkSession, model_id: str) -> DataFrame | None:
-    """The stored reference sample of a model (``None`` if absent)."""
-    try:
-        df = spark.read.parquet(storage_path(spark, "reference")).filter(F.col("model_id") == model_id)
-        return df
-    except Exception:  # noqa: BLE001 - absent table behaves like the reference's None
+def load_reference_data(spark: SparkSession, model_id: str | None = None) -> DataFrame | None:
+    """The stored reference sample of a model, by id or of the latest one that has a
+    sample; ``None`` if there is none.  Other errors are raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(storage_path(spark, "reference"))
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
+    df = spark.read.parquet(storage_path(spark, "reference"))
+    if model_id is None:
+        with_sample = df.select("model_id").distinct().join(flatten_model_index(model_index(spark)), "model_id", "left_semi")
+        ranked = flatten_model_index(model_index(spark)).join(with_sample, "model_id")
+        model_id = ranked.agg(F.max_by("model_id", F.struct("trained_at", "model_id"))).first()[0]
+    own = df.filter(F.col("model_id") == model_id)
+    return None if model_id is None or own.isEmpty() else own
 
 
 def top_n_importance(importances: DataFrame, n: int = 10) -> DataFrame:

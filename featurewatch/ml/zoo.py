@@ -3,7 +3,8 @@
 The reference's boosted-tree libraries become presets of ``GBTClassifier``
 (depth, rounds, learning rate, row/column subsampling, minimum leaf size,
 minimum gain, bins).  Leaf L1/L2 penalties have no Spark equivalent and are
-dropped.  Kernel SVM is not built; the linear SVM gets probabilities from a
+dropped.  An unlimited depth (-1) becomes 30, the deepest tree that Spark
+builds.  The logistic penalty is Spark's elastic net: l1 is 1, l2 is 0.  Kernel SVM is not built; the linear SVM gets probabilities from a
 logistic fit on its margin.  Every pipeline starts with an imputer + vector
 assembly, because Spark trees reject NaN vectors.
 """
@@ -37,10 +38,10 @@ GRIDS = {
     "catboost": {"iterations": [100, 200, 300, 500], "depth": [3, 4, 5, 6, 7, 8],
                  "learning_rate": [0.01, 0.03, 0.05, 0.1, 0.2], "subsample": [0.6, 0.7, 0.8, 0.9, 1.0],
                  "border_count": [32, 64, 128, 254]},
-    "lightgbm": {"n_estimators": [100, 200, 300, 500], "max_depth": [3, 4, 5, 6, 7],
+    "lightgbm": {"n_estimators": [100, 200, 300, 500], "max_depth": [3, 4, 5, 6, 7, -1],
                  "learning_rate": [0.01, 0.03, 0.05, 0.1, 0.2], "subsample": [0.6, 0.7, 0.8, 0.9, 1.0],
                  "colsample_bytree": [0.6, 0.7, 0.8, 0.9, 1.0], "min_child_samples": [5, 10, 20, 50]},
-    "logistic_regression": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "max_iter": [500, 1000, 2000]},
+    "logistic_regression": {"C": [0.001, 0.01, 0.1, 1.0, 10.0, 100.0], "penalty": ["l1", "l2"], "max_iter": [500, 1000, 2000]},
     "svm": {"C": [0.01, 0.1, 1.0, 10.0, 100.0]},
 }
 # -----------------------------------------------------------------------------
@@ -105,7 +106,7 @@ def create_estimator(model_type: str, features: Sequence[str] = (), label: str =
     if model_type == "logistic_regression":
         # sklearn C is the inverse of the summed L2 penalty; Spark's regParam is per-row averaged
         reg = 1.0 / (float(p["C"]) * max(1, n_rows or 1))
-        est = LogisticRegression(featuresCol=fcol, labelCol=label, regParam=reg, elasticNetParam=0.0,
+        est = LogisticRegression(featuresCol=fcol, labelCol=label, regParam=reg, elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0,
                                  standardization=False, maxIter=int(p["max_iter"]))
         if weight_col:
             est.setWeightCol(weight_col)
@@ -139,4 +140,6 @@ def param_grid(pipeline: Pipeline, model_type: str, n_rows: int | None = None):
             b = b.addGrid(est.getParam("regParam"), [1.0 / (c * max(1, n_rows or 1)) for c in values])
         elif k == "max_iter":
             b = b.addGrid(est.getParam("maxIter"), values)
+        elif k == "penalty":
+            b = b.addGrid(est.getParam("elasticNetParam"), [1.0 if v == "l1" else 0.0 for v in values])
     return b.build()

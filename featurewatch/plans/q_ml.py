@@ -12,10 +12,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from featurewatch.ml import evaluate as EV
-from featurewatch.ml import storage as ST
 from featurewatch.ml import zoo as Z
 from featurewatch.ml.score import score_batch as _score_batch
-from featurewatch.ml.split import stratified_split
+from featurewatch.ml.split import stratified_split, weighted
+from featurewatch.ml.train import fit_weighted, run_training
 from featurewatch.operators import classify as C
 from featurewatch.operators.asof import online_lookup
 from featurewatch.sources import feature_store as FS
@@ -24,7 +24,6 @@ from featurewatch.sources.tables import load
 Q, SQL = {}, {}
 DIM = 64
 NAMES = [f"e{i}" for i in range(DIM)]
-_MODELS: dict = {}
 
 
 def q(name):
@@ -41,23 +40,13 @@ def training_frame(spark, d):
 
 
 def _split(spark, d):
-    return stratified_split(training_frame(spark, d), "id", "label")
-
-
-def _fit(spark, d, model_type, params=None):
-    k = (id(spark), d, model_type, tuple(sorted((params or {}).items())))
-    if k not in _MODELS:
-        s = _split(spark, d)
-        train = s.filter(F.col("split") == "train")
-        n = train.count()
-        pipe = Z.create_estimator(model_type, vector_col="features", params=params, n_rows=n)
-        _MODELS[k] = (pipe.fit(train), s, n)
-    return _MODELS[k]
+    s = stratified_split(training_frame(spark, d), "id", "label")
+    return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
 
 
 def _evaluate(spark, d, model_type, params=None):
-    model, s, _ = _fit(spark, d, model_type, params)
-    test = s.filter(F.col("split") == "test")
+    train, test = _split(spark, d)
+    model, *_ = fit_weighted(train, model_type, "label", "id", vector_col="features", params=params)
     return EV.metrics(EV.scored(model, test)).select(F.lit(model_type).alias("model_type"), "*")
 
 
@@ -66,117 +55,110 @@ def train_gbt(spark, d):
     return _evaluate(spark, d, "xgboost")
 
 
+@q("train_catboost")
+def train_catboost(spark, d):
+    return _evaluate(spark, d, "catboost")
+
+
+@q("train_lightgbm")
+def train_lightgbm(spark, d):
+    return _evaluate(spark, d, "lightgbm")
+
+
 @q("train_logistic")
 def train_logistic(spark, d):
     return _evaluate(spark, d, "logistic_regression")
 
 
+@q("train_logistic_l1")
+def train_logistic_l1(spark, d):
+    return _evaluate(spark, d, "logistic_regression", {"penalty": "l1"})
+
+
 @q("train_linear_svc")
 def train_linear_svc(spark, d):
     return _evaluate(spark, d, "svm")
 
 
+@q("training_rows")
+def training_rows(spark, d):
+    """What the models train and are tested on: rows, classes and the weights of each model type."""
+    train, test = _split(spark, d)
+    parts = []
+    for model_type in Z.MODEL_TYPES:
+        for name, rows in (("train", weighted(train, "label", model_type)), ("test", test.withColumn("weight", F.lit(1.0)))):
+            parts.append(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("weight"), 6).alias("weight")).select(
+                F.lit(model_type).alias("model_type"), F.lit(name).alias("split"), "label", "n", "weight"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+SQL["training_rows"] = """WITH t AS (SELECT vec_id AS id, CAST(label >= 5 AS INTEGER) AS label FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '-42')) AS rn, count(*) OVER (PARTITION BY label) AS c FROM t),
+s AS (SELECT label, CASE WHEN (CASE WHEN c > 1 THEN CAST(rn - 1 AS DOUBLE) / (c - 1) ELSE 0.0 END) < 0.8 THEN 'train' ELSE 'test' END AS split FROM r),
+g AS (SELECT split, label, count(*) AS n FROM s GROUP BY 1, 2),
+x AS (SELECT (SELECT n FROM g WHERE split = 'train' AND label = 0) AS neg, (SELECT n FROM g WHERE split = 'train' AND label = 1) AS pos)
+SELECT m.model_type, g.split, g.label, g.n, round(g.n * CASE WHEN g.split = 'test' THEN 1.0
+  WHEN m.model_type IN ('logistic_regression', 'svm') THEN CAST(x.neg + x.pos AS DOUBLE) / (2 * g.n)
+  WHEN g.label = 1 THEN CAST(x.neg AS DOUBLE) / x.pos ELSE 1.0 END, 6) AS weight
+FROM g, x, (VALUES ('xgboost'), ('catboost'), ('lightgbm'), ('logistic_regression'), ('svm')) m(model_type)"""
+
+
 @q("random_search")
 def random_search(spark, d):
-    s = _split(spark, d)
-    train = s.filter(F.col("split") == "train")
-    n = train.count()
-    pipe = Z.create_estimator("logistic_regression", vector_col="features", n_rows=n)
-    grid = Z.param_grid(pipe, "logistic_regression", n_rows=n)
-    best, table = EV.random_search(train, pipe, grid, key="id", n_iter=10)
-    test = s.filter(F.col("split") == "test")
+    train, test = _split(spark, d)
+    best, table, *_ = fit_weighted(train, "logistic_regression", "label", "id", vector_col="features", optimize=True)
     best_f1 = C.classification_metrics(EV.scored(best, test), "label", "yhat").select("f1_score").scalar()
     return table.withColumn("best_test_f1", best_f1)
 
 
-def _lr_factory(n):
-    return lambda: Z.create_estimator("logistic_regression", vector_col="features", n_rows=n)
+def _weighted_logistic(spark, d):
+    rows = weighted(training_frame(spark, d), "label", "logistic_regression")
+    n = rows.count()
+    return rows, lambda: Z.create_estimator("logistic_regression", vector_col="features", weight_col="weight", n_rows=n)
 
 
 @q("cross_validate")
 def cross_validate(spark, d):
-    df = training_frame(spark, d)
-    n = df.count()
-    long = EV.cross_validate(df, _lr_factory(n), key="id")
-    return C.fold_summary(long)
+    return C.fold_summary(EV.cross_validate(*_weighted_logistic(spark, d), key="id"))
 
 
 @q("learning_curve")
 def learning_curve(spark, d):
-    df = training_frame(spark, d)
-    n = df.count()
-    return EV.learning_curve(df, _lr_factory(n), key="id")
-
-
-def _gbt_importances(spark, d):
-    model, _, _ = _fit(spark, d, "xgboost")
-    return EV.importance_native(model, NAMES) or [(n, 1.0 / DIM) for n in NAMES]
-
-
-@q("importance_native")
-def importance_native(spark, d):
-    return EV.importance_table(spark, _gbt_importances(spark, d))
+    return EV.learning_curve(*_weighted_logistic(spark, d), key="id")
 
 
 @q("importance_permutation")
 def importance_permutation(spark, d):
-    model, s, _ = _fit(spark, d, "logistic_regression")
-    test = s.filter(F.col("split") == "test")
+    train, test = _split(spark, d)
+    model, *_ = fit_weighted(train, "logistic_regression", "label", "id", vector_col="features")
     return EV.importance_permutation(model, test, "features", NAMES, key="id")
 
 
-@q("top_n_importance")
-def top_n_importance(spark, d):
-    return ST.top_n_importance(EV.importance_table(spark, _gbt_importances(spark, d)), 10)
-
-
-def _save_logistic(spark, d):
-    model, s, n = _fit(spark, d, "logistic_regression")
-    m = EV.metrics(EV.scored(model, s.filter(F.col("split") == "test"))).first().asDict()
-    return ST.save_trained_model(spark, model, "logistic_regression", m, NAMES, n,
-                                 train_df=s.filter(F.col("split") == "train").drop("features"), key="id")
+TRAIN_FEATURES = ["priority_code", "had_status", "status_code", "priority_num", "is_urgent", "is_low", "years", "delta", "row_std"]
 
 
 @q("pipeline_train")
 def pipeline_train(spark, d):
-    """Split -> search -> refit -> evaluate -> save; returns the run summary."""
-    s = _split(spark, d)
-    train = s.filter(F.col("split") == "train")
-    n = train.count()
-    pipe = Z.create_estimator("logistic_regression", vector_col="features", n_rows=n)
-    best, _ = EV.random_search(train, pipe, Z.param_grid(pipe, "logistic_regression", n_rows=n), key="id", n_iter=10)
-    test = s.filter(F.col("split") == "test")
-    m = EV.metrics(EV.scored(best, test))
-    mid = ST.save_trained_model(spark, best, "logistic_regression", m.first().asDict(), NAMES, n,
-                                train_df=train.drop("features"), key="id")
-    return m.select(F.lit(mid).alias("model_id"), F.lit(n).alias("n_training_samples"), "*")
-
-
-@q("model_index_flatten")
-def model_index_flatten(spark, d):
-    _save_logistic(spark, d)
-    from featurewatch.sources.requests import flatten_model_index
-    return flatten_model_index(ST.model_index(spark))
-
-
-@q("model_leaderboard")
-def model_leaderboard(spark, d):
-    _save_logistic(spark, d)
-    return ST.model_leaderboard(ST.model_index(spark))
-
-
-@q("model_latest")
-def model_latest(spark, d):
-    _save_logistic(spark, d)
-    return ST.model_latest(ST.model_index(spark))
+    """Preprocess, derive features, select, split, weight, search, evaluate, cross-validate, save."""
+    from featurewatch.plans.q_features import pipeline_features
+    run = run_training(pipeline_features(spark, d), "o_orderkey", "target", TRAIN_FEATURES, "logistic_regression",
+                       selected=[*TRAIN_FEATURES, "not_a_feature"])
+    best = run.candidates.agg(F.max("mean_f1")).scalar()
+    cv = run.cv.filter("metric = 'f1_score'").agg(F.avg("value")).scalar()
+    return run.metrics.select(F.lit(run.model_type).alias("model_type"), F.lit(run.n_train).alias("n_training_samples"),
+                              F.lit(run.n_test).alias("n_test_samples"), F.lit(len(run.features)).alias("feature_count"), "*",
+                              best.alias("best_search_f1"), cv.alias("cv_f1"))
 
 
 @q("score_batch")
 def score_batch(spark, d):
-    _save_logistic(spark, d)
-    mid, model = ST.load_trained_model(spark)
-    top = _gbt_importances(spark, d)[:5]
-    return _score_batch(model, training_frame(spark, d), mid, keep=["id"], top_factors=top)
+    train, _ = _split(spark, d)
+    model, *_ = fit_weighted(train, "logistic_regression", "label", "id", vector_col="features")
+    top = EV.importance_native(model, NAMES)[:5]
+    return _score_batch(model, training_frame(spark, d), "embeddings_lr", keep=["id"], top_factors=top)
 
 
 # ---------------------------------------------------------------- M15
@@ -197,8 +179,10 @@ def score_from_store(spark, d):
                                              (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label"))
     store = _store_frame(spark, d)
     train = store.join(cust, "cust_id").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
-    model = Z.create_estimator("logistic_regression", feats, n_rows=train.count()).fit(train)
-    ids = cust.filter(F.col("label") == 1).select("cust_id")
-    found = online_lookup(ids, "cust_id", store)
-    ready = found.filter("found").withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
-    return _score_batch(model, ready, "store_lr", keep=["cust_id"])
+    model, *_ = fit_weighted(train, "logistic_regression", "label", "cust_id", feats)
+    # one id is not in the store: it comes back with found = false and no score
+    ids = cust.filter(F.col("label") == 1).select("cust_id").union(spark.range(1).select(F.lit("unknown")))
+    found = online_lookup(ids, "cust_id", store).withColumn("c_nationkey", F.col("c_nationkey").cast("double"))
+    scored = _score_batch(model, found, "store_lr", keep=["cust_id", "found"])
+    empty = [F.when(F.col("found"), F.col(c)).alias(c) for c in scored.columns if c not in ("cust_id", "found")]
+    return scored.select("cust_id", "found", *empty)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from featurewatch.ml import evaluate as EV
 from featurewatch.ml import split as SP
 from featurewatch.ml import storage as ST
+from featurewatch.ml import train as TR
 from featurewatch.ml import zoo as Z
 from featurewatch.operators import quality as QU
 from featurewatch.sources import requests as RQ
@@ -35,8 +36,9 @@ def test_zoo_presets_and_errors(spark):
 
 def test_param_grids(spark):
     lr = Z.create_estimator("logistic_regression", vector_col="features", n_rows=10)
-    assert len(Z.param_grid(lr, "logistic_regression", n_rows=10)) == 6 * 3
+    assert len(Z.param_grid(lr, "logistic_regression", n_rows=10)) == 6 * 2 * 3
     gbt = Z.create_estimator("lightgbm", vector_col="features")
+    assert 30 in {v for m in Z.param_grid(gbt, "lightgbm")[:2000] for k, v in m.items() if k.name == "maxDepth"}
     assert len(Z.param_grid(gbt, "lightgbm")) > 100
     with pytest.raises(ValueError):
         Z.param_grid(lr, "unknown")
@@ -80,11 +82,57 @@ def test_train_save_load_score_roundtrip(spark):
     m = EV.metrics(EV.scored(model, df)).first()
     assert m.accuracy > 0.9 and m.auc_roc > 0.9
     mid = ST.save_trained_model(spark, model, "logistic_regression", m.asDict(), ["a", "b"], 200,
-                                train_df=df.drop("features"), key="id", model_id="lr_test_model")
+                                train_df=df.drop("features"), key="id", model_id=ST.new_model_id("logistic_regression"))
     lid, loaded = ST.load_trained_model(spark, mid)
     assert lid == mid and EV.scored(loaded, df).count() == 200
     assert ST.load_reference_data(spark, mid).count() == 200
-    assert ST.model_latest(ST.model_index(spark)).first().model_id is not None
+    assert ST.load_reference_data(spark).select("model_id").distinct().first()[0] == mid
+    assert ST.load_reference_data(spark, "no such model") is None
+    assert ST.model_latest(ST.model_index(spark)).first().model_id == mid
+    assert ST.model_leaderboard(ST.model_index(spark)).first().model_id == mid
+    pairs = EV.importance_table(spark, [("a", 0.7), ("b", 0.2), ("c", 0.1)])
+    assert [r.feature for r in ST.top_n_importance(pairs, 2).collect()] == ["a", "b"]
+    assert len({ST.new_model_id("svm") for _ in range(50)}) == 50
+    with pytest.raises(Exception, match="already exists"):
+        ST.save_trained_model(spark, model, "logistic_regression", m.asDict(), ["a"], 1, model_id=mid)
+
+
+def _skewed(spark, n=400):
+    x = (F.col("id") * 7919 % 101) / 100.0
+    return spark.range(n).select(F.col("id"), x.alias("a"), (F.col("id") % 5).cast("double").alias("b"),
+                                 (x + (F.col("id") % 7) / 20.0 > 1.0).cast("int").alias("y"))
+
+
+def test_models_train_with_their_class_weights(spark):
+    df = _skewed(spark)
+    neg, pos = (df.filter(f"y = {v}").count() for v in (0, 1))
+    tree = {r.y: r.weight for r in SP.weighted(df, "y", "xgboost").select("y", "weight").distinct().collect()}
+    assert tree == {0: 1.0, 1: pytest.approx(neg / pos)}
+    linear = {r.y: r.weight for r in SP.weighted(df, "y", "svm").select("y", "weight").distinct().collect()}
+    assert linear == {0: pytest.approx((neg + pos) / 2 / neg), 1: pytest.approx((neg + pos) / 2 / pos)}
+    model, table, rows, n = TR.fit_weighted(df, "logistic_regression", "y", "id", ["a", "b"])
+    plain = Z.create_estimator("logistic_regression", ["a", "b"], "y", n_rows=n).fit(df)
+    recall = lambda m: EV.metrics(EV.scored(m, df), "y").first().recall
+    assert table is None and n == 400 and recall(model) > recall(plain)
+
+
+def test_training_run(spark):
+    df = _skewed(spark).withColumn("unused", F.lit("x"))
+    run = TR.run_training(df, "id", "y", ["a", "b", "absent"], "logistic_regression", selected=["b", "a", "nope"], n_iter=3)
+    assert run.features == ["b", "a"] and run.n_train + run.n_test == 400 and abs(run.n_test - 80) <= 2
+    assert run.candidates.count() == 3 and run.cv.select("fold").distinct().count() == 5
+    assert run.metrics.first().auc_roc > 0.9 and run.report.count() >= 4
+    assert sorted(r.feature for r in run.importances.collect()) == ["a", "b"]
+    assert ST.load_trained_model(spark, run.model_id)[0] == run.model_id and ST.load_reference_data(spark, run.model_id).count() == run.n_train
+    with pytest.raises(ValueError, match="none of the selected"):
+        TR.run_training(df, "id", "y", ["a"], "svm", selected=["nope"])
+
+
+def test_learning_curve_takes_shares_of_each_folds_rows(spark):
+    rows = SP.weighted(_skewed(spark), "y", "logistic_regression")
+    make = lambda: Z.create_estimator("logistic_regression", ["a", "b"], "y", "weight", n_rows=320)
+    out = {r.size: r for r in EV.learning_curve(rows, make, "y", "id", sizes=(0.2, 1.0), folds=3).collect()}
+    assert set(out) == {0.2, 1.0} and out[1.0].val_mean > 0.5
 
 
 def test_quality_profiles(spark):
