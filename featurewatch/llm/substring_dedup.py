@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from featurewatch.llm.arrow_text import binary_parts, importable, runs
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[32, *range(9, 14)]] = False      # white space that ends a word
