@@ -99,14 +99,15 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIRST_DAY = 1704067200
 
 
-def _dated(patterns: DataFrame, listing: str, step: int) -> DataFrame:
+def _dated(patterns: DataFrame) -> DataFrame:
+    """``list``, ``step`` and ``pattern`` to a log: of every ``step``-th pattern when it is added, dropped, added again."""
     v = F.conv(F.substring(F.md5("pattern"), 1, 4), 16, 10).cast("long")
-    day = lambda n: F.timestamp_seconds(F.lit(_FIRST_DAY) + n * 86400)
-    rows = patterns.withColumn("v", v).filter(F.col("v") % step == 0)
-    added = rows.select("pattern", F.lit("add").alias("action"), day(F.col("v") % 25).alias("listed_at"))
-    removed = rows.filter("v % 4 <> 0").select("pattern", F.lit("remove").alias("action"), day(F.col("v") % 25 + 3 + F.col("v") % 7).alias("listed_at"))
-    again = rows.filter("v % 5 = 0").select("pattern", F.lit("add").alias("action"), day(F.col("v") % 25 + 14).alias("listed_at"))
-    return added.union(removed).union(again).withColumn("list", F.lit(listing))
+    entry = lambda when, action, day: F.when(when, F.struct(F.lit(action).alias("action"), day.alias("day")))
+    rows = patterns.withColumn("v", v).filter("v % step = 0")
+    log = F.array(entry(F.lit(True), "add", F.col("v") % 25), entry(F.col("v") % 4 != 0, "remove", F.col("v") % 25 + 3 + F.col("v") % 7),
+                  entry(F.col("v") % 5 == 0, "add", F.col("v") % 25 + 14))
+    return rows.select("list", "pattern", F.explode(F.filter(log, lambda e: e.isNotNull())).alias("e")).select(
+        "list", "pattern", "e.action", F.timestamp_seconds(F.lit(_FIRST_DAY) + F.col("e.day") * 86400).alias("listed_at"))
 
 
 @_query
@@ -114,10 +115,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
     places = pages.select(host.alias("host"), F.split(path, "/")[0].alias("part")).filter("host is not null").distinct()
-    hosts = places.select(F.concat(F.lit("domain:"), "host").alias("pattern")).distinct()
-    parents = places.select(F.concat(F.lit("domain:"), F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)).alias("pattern")).filter("pattern <> 'domain:'").distinct()
-    paths = places.filter("part <> ''").select(F.concat(F.lit("prefix:"), "host", F.lit("/"), "part").alias("pattern"))
-    entries = _dated(hosts, "hosts", 2).union(_dated(parents, "domains", 1)).union(_dated(paths, "paths", 3))
+    parent = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
+    listed = lambda name, step, pattern: F.struct(F.lit(name).alias("list"), F.lit(step).alias("step"), pattern.alias("pattern"))
+    patterns = F.array(listed("hosts", 2, F.concat(F.lit("domain:"), "host")),
+                       listed("domains", 1, F.when(parent != "", F.concat(F.lit("domain:"), parent))),
+                       listed("paths", 3, F.when(F.col("part") != "", F.concat(F.lit("prefix:"), "host", F.lit("/"), "part"))))
+    entries = _dated(places.select(F.explode(patterns).alias("p")).select("p.*").filter("pattern is not null").distinct())
     captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(_FIRST_DAY) + F.col("page_id") * 7919 % (30 * 86400)))
     out = url_filter.evaluate(captures, entries, "page_id")
     return out.select(F.col("id").alias("page_id"), "host", F.size("matches").cast("long").alias("n_matches"),
