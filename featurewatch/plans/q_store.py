@@ -10,6 +10,8 @@ date.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,6 +103,29 @@ SELECT CAST(c_custkey AS VARCHAR) AS cust_id, TIMESTAMP '{PROFILE_TIME}' AS even
   CAST(c_nationkey AS BIGINT) AS c_nationkey, DATE '{PROFILE_TIME[:10]}' AS event_date FROM customer"""
 
 
+@q("fv_ingest_views")
+def fv_ingest_views(spark, d):
+    """S3: one wide frame split into its views, NULL features as 0; a view without any column is skipped."""
+    nothing = FS.FeatureView("nothing", CUSTOMER, T.StructType([T.StructField("no_such_column", T.DoubleType())]))
+    wide = preprocessed_orders(spark, d).join(load(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    wide = wide.withColumn("o_totalprice", F.when(F.col("o_totalprice") >= 50000, F.col("o_totalprice")))
+    tables = FS.ingest_features(wide, [ORDERS_VALUE, ORDERS_STATUS, nothing], "o_custkey", "o_orderdate", fill_zero=True)
+    parts = [t.select(F.lit(name).alias("view"), "cust_id", FS.EVENT_TS, "o_orderkey",
+                      F.explode(F.create_map(*[x for c in ("o_totalprice", "priority_code", "status_code") if c in t.columns
+                                               for x in (F.lit(c), F.col(c).cast("double"))])).alias("feature", "value"))
+             for name, t in tables.items()]
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+
+
+SQL["fv_ingest_views"] = """WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS cust_id, o_orderdate AS event_timestamp, o_orderkey,
+  coalesce(CASE WHEN o_totalprice >= 50000 THEN o_totalprice END, 0.0) AS price,
+  coalesce(CASE o_orderpriority WHEN '1-URGENT' THEN 4 WHEN '2-HIGH' THEN 3 WHEN '3-MEDIUM' THEN 2 WHEN '5-LOW' THEN 1 END, 0) AS priority,
+  coalesce(CASE nullif(o_orderstatus, 'P') WHEN 'F' THEN 1 END, 0) AS status FROM orders)
+SELECT 'orders_value' AS view, cust_id, event_timestamp, o_orderkey, 'o_totalprice' AS feature, CAST(price AS DOUBLE) AS value FROM o
+UNION ALL SELECT 'orders_status', cust_id, event_timestamp, o_orderkey, 'priority_code', CAST(priority AS DOUBLE) FROM o
+UNION ALL SELECT 'orders_status', cust_id, event_timestamp, o_orderkey, 'status_code', CAST(status AS DOUBLE) FROM o"""
+
+
 # ------------------------------------------------------------ S4 / S5 / W6
 
 _LATEST_SQL = """SELECT cust_id, event_timestamp, o_totalprice, o_orderkey FROM (
@@ -118,12 +143,33 @@ SQL["fv_materialize_latest"] = f"WITH {_FV_SQL} " + _LATEST_SQL.format(
     where="WHERE event_timestamp >= TIMESTAMP '1999-01-01' AND event_timestamp <= TIMESTAMP '2001-08-01'")
 
 
+def _own_view(name):
+    """A declared view under a name of this run, so that a run starts from an empty store."""
+    return FS.FeatureView(f"{name}_{uuid.uuid4().hex}", CUSTOMER, ORDERS_VALUE.schema)
+
+
+@q("fv_materialize_default")
+def fv_materialize_default(spark, d):
+    """S4 with the default window: the 365 days up to the newest row; the published table is read back."""
+    view = _own_view("orders_value")
+    FS.publish(spark, view, orders_value(spark, d), tiebreak="o_orderkey")
+    return FS.read_snapshot(spark, view.name)
+
+
+SQL["fv_materialize_default"] = f"WITH {_FV_SQL} " + _LATEST_SQL.format(
+    where="WHERE event_timestamp >= (SELECT max(o_orderdate) FROM orders) - INTERVAL 365 DAY")
+
+
 @q("fv_materialize_incremental")
 def fv_materialize_incremental(spark, d):
-    table = orders_value(spark, d)
-    hwm = "2000-01-01"
-    first = FS.materialize(table, "cust_id", end=hwm, tiebreak="o_orderkey")
-    return FS.materialize_incremental(first, table, "cust_id", hwm, end="2001-08-01", tiebreak="o_orderkey")
+    """S5 in two runs over a stored view: the first publishes a snapshot and its high-water mark, the second reads
+    both and scans only the months after the mark."""
+    view = _own_view("orders_value")
+    FS.write_view(spark, view.name, orders_value(spark, d), key="cust_id")
+    stored = FS.read_view(spark, view)
+    FS.publish(spark, view, stored, end="2000-01-01", tiebreak="o_orderkey", days=None)
+    FS.publish(spark, view, stored, end="2001-08-01", tiebreak="o_orderkey")
+    return FS.read_snapshot(spark, view.name)
 
 
 SQL["fv_materialize_incremental"] = f"WITH {_FV_SQL} " + _LATEST_SQL.format(
@@ -170,7 +216,14 @@ def fv_inventory(spark, d):
     path = FS.write_view(spark, "orders_value", orders_value(spark, d), mode="overwrite", key="cust_id")
     inv = FS.inventory(spark, path)
     reg = FS.registry_table(spark, [ORDERS_VALUE]).groupBy("view").agg(F.count(F.lit(1)).alias("n_features"))
-    return inv.withColumn("view", F.lit("orders_value")).join(reg, "view", "left")
+    # the number of files is the writer's choice, so the files are summed up
+    whole = inv.agg(F.sum("rows").alias("rows"), F.min("min_event_ts").alias("min_event_ts"), F.max("max_event_ts").alias("max_event_ts"),
+                    (F.min("file_size") > 0).alias("all_have_bytes"))
+    return whole.withColumn("view", F.lit("orders_value")).join(reg, "view", "left")
+
+
+SQL["fv_inventory"] = """SELECT 'orders_value' AS view, count(*) AS rows, min(o_orderdate) AS min_event_ts, max(o_orderdate) AS max_event_ts,
+  true AS all_have_bytes, 2 AS n_features FROM orders"""
 
 
 @q("pipeline_materialize")
@@ -183,7 +236,11 @@ def pipeline_materialize(spark, d):
     bad = check.filter(~F.col("present") | (F.col("n_uncastable") > 0)).count()
     if bad:
         raise ValueError(f"stored view {ORDERS_STATUS.name} does not match its declaration")
-    latest = FS.materialize(stored, "cust_id", tiebreak="o_orderkey")
+    extra = FS.undeclared_columns(stored, ORDERS_STATUS)
+    if extra:
+        raise ValueError(f"stored view {ORDERS_STATUS.name} has undeclared columns: {extra}")
+    FS.apply_views(spark, VIEWS)
+    latest = FS.publish(spark, ORDERS_STATUS, stored, tiebreak="o_orderkey", incremental=False, days=None)
     return latest.select("cust_id", FS.EVENT_TS, "priority_code", "status_code", "o_orderkey")
 
 

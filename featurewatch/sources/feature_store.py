@@ -2,9 +2,11 @@
 (S2-S7, S19, P3, P10).
 
 A view is a Parquet table ``<root>/views/<name>`` partitioned by
-``event_date`` (partition pruning for time-bounded reads), holding the entity
+``event_month`` (partition pruning for time-bounded reads), holding the entity
 key, ``event_timestamp`` and typed features.  The "online" store is a
-``latest`` table per view (one row per key).  Ingest appends by default;
+``latest`` table per view (one row per key): published versions
+``<root>/latest/<name>/v=<n>`` and a one-row state with the version and the
+high-water mark of event time that it covers.  Ingest appends by default;
 every write goes to the shared storage root, never to a local folder.
 """
 
@@ -116,7 +118,8 @@ def write_view(spark: SparkSession, name: str, table: DataFrame, mode: str = "ap
 
 def read_view(spark: SparkSession, view: FeatureView, start=None, end=None) -> DataFrame:
     """Scan of a view; a time range is pushed down as a partition filter
-    on ``event_date`` plus a row filter on ``event_timestamp``."""
+    on ``event_month`` plus a row filter on ``event_timestamp``.  The month stays
+    in the frame, so later time filters (``materialize``) prune as well."""
     df = spark.read.parquet(view_path(spark, view.name))
     if start is not None:
         df = df.filter((F.col(EVENT_MONTH) >= F.date_format(F.lit(start).cast("date"), "yyyy-MM"))
@@ -124,17 +127,29 @@ def read_view(spark: SparkSession, view: FeatureView, start=None, end=None) -> D
     if end is not None:
         df = df.filter((F.col(EVENT_MONTH) <= F.date_format(F.lit(end).cast("date"), "yyyy-MM"))
                        & (F.col(EVENT_TS) <= F.lit(end).cast("timestamp_ntz")))
-    return df.drop(EVENT_MONTH)
+    return df
+
+
+def _between(df: DataFrame, start=None, end=None, after=None) -> DataFrame:
+    """Rows with event time in [start, end] and > after; months are pruned where the table has them."""
+    for bound, inside, month in ((start, lambda t, x: t >= x, lambda m, x: m >= x), (after, lambda t, x: t > x, lambda m, x: m >= x),
+                                 (end, lambda t, x: t <= x, lambda m, x: m <= x)):
+        if bound is not None:
+            b = bound if isinstance(bound, Column) else F.lit(bound)
+            df = df.filter(inside(F.col(EVENT_TS), b.cast("timestamp_ntz")))
+            if EVENT_MONTH in df.columns:
+                df = df.filter(month(F.col(EVENT_MONTH), F.date_format(b.cast("date"), "yyyy-MM")))
+    return df
 
 
 def materialize(table: DataFrame, key: str, start=None, end=None, tiebreak: str | None = None,
-                features: Sequence[str] | None = None) -> DataFrame:
-    """Latest value per key among rows with event time in [start, end]."""
-    df = table
-    if start is not None:
-        df = df.filter(F.col(EVENT_TS) >= F.lit(start).cast("timestamp_ntz"))
-    if end is not None:
-        df = df.filter(F.col(EVENT_TS) <= F.lit(end).cast("timestamp_ntz"))
+                features: Sequence[str] | None = None, days: int | None = None) -> DataFrame:
+    """Latest value per key among rows with event time in [start, end].
+    Without ``start`` the window is the last ``days`` days before ``end``
+    (the store's default is ``DEFAULT_TTL_DAYS``; ``None`` here: unbounded)."""
+    if start is None and days is not None and end is not None:
+        start = F.lit(end).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
+    df = _between(table, start, end)
     feats = [c for c in (features or df.columns) if c not in (key, EVENT_TS, EVENT_DATE, EVENT_MONTH)]
     return latest_per_key(df, key, EVENT_TS, feats, tiebreak)
 
@@ -143,12 +158,8 @@ def materialize_incremental(snapshot: DataFrame | None, table: DataFrame, key: s
                             end=None, tiebreak: str | None = None) -> DataFrame:
     """Merge rows newer than the stored high-water mark into the previous
     snapshot; the result equals a full materialise up to ``end``.  Only the
-    new slice of the table is scanned (partition-pruned on event_date)."""
-    new = table.filter(F.col(EVENT_TS) > F.lit(high_water_mark).cast("timestamp_ntz"))
-    if end is not None:
-        new = new.filter(F.col(EVENT_TS) <= F.lit(end).cast("timestamp_ntz"))
-    if EVENT_MONTH in new.columns:   # partition pruning on stored views
-        new = new.filter(F.col(EVENT_MONTH) >= F.date_format(F.lit(high_water_mark).cast("date"), "yyyy-MM"))
+    new slice of the table is scanned (partition-pruned on the month)."""
+    new = _between(table, end=end, after=high_water_mark)
     feats = [c for c in (snapshot.columns if snapshot is not None else new.columns)
              if c not in (key, EVENT_TS, EVENT_DATE, EVENT_MONTH)]
     cur = new.select(key, EVENT_TS, *feats)
@@ -157,10 +168,57 @@ def materialize_incremental(snapshot: DataFrame | None, table: DataFrame, key: s
     return latest_per_key(cur, key, EVENT_TS, feats, tiebreak)
 
 
+_STATE = "version long, high_water_mark timestamp_ntz"
+
+
+def snapshot_state(spark: SparkSession, name: str) -> tuple[int, object] | None:
+    """Version and high-water mark of the published snapshot; ``None`` before the first."""
+    folder = storage_path(spark, "latest", name, "_state")
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    row = spark.read.schema(_STATE).parquet(folder).agg(F.max("version").alias("v"), F.max_by("high_water_mark", "version").alias("t")).first()
+    return None if row.v is None else (row.v, row.t)
+
+
+def read_snapshot(spark: SparkSession, name: str) -> DataFrame:
+    """The published latest-per-key table; an error before the first."""
+    state = snapshot_state(spark, name)
+    if state is None:
+        raise FileNotFoundError(f"view {name!r} was never materialised")
+    return spark.read.parquet(storage_path(spark, "latest", name, f"v={state[0]}"))
+
+
+def publish(spark: SparkSession, view: FeatureView, table: DataFrame, start=None, end=None, tiebreak: str | None = None,
+            incremental: bool = True, days: int | None = DEFAULT_TTL_DAYS) -> DataFrame:
+    """Materialise a view and publish the snapshot.  The first run (or
+    ``incremental=False``) takes [start, end], by default the last ``days`` days
+    up to the newest row; a later one takes only rows after the stored
+    high-water mark and merges them.  A new version is written whole, then
+    named in the state, so readers see the old or the new one; returns the table."""
+    key, state = view.entity.join_key, snapshot_state(spark, view.name)
+    newest = table.agg(F.max(EVENT_TS)).first()[0] if end is None else end
+    if newest is None:
+        return read_snapshot(spark, view.name) if state else latest_per_key(
+            table, key, EVENT_TS, [c for c in table.columns if c not in (key, EVENT_TS, EVENT_DATE, EVENT_MONTH)], tiebreak)
+    if incremental and state:
+        out = materialize_incremental(read_snapshot(spark, view.name), table, key, state[1], newest, tiebreak)
+    else:
+        out = materialize(table, key, start, newest, tiebreak, days=days)
+    version = state[0] + 1 if state else 0
+    mark = F.lit(newest).cast("timestamp_ntz")
+    mark = F.greatest(mark, F.lit(state[1]).cast("timestamp_ntz")) if state and incremental else mark
+    out.write.parquet(storage_path(spark, "latest", view.name, f"v={version}"))
+    spark.range(1).select(F.lit(version).cast("long").alias("version"), mark.alias("high_water_mark")).coalesce(1).write.mode(
+        "append").parquet(storage_path(spark, "latest", view.name, "_state"))
+    return read_snapshot(spark, view.name)
+
+
 def schema_check(df: DataFrame, view_name: str, declared: T.StructType) -> DataFrame:
     """S6 (re-aimed ``apply``): per declared column — present?, rows, nulls and
     values that do not cast to the declared type.  One wide aggregate over the
-    table (map-side combined), unpivoted to one row per column."""
+    table (map-side combined), unpivoted to one row per column.  See
+    ``undeclared_columns`` for columns that the declaration lacks."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     present = []
     for i, f in enumerate(declared.fields):
@@ -182,6 +240,19 @@ def schema_check(df: DataFrame, view_name: str, declared: T.StructType) -> DataF
     return a.select(F.inline(F.array(*rows)))
 
 
+def undeclared_columns(df: DataFrame, view: FeatureView) -> list[str]:
+    """Columns of a stored view that are neither declared nor the store's own."""
+    known = {view.entity.join_key, EVENT_TS, EVENT_DATE, EVENT_MONTH, *view.features}
+    return [c for c in df.columns if c not in known]
+
+
+def apply_views(spark: SparkSession, views: Sequence[FeatureView]) -> DataFrame:
+    """Writes the catalog of declared views to the store and returns it as stored."""
+    path = storage_path(spark, "registry")
+    registry_table(spark, views).coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def registry_table(spark: SparkSession, views: Sequence[FeatureView]) -> DataFrame:
     """Catalog of declared views: one row per (view, feature) with type, ttl, tags."""
     rows = [(v.name, v.entity.name, v.entity.join_key, f.name, f.dataType.simpleString(), v.ttl_days, v.online,
