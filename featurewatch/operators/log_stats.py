@@ -16,13 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featurewatch.functions.derive import risk_band
 from featurewatch.operators.feedback import feedback_join
 from featurewatch.operators.ordering import BUCKETS, running_sums
-from featurewatch.session import materialize
+from featurewatch.session import materialize, storage_path
 
 
 def build_log(df: DataFrame, id_col: Column, seq_col: Column, ts_col: Column, prediction: Column,
@@ -42,6 +42,17 @@ def build_log(df: DataFrame, id_col: Column, seq_col: Column, ts_col: Column, pr
     return df.select(*cols)
 
 
+def append_log(spark: SparkSession, rows: DataFrame, name: str = "predictions") -> str:
+    """Appends log rows to the shared log table, one folder per day (P9 reads only the days that it needs)."""
+    path = storage_path(spark, "log", name)
+    rows.withColumn("log_date", F.to_date("timestamp")).repartition("log_date").write.mode("append").partitionBy("log_date").parquet(path)
+    return path
+
+
+def read_log(spark: SparkSession, name: str = "predictions") -> DataFrame:
+    return spark.read.parquet(storage_path(spark, "log", name)).drop("log_date")
+
+
 def prediction_stats(log: DataFrame) -> DataFrame:
     """A1: total, risk rate, probability mean/min/max/population std, time of
     the last LOGGED row (max seq, not max time).  Empty log -> zeros."""
@@ -131,14 +142,15 @@ def latency_percentiles_approx(log: DataFrame, accuracy: int = 10000) -> DataFra
 
 def missing_rates(log: DataFrame, red: float = 0.20, amber: float = 0.05) -> DataFrame:
     """A3 + O5: per feature of the logged map: total, missing (NULL or NaN),
-    rate rounded 4 and a dashboard severity."""
+    rate rounded 4 and a dashboard severity, highest rate first."""
     kv = log.select(F.explode("features").alias("feature", "v"))
     miss = F.col("v").isNull() | F.isnan(F.col("v").try_cast("double"))
     agg = kv.groupBy("feature").agg(F.count(F.lit(1)).alias("total"),
                                    F.count_if(miss).alias("missing"))
     rate = F.round(F.col("missing") / F.col("total"), 4)
     return agg.select("feature", "total", "missing", rate.alias("missing_rate"),
-                      F.when(rate > red, "red").when(rate > amber, "amber").otherwise("ok").alias("severity"))
+                      F.when(rate > red, "red").when(rate > amber, "amber").otherwise("ok").alias("severity")
+                      ).orderBy(F.col("missing_rate").desc(), "feature")
 
 
 def throughput(log: DataFrame, window_minutes: int = 60, as_of: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +47,18 @@ SQL["prediction_log_build"] = W + f"""
 SELECT {_FLAT_SQL}, CAST(NULL AS INTEGER) AS actual_outcome, CAST(NULL AS TIMESTAMP) AS feedback_timestamp FROM log"""
 
 
+@q("prediction_log_append")
+def prediction_log_append(spark, d):
+    """Two batches appended to the stored log, read back."""
+    log, name = prediction_log(spark, d), uuid.uuid4().hex
+    for part in (0, 1):
+        LS.append_log(spark, log.filter(F.col("seq") % 2 == part), name)
+    return _flat(LS.read_log(spark, name))
+
+
+SQL["prediction_log_append"] = SQL["prediction_log_build"]
+
+
 @q("prediction_stats")
 def prediction_stats(spark, d):
     return LS.prediction_stats(prediction_log(spark, d))
@@ -75,7 +89,13 @@ FROM (SELECT count(latency_ms) AS count, avg(latency_ms) AS avg_ms, min(latency_
 
 @q("latency_percentiles_approx")
 def latency_percentiles_approx(spark, d):
-    return LS.latency_percentiles_approx(prediction_log(spark, d))
+    return LS.latency_percentiles_approx(prediction_log(spark, d), accuracy=1_000_000)
+
+
+# with a rank error below one row the sketch returns the value at rank ceil(p n)
+SQL["latency_percentiles_approx"] = """WITH v AS (SELECT list(value ORDER BY value) AS v, count(*) AS n FROM events WHERE value IS NOT NULL)
+SELECT n AS count, round(v[greatest(1, CAST(ceil(n * 0.5) AS BIGINT))], 2) AS p50_ms, round(v[greatest(1, CAST(ceil(n * 0.95) AS BIGINT))], 2) AS p95_ms,
+  round(v[greatest(1, CAST(ceil(n * 0.99) AS BIGINT))], 2) AS p99_ms FROM v"""
 
 
 @q("missing_rates")

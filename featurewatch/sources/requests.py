@@ -28,15 +28,30 @@ MODEL_INDEX_SCHEMA = T.StructType([
 ])
 
 
+def _index_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Every entry of the index files, parsed or NULL.  A file holds one JSON object per line or one JSON array."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    schema = T.StructType([*MODEL_INDEX_SCHEMA.fields, T.StructField("__bad", T.StringType())])
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    lines = F.filter(F.split("v", r"\r?\n"), lambda x: F.trim(x) != "")
+    listed = whole.filter("v like '[%'").select(F.explode_outer(F.from_json("v", T.ArrayType(MODEL_INDEX_SCHEMA))).alias("m"))
+    listed = listed.select(F.when(F.col("m").isNotNull(), F.struct("m.*", F.lit(None).cast("string").alias("__bad"))).alias("m"))
+    single = whole.filter("not v like '[%'").select(F.explode(lines).alias("line")).select(F.from_json("line", schema, options).alias("m"))
+    return listed.unionByName(single)
+
+
 def read_model_index(spark: SparkSession, path: str) -> DataFrame:
-    """Model index (JSON lines); corrupt lines are dropped instead of
-    failing the read; an absent index is an empty table."""
-    try:
-        df = (spark.read.schema(MODEL_INDEX_SCHEMA).option("mode", "DROPMALFORMED").json(path))
-        df.schema  # noqa: B018 - force path resolution
-        return df
-    except Exception:  # noqa: BLE001 - the reference returns [] on any read error
+    """Model index, as JSON lines or as a JSON array; an absent index is an empty table.  Entries that cannot be
+    read are left out here and counted by ``unreadable_index_entries``."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], MODEL_INDEX_SCHEMA)
+    entries = _index_entries(spark, path).filter("m is not null and m.__bad is null and m.model_id is not null")
+    return entries.select(*[F.col(f"m.{f.name}").alias(f.name) for f in MODEL_INDEX_SCHEMA.fields])
+
+
+def unreadable_index_entries(spark: SparkSession, path: str) -> int:
+    return _index_entries(spark, path).filter("m is null or m.__bad is not null or m.model_id is null").count()
 
 
 def flatten_model_index(index: DataFrame) -> DataFrame:

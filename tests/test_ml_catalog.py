@@ -71,7 +71,13 @@ def test_model_index_tolerates_corrupt_lines(spark, tmp_path):
     idx = RQ.read_model_index(spark, str(p))
     flat = RQ.flatten_model_index(idx).collect()
     assert len(flat) == 1 and flat[0].accuracy == 0.9
+    assert RQ.unreadable_index_entries(spark, str(p)) == 1
     assert RQ.read_model_index(spark, str(tmp_path / "absent")).count() == 0
+    array = tmp_path / "array"
+    array.mkdir()
+    (array / "index.json").write_text(json.dumps([good, {**good, "model_id": "xgb_1"}], indent=2))
+    assert sorted(r.model_id for r in RQ.read_model_index(spark, str(array)).collect()) == ["lr_20260101_000000", "xgb_1"]
+    assert RQ.unreadable_index_entries(spark, str(array)) == 0
 
 
 def test_train_save_load_score_roundtrip(spark):
