@@ -17,6 +17,7 @@ def q(name):
     return deco
 
 
+#: The p-value of the oracle is the series for samples of more than 10,000 values, as they are from sf0.01 on.
 _BASE = f"""WITH {drift_long_sql()},
 clean AS (SELECT feature, side, value FROM long WHERE value IS NOT NULL AND NOT isnan(value)),
 m AS (SELECT feature,
