@@ -7,6 +7,9 @@ once, and from the state where the pieces start. No regular expression runs. Dis
 vectorised pair merging and a bounded cache; token offsets in the text's bytes are kept, and decoding joins
 the token bytes again.
 
+Added tokens of a JSON vocabulary (<|endoftext|>) are found in the text first and give their own ids, as in the
+``tokenizers`` library with add_special_tokens=False. A rank file has no added tokens.
+
 Null text counts as empty: no tokens and an empty decoded value. Every input row gives one output row, so
 repeated rows, repeated ids and null ids are kept as they are. Extra columns are dropped.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -153,10 +157,14 @@ def piece_starts(cps: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 class ByteBPE:
-    """Merges by rank: the rank of a pair is the id of the token that it makes."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        self.tokens = {i: b for b, i in ranks.items()}
+    """Merges by rank: the rank of a pair is the id of the token that it makes. ``added``: tokens that are matched as
+    they stand in the text, before anything else (``encode_with_added`` only)."""
+
+    def __init__(self, ranks: dict[bytes, int], added: dict[bytes, int] | None = None):
+        self.tokens = {i: b for b, i in ranks.items()} | {i: b for b, i in (added or {}).items()}
+        self.added = added or {}
+        # the leftmost match counts, of those that start there the longest
+        self._added = re.compile(b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)))
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         keys, made = [], []
         for token, i in ranks.items():
@@ -320,6 +328,33 @@ class ByteBPE:
         upto = np.r_[0, np.cumsum(n_tok)]
         return ids, np.diff(upto[np.searchsorted(starts, offsets)])
 
+    def encode_with_added(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode``, but added tokens in the text give their ids. The text between them is encoded part by part, so
+        no piece reaches across one."""
+        raw, offsets = raw[offsets[0]:offsets[-1]], offsets - offsets[0]
+        data = raw.tobytes()
+        if not self.added or not self._added.search(data):
+            return self.encode(raw, offsets)
+        found = [m.span() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False) for m in self._added.finditer(data, a, b)]
+        begin, end = np.array(found, np.int64).reshape(-1, 2).T
+        doc = np.searchsorted(offsets, begin, "right") - 1
+        keep = np.ones(len(raw), bool)
+        keep[runs(begin, end - begin)] = False
+        # one part more than added tokens in each document; the k-th part of all but a document's last ends at the k-th token
+        last = np.arange(len(offsets) - 1) + np.cumsum(np.bincount(doc, minlength=len(offsets) - 1))
+        stops = np.empty(len(offsets) - 1 + len(begin), np.int64)
+        closed = np.ones(len(stops), bool)                              # by an added token
+        closed[last] = False
+        stops[last], stops[closed] = offsets[1:], begin
+        flat, n_tok = self.encode(raw[keep], np.r_[0, np.cumsum(keep)][np.r_[0, stops]])
+        ends = np.cumsum(n_tok + closed)
+        ids = np.empty(ends[-1], np.int32)
+        special = np.zeros(len(ids), bool)
+        special[ends[closed] - 1] = True
+        ids[special] = [self.added[data[a:b]] for a, b in found]
+        ids[~special] = flat
+        return ids, np.diff(np.r_[0, ends[last]])
+
     @property
     def token_lengths(self) -> np.ndarray:
         out = np.zeros(max(self.tokens) + 1, np.int64)
@@ -344,7 +379,8 @@ def read_rank_file(data: bytes) -> dict[bytes, int]:
 
 
 def read_vocabulary_json(data: bytes) -> dict[bytes, int]:
-    """Byte-level BPE vocabulary whose ids follow the order of its merges, tokens written with printable characters."""
+    """Byte-level BPE vocabulary whose ids follow the order of its merges, tokens written with printable characters;
+    without the added tokens."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -353,6 +389,15 @@ def read_vocabulary_json(data: bytes) -> dict[bytes, int]:
     return {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
 
 
+def read_added_tokens(data: bytes) -> dict[bytes, int]:
+    """Added tokens of such a vocabulary, as they stand in the text, and their ids."""
+    added = json.loads(data).get("added_tokens", ())
+    for x in added:
+        if x.get("single_word") or x.get("lstrip") or x.get("rstrip"):
+            raise ValueError(f"added token {x['content']!r}: single_word, lstrip and rstrip are not supported")
+    return {x["content"].encode(): x["id"] for x in added if x["content"]}
+
+
 def read_vocabulary(path: str) -> bytes:
     """The file's bytes, read where the query is built and sent along with the tasks; checked to be small."""
     with open(path, "rb") as f:
@@ -365,14 +410,16 @@ def read_vocabulary(path: str) -> bytes:
 @lru_cache(2)
 def tokenizer(data: bytes) -> ByteBPE:
     """One per Python worker and vocabulary."""
-    return ByteBPE(read_vocabulary_json(data) if data.lstrip()[:1] == b"{" else read_rank_file(data))
+    if data.lstrip()[:1] == b"{":
+        return ByteBPE(read_vocabulary_json(data), read_added_tokens(data))
+    return ByteBPE(read_rank_file(data))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBPE) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
         offsets, raw = binary_parts(batch.column(1))
         for a, b in row_pieces(offsets):
-            yield batch.column(0).slice(a, b - a), *bpe.encode(raw, offsets[a:b + 1])
+            yield batch.column(0).slice(a, b - a), *bpe.encode_with_added(raw, offsets[a:b + 1])
 
 
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,20 @@ def test_frames(frame):
         pieces = [OWN.tokens[i] for i in r.ids]
         assert r.offsets == [sum(map(len, pieces[:k])) for k in range(len(pieces))]
     assert bpe.encode_and_decode(df.limit(0), MULTI).count() == 0
+
+
+def test_added_tokens_of_a_json_vocabulary(frame):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), bpe.tokenizer(bpe.read_vocabulary(path))
+    texts = [*TEXTS[:-1], "end <|endoftext|> next", "x<|endof", "text|>", "<|endoftext|><|endoftext|>'s", " \n<|endoftext|>  é"]
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert want[len(TEXTS) - 1] == [437, 220, 50256, 1306]
+    offsets, raw = binary_parts(pa.array(["before", *texts], pa.string()).slice(1))
+    ids, lengths = own.encode_with_added(raw, offsets)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lengths)[:-1])] == want
+    assert own.decode(ids, lengths) == [t.encode() for t in texts]
+    df = frame(list(enumerate(texts)), "doc_id long, text string")
+    for r in bpe.encode(df, path).collect():
+        assert r.ids == want[r.doc_id] and all(texts[r.doc_id].encode()[o:].startswith(own.tokens[t]) for o, t in zip(r.offsets, r.ids, strict=True))
+    # a rank file has none
+    assert bpe.encode_and_decode(df, MULTI).filter("doc_id = 15").first().ids == LIBRARY.encode_ordinary(texts[15])

@@ -59,3 +59,16 @@ def test_pack(frame):
     assert len(by_sequence) * 1024 - tokens < 6 * 1024
     assert packing.pack(df.limit(0), PATH).count() == 0
     assert "ids" not in packing.pack(df.filter(F.col("doc_id") < 3), PATH, keep_ids=False).columns
+
+
+def test_added_tokens_in_the_text(frame):
+    lib = Tokenizer.from_file(PATH)
+    texts = ["end <|endoftext|> next", "<|endoftext|>", "<|endoftext|><|endoftext|>  a", "cut at <|endof", "text|> the edge", "", "é日 <|endoftext|>\n",
+             "<|<|endoftext|>|>", "word " * 2000 + "<|endoftext|>" * 3 + " it's"]
+    df = frame(list(enumerate(texts)), "doc_id long, text string", 1)
+    pieces = {}
+    for r in packing.pack(df, PATH).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, bytes(r.ids)))
+    for i, text in enumerate(texts):
+        ids = lib.encode(text, add_special_tokens=False).ids + [0]
+        assert b"".join(x for _, x in sorted(pieces[i])) == np.array(ids, "<u4").tobytes()
