@@ -6,7 +6,8 @@ word, by code point ranges, narrows its candidates to the languages that were se
 labels the words, with a penalty for each switch of language, and so finds the spans. The predicted language is the
 one whose spans hold most letters.
 
-The classifier is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``, chosen by a hash of the id. All
+The classifier is fitted on a bounded sample of labelled rows, about ``SAMPLE_ROWS``, chosen by a hash of id and text
+in each language: up to ``LANGUAGE_ROWS`` of every language, then more in proportion, so no labelled language is left out. All
 texts are labelled whole. A text that is null or has no letter is ``und`` with score 0 and no spans. Rows with a null
 id are never learned from; repeated rows and ids stay. Extra columns are dropped. Without any labelled row every
 text is ``und``.
@@ -25,6 +26,8 @@ from featurewatch.llm.arrow_text import binary_parts, importable, row_pieces
 from featurewatch.llm.words import Words
 
 SAMPLE_ROWS = 20_000
+#: Rows of each language that come first (fewer if the languages are so many that these alone would exceed the sample).
+LANGUAGE_ROWS = 300
 ALPHABET = 96
 SWITCH = 16.0
 WORD_BOUND = 6.0
@@ -142,12 +145,25 @@ def _sampled(df: DataFrame, id_col: str, rows: int) -> DataFrame:
     return df.filter(F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
 
 
+def _sampled_by_language(df: DataFrame, rows: int) -> DataFrame:
+    """``_sampled`` of ``id``, ``text`` and ``lang``, within each language: small ones whole, none without a row."""
+    hashed = F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 20))
+    counted = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).collect()
+    n = sum(r.n for r in counted)
+    if n <= rows:
+        return df
+    first = {r.lang: min(r.n, LANGUAGE_ROWS, max(1, rows // len(counted))) for r in counted}
+    share = max(0, rows - sum(first.values())) / max(1, n - sum(first.values()))
+    below = [(r.lang, max(r.least + 1, int((first[r.lang] + share * (r.n - first[r.lang])) / r.n * (1 << 20)))) for r in counted]
+    return df.filter(hashed < F.create_map(*[F.lit(x) for pair in below for x in pair])[F.col("lang")])
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Counts of three characters and of scripts for each language, over the sampled rows. The counts are made by
     Spark; the driver gets one row per language and combination that occurs, at most as many as the sample has."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
-                           ).filter("text is not null and lang is not null")
-    words = _sampled(rows, "id", sample_rows).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
+                           ).filter(r"text rlike '\\p{L}' and lang is not null")
+    words = _sampled_by_language(rows, sample_rows).select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).filter("word <> ''")
     counted = words.groupBy("lang", "word").count()
     padded = counted.select("lang", F.col("count").alias("n"), F.concat(F.lit("  "), "word", F.lit(" ")).alias("w"))
     grams = padded.select("lang", "n", F.explode(F.sequence(F.lit(1), F.length("w") - 2)).alias("i"), "w").groupBy(

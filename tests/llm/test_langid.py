@@ -64,3 +64,18 @@ def test_sample_is_bounded(frame, spark):
     df = spark.range(5000).select(F.col("id"), F.lit("x").alias("text"))
     assert 300 < langid._sampled(df, "id", 500).count() < 700
     assert langid._sampled(df, "id", 5000).count() == 5000
+
+
+def test_a_small_language_is_learned_beside_large_ones(frame):
+    rng = random.Random(5)
+    rows = [(i, text(rng, lang, 12), lang) for i in range(4000) for lang in [("aa", "bb")[i % 2]]]
+    rows += [(10_000 + i, " ".join(rng.choices(["שלום", "עולם", "ספר"], k=12)), "he") for i in range(30)]
+    rows += [(20_000, "абв где", "ru")] * 2 + [(30_000 + i, "12 34", "zz") for i in range(500)] + [(40_000, "ეს", "zz")]
+    df = frame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, sample_rows=200)
+    assert model.languages == ["aa", "bb", "he", "ru", "zz"]
+    small = langid.identify(df.filter("doc_id >= 10000 and text rlike '[^0-9 ]'"), model, carry=["lang"]).collect()
+    assert len(small) == 33 and all(r.lang_pred == r.row.lang and r.score >= 0.02 for r in small)
+    sample = langid._sampled_by_language(df.filter("text rlike '[^0-9 ]'").select(F.col("doc_id").alias("id"), "text", "lang"), 200)
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert counts["he"] == 30 and counts["ru"] == 2 and counts["zz"] == 1 and sum(counts.values()) < 300
