@@ -1,12 +1,16 @@
-"""Operator 6: removal of passages that repeat an earlier document, by relative Lempel-Ziv parsing.
+"""Operator 6: removal of passages that repeat an earlier document, by greedy factors over a phrase index.
 
 The corpus is dealt into reference blocks of about ``BLOCK_BYTES``. Every block indexes its phrases of ``window``
-(13) consecutive words: a sorted list of phrase hashes with the smallest document id of each. The lists of all
-blocks are merged by hash range, so each phrase of a block learns the smallest document of the whole corpus in
-which it starts. Each document is then factored greedily, left to right: a factor begins at the next phrase found in
-an earlier document and runs on while phrase after phrase is found in the same source. Factors shorter than a
-phrase do not exist, and because every start position is looked up, phrases that straddle the boundary of two
-factors are checked as well. The words of the factors are removed.
+(13) consecutive words: a sorted list of phrase hashes, each with the place where it first stands in the smallest
+document. The lists of all blocks are merged by hash range, so each phrase of a block learns its source: the first
+place in the smallest document of the whole corpus in which it stands. Each document is then factored greedily, left to
+right: a factor begins at the next phrase found in an earlier document and runs on while phrase after phrase is found
+at the next place of the same source, so a factor stands in its source as one passage. Factors shorter than a phrase
+do not exist, and because every start position is looked up, phrases that straddle the boundary of two factors are
+checked as well (such factors overlap by up to 12 words). The words of the factors are removed.
+
+This follows relative Lempel-Ziv parsing, with the difference that a phrase has one source place: where a passage stands
+in several places, factors follow the first place of each phrase and may be shorter than the longest match.
 
 Only distinct phrases leave a block (delta-coded and compressed), once per block however often they repeat there:
 a passage that stands in a third of all documents costs a row per block, not per document. The text is shuffled once;
@@ -107,30 +111,33 @@ class Block:
         self.rank = np.empty(len(start), np.int64)                   # its place among the distinct hashes
         self.rank[order] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(order)]))
         self.hashes = ordered[heads]
-        self.least = self.doc[start[order[heads]]]                   # stable order: the first document of the block
+        self.first = start[order[heads]]                             # stable order: the first place in the block
+        self.least = self.doc[self.first]
+        self.heads = np.cumsum(self.n_words) - self.n_words          # first word of each document
 
     def ranges(self, parts: int) -> np.ndarray:
         """Where each of ``parts`` equal hash ranges begins among the distinct hashes."""
         return np.searchsorted(self.hashes, np.array([(p << 64) // parts for p in range(parts)], np.uint64)).tolist() + [len(self.hashes)]
 
-    def parse(self, source: np.ndarray) -> tuple[np.ndarray, ...]:
-        """source: the smallest document id of each distinct phrase. Factors as (document, first word in it, words,
-        source), and which words they cover."""
+    def parse(self, source: np.ndarray, place: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each distinct phrase: the smallest document id, its place (unique in the corpus) and its first word there.
+        Factors as (document, first word in it, words, source, first word in the source), and which words they cover."""
         found = source[self.rank] < self.ids[self.doc[self.start]]
-        start, src = self.start[found], source[self.rank[found]]
+        start, which = self.start[found], self.rank[found]
+        src, place, word = source[which], place[which], word[which]
         doc = self.doc[start]
         if len(start):
-            begins = np.r_[True, (start[1:] != start[:-1] + 1) | (src[1:] != src[:-1]) | (doc[1:] != doc[:-1])]
+            begins = np.r_[True, (start[1:] != start[:-1] + 1) | (doc[1:] != doc[:-1]) | (src[1:] != src[:-1])
+                          | (place[1:] != place[:-1] + 1) | (word[1:] != word[:-1] + 1)]
             first = np.flatnonzero(begins)
             length = np.diff(np.r_[first, len(start)]) + self.window - 1
-            begin, doc, src = start[first], doc[first], src[first]
+            begin, doc, src, word = start[first], doc[first], src[first], word[first]
         else:
             begin, length = start, start
         cover = np.zeros(len(self.size) + 1, np.int64)
         np.add.at(cover, begin, 1)
         np.add.at(cover, begin + length, -1)
-        heads = np.cumsum(self.n_words) - self.n_words
-        return doc, begin - heads[doc], length, src, np.cumsum(cover[:-1]) > 0
+        return doc, begin - self.heads[doc], length, src, word, np.cumsum(cover[:-1]) > 0
 
     def kept_texts(self, gone: np.ndarray) -> pa.Array:
         """The words left of each document, joined by one space."""
@@ -156,50 +163,72 @@ class Block:
         return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)], pa.string())
 
 
+def _place(block: int, word: np.ndarray) -> np.ndarray:
+    """A word of a block, as a number of its own in the corpus."""
+    return (block << 32) + word.astype(np.int64)
+
+
 def _index(window: int, parts: int):
     def run(key, table):
         block = Block(table, window)
         cuts, rows = block.ranges(parts), []
         for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             if a < b:
-                docs, which = np.unique(block.least[a:b], return_inverse=True)
-                rows.append((p, key[0].as_py(), _squeezed(block.hashes[a:b], True), _squeezed(block.ids[docs], True), _squeezed(which.astype(np.uint32))))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 3), strict=True)],
-                        ["part", "block", "hashes", "docs", "which"])
+                docs = np.unique(block.least[a:b])
+                rows.append((p, key[0].as_py(), _squeezed(block.hashes[a:b], True), _squeezed(block.ids[docs], True),
+                             _squeezed(block.heads[docs].astype(np.uint32), True), _squeezed(block.first[a:b].astype(np.uint32))))
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)],
+                        ["part", "block", "hashes", "docs", "heads", "places"])
     return run
 
 
 def _merge(key, table):
-    """All blocks' phrases of one hash range: those that start in a smaller document of another block."""
+    """All blocks' phrases of one hash range: those that stand in a smaller document of another block, and where."""
+    table = table.sort_by("block")                                   # of equal ids, the first block counts
     hashes = [_restored(x.as_py(), np.uint64, True) for x in table["hashes"]]
-    docs = [_restored(d.as_py(), np.int64, True)[_restored(w.as_py(), np.uint32)] for d, w in zip(table["docs"], table["which"], strict=True)]
+    docs, places, words = [], [], []
+    for block, ids, heads, at in zip(*(table[c].to_pylist() for c in ("block", "docs", "heads", "places")), strict=True):
+        heads, at = _restored(heads, np.uint32, True), _restored(at, np.uint32)
+        doc = np.searchsorted(heads, at, "right") - 1
+        docs.append(_restored(ids, np.int64, True)[doc])
+        places.append(_place(block, at))
+        words.append(at - heads[doc])
     sizes = [len(x) for x in hashes]
-    h, d = np.concatenate(hashes), np.concatenate(docs)
+    h, d, place, word = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places), np.concatenate(words)
     order = np.argsort(h, kind="stable")
     ordered = h[order]
     heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    least = np.empty(len(h), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(d[order], heads), np.diff(np.r_[heads, len(h)]))
+    count = np.diff(np.r_[heads, len(h)])
+    group = np.repeat(np.arange(len(heads)), count)
+    smallest = np.flatnonzero(d[order] == np.minimum.reduceat(d[order], heads)[group])
+    of = group[smallest]
+    source = np.empty(len(h), np.int64)                              # the entry that holds each entry's source
+    source[order] = order[smallest[np.r_[True, of[1:] != of[:-1]]]][group]
     rows, a = [], 0
     for block, n in zip(table["block"].to_pylist(), sizes, strict=True):
-        hit = np.flatnonzero(least[a:a + n] < d[a:a + n])
+        own = source[a:a + n]
+        hit = np.flatnonzero(d[own] < d[a:a + n])
         if len(hit):
-            rows.append((block, key[0].as_py(), _squeezed(hit.astype(np.uint32), True), _squeezed(least[a + hit])))
+            own = own[hit]
+            rows.append((block, key[0].as_py(), _squeezed(hit.astype(np.uint32), True), _squeezed(d[own]), _squeezed(place[own]), _squeezed(word[own])))
         a += n
-    cols = list(zip(*rows, strict=True)) or [()] * 4
-    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                    ["block", "part", "hits", "sources"])
+    cols = list(zip(*rows, strict=True)) or [()] * 6
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)],
+                    ["block", "part", "hits", "sources", "places", "words"])
 
 
 def _parse(window: int, parts: int, keep_layout: bool):
     def run(key, table, matches):
         block = Block(table, window)
         cuts, source = block.ranges(parts), block.ids[block.least]
-        for part, hits, sources in zip(matches["part"].to_pylist(), matches["hits"].to_pylist(), matches["sources"].to_pylist(), strict=True):
-            source[cuts[part] + _restored(hits, np.uint32, True).astype(np.int64)] = _restored(sources, np.int64)
-        doc, first, length, src, gone = block.parse(source)
-        factors = pa.StructArray.from_arrays([pa.array(first.astype(np.int64)), pa.array(length.astype(np.int64)), pa.array(src)], ["start", "length", "source"])
+        place, word = _place(key[0].as_py(), block.first), block.first - block.heads[block.least]
+        for part, hits, *found in zip(*(matches[c].to_pylist() for c in ("part", "hits", "sources", "places", "words")), strict=True):
+            at = cuts[part] + _restored(hits, np.uint32, True).astype(np.int64)
+            source[at], place[at], word[at] = (_restored(x, t) for x, t in zip(found, (np.int64, np.int64, np.uint32), strict=True))
+        doc, first, length, src, word, gone = block.parse(source, place, word)
+        factors = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (first, length, src, word)],
+                                             ["start", "length", "source", "source_start"])
         counts = np.bincount(doc, minlength=block.n_docs)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), factors)
         removed = np.bincount(block.doc[gone], minlength=block.n_docs)
@@ -212,16 +241,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, keep_layout: bool = False) -> DataFrame:
     """Per row ``doc_id``, ``n_words``, ``n_removed``, ``text`` (the words left, joined by one space, or with
     ``keep_layout`` as they stood, the white space after a removed word gone too), ``factors`` (array of start word,
-    words and source document) and ``row``: a struct of the columns named in ``carry``, whatever their names."""
+    words, source document and start word in it) and ``row``: a struct of the columns named in ``carry``, whatever their names."""
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = size // block_bytes + 1
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     docs = importable(df).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
-    index = docs.groupBy("block").applyInArrow(_index(window, parts), "part int, block long, hashes binary, docs binary, which binary")
-    matches = index.groupBy("part").applyInArrow(_merge, "block long, part int, hits binary, sources binary")
+    index = docs.groupBy("block").applyInArrow(_index(window, parts), "part int, block long, hashes binary, docs binary, heads binary, places binary")
+    matches = index.groupBy("part").applyInArrow(_merge, "block long, part int, hits binary, sources binary, places binary, words binary")
     kind = docs.schema["row"].dataType.simpleString()
     return docs.groupBy("block").cogroup(matches.groupBy("block")).applyInArrow(
         _parse(window, parts, keep_layout), f"doc_id long, n_words long, n_removed long, text string, "
-        f"factors array<struct<start:bigint,length:bigint,source:bigint>>, row {kind}")
+        f"factors array<struct<start:bigint,length:bigint,source:bigint,source_start:bigint>>, row {kind}")

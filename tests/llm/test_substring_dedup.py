@@ -60,3 +60,22 @@ def test_empty_table(frame):
     assert sd.remove_repeats(frame([], "doc_id long, text string")).count() == 0
     one = sd.remove_repeats(frame([(1, None)], "doc_id long, text string")).collect()
     assert [(r.n_words, r.n_removed, r.text, r.factors) for r in one] == [(0, 0, "", [])]
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 300])
+def test_a_factor_stands_in_its_source_as_one_passage(frame, block_bytes):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    # 13 words across a and b stand in document 1, but far from a and from b themselves
+    across = " ".join((a.split()[-12:] + b.split())[:24])
+    rows = [(1, f"{a} gap {across} gap {b}"), (2, f"{c} {a} {b}"), (3, f"{b} {c}"), (4, f"{a} {b}"), *corpus(7)[3:]]
+    words = {}
+    for i, t in rows:
+        words.setdefault(i, []).append(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    df = frame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = sd.remove_repeats(df, block_bytes=block_bytes).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in got), key=str) == brute(rows)
+    for r in got:
+        for f in r.factors:
+            own = [w[f.start:f.start + f.length] for w in words[r.doc_id]]
+            assert any(w[f.source_start:f.source_start + f.length] in own for w in words[f.source])
+    assert [len(r.factors) for r in got if r.doc_id == 4] == [3]
