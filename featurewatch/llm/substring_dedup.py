@@ -237,6 +237,11 @@ def _parse(window: int, parts: int, keep_layout: bool):
     return run
 
 
+def _block(parts: int) -> Column:
+    """By id and text; rows with a null id, which no other row depends on, by their place too."""
+    return F.pmod(F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(parts))
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                    carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, keep_layout: bool = False) -> DataFrame:
     """Per row ``doc_id``, ``n_words``, ``n_removed``, ``text`` (the words left, joined by one space, or with
@@ -247,7 +252,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = size // block_bytes + 1
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     docs = importable(df).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)))
+    docs = docs.withColumn("block", _block(parts))
     index = docs.groupBy("block").applyInArrow(_index(window, parts), "part int, block long, hashes binary, docs binary, heads binary, places binary")
     matches = index.groupBy("part").applyInArrow(_merge, "block long, part int, hits binary, sources binary, places binary, words binary")
     kind = docs.schema["row"].dataType.simpleString()

@@ -1,7 +1,8 @@
 """A stated set of query rows against all rows, dealt into cells of one block of queries and one of candidates.
 
-Blocks are dealt by a hash of the id, so a vector that stands in a third of all rows fills no block. A candidate
-block and a query block have a bounded number of rows; the number of cells grows with both tables.
+Blocks are dealt by a hash of the id and the row's place, so neither a vector nor an id that stands in a third of all
+rows fills a block. The place is taken after a sort within the partition, so a task that runs again deals equally. A
+candidate block and a query block have a bounded number of rows; the number of cells grows with both tables.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ def search(rows: DataFrame, queries: Column, in_cell, k: int, score_type: str,
     rows = importable(rows)
     n, n_q = rows.agg(F.count("*"), F.count(F.when(queries, 1))).first()
     blocks, query_blocks = -(-n // candidate_rows) or 1, -(-n_q // query_rows) or 1
-    block = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(parts)).cast("int")
+    block = lambda seed, parts: F.pmod(F.xxhash64(F.lit(seed), "id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    rows = rows.sortWithinPartitions(F.xxhash64(*rows.columns))
     candidates = rows.withColumn("block", block(1, blocks)).withColumn("query_block", every(query_blocks))
     asking = rows.filter(queries).withColumn("query_block", block(2, query_blocks)).withColumn("block", every(blocks))
     keys = ["block", "query_block"]

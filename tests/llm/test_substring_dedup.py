@@ -79,3 +79,11 @@ def test_a_factor_stands_in_its_source_as_one_passage(frame, block_bytes):
             own = [w[f.start:f.start + f.length] for w in words[r.doc_id]]
             assert any(w[f.source_start:f.source_start + f.length] in own for w in words[f.source])
     assert [len(r.factors) for r in got if r.doc_id == 4] == [3]
+
+
+def test_rows_without_an_id_are_dealt_over_blocks(frame):
+    df = frame([(None, "one text " * 20)] * 300 + [(1, "one text " * 20)], "doc_id long, text string")
+    sizes = [r["count"] for r in df.groupBy(sd._block(10).alias("block")).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 75
+    got = sd.remove_repeats(df, block_bytes=5000).collect()
+    assert len(got) == 301 and all(r.n_removed == 0 and r.factors == [] for r in got)

@@ -1,10 +1,11 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from featurewatch.llm import ann, topk
+from featurewatch.llm import ann, topk, vector_cells
 
 RNG = np.random.default_rng(3)
 
@@ -85,3 +86,14 @@ def test_sparse_rows_and_small_tables(frame):
     assert topk.top_k(df.limit(0), F.col("id") == 0).count() == 0
     assert ann.nearest(frame([], "id long, vector array<float>"), F.col("id") == 0).count() == 0
     assert ann.nearest(frame([(0, [1.0])], "id long, vector array<float>"), F.col("id") == 0).count() == 0
+
+
+def test_rows_of_one_id_are_dealt_over_blocks(spark):
+    def sizes(queries, candidates):
+        return pa.table([pa.array([0], pa.int64()), pa.array([len(candidates)], pa.int64()), pa.array([len(queries)], pa.int64())],
+                        names=["query_id", "vec_id", "score"])
+
+    rows = spark.range(1200).select(F.when(F.col("id") < 600, 7).otherwise(F.col("id")).alias("id"), F.lit(1).alias("x")).repartition(3)
+    cells = vector_cells.search(rows, F.col("id") < 900, sizes, 1000, "long", candidate_rows=100, query_rows=100).collect()
+    assert len(cells) == 12 * 9 and sum(c.vec_id for c in cells) == 9 * 1200 and sum(c.score for c in cells) == 12 * 900
+    assert max(c.vec_id for c in cells) < 200 and max(c.score for c in cells) < 200
