@@ -7,7 +7,8 @@ triples within the halves meet every such pair. For each pair in a posting the s
 tallied, pairs with at least 5 are kept, and their differing bits are counted.
 
 A posting of more than ``POSTING`` fingerprints is split by further positions that such a pair must share (two
-more bytes, then parts of the other bytes), so no pair is lost and no posting is compared as a whole in one task.
+more bytes, then parts of the other bytes), so no pair is lost. What is longer still is cut into blocks, and each pair of
+blocks is compared as a posting of its own, so no posting of over about ``POSTING`` is compared as a whole in one task.
 Within a posting only a spanning set of links is returned, which keeps the components and not the pairs.
 
 Null or empty text has the fingerprint zero, linked like any other. Rows with a null id get a fingerprint and a
@@ -110,6 +111,16 @@ def _third_keys(parts: int = 4) -> Column:
     return F.explode(F.array(*[F.struct(F.col("key"), F.lit(i).alias("part"), F.col("fp").bitwiseAND(mask(i)).alias("bits")) for i in range(parts)]))
 
 
+def _block_pairs(sized: DataFrame) -> DataFrame:
+    """``key`` and ``fp`` of long postings (``count`` members) as pairs of blocks of about half of ``POSTING``: any two
+    members meet in at least one pair."""
+    blocks = F.ceil(2 * F.col("count") / POSTING)
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda b: b != F.col("own"))
+    pairs = F.transform(others, lambda b: F.struct(F.col("key"), F.least(b, "own").alias("low"), F.greatest(b, "own").alias("high")))
+    return sized.withColumn("own", own).select(F.explode(pairs).alias("key"), "fp")
+
+
 def _links_within(fps: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of one posting: tally equal bytes, keep pairs with enough, count their differing bits.
     Rows are compared in blocks of about ``cells`` pairs; only links (member, least member of its group) are returned."""
@@ -165,10 +176,10 @@ def links(fps: DataFrame) -> DataFrame:
     for refine in (_second_keys, _third_keys, None):
         sizes = level.groupBy("key").count().filter("count > 1")
         sized = level.join(sizes, "key")
-        small = sized.filter(F.col("count") <= POSTING) if refine else sized
-        found = _posting_links(small.select("key", "fp"))
+        found = _posting_links(sized.filter(F.col("count") <= POSTING).select("key", "fp"))
         out = found if out is None else out.unionByName(found)
         if refine is None:
+            out = out.unionByName(_posting_links(_block_pairs(sized.filter(F.col("count") > POSTING))))
             break
         long = materialize(sized.filter(F.col("count") > POSTING).select("key", "fp"))
         if long.isEmpty():

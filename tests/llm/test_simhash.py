@@ -82,3 +82,16 @@ def test_components_of_paths_hubs_and_odd_rows(spark):
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {i: 7 for i in range(7, 40)} | {200: 7}
     assert components.connected_components(spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))).count() == 0
+
+
+def test_a_long_posting_is_compared_by_pairs_of_blocks(spark, monkeypatch):
+    posting = spark.range(5000).select(F.lit(1).alias("key"), F.col("id").alias("fp"), F.lit(5000).cast("long").alias("count"))
+    sizes = [r["count"] for r in simhash._block_pairs(posting).groupBy("key").count().collect()]
+    assert len(sizes) == 45 and max(sizes) < 1.2 * simhash.POSTING
+    monkeypatch.setattr(simhash, "POSTING", 8)
+    groups = simhash._block_pairs(posting.filter("fp < 40").withColumn("count", F.lit(40).cast("long"))).groupBy("key").agg(F.collect_set("fp").alias("fps")).collect()
+    assert {(a, b) for g in groups for a in g.fps for b in g.fps} == {(a, b) for a in range(40) for b in range(40)}
+    # one dense cluster, of which no refinement makes short postings
+    dense = spark.range(64).select(F.col("id").alias("fp"))
+    joined = simhash.connected_components(simhash.links(dense)).collect()
+    assert {r.node for r in joined} == set(range(64)) and len({r.root for r in joined}) == 1
