@@ -2,7 +2,8 @@
 
 A tree builder reads the tags: void elements, end tags that the standard implies (a new paragraph, list item, row, cell
 or option closes the one before; a block closes an open paragraph), and end tags out of order. Visibility rules drop
-what a browser does not show: the head, scripts, styles, templates, hidden elements, closed details and dialogs. All
+what a browser does not show: the head, scripts, styles, templates, hidden elements, closed details and dialogs; of svg,
+all but its text elements and foreign objects; of math, annotations and phantoms. All
 visible text is written, boilerplate too: paragraphs and headings stand apart, list items get markers and
 indentation, and the cells of a table are aligned in columns.
 
@@ -22,7 +23,10 @@ from featurewatch.llm.arrow_text import binary_parts, importable
 
 # Element groups of the HTML standard; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas datalist".split())
+#: What math does not show, and elements of svg whose text is never drawn in place.
+MATH_HIDDEN = frozenset("annotation annotation-xml mphantom".split())
+SVG_HIDDEN = frozenset("defs symbol clippath mask marker pattern metadata desc".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure form fieldset article section".split())
 BLOCKS = SPACED | frozenset("address aside body center details dialog dd dir div dt figcaption footer header hgroup html legend li main "
                             "menu nav optgroup option search summary caption".split())
@@ -145,6 +149,7 @@ class Page(HTMLParser):
         self.open: list[list] = []
         self.flows = [Layout()]
         self.tables: list[list] = []
+        self.inside = {"svg": 0, "math": 0}
 
     # the tree
     def handle_starttag(self, tag, attrs):
@@ -173,6 +178,8 @@ class Page(HTMLParser):
             self._close_to((tag,), stops)
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip(" \t\n\r\f"):
+            self._pop()                                   # text cannot stand in the head
         if not (self.open and self.open[-1][1]):
             if self.tables and self.open and self.open[-1][0] in ("table", "tr", "thead", "tbody", "tfoot") and data.strip():
                 self._enter("caption" if self.open[-1][0] != "tr" else "td", {})     # text astray in a table
@@ -196,8 +203,15 @@ class Page(HTMLParser):
     # the rendering
     def _enter(self, tag, attrs) -> None:
         above = self.open[-1] if self.open else [None, False, False, 0]
-        hidden = above[1] or tag in HIDDEN or "hidden" in attrs or bool(_INVISIBLE_STYLE.search(attrs.get("style") or ""))
+        hidden = above[1] is True or tag in HIDDEN or "hidden" in attrs or bool(_INVISIBLE_STYLE.search(attrs.get("style") or ""))
         hidden = hidden or (tag == "dialog" and "open" not in attrs) or (above[0] == "details" and not above[3] and tag != "summary")
+        hidden = hidden or (tag in MATH_HIDDEN and self.inside["math"] > 0)
+        hidden = hidden or (self.inside["svg"] > 0 and (tag in SVG_HIDDEN or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse")))
+        drawn = not hidden and above[1] == "svg" and tag in ("text", "foreignobject")
+        if not hidden and (tag == "svg" or (above[1] == "svg" and not drawn)):
+            hidden = "svg"                                # what is not drawn there; text in it is
+        if tag in self.inside:
+            self.inside[tag] += 1
         exact = above[2] or tag in ("pre", "textarea", "listing")
         state = 1 if tag == "details" and "open" in attrs else 0
         if tag == "ol" and (attrs.get("start") or "").strip().lstrip("-").isdigit():
@@ -206,7 +220,9 @@ class Page(HTMLParser):
         if hidden:
             return
         flow = self.flows[-1]
-        if tag == "table":
+        if drawn:
+            flow.text(" ", False)                         # placed apart from other text
+        elif tag == "table":
             flow.block(2)
             self.tables.append([])
         elif tag == "tr" and self.tables:
@@ -236,9 +252,13 @@ class Page(HTMLParser):
 
     def _pop(self) -> None:
         tag, hidden, _, state = self.open.pop()
+        if tag in self.inside:
+            self.inside[tag] -= 1
         if hidden:
             return
-        if tag in ("td", "th", "caption") and self.tables:
+        if self.open and self.open[-1][1] == "svg":
+            self.flows[-1].text(" ", False)
+        elif tag in ("td", "th", "caption") and self.tables:
             lines = self.flows.pop().result()
             self.tables[-1][-1].append((lines, max(1, state)))
             if tag == "caption":

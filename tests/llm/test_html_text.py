@@ -73,3 +73,18 @@ def test_frame(frame):
     got = extract(frame(rows, "page_id long, html string, text string")).collect()
     assert sorted(map(str, ((r.page_id, r.text) for r in got))) == sorted(map(str, [(1, "a"), (1, "a"), (None, "b"), (2, ""), (3, "")]))
     assert extract(frame([], "page_id long, html string")).count() == 0
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds", "so x=1 holds"),
+    ("<math><semantics><mi>y</mi><annotation>\\y</annotation></semantics><mphantom>z</mphantom></math>", "y"),
+    ("a<svg><title>no</title><g>no<text>one <tspan>two</tspan></text><text>three</text></g></svg>b", "a one two three b"),
+    ("<svg><defs><text>no</text></defs><text display=none>no</text><style>no</style><text style='display:none'>no</text></svg>end", "end"),
+    ("<svg><foreignObject><p>in html</p></foreignObject></svg>", "in html"),
+    ("<div hidden><svg><text>no</text></svg><math><mi>no</mi></math></div>yes", "yes"),
+    ("<html><head><title>t</title> \n first words <b>bold</b>", "first words bold"),
+    ("<head><style>no</style>text<p>more", "text\n\nmore"),
+    ("<head><title>t</title><svg><text>drawn</text></svg>", "drawn"),
+])
+def test_math_svg_and_text_in_an_open_head(html, text):
+    assert visible_text(html) == text
