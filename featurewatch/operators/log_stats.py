@@ -42,10 +42,16 @@ def build_log(df: DataFrame, id_col: Column, seq_col: Column, ts_col: Column, pr
     return df.select(*cols)
 
 
+#: Parts of one day's rows in an append.
+DAY_PARTS = 16
+
+
 def append_log(spark: SparkSession, rows: DataFrame, name: str = "predictions") -> str:
-    """Appends log rows to the shared log table, one folder per day (P9 reads only the days that it needs)."""
+    """Appends log rows to the shared log table, one folder per day (P9 reads only the days that it needs).
+    A day's rows are dealt by a hash over ``DAY_PARTS`` parts, so a busy day is written by several tasks."""
     path = storage_path(spark, "log", name)
-    rows.withColumn("log_date", F.to_date("timestamp")).repartition("log_date").write.mode("append").partitionBy("log_date").parquet(path)
+    rows.withColumn("log_date", F.to_date("timestamp")).repartition(
+        "log_date", F.pmod(F.xxhash64("prediction_id", "seq", "timestamp"), F.lit(DAY_PARTS))).write.mode("append").partitionBy("log_date").parquet(path)
     return path
 
 

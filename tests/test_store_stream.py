@@ -188,3 +188,19 @@ def test_asof_plans_agree_under_hot_key(spark):
     hot_buckets = (f.filter(F.col("key") == "hot")
                    .select(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (30 * 86400))).distinct().count())
     assert hot_buckets >= 25
+
+
+def test_a_busy_day_of_the_log_is_written_by_several_tasks(spark):
+    import uuid
+
+    from featurewatch.operators import log_stats
+
+    rows = log_stats.build_log(spark.range(2000), F.col("id").cast("string"), F.col("id"), F.lit("2024-01-02 03:04:05").cast("timestamp_ntz"), F.lit(1), F.lit(0.5))
+    name = uuid.uuid4().hex
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        log_stats.append_log(spark, rows, name)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    log = log_stats.read_log(spark, name)
+    assert log.count() == 2000 and log.select(F.input_file_name()).distinct().count() > 1
