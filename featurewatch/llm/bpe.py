@@ -361,15 +361,34 @@ class ByteBPE:
         out[list(self.tokens)] = [len(b) for b in self.tokens.values()]
         return out
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-        """The bytes of each document: gathers every token's bytes from one table, at offsets kept by length."""
+    def token_offsets(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The byte of its document where each token starts."""
+        sizes = self._token_table()[0][ids]
+        upto = np.cumsum(sizes) - sizes
+        heads = np.cumsum(lengths) - lengths
+        return upto - np.repeat(np.r_[upto, 0][np.minimum(heads, len(upto))], lengths)
+
+    def _token_table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length of each token, where it stands in the bytes of all tokens, and these."""
         if not hasattr(self, "_table"):
             size = self.token_lengths
             self._size, self._at = size, np.r_[0, np.cumsum(size)][:-1]
             self._table = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(len(size))), np.uint8)
-        size = self._size[ids]
-        data = self._table[runs(self._at[ids], size)].tobytes()
-        ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(lengths)]].tolist()
+        return self._size, self._at, self._table
+
+    def decode(self, ids: np.ndarray, lengths: np.ndarray, offsets: np.ndarray | None = None) -> list[bytes]:
+        """The bytes of each document: every token's bytes, placed at its offset in the document (by default that of
+        the lengths of the tokens before it)."""
+        sizes, at, table = self._token_table()
+        size = sizes[ids]
+        offsets = self.token_offsets(ids, lengths) if offsets is None else offsets
+        full, last = np.flatnonzero(lengths), np.cumsum(lengths) - 1
+        whole = np.zeros(len(lengths), np.int64)
+        whole[full] = (offsets + size)[last[full]]                      # bytes of each document
+        ends = np.r_[0, np.cumsum(whole)]
+        out = np.zeros(ends[-1], np.uint8)
+        out[runs(np.repeat(ends[:-1], lengths) + offsets, size)] = table[runs(at[ids], size)]
+        data, ends = out.tobytes(), ends.tolist()
         return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
@@ -429,11 +448,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         bpe = tokenizer(shared.value)
         for own, ids, lengths in _encoded(batches, bpe):
-            sizes = bpe.token_lengths[ids]
-            upto = np.cumsum(sizes) - sizes
-            heads = (np.cumsum(lengths) - lengths)
-            base = np.repeat(np.r_[upto, 0][np.minimum(heads, len(upto))], lengths)
-            yield pa.RecordBatch.from_arrays([own, list_array(ids, lengths, pa.int32()), list_array(upto - base, lengths, pa.int32())],
+            yield pa.RecordBatch.from_arrays([own, list_array(ids, lengths, pa.int32()), list_array(bpe.token_offsets(ids, lengths), lengths, pa.int32())],
                                              ["doc_id", "ids", "offsets"])
 
     return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
@@ -463,7 +478,7 @@ def encode_and_decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", te
     def run(batches):
         bpe = tokenizer(shared.value)
         for own, ids, lengths in _encoded(batches, bpe):
-            yield pa.RecordBatch.from_arrays([own, list_array(ids, lengths, pa.int32()), pa.array(bpe.decode(ids, lengths), pa.binary())],
+            yield pa.RecordBatch.from_arrays([own, list_array(ids, lengths, pa.int32()), pa.array(bpe.decode(ids, lengths, bpe.token_offsets(ids, lengths)), pa.binary())],
                                              ["doc_id", "ids", "decoded"])
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),

@@ -78,3 +78,12 @@ def test_added_tokens_of_a_json_vocabulary(frame):
         assert r.ids == want[r.doc_id] and all(texts[r.doc_id].encode()[o:].startswith(own.tokens[t]) for o, t in zip(r.offsets, r.ids, strict=True))
     # a rank file has none
     assert bpe.encode_and_decode(df, MULTI).filter("doc_id = 15").first().ids == LIBRARY.encode_ordinary(texts[15])
+
+
+def test_decoding_goes_by_offsets():
+    ids, lengths = np.array([i for t in ("ab cd", "", "日本 x") for i in LIBRARY.encode_ordinary(t)], np.int32), np.array(
+        [len(LIBRARY.encode_ordinary(t)) for t in ("ab cd", "", "日本 x")])
+    offsets = OWN.token_offsets(ids, lengths)
+    assert OWN.decode(ids, lengths, offsets) == [t.encode() for t in ("ab cd", "", "日本 x")]
+    gap = offsets + np.r_[np.arange(lengths[0]), np.zeros(lengths[2], np.int64)]
+    assert OWN.decode(ids, lengths, gap)[0] == b"ab\0 c\0d"
