@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurewatch.llm import ann, bpe, html_text, langid, packing, simhash, substring_dedup, topk, toxicity, url_filter
+from featurewatch.llm import ann, bpe, html_text, langid, packing, resampling, simhash, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -156,3 +156,36 @@ ORACLE_SQL["op8_url_filter"] = r"""
     m AS (SELECT page_id, count(*) AS n, string_agg(list || ' ' || pattern, '; ' ORDER BY list, pattern) AS matched FROM latest WHERE active = 1 GROUP BY page_id)
     SELECT p.page_id, p.host, coalesce(m.n, 0) AS n_matches, coalesce(m.matched, '') AS matched, coalesce(m.n, 0) > 0 AS blocked
     FROM p LEFT JOIN m ON m.page_id = p.page_id"""
+
+
+@_query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), sizes=range(1, 2), buckets=10_000, seed=2024, percent=10, min_words=20)
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+#: DuckDB has no CRC-32: a table of its 256 steps is folded over the bytes of each distinct word.
+ORACLE_SQL["op13_resampling"] = r"""
+    WITH steps AS (SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0],
+                       lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+    w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    v AS (SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+    d AS (SELECT doc_id, unnest(words) AS word FROM w),
+    e AS (SELECT unnest(words) AS word FROM v),
+    crc AS (
+        SELECT word, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT))),
+                                     lambda c, b: xor(c >> 8, step[CAST((xor(c, b) & 255) + 1 AS INTEGER)])), 4294967295) % 10000 AS bucket
+        FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM d UNION SELECT word FROM e)), steps),
+    s AS (SELECT bucket, count(*) AS n FROM d JOIN crc USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS n FROM e JOIN crc USING (word) GROUP BY bucket),
+    total AS (SELECT coalesce((SELECT sum(n) FROM s), 0) AS s_all, coalesce((SELECT sum(n) FROM t), 0) AS t_all),
+    gain AS (SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * (s_all + 10000.0::DOUBLE) / ((s.n + 1.0::DOUBLE) * (t_all + 10000.0::DOUBLE)))) AS BIGINT) AS g
+             FROM s LEFT JOIN t USING (bucket), total),
+    weights AS (SELECT doc_id, count(*) AS n, CAST(sum(g) AS BIGINT) AS g FROM d JOIN crc USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+    r AS (SELECT w.doc_id, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN (g - ((g % n) + n) % n) // n ELSE 0 END AS weight,
+                 CAST('0x' || substr(sha256('2024:' || w.doc_id), 1, 8) AS BIGINT) AS h
+          FROM w LEFT JOIN weights USING (doc_id)),
+    x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM r),
+    y AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+                 count(*) OVER (PARTITION BY n_features >= 20) AS n FROM x)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM y"""
