@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurewatch.llm import ann, bpe, html_text, langid, packing, resampling, simhash, substring_dedup, topk, toxicity, url_filter
+from featurewatch.llm import ann, bpe, html_text, langid, packing, periodic_runs, resampling, simhash, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -189,3 +189,29 @@ ORACLE_SQL["op13_resampling"] = r"""
     y AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
                  count(*) OVER (PARTITION BY n_features >= 20) AS n FROM x)
     SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM y"""
+
+
+def _looped(docs: DataFrame) -> DataFrame:
+    """Gives the documents that a hash of the id names a periodic end: word i from a on becomes word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def altered(w):
+        a = g % F.size(w)
+        p = 1 + F.floor((F.size(w) - a) / (3 + g % 8))
+        return F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " ")
+
+    # the array of one item binds the words to a name, so they are split once a text
+    looped = F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, altered(w)).otherwise(F.lit("")))[0]
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").isNotNull(), looped).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.detect(_looped(_table(spark, sf_dir, "documents")), min_length=6, min_exponent=4)
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return out.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "strongest.start", "strongest.length", "strongest.period",
+                      F.floor(F.try_divide(1000 * F.col("strongest.length"), F.col("strongest.period"))).alias("exponent_milli"),
+                      F.sha2(F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                      F.sha2("collapsed", 256).alias("collapsed_sha256"))
