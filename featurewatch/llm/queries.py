@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featurewatch.llm import ann, bpe, html_text, langid, packing, periodic_runs, resampling, simhash, substring_dedup, topk, toxicity, url_filter
+from featurewatch.llm import ann, bpe, html_text, langid, ngram_join, packing, periodic_runs, resampling, simhash, substring_dedup, topk, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,3 +215,24 @@ def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.floor(F.try_divide(1000 * F.col("strongest.length"), F.col("strongest.period"))).alias("exponent_milli"),
                       F.sha2(F.array_join(F.transform(lines, lambda s: F.concat(s, F.lit("\n"))), ""), 256).alias("runs_sha256"),
                       F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@_query
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), size=3, percent=90)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+#: Pairs come from an index of shingles; those of very frequent shingles make it slow beyond small tables.
+ORACLE_SQL["op12_ngram_join"] = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    s AS (SELECT doc_id, list_distinct(CASE WHEN len(words) >= 3 THEN list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))
+                                            WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingles FROM w),
+    d AS (SELECT doc_id, coalesce(len(shingles), 0) AS n, shingles FROM s),
+    u AS (SELECT doc_id, n, unnest(shingles) AS shingle FROM d),
+    pairs AS (
+        SELECT x.doc_id AS a, y.doc_id AS b
+        FROM u x JOIN u y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+        GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+    reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b)
+    SELECT doc_id, n AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), doc_id)) AS component_id FROM d"""
