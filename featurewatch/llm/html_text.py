@@ -9,11 +9,15 @@ indentation, and the cells of a table are aligned in columns.
 
 Null or empty html gives an empty text. Broken markup never fails: what cannot be read as markup is text. Every row
 gives one row, so repeated rows and null ids stay. Extra columns are dropped. Depth of nesting is not limited; indent is.
+Time is in proportion to the page: the places of the open elements are known by name, so no tag walks the path, and
+of markup that has no end before the page ends, at most ``UNFINISHED`` pieces are tried as markup; then tags are cut.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -46,7 +50,8 @@ SCOPES = frozenset("table td th caption button html".split())
 
 _INVISIBLE_STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
-MAX_INDENT, PADDED = 20, 80
+_TAG = re.compile(r"<[^<>]*>")
+MAX_INDENT, PADDED, UNFINISHED = 20, 80, 64
 
 
 class Layout:
@@ -147,6 +152,7 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[list] = []
+        self.places: dict[str, list[int]] = {}            # of the open elements of each name, in the path
         self.flows = [Layout()]
         self.tables: list[list] = []
         self.inside = {"svg": 0, "math": 0}
@@ -170,7 +176,7 @@ class Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag == "br":
             self.handle_starttag("br", [])
-        elif tag == "p" and not any(e[0] == "p" for e in self.open):
+        elif tag == "p" and not self.places.get("p"):
             self._enter("p", {})
             self._pop()
         elif tag not in VOID:
@@ -186,18 +192,15 @@ class Page(HTMLParser):
             self.flows[-1].text(data, bool(self.open and self.open[-1][2]))
 
     def _close_to(self, names, stops) -> None:
-        """Closes up to the outermost open element of ``names`` that is not beyond one of ``stops``."""
-        last = None
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name in names:
-                last = k
-                if len(names) == 1:
-                    break
-            elif name in stops:
-                break
-        if last is not None:
-            while len(self.open) > last:
+        """Closes up to the open element of ``names`` (the outermost, if there are several names) that is not beyond one of
+        ``stops``."""
+        bar = max((self.places[s][-1] for s in stops if self.places.get(s)), default=-1)
+        if len(names) == 1:
+            last = [p[-1] for p in (self.places.get(names[0]),) if p and p[-1] > bar]
+        else:
+            last = [p[bisect_right(p, bar)] for p in map(self.places.get, names) if p and p[-1] > bar]
+        if last:
+            while len(self.open) > min(last):
                 self._pop()
 
     # the rendering
@@ -216,6 +219,7 @@ class Page(HTMLParser):
         state = 1 if tag == "details" and "open" in attrs else 0
         if tag == "ol" and (attrs.get("start") or "").strip().lstrip("-").isdigit():
             state = int(attrs["start"]) - 1
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append([tag, hidden, exact, state])
         if hidden:
             return
@@ -252,6 +256,7 @@ class Page(HTMLParser):
 
     def _pop(self) -> None:
         tag, hidden, _, state = self.open.pop()
+        self.places[tag].pop()
         if tag in self.inside:
             self.inside[tag] -= 1
         if hidden:
@@ -287,6 +292,17 @@ def visible_text(html: str) -> str:
     page = Page()
     try:
         page.feed(html)
+        for tried in range(UNFINISHED + 1):
+            rest = page.rawdata
+            if rest[:1] != "<" or page.cdata_elem:
+                break
+            page.rawdata = ""                             # markup without an end is text, up to the next sign of a tag
+            if tried == UNFINISHED:
+                page.handle_data(unescape(_TAG.sub(" ", rest)))
+                break
+            end = rest.find(">", 1) + 1 or max(rest.find("<", 1), 1)
+            page.handle_data(unescape(rest[:end]))
+            page.feed(rest[end:])
         page.close()
     except (AssertionError, ValueError):                  # a declaration that the tokeniser refuses
         rest, page.rawdata = page.rawdata, ""

@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -49,6 +50,24 @@ def test_long_and_deep_pages():
     assert visible_text("word " * 100_000) == ("word " * 100_000).strip()
 
 
+@pytest.mark.parametrize("piece", ["<div>", "<p>", "<p><button><div>", "<ul><li>", "<table><tr><td>", "<b><p>", "<!--", "<a ", "<a b='c", "<![CDATA[", "<?x ", "</a ", "<"])
+def test_time_grows_with_the_page(piece):
+    visible_text(piece * 100)
+    took = []
+    for n in (100_000, 400_000):
+        begun = time.process_time()
+        assert visible_text(piece * (n // len(piece)) + " end").endswith("end")
+        took.append(time.process_time() - begun)
+    assert took[1] < 10 * took[0] + 0.5, took              # 16 and more times as long, if it grew with the square
+
+
+def test_unfinished_markup_is_text():
+    assert visible_text("<p>one <b>two</b> <a href='x>three</a> <i>four</i>") .startswith("one two")
+    assert "three" in visible_text("<p>one <a href='x three") and "four" in visible_text("x <!-- y <p>four")
+    many = visible_text("<a b='" * 200 + "<p>last</p> word")
+    assert "last" in many and many.endswith("word")
+
+
 words = st.text(alphabet="abcdefgh", min_size=1, max_size=6)
 tags = st.sampled_from("p div b i ul ol li table tr td th h1 span pre blockquote dl dt dd a body tbody caption select option".split())
 pieces = st.one_of(words.map(lambda w: ("w", w)), tags.map(lambda t: ("t", f"<{t}>")), tags.map(lambda t: ("t", f"</{t}>")))
