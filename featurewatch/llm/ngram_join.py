@@ -19,6 +19,10 @@ The order needs no exact counts: any order gives the same result. Each task coun
 parts of about ``PART`` and reports those that occur ``REPORTED`` times in a part; the sums of the ``ORDERED`` most
 frequent ones make the order, and all others come before them, by their hash.
 
+Two filters of fixed size (bitmaps of ``BITS`` bits, made by Spark) go out with the tasks: one of the shingles that stand
+in the prefixes of two sets, one of the sets that are in any posting. They let through some rows too many, which joins
+then drop, and save shuffling all prefixes and sets where few documents have a near copy.
+
 A text of fewer words than a shingle is one shingle of all its words. Texts without words (null, empty) have an empty
 set, are linked with nothing and are a class of their own. Null ids are linked like others; a class is named by its
 smallest id that is not null, or null. Repeated ids and rows stay. Extra columns are dropped. A text is worked on whole.
@@ -47,6 +51,7 @@ SALTS = 64
 PART = 1 << 21
 REPORTED = 4
 ORDERED = 1 << 16
+BITS = 1 << 25
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -151,12 +156,45 @@ def _prefixes(frequent: np.ndarray, times: np.ndarray, percent: int):
     return rows
 
 
-def _whole(ids, sets: Sets, state: dict):
-    full = sets.counts > 0
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(sets.names()[full]), pa.array(sets.counts[full].astype(np.int64)), list_array(sets.shingle.view(np.int64), sets.counts[full], pa.int64()),
-         list_array(sets.parities()[full].ravel(), np.full(int(full.sum()), 4), pa.int64())],
-        ["sid", "n", "shingles", "parities"])
+def _bitmap(values: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of ``BITS`` bits, one set for each value (its lowest bits); Spark makes it in parts of 4 kB."""
+    bit = F.col(column).bitwiseAND(F.lit(BITS - 1))
+    parts = values.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("part")).agg(
+        F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect()
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in parts:
+        out[r.part * 4096:(r.part + 1) * 4096] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values.view(np.int64) & (8 * len(bits) - 1)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among ``values`` (those of the same column)."""
+    shared, at = df.sparkSession.sparkContext.broadcast(_bitmap(values, column)), df.columns.index(column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_bitmap(shared.value, batch.column(at).to_numpy())))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def _whole(bits):
+    """Sets that may be in ``bits``, each once in a piece of text."""
+    def rows(ids, sets: Sets, state: dict):
+        names = sets.names()
+        own = np.flatnonzero((sets.counts > 0) & _in_bitmap(bits.value, names))
+        own = own[np.unique(names[own], return_index=True)[1]]
+        members = runs(sets.bounds[own], sets.counts[own])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names[own]), pa.array(sets.counts[own].astype(np.int64)), list_array(sets.shingle[members].view(np.int64), sets.counts[own], pa.int64()),
+             list_array(sets.parities()[own].ravel(), np.full(len(own), 4), pa.int64())],
+            ["sid", "n", "shingles", "parities"])
+    return rows
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -204,14 +242,19 @@ def _dealt(postings: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with ``linked``: whether 100 intersections are at least ``percent`` unions. The rows of one ``a`` are
-    dealt over ``SALTS`` groups."""
+    """Pairs (a, b) with ``linked``: whether 100 intersections are at least ``percent`` unions. The suffix filter comes
+    first, so that few sets are sent. The rows of one ``a`` are dealt over ``SALTS`` groups."""
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
-    side = lambda p: sets.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col("shingles").alias(f"shingles_{p}"))
-    left = pairs.select("a", "salt").distinct().join(side("a"), "a")
-    both = pairs.join(left, ["a", "salt"]).join(side("b"), "b")
-    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    rows = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), shared.alias("shared"))
+
+    def with_sides(pairs: DataFrame, column: str) -> DataFrame:
+        side = lambda p: sets.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col(column).alias(f"x_{p}"))
+        left = pairs.select("a", "salt").distinct().join(side("a"), "a")
+        return pairs.join(left, ["a", "salt"]).join(side("b"), "b")
+
+    near = with_sides(pairs, "parities")
+    apart = sum((F.bit_count(F.col("x_a")[k].bitwiseXOR(F.col("x_b")[k])) for k in range(4)), F.lit(0))
+    near = near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "salt")
+    rows = with_sides(near, "shingles").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), F.size(F.array_intersect("x_a", "x_b")).alias("shared"))
     return rows.select("a", "b", (100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).alias("linked"))
 
 
@@ -232,12 +275,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     frequent, times = np.array([r.shingle for r in often], np.int64).view(np.uint64), np.array([r.times for r in often], np.int64)
     order = np.argsort(frequent)
     prefixes = _over_pieces(texts, size, "shingle long, sid long, n long, place long", _prefixes(frequent[order], times[order], percent))
-    prefixes = stored(prefixes.groupBy("shingle", "sid").agg(F.min("n").alias("n"), F.min("place").alias("place")), "prefixes")
+    prefixes = stored(prefixes, "prefixes")
     # only shingles that stand in the prefixes of two sets give candidates
-    common = stored(prefixes.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least <> most").select("shingle"), "common")
-    postings = stored(prefixes.join(common, "shingle", "left_semi"), "postings")
+    common = prefixes.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least <> most").select("shingle")
+    common = stored(common, "common")
+    postings = _maybe_in(prefixes, "shingle", common).groupBy("shingle", "sid").agg(F.min("n").alias("n"), F.min("place").alias("place"))
+    postings = stored(postings.join(common, "shingle", "left_semi"), "postings")
     active = stored(postings.select("sid").distinct(), "active")
-    whole = _over_pieces(texts, size, "sid long, n long, shingles array<long>, parities array<long>", _whole)
+    bits = spark.sparkContext.broadcast(_bitmap(active, "sid"))
+    whole = _over_pieces(texts, size, "sid long, n long, shingles array<long>, parities array<long>", _whole(bits))
     sets = stored(whole.join(active, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
 
     # the first round: every member of a posting with its leader

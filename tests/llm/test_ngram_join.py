@@ -57,6 +57,7 @@ def corpus(rng, words, originals, copies):
 def test_components_equal_brute_force(frame, monkeypatch, posting, percent, ordered):
     monkeypatch.setattr(ngram_join, "POSTING", posting)
     monkeypatch.setattr(ngram_join, "ORDERED", max(ordered, 1))
+    monkeypatch.setattr(ngram_join, "BITS", 1 << (25 if posting == 512 else 15))
     rng = random.Random(posting + percent)
     texts = corpus(rng, [f"w{i}" for i in range(40)] + ["Ünï", "ABC", "a\x0bb"], 70, 7)
     base = rng.choices([f"u{i}" for i in range(90)], k=120)
@@ -99,3 +100,10 @@ def test_the_filters_pass_every_linked_pair():
         x, y = (set(sets.shingle[a:b].tolist()) for a, b in zip(sets.bounds, sets.bounds[1:], strict=False))
         assert int(np.bitwise_count(np.bitwise_xor(*sets.parities().view(np.uint64))).sum()) <= len(x ^ y)
         assert len(x) == len(shingles(" ".join(words)))
+
+
+def test_bitmaps_hold_all_values(spark):
+    values = [0, 1, -1, 5, 1 << 40, -(1 << 50), (1 << 63) - 1, 32767, 32768, 99999]
+    bits = ngram_join._bitmap(spark.createDataFrame([(v,) for v in values], "sid long"), "sid")
+    assert ngram_join._in_bitmap(bits, np.array(values)).all() and int(np.bitwise_count(bits).sum()) == len({v & (ngram_join.BITS - 1) for v in values})
+    assert not ngram_join._in_bitmap(bits, np.array([2, 3, 77])).any()
