@@ -19,9 +19,9 @@ The order needs no exact counts: any order gives the same result. Each task coun
 parts of about ``PART`` and reports those that occur ``REPORTED`` times in a part; the sums of the ``ORDERED`` most
 frequent ones make the order, and all others come before them, by their hash.
 
-Two filters of fixed size (bitmaps of ``BITS`` bits, made by Spark) go out with the tasks: one of the shingles that stand
-in the prefixes of two sets, one of the sets that are in any posting. They let through some rows too many, which joins
-then drop, and save shuffling all prefixes and sets where few documents have a near copy.
+Sets are read again from the texts only for pairs that pass all filters. Filters of fixed size (bitmaps of ``BITS`` bits,
+made by Spark) go out with the tasks: of the shingles that stand in the prefixes of two sets, and of the sets to be
+verified. They let through some rows too many, which joins then drop, and save shuffling all prefixes and sets.
 
 A text of fewer words than a shingle is one shingle of all its words. Texts without words (null, empty) have an empty
 set, are linked with nothing and are a class of their own. Null ids are linked like others; a class is named by its
@@ -117,12 +117,14 @@ def _over_pieces(df: DataFrame, size: int, schema: str, rows, last=None) -> Data
     return df.mapInArrow(run, schema)
 
 
-_NAMED = ["id", "n", "sid", "shingle", "times"]
+_NAMED = ["id", "n", "sid", "parities", "shingle", "times"]
+_PARITIES = pa.list_(pa.int64())
 
 
 def _named(ids: pa.Array, sets: Sets, state: dict):
     none = pa.nulls(len(ids), pa.int64())
-    yield pa.RecordBatch.from_arrays([ids, pa.array(sets.counts.astype(np.int64)), pa.array(sets.names()), none, none], _NAMED)
+    parities = list_array(sets.parities().ravel(), np.full(len(ids), 4), pa.int64())
+    yield pa.RecordBatch.from_arrays([ids, pa.array(sets.counts.astype(np.int64)), pa.array(sets.names()), parities, none, none], _NAMED)
     state.setdefault("part", []).append(sets.shingle)
     if sum(map(len, state["part"])) >= PART:
         yield from _reported(state)
@@ -134,7 +136,8 @@ def _reported(state: dict):
         shingle, times = np.unique(np.concatenate(parts), return_counts=True)
         often = times >= REPORTED
         none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array(shingle[often].view(np.int64)), pa.array(times[often].astype(np.int64))], _NAMED)
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), _PARITIES), pa.array(shingle[often].view(np.int64)),
+                                          pa.array(times[often].astype(np.int64))], _NAMED)
 
 
 def prefix_length(n, percent: int):
@@ -191,9 +194,8 @@ def _whole(bits):
         own = own[np.unique(names[own], return_index=True)[1]]
         members = runs(sets.bounds[own], sets.counts[own])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[own]), pa.array(sets.counts[own].astype(np.int64)), list_array(sets.shingle[members].view(np.int64), sets.counts[own], pa.int64()),
-             list_array(sets.parities()[own].ravel(), np.full(len(own), 4), pa.int64())],
-            ["sid", "n", "shingles", "parities"])
+            [pa.array(names[own]), pa.array(sets.counts[own].astype(np.int64)), list_array(sets.shingle[members].view(np.int64), sets.counts[own], pa.int64())],
+            ["sid", "n", "shingles"])
     return rows
 
 
@@ -241,20 +243,25 @@ def _dealt(postings: DataFrame) -> DataFrame:
         F.explode(F.when(F.col("count") <= POSTING, F.array(key(zero, zero))).otherwise(others)).alias("key"), "member")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with ``linked``: whether 100 intersections are at least ``percent`` unions. The suffix filter comes
-    first, so that few sets are sent. The rows of one ``a`` are dealt over ``SALTS`` groups."""
-    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+def _with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """``pairs`` (a, b) with the sizes and ``column`` of both sets, as n_a, n_b, x_a and x_b. The rows of one ``a`` are
+    dealt over ``SALTS`` groups."""
+    side = lambda p: sets.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col(column).alias(f"x_{p}"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    left = salted.select("a", "salt").distinct().join(side("a"), "a")
+    return salted.join(left, ["a", "salt"]).join(side("b"), "b")
 
-    def with_sides(pairs: DataFrame, column: str) -> DataFrame:
-        side = lambda p: sets.select(F.col("sid").alias(p), F.col("n").alias(f"n_{p}"), F.col(column).alias(f"x_{p}"))
-        left = pairs.select("a", "salt").distinct().join(side("a"), "a")
-        return pairs.join(left, ["a", "salt"]).join(side("b"), "b")
 
-    near = with_sides(pairs, "parities")
+def _similar(pairs: DataFrame, lights: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that pass the suffix filter."""
+    near = _with_sides(pairs, lights, "parities")
     apart = sum((F.bit_count(F.col("x_a")[k].bitwiseXOR(F.col("x_b")[k])) for k in range(4)), F.lit(0))
-    near = near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "salt")
-    rows = with_sides(near, "shingles").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), F.size(F.array_intersect("x_a", "x_b")).alias("shared"))
+    return near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with ``linked``: whether 100 intersections are at least ``percent`` unions."""
+    rows = _with_sides(pairs, sets, "shingles").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sizes"), F.size(F.array_intersect("x_a", "x_b")).alias("shared"))
     return rows.select("a", "b", (100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared"))).alias("linked"))
 
 
@@ -269,8 +276,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return spark.read.parquet(path)
 
     texts = id_and_text(df, id_col, text_col)
-    rows = stored(_over_pieces(texts, size, "id long, n long, sid long, shingle long, times long", _named, _reported), "rows")
+    rows = stored(_over_pieces(texts, size, "id long, n long, sid long, parities array<long>, shingle long, times long", _named, _reported), "rows")
     docs = rows.filter("times is null").select("id", "n", "sid")
+    lights = stored(rows.filter("times is null and n > 0").select("sid", "n", "parities").dropDuplicates(["sid"]), "lights")
     often = rows.filter("times is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(ORDERED).collect()
     frequent, times = np.array([r.shingle for r in often], np.int64).view(np.uint64), np.array([r.times for r in often], np.int64)
     order = np.argsort(frequent)
@@ -281,10 +289,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common = stored(common, "common")
     postings = _maybe_in(prefixes, "shingle", common).groupBy("shingle", "sid").agg(F.min("n").alias("n"), F.min("place").alias("place"))
     postings = stored(postings.join(common, "shingle", "left_semi"), "postings")
-    active = stored(postings.select("sid").distinct(), "active")
-    bits = spark.sparkContext.broadcast(_bitmap(active, "sid"))
-    whole = _over_pieces(texts, size, "sid long, n long, shingles array<long>, parities array<long>", _whole(bits))
-    sets = stored(whole.join(active, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Stored: the pairs, verified. Only the sets of these pairs are read again from the texts."""
+        pairs = stored(pairs, f"{name}_pairs")
+        active = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{name}_active")
+        bits = spark.sparkContext.broadcast(_bitmap(active, "sid"))
+        whole = _over_pieces(texts, size, "sid long, n long, shingles array<long>", _whole(bits))
+        sets = stored(whole.join(active, "sid", "left_semi").dropDuplicates(["sid"]), f"{name}_sets")
+        return stored(_verified(pairs, sets, percent), name)
 
     # the first round: every member of a posting with its leader
     leaders = stored(postings.groupBy("shingle").agg(F.min(F.struct("place", "sid", "n")).alias("leader")), "leaders")
@@ -292,7 +305,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     need = _needed(F.col("n"), F.col("leader.n"), percent)
     met = met.filter(100 * F.least("n", "leader.n") >= percent * F.greatest("n", "leader.n")).filter(
         F.least(F.col("n") - F.col("place"), F.col("leader.n") - F.col("leader.place")) >= need)
-    first = stored(_verified(met.select(F.col("leader.sid").alias("a"), F.col("sid").alias("b")).distinct(), sets, percent), "first")
+    first = verified(_similar(met.select(F.col("leader.sid").alias("a"), F.col("sid").alias("b")).distinct(), lights, percent), "first")
     joined = stored(connected_components(first.filter("linked").select("a", "b")), "joined")
 
     # the second round: pairs of a posting that are not yet in one component
@@ -300,13 +313,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = stored(members, "members")
     apart = stored(members.groupBy("shingle").agg(F.count("*").alias("count"), F.min("comp").alias("least"), F.max("comp").alias("most"))
                    .filter("least <> most").select("shingle", "count"), "apart")
-    open_postings = members.join(apart, "shingle").join(sets.select("sid", "parities"), "sid").select(
+    open_postings = members.join(apart, "shingle").join(lights.select("sid", "parities"), "sid").select(
         "shingle", "count", F.struct("sid", "n", "place", "comp", "parities").alias("member"))
     lists = _dealt(open_postings).groupBy("key").agg(F.collect_list("member").alias("members")).select("members")
     pairs = lists.mapInArrow(_member_pairs(percent), "a long, b long").distinct()
     done = first.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = stored(_verified(pairs.join(done, ["a", "b"], "left_anti"), sets, percent).filter("linked").select("a", "b"), "second")
-    if not second.isEmpty():
+    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "second_candidates")
+    if not pairs.isEmpty():
+        second = verified(pairs, "second").filter("linked").select("a", "b")
         joined = stored(connected_components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)), "rejoined")
 
     least = docs.filter("n > 0").groupBy("sid").agg(F.min("id").alias("least"))
