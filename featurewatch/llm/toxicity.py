@@ -1,15 +1,18 @@
 """Operator 10: toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult, threat, target, negation, reporting verb, other. Small transducers read the symbols of
-a clause: one remembers a target nearby, one a negation before, one that speech is reported, one a threat that waits
-for its target. Their composition is one transition table. It emits a reading for every insult or threat (plain,
-targeted, negated, reported), and the reading scales the word's weight: a clause is scored, not a word.
+Words become symbols: insult, threat, target, negation, reporting verb, other. Transducers rewrite the symbols of a
+clause, letter by letter: one marks insults and threats that a target follows (it reads the clause from its end), one
+those that a target precedes, one turns insults into hits, one waits with a threat until it is aimed at a target and
+lets it go otherwise, one denies hits after a negation, one sets apart what is reported speech. ``compose`` makes one
+transition table of the machines that read forwards, so a clause is read once in each direction, and each hit gets a
+reading (plain, targeted, negated, reported). The reading scales the word's weight: a clause is scored, not a word.
 
 The weights of insults are learned from labelled rows: log odds of whole words and of word beginnings (which catches
 inflected forms), kept where the evidence is beyond what chance gives over as many candidates. A logistic
 regression turns the clause scores of a document into a score from 0 to 1; it is fitted on clauses found with weights
-that were learned from other rows. The classifier is fitted on a bounded sample of labelled rows, ``SAMPLE_ROWS``,
-chosen by a hash of the id, copies of one text counted once. All texts are scored whole.
+that were learned from other rows. The classifier is fitted on a bounded sample of labelled rows, about ``SAMPLE_ROWS``,
+drawn per label by a hash of the id (the rarer label comes whole up to half of the sample), copies of one text counted
+once; the logistic regression weighs each label by its share of all labelled rows. All texts are scored whole.
 
 Null and empty texts have no clause and get the score of a text without any. Repeated rows and ids stay; a null id
 is never learned from. Extra columns are dropped. Without labels of both classes every score is 0.
@@ -19,7 +22,9 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +39,9 @@ FOLDS = 4
 BEGINNINGS = range(4, 9)
 THRESHOLD = 0.7
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
-PLAIN, TARGETED, NEGATED, REPORTED = range(1, 5)
+#: Letters of the machines: kinds of words, those marked as aimed at a target, and the readings of hits.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, AIMED_INSULT, AIMED_THREAT, PLAIN, TARGETED, NEGATED, REPORTED = range(12)
+LETTERS = 12
 #: What a reading makes of a word's weight.
 SCALE = {PLAIN: 1.0, TARGETED: 1.5, NEGATED: 0.4, REPORTED: 0.5}
 THREAT_WEIGHT = 1.0
@@ -54,55 +60,65 @@ _ENDS_CLAUSE = np.isin(np.arange(256), [ord(c) for c in ".!?;:\n"])
 
 @dataclass(frozen=True)
 class Transducer:
-    """Mealy machine over symbols: step(state, symbol) gives the next state and an output."""
+    """Mealy machine over ``LETTERS``: step(state, letter) gives the next state and the letter written. State 0 begins."""
     states: int
-    step: object
+    step: Callable[[int, int], tuple[int, int]]
 
 
-def remembers(symbol: int, words: int) -> Transducer:
-    """Outputs whether ``symbol`` stood among the ``words`` words before."""
-    return Transducer(words + 1, lambda q, s: (words if s == symbol else max(q - 1, 0), q > 0))
+def near(marker: int, words: int, rewrite: dict[int, int]) -> Transducer:
+    """Rewrites letters that stand up to ``words`` words after ``marker``."""
+    return Transducer(words + 1, lambda q, x: (words if x == marker else max(q - 1, 0), rewrite.get(x, x) if q else x))
 
 
-def since(symbol: int) -> Transducer:
-    """Outputs whether ``symbol`` stood earlier in the clause."""
-    return Transducer(2, lambda q, s: (1 if s == symbol else q, q > 0))
+def later(marker: int, rewrite: dict[int, int]) -> Transducer:
+    """Rewrites letters that stand anywhere after ``marker``."""
+    return Transducer(2, lambda q, x: (1 if x == marker else q, rewrite.get(x, x) if q else x))
 
 
-def compose(target: Transducer, negation: Transducer, report: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """One table for the machines running side by side: next state and reading for each [state, symbol]."""
-    n = target.states * negation.states * report.states
-    follow, reading = np.zeros((n, 6), np.int64), np.zeros((n, 6), np.int64)
-    for q in range(n):
-        t, rest = divmod(q, negation.states * report.states)
-        g, r = divmod(rest, report.states)
-        for s in range(6):
-            (t2, near), (g2, denied), (r2, told) = target.step(t, s), negation.step(g, s), report.step(r, s)
-            follow[q, s] = (t2 * negation.states + g2) * report.states + r2
-            if s in (INSULT, THREAT):
-                reading[q, s] = NEGATED if denied else REPORTED if told else TARGETED if near else PLAIN
-    return follow, reading
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that feeds what ``first`` writes to ``second``."""
+    def step(q: int, x: int) -> tuple[int, int]:
+        a, b = divmod(q, second.states)
+        a, x = first.step(a, x)
+        b, x = second.step(b, x)
+        return a * second.states + b, x
+
+    return Transducer(first.states * second.states, step)
+
+
+def table(machine: Transducer) -> tuple[list[list[int]], list[list[int]]]:
+    """Next state and letter written, for each [state, letter]."""
+    steps = [[machine.step(q, x) for x in range(LETTERS)] for q in range(machine.states)]
+    return [[q for q, _ in row] for row in steps], [[x for _, x in row] for row in steps]
 
 
 NEAR, DENIAL = 4, 3
-FOLLOW, READING = (x.tolist() for x in compose(remembers(TARGET, NEAR), remembers(NEGATION, DENIAL), since(REPORT)))
+_AIM = {INSULT: AIMED_INSULT, THREAT: AIMED_THREAT}
+#: Reads the clause from its end: a target follows.
+AIMED_AHEAD = near(TARGET, NEAR, _AIM)
+#: Read the clause from its start, each what the one before has written.
+AIMED_BEHIND = near(TARGET, NEAR, _AIM)
+INSULTS = Transducer(1, lambda q, x: (q, {INSULT: PLAIN, AIMED_INSULT: TARGETED}.get(x, x)))
+THREATS_AIMED = Transducer(1, lambda q, x: (q, {THREAT: OTHER, AIMED_THREAT: TARGETED}.get(x, x)))
+DENIED = near(NEGATION, DENIAL, {PLAIN: NEGATED, TARGETED: NEGATED})
+TOLD = later(REPORT, {PLAIN: REPORTED, TARGETED: REPORTED})
+FORWARD = (AIMED_BEHIND, INSULTS, THREATS_AIMED, DENIED, TOLD)
+GRAMMAR = reduce(compose, FORWARD)
+(_BACK, _MARK), (_FOLLOW, _WRITE) = table(AIMED_AHEAD), table(GRAMMAR)
 
 
 def read_clause(symbols: list[int], weights: list[float]) -> list[tuple[int, int, float]]:
-    """(word, reading, weight) of every insult, and of every threat that has a target nearby."""
-    state, out = 0, []
-    for i, s in enumerate(symbols):
-        if reading := READING[state][s]:
-            out.append((i, reading, weights[i]))
-        state = FOLLOW[state][s]
-    found = []
-    for i, reading, weight in out:
-        aimed = reading == TARGETED or TARGET in symbols[i + 1:i + 1 + NEAR]      # a target may also follow
-        if reading == PLAIN and aimed:
-            reading = TARGETED
-        if symbols[i] == THREAT and not aimed:
-            continue
-        found.append((i, reading, SCALE[reading] * weight))
+    """(word, reading, weight) of every hit of a clause."""
+    marked, state = [], 0
+    for x in reversed(symbols):
+        marked.append(_MARK[state][x])
+        state = _BACK[state][x]
+    found, state = [], 0
+    for i, x in enumerate(reversed(marked)):
+        reading = _WRITE[state][x]
+        state = _FOLLOW[state][x]
+        if reading in SCALE:
+            found.append((i, reading, SCALE[reading] * weights[i]))
     return found
 
 
@@ -191,12 +207,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.c_[x, np.ones(len(x))] @ self.coefficients, -30, 30)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> np.ndarray:
-    """Newton's method with a small ridge; x has a last column of ones."""
-    w = np.zeros(x.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.5, rounds: int = 100) -> np.ndarray:
+    """Newton's method with a small ridge; x has a last column of ones; ``weight`` of each row (1, if not given)."""
+    w, weight = np.zeros(x.shape[1]), np.ones(len(x)) if weight is None else weight
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -235,14 +251,32 @@ def _counts(batches):
                                               pa.array(list(counts.values()), pa.int64())], ["key", "slot", "n"])
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from rows with a text and a label 0 or 1. What reaches the driver (counts of the candidates that stand
-    out, features of the sample) is bounded by ``sample_rows``."""
+def sampled_by_label(rows: DataFrame, key: Column, label_col: str, sample_rows: int) -> tuple[DataFrame, dict[int, float]]:
+    """About ``sample_rows`` rows, chosen by a hash of ``key`` within each label, and how many rows each row taken stands
+    for. The rarer label comes whole, if it fills no more than half of the sample; all rows come, if there are no more."""
+    counts = {r[label_col]: r["count"] for r in rows.groupBy(label_col).count().collect()}
+    n = sum(counts.values())
+    if n <= sample_rows:
+        return rows, dict.fromkeys(counts, 1.0)
+    rare = min(counts, key=lambda k: (counts[k], k))
+    take = dict.fromkeys(counts, sample_rows)
+    if len(counts) > 1:
+        take[rare] = min(counts[rare], sample_rows // 2)
+        take[1 - rare] = sample_rows - take[rare]
+    share = {k: min(1.0, take[k] / counts[k]) for k in counts}
+    below = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 20)))])
+    return rows.filter(F.pmod(F.xxhash64(F.lit(31), key), F.lit(1 << 20)) < below[F.col(label_col)]), {k: 1 / v for k, v in share.items()}
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS,
+        stands_for: dict[int, float] | None = None) -> Model:
+    """Learns from rows with a text and a label 0 or 1; ``stands_for`` tells how many rows a row of each label counts for,
+    where a sample is given. What reaches the driver (counts of the candidates that stand out, features of the sample) is
+    bounded by ``sample_rows``."""
     rows = importable(labelled).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")
                                        ).filter("text is not null and label in (0, 1)")
-    n = rows.count()
-    if n > sample_rows:
-        rows = rows.filter(F.pmod(F.xxhash64(F.lit(29), "id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
+    if stands_for is None:
+        rows, stands_for = sampled_by_label(rows, F.col("id"), "label", sample_rows)
     hash_ = F.xxhash64("text")
     sample = materialize(rows.groupBy(hash_.alias("h"), "text").agg(F.max("label").alias("label")).select(
         "text", F.pmod(F.col("h"), F.lit(FOLDS)).cast("int").alias("fold"), "label"))
@@ -273,7 +307,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
     x, y = np.array(rows["x"].to_pylist(), np.float64), rows["label"].to_numpy().astype(np.float64)
     centre, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     spread[spread < 1e-6] = 1.0
-    return Model(whole, logistic(np.c_[(x - centre) / spread, np.ones(len(x))], y), centre, spread)
+    weight = np.where(y == 1, stands_for.get(1, 1.0), stands_for.get(0, 1.0))
+    return Model(whole, logistic(np.c_[(x - centre) / spread, np.ones(len(x))], y, weight), centre, spread)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -308,8 +343,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 def fit_on_others(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the labelled rows that are not held out."""
     known = labels.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    if n > sample_rows:
-        known = known.filter(F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1 << 20)) < int(sample_rows / n * (1 << 20)))
+    known, stands_for = sampled_by_label(known, F.col("doc_id"), "toxic", sample_rows)
     # at most about sample_rows ids and labels are broadcast, so the texts are not shuffled
-    return fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), sample_rows=2 * sample_rows)
+    return fit(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), stands_for=stands_for)
