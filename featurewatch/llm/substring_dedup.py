@@ -1,6 +1,6 @@
 """Operator 6: removal of passages that repeat an earlier document, by greedy factors over a phrase index.
 
-The corpus is dealt into reference blocks of about ``BLOCK_BYTES``. Every block indexes its phrases of ``window``
+The corpus is dealt into reference blocks. Every block indexes its phrases of ``window``
 (13) consecutive words: a sorted list of phrase hashes, each with the place where it first stands in the smallest
 document. The lists of all blocks are merged by hash range, so each phrase of a block learns its source: the first
 place in the smallest document of the whole corpus in which it stands. Each document is then factored greedily, left to
@@ -12,6 +12,10 @@ checked as well (such factors overlap by up to 12 words). The words of the facto
 This follows relative Lempel-Ziv parsing, with the difference that a phrase has one source place: where a passage stands
 in several places, factors follow the first place of each phrase and may be shorter than the longest match.
 
+A block writes a row for each hash range, and a range a row for each block. Blocks and ranges are as many as the root of
+the corpus over ``CELL_BYTES``, so both grow with it, and the rows are in proportion to the text, up to blocks of
+``BLOCK_BYTES`` (some 13 GB of text); from there on blocks keep their size, and rows get shorter instead.
+
 Only distinct phrases leave a block (delta-coded and compressed), once per block however often they repeat there:
 a passage that stands in a third of all documents costs a row per block, not per document. The text is shuffled once;
 indexing and parsing read the same exchange.
@@ -22,6 +26,8 @@ neither sources nor cut. Null text has no words. Word hashes and phrase hashes h
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,7 +38,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from featurewatch.llm.arrow_text import binary_parts, importable, runs
 
 WINDOW = 13
-BLOCK_BYTES = 4 << 20
+#: Text of a block that falls into one hash range, in bytes, and the largest block.
+CELL_BYTES = 20 << 10
+BLOCK_BYTES = 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[32, *range(9, 14)]] = False      # white space that ends a word
@@ -242,14 +250,19 @@ def _block(parts: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "text", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())), F.lit(parts))
 
 
+def n_blocks(size: int, cell_bytes: int = CELL_BYTES, block_bytes: int = BLOCK_BYTES) -> int:
+    """Number of blocks, and of hash ranges, of ``size`` bytes of text."""
+    return max(isqrt(size // cell_bytes), size // block_bytes) + 1
+
+
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, keep_layout: bool = False) -> DataFrame:
+                   carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, keep_layout: bool = False, cell_bytes: int = CELL_BYTES) -> DataFrame:
     """Per row ``doc_id``, ``n_words``, ``n_removed``, ``text`` (the words left, joined by one space, or with
     ``keep_layout`` as they stood, the white space after a removed word gone too), ``factors`` (array of start word,
     words, source document and start word in it) and ``row``: a struct of the columns named in ``carry``, whatever their names."""
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = size // block_bytes + 1
+    parts = n_blocks(size, cell_bytes, block_bytes)
     row = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     docs = importable(df).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
     docs = docs.withColumn("block", _block(parts))

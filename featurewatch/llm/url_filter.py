@@ -6,9 +6,11 @@ patterns: its host and the host's parent domains, and its host with each leading
 looks each candidate up among the patterns and keeps the lists whose interval holds the time of the fetch, so every
 capture is judged by the entries that were active when it was fetched, not by today's.
 
-Everything is DataFrame operations. Candidates are made distinct before the lookup: a host is matched once however many
-captures it has, so a host with a third of all rows is one row there. The intervals go back to the captures by a
-join on a key that is unique on the right, which adaptive execution may split where the left is skewed.
+Everything is DataFrame operations. Candidates are made distinct before the lookup: a place is matched a few times
+however many captures it has. A hot place or pattern is dealt over ``SALTS`` groups by a salt from the rows that need it:
+the lookup runs once for each place and salt that occur, so no join meets a key with more than about its share of rows.
+Only candidates as deep as some listed pattern are made, so a URL of many parts costs its length for each depth in the
+list, not the square of its length.
 
 Patterns: ``domain:example.org`` (the domain and all below it), ``prefix:example.org/a/b`` (the host exactly, paths
 that start with these parts). Captures with a null or unreadable URL or a null time are kept with no match. An
@@ -34,17 +36,29 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, _PATH, 1), "^/", "")
 
 
-def candidates(host: Column, path: Column) -> Column:
-    """Domain patterns of the host and its parents, prefix patterns of the host and each leading part of the path."""
+#: Groups over which the rows of one place or pattern are dealt.
+SALTS = 64
+
+
+def candidates(host: Column, path: Column, domain_depths: Column, prefix_depths: Column) -> Column:
+    """Domain patterns of the host and its parents, prefix patterns of the host and each leading part of the path, where
+    a listed pattern has as many labels (``domain_depths``) or parts (``prefix_depths``, both arrays of distinct numbers)."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, i, F.lit(1 << 16)), ".")))
+    domains = F.transform(F.filter(domain_depths, lambda d: d <= F.size(labels)),
+                          lambda d: F.concat(F.lit("domain:"), F.array_join(F.slice(labels, F.size(labels) - d + 1, d), ".")))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))),
-        lambda i: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
+    prefixes = F.transform(F.filter(prefix_depths, lambda d: d <= F.size(parts)),
+                           lambda d: F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/")))
     return F.array_distinct(F.concat(domains, prefixes))
 
 
+def depths(patterns: DataFrame) -> Column:
+    """One value for all ``pattern``: the numbers of labels of the domains and of parts of the prefixes."""
+    count = lambda sign: F.length("pattern") - F.length(F.replace("pattern", F.lit(sign)))
+    return patterns.agg(F.struct(F.collect_set(F.when(F.startswith("pattern", F.lit("domain:")), count(".") + 1)).alias("domain"),
+                                 F.collect_set(F.when(F.startswith("pattern", F.lit("prefix:")) & (count("/") > 0), count("/"))).alias("prefix")).alias("d")).scalar()
+
+
 def validity_intervals(entries: DataFrame) -> DataFrame:
     """entries: ``list``, ``pattern``, ``action`` ('add' or 'remove'), ``listed_at``. Gives ``list``, ``pattern``, ``since``
     and ``until`` (null: still active) of every stretch in which the pattern is on the list."""
@@ -62,12 +76,17 @@ def evaluate(captures: DataFrame, entries: DataFrame, id_col: str = "id", url_co
     intervals = validity_intervals(entries).groupBy("pattern").agg(
         F.array_sort(F.collect_list(F.struct("list", "pattern", "since", "until"))).alias("intervals"))
     seen = captures.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(time_col).cast("timestamp").alias("at"))
-    seen = seen.select("id", "at", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    places = seen.filter("host is not null and at is not null").select("host", "path").distinct()
-    listed = places.select("host", "path", F.explode(candidates(F.col("host"), F.col("path"))).alias("pattern")).join(intervals, "pattern").groupBy(
-        "host", "path").agg(F.flatten(F.collect_list("intervals")).alias("intervals"))
+    salt = F.pmod(F.xxhash64("id", "at"), F.lit(SALTS)).alias("salt")
+    seen = seen.select("id", "at", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), salt)
+    places = seen.filter("host is not null and at is not null").select("host", "path", "salt").distinct()
+    known = depths(intervals.select("pattern"))
+    places = places.withColumns({"domain_depths": known["domain"], "prefix_depths": known["prefix"]})
+    wanted = places.select("host", "path", "salt", F.explode(candidates(*map(F.col, ("host", "path", "domain_depths", "prefix_depths")))).alias("pattern"))
+    wanted = wanted.withColumn("part", F.pmod(F.xxhash64("host", "path", "salt"), F.lit(SALTS)))
+    found = wanted.select("pattern", "part").distinct().join(intervals, "pattern")     # a pattern at most SALTS times
+    listed = wanted.join(found, ["pattern", "part"]).groupBy("host", "path", "salt").agg(F.flatten(F.collect_list("intervals")).alias("intervals"))
     active = lambda i: (i["since"] <= F.col("at")) & (i["until"].isNull() | (F.col("at") < i["until"]))
-    found = F.array_sort(F.transform(F.filter("intervals", active), lambda i: F.struct(i["list"].alias("list"), i["pattern"].alias("pattern"), i["since"].alias("since"))))
+    matches = F.array_sort(F.transform(F.filter("intervals", active), lambda i: F.struct(i["list"].alias("list"), i["pattern"].alias("pattern"), i["since"].alias("since"))))
     none = F.array().cast("array<struct<list:string,pattern:string,since:timestamp>>")
-    return seen.join(listed, ["host", "path"], "left").select("id", "host", F.coalesce(found, none).alias("matches")).withColumn(
+    return seen.join(listed, ["host", "path", "salt"], "left").select("id", "host", F.coalesce(matches, none).alias("matches")).withColumn(
         "blocked", F.size("matches") > 0)

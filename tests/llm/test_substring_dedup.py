@@ -87,3 +87,11 @@ def test_rows_without_an_id_are_dealt_over_blocks(frame):
     assert len(sizes) == 10 and max(sizes) < 75
     got = sd.remove_repeats(df, block_bytes=5000).collect()
     assert len(got) == 301 and all(r.n_removed == 0 and r.factors == [] for r in got)
+
+
+def test_index_rows_are_in_proportion_to_the_text(frame):
+    per_gb = [sd.n_blocks(size) ** 2 / size for size in (10 ** 8, 5 * 10 ** 8, 2 * 10 ** 9, 12 * 10 ** 9)]
+    assert max(per_gb) < 1.05 * min(per_gb) and sd.n_blocks(0) == 1 and sd.n_blocks(10 ** 12) * sd.BLOCK_BYTES > 10 ** 12
+    rows = [(i, t) for i, t in corpus(1)]
+    df = frame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in sd.remove_repeats(df, cell_bytes=100).collect()), key=str) == brute(rows)
