@@ -5,8 +5,8 @@ All shingles have one order, rare ones first. Two sets with a Jaccard index of `
 the first ``n - ceil(percent n) + 1`` of each, so only these prefixes are indexed, and a pair is a candidate where both
 prefixes hold a shingle. In each posting a pair must pass the length filter, the positional filter (what follows the
 common shingle in both sets must be enough; exact at the first common shingle of the pair, which is one of its
-postings) and the suffix filter: shingles are dealt to 256 classes, and the number of classes in which the two sets
-differ in parity bounds their difference from below. Candidates of all postings are made distinct, so each pair is
+postings) and the suffix filter: shingles are dealt to classes, about one for two shingles, and the number of classes in
+which the two sets differ in parity bounds their difference from below. Candidates of all postings are made distinct, so each pair is
 verified once, by the exact size of the intersection.
 
 Most candidates of a group of near copies join what is joined already. So there are two rounds. First each member
@@ -20,8 +20,8 @@ parts of about ``PART`` and reports those that occur ``REPORTED`` times in a par
 frequent ones make the order, and all others come before them, by their hash.
 
 Sets are read again from the texts only for pairs that pass all filters. Filters of fixed size (bitmaps of ``BITS`` bits,
-made by Spark) go out with the tasks: of the shingles that stand in the prefixes of two sets, and of the sets to be
-verified. They let through some rows too many, which joins then drop, and save shuffling all prefixes and sets.
+made by Spark) go out with the tasks: of the shingles that stand in the prefixes of two sets, and of the texts whose
+sets are to be verified. They let through some rows too many, which joins then drop, and save shuffling all prefixes and sets.
 
 A text of fewer words than a shingle is one shingle of all its words. Texts without words (null, empty) have an empty
 set, are linked with nothing and are a class of their own. Null ids are linked like others; a class is named by its
@@ -84,7 +84,8 @@ class Sets:
             more = length > j
             total[more] = total[more] * _STEP + h[first[more] + j]
         total = _mixed(total)
-        order = np.lexsort((total, doc))
+        order = np.argsort(total)
+        order = order[np.argsort(doc[order].astype(np.uint16 if len(n_words) < 1 << 16 else np.int64), kind="stable")]
         total, doc = total[order], doc[order]
         once = np.r_[True, (total[1:] != total[:-1]) | (doc[1:] != doc[:-1])] if len(total) else np.zeros(0, bool)
         self.shingle, self.doc = total[once], doc[once]
@@ -96,35 +97,41 @@ class Sets:
         sums = np.r_[np.zeros(1, np.uint64), np.cumsum(_mixed(self.shingle ^ _STEP), dtype=np.uint64)]
         return _mixed(sums[self.bounds[1:]] - sums[self.bounds[:-1]] + self.counts.astype(np.uint64)).view(np.int64)
 
-    def parities(self) -> np.ndarray:
-        """Four longs a set: for each of 256 classes of shingles whether the set holds an odd number of them."""
-        bit = self.shingle >> np.uint64(56)
-        odd = np.bincount(self.doc * 256 + bit.astype(np.int64), minlength=256 * len(self.counts)) & 1
-        return np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view(np.int64)
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """Longs, and how many for each set: for each class of shingles whether the set holds an odd number of them. The
+        class is the lowest bits of the shingle, so half as many classes are the exclusive or of both halves."""
+        longs = np.maximum(4, 1 << np.maximum(np.ceil(np.log2(np.maximum(self.counts, 1) / 128)), 0).astype(np.int64))
+        at = np.cumsum(64 * longs) - 64 * longs
+        bit = at[self.doc] + (self.shingle & (64 * longs[self.doc] - 1).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(bit, minlength=int(64 * longs.sum())) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), longs
 
 
-def _over_pieces(df: DataFrame, size: int, schema: str, rows, last=None) -> DataFrame:
-    """``rows(ids, sets)`` for each piece of a table of ``id`` and ``text``, and ``last()`` at the end of a task."""
+def _over_pieces(df: DataFrame, size: int, schema: str, rows, last=None, only=None) -> DataFrame:
+    """``rows(ids, sets, hashes, state)`` for each piece of a table of ``id``, ``text`` and ``hash`` (of the text), and
+    ``last(state)`` at the end of a task. ``only``: a shared bitmap of the hashes that count."""
     def run(batches):
         state: dict = {}
         for batch in batches:
+            if only is not None:
+                batch = batch.filter(pa.array(_in_bitmap(only.value, batch.column(2).to_numpy())))
             offsets, raw = binary_parts(batch.column(1))
             for a, b in row_pieces(offsets):
-                yield from rows(batch.column(0).slice(a, b - a), Sets(raw, offsets[a:b + 1], size), state)
+                yield from rows(batch.column(0).slice(a, b - a), Sets(raw, offsets[a:b + 1], size), batch.column(2).slice(a, b - a), state)
         if last:
             yield from last(state)
 
     return df.mapInArrow(run, schema)
 
 
-_NAMED = ["id", "n", "sid", "parities", "shingle", "times"]
+_NAMED = ["id", "n", "sid", "hash", "parities", "shingle", "times"]
 _PARITIES = pa.list_(pa.int64())
 
 
-def _named(ids: pa.Array, sets: Sets, state: dict):
+def _named(ids: pa.Array, sets: Sets, hashes: pa.Array, state: dict):
     none = pa.nulls(len(ids), pa.int64())
-    parities = list_array(sets.parities().ravel(), np.full(len(ids), 4), pa.int64())
-    yield pa.RecordBatch.from_arrays([ids, pa.array(sets.counts.astype(np.int64)), pa.array(sets.names()), parities, none, none], _NAMED)
+    yield pa.RecordBatch.from_arrays([ids, pa.array(sets.counts.astype(np.int64)), pa.array(sets.names()), hashes,
+                                      list_array(*sets.parities(), pa.int64()), none, none], _NAMED)
     state.setdefault("part", []).append(sets.shingle)
     if sum(map(len, state["part"])) >= PART:
         yield from _reported(state)
@@ -136,7 +143,7 @@ def _reported(state: dict):
         shingle, times = np.unique(np.concatenate(parts), return_counts=True)
         often = times >= REPORTED
         none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(none), _PARITIES), pa.array(shingle[often].view(np.int64)),
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), _PARITIES), pa.array(shingle[often].view(np.int64)),
                                           pa.array(times[often].astype(np.int64))], _NAMED)
 
 
@@ -145,16 +152,26 @@ def prefix_length(n, percent: int):
 
 
 def _prefixes(frequent: np.ndarray, times: np.ndarray, percent: int):
-    def rows(ids, sets, state):
-        shingle, doc = sets.shingle, sets.doc
+    def rows(ids, sets, hashes, state):
+        shingle, doc, n = sets.shingle, sets.doc, sets.counts
         at = np.minimum(np.searchsorted(frequent, shingle), max(len(frequent) - 1, 0))
         often = np.where(frequent[at] == shingle, times[at], 0) if len(frequent) else np.zeros(len(shingle), np.int64)
-        order = np.lexsort((shingle, often, doc))
-        place = np.arange(len(order)) - sets.bounds[doc]
-        n = sets.counts[doc]
-        keep = place < prefix_length(n, percent)
+        length = prefix_length(n, percent)
+        # the others come first, as they stand (by their hash); frequent ones follow where these do not fill the prefix
+        rare = often == 0
+        upto = np.r_[0, np.cumsum(rare)]
+        place = upto[:-1] - upto[sets.bounds[doc]]
+        n_rare = upto[sets.bounds[1:]] - upto[sets.bounds[:-1]]
+        first = np.flatnonzero(rare & (place < length[doc]))
+        more = np.flatnonzero(~rare & (n_rare < length)[doc])
+        more = more[np.lexsort((shingle[more], often[more], doc[more]))]
+        head = np.flatnonzero(np.r_[True, doc[more][1:] != doc[more][:-1]]) if len(more) else np.zeros(0, np.int64)
+        rank = np.arange(len(more)) - np.repeat(head, np.diff(np.r_[head, len(more)]))
+        behind = n_rare[doc[more]] + rank
+        fits = behind < length[doc[more]]
+        taken, placed = np.r_[first, more[fits]], np.r_[place[first], behind[fits]]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(shingle[order][keep].view(np.int64)), pa.array(sets.names()[doc[keep]]), pa.array(n[keep].astype(np.int64)), pa.array(place[keep])],
+            [pa.array(shingle[taken].view(np.int64)), pa.array(sets.names()[doc[taken]]), pa.array(n[doc[taken]].astype(np.int64)), pa.array(placed)],
             ["shingle", "sid", "n", "place"])
     return rows
 
@@ -186,17 +203,15 @@ def _maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
-def _whole(bits):
-    """Sets that may be in ``bits``, each once in a piece of text."""
-    def rows(ids, sets: Sets, state: dict):
-        names = sets.names()
-        own = np.flatnonzero((sets.counts > 0) & _in_bitmap(bits.value, names))
-        own = own[np.unique(names[own], return_index=True)[1]]
-        members = runs(sets.bounds[own], sets.counts[own])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names[own]), pa.array(sets.counts[own].astype(np.int64)), list_array(sets.shingle[members].view(np.int64), sets.counts[own], pa.int64())],
-            ["sid", "n", "shingles"])
-    return rows
+def _whole(ids: pa.Array, sets: Sets, hashes: pa.Array, state: dict):
+    """The sets of a piece, each once."""
+    names = sets.names()
+    own = np.flatnonzero(sets.counts > 0)
+    own = own[np.unique(names[own], return_index=True)[1]]
+    members = runs(sets.bounds[own], sets.counts[own])
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(names[own]), pa.array(sets.counts[own].astype(np.int64)), list_array(sets.shingle[members].view(np.int64), sets.counts[own], pa.int64())],
+        ["sid", "n", "shingles"])
 
 
 def _needed(n: Column, m: Column, percent: int) -> Column:
@@ -204,6 +219,22 @@ def _needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(percent * (n + m) / (100 + percent))
 
 
+def _apart(longs: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many classes the sets x and y of each pair differ in parity; the parities of set k are ``longs[ends[k]:ends[k + 1]]``.
+    Of two lengths the shorter counts: the longer one is folded to it."""
+    size, out = np.diff(ends), np.zeros(len(x), np.int64)
+    shorter = np.minimum(size[x], size[y])
+    for length in np.unique(shorter).tolist():
+        own = np.flatnonzero(shorter == length)
+        members, place = np.unique(np.r_[x[own], y[own]], return_inverse=True)
+        folded = np.empty((len(members), length), np.uint64)
+        for long in np.unique(size[members]).tolist():
+            at = np.flatnonzero(size[members] == long)
+            folded[at] = np.bitwise_xor.reduce(longs[ends[members[at], None] + np.arange(long)].reshape(len(at), -1, length), axis=1)
+        out[own] = np.bitwise_count(folded[place[:len(own)]] ^ folded[place[len(own):]]).sum(1, dtype=np.int64)
+    return out
+
+
 def _member_pairs(percent: int):
     """Pairs of a posting's members in different components that pass the length, positional and suffix filters."""
     def run(batches):
@@ -211,7 +242,8 @@ def _member_pairs(percent: int):
             lists = batch.column(0)
             offs, flat = lists.offsets.to_numpy(), lists.values
             sid, n, place, comp = (flat.field(c).to_numpy() for c in ("sid", "n", "place", "comp"))
-            parity = flat.field("parities").flatten().to_numpy().reshape(-1, 4).view(np.uint64)
+            parity = flat.field("parities")
+            ends, longs = parity.offsets.to_numpy(), parity.values.to_numpy().view(np.uint64)
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 x, y = np.triu_indices(b - a, 1)
@@ -223,10 +255,9 @@ def _member_pairs(percent: int):
                 need = -(-percent * (n[x] + n[y]) // (100 + percent))
                 keep = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
                 x, y, need = x[keep], y[keep], need[keep]
-                apart = np.bitwise_count(parity[x] ^ parity[y]).sum(1, dtype=np.int64)
-                keep = apart <= n[x] + n[y] - 2 * need
-                left.append(np.minimum(sid[x[keep]], sid[y[keep]]))
-                right.append(np.maximum(sid[x[keep]], sid[y[keep]]))
+                near = _apart(longs, ends, x, y) <= n[x] + n[y] - 2 * need
+                left.append(np.minimum(sid[x[near]], sid[y[near]]))
+                right.append(np.maximum(sid[x[near]], sid[y[near]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
     return run
 
@@ -254,9 +285,17 @@ def _with_sides(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
 
 def _similar(pairs: DataFrame, lights: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that pass the suffix filter."""
-    near = _with_sides(pairs, lights, "parities")
-    apart = sum((F.bit_count(F.col("x_a")[k].bitwiseXOR(F.col("x_b")[k])) for k in range(4)), F.lit(0))
-    return near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    def run(batches):
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
+            both = [batch.column(i) for i in (4, 5)]
+            longs = np.concatenate([c.flatten().to_numpy() for c in both]).view(np.uint64)
+            ends = np.r_[0, np.cumsum(np.concatenate([np.diff(c.offsets.to_numpy()) for c in both]))]
+            k = np.arange(len(a))
+            near = _apart(longs, ends, k, len(a) + k) <= n + m - 2 * -(-percent * (n + m) // (100 + percent))
+            yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], ["a", "b"])
+
+    return _with_sides(pairs, lights, "parities").select("a", "b", "n_a", "n_b", "x_a", "x_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -275,10 +314,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         table.write.parquet(path)
         return spark.read.parquet(path)
 
-    texts = id_and_text(df, id_col, text_col)
-    rows = stored(_over_pieces(texts, size, "id long, n long, sid long, parities array<long>, shingle long, times long", _named, _reported), "rows")
+    texts = id_and_text(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
+    rows = stored(_over_pieces(texts, size, "id long, n long, sid long, hash long, parities array<long>, shingle long, times long", _named, _reported), "rows")
     docs = rows.filter("times is null").select("id", "n", "sid")
-    lights = stored(rows.filter("times is null and n > 0").select("sid", "n", "parities").dropDuplicates(["sid"]), "lights")
+    lights = stored(rows.filter("times is null and n > 0").select("sid", "n", "hash", "parities").dropDuplicates(["sid"]), "lights")
     often = rows.filter("times is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(ORDERED).collect()
     frequent, times = np.array([r.shingle for r in often], np.int64).view(np.uint64), np.array([r.times for r in often], np.int64)
     order = np.argsort(frequent)
@@ -293,9 +332,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Stored: the pairs, verified. Only the sets of these pairs are read again from the texts."""
         pairs = stored(pairs, f"{name}_pairs")
-        active = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), f"{name}_active")
-        bits = spark.sparkContext.broadcast(_bitmap(active, "sid"))
-        whole = _over_pieces(texts, size, "sid long, n long, shingles array<long>", _whole(bits))
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        active = stored(lights.join(wanted, "sid", "left_semi").select("sid", "hash"), f"{name}_active")
+        bits = spark.sparkContext.broadcast(_bitmap(active, "hash"))
+        whole = _over_pieces(texts, size, "sid long, n long, shingles array<long>", _whole, only=bits)
         sets = stored(whole.join(active, "sid", "left_semi").dropDuplicates(["sid"]), f"{name}_sets")
         return stored(_verified(pairs, sets, percent), name)
 

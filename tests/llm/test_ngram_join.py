@@ -86,20 +86,38 @@ def test_every_pair_of_a_long_posting_meets(spark, monkeypatch):
     assert {(a, b) for g in groups for a in g for b in g} == {(a, b) for a in range(40) for b in range(40)} and max(map(len, groups)) <= 24
 
 
-def test_the_filters_pass_every_linked_pair():
-    """Two sets at the threshold: the number of odd classes never exceeds their difference."""
-    rng = random.Random(9)
-    for _ in range(50):
-        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(200)]
-        other = list(words)
-        for _ in range(rng.randrange(1, 6)):
-            other[rng.randrange(200)] = "edit"
-        texts = [" ".join(words).encode(), " ".join(other).encode()]
-        raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-        sets = ngram_join.Sets(raw, ends, 3)
-        x, y = (set(sets.shingle[a:b].tolist()) for a, b in zip(sets.bounds, sets.bounds[1:], strict=False))
-        assert int(np.bitwise_count(np.bitwise_xor(*sets.parities().view(np.uint64))).sum()) <= len(x ^ y)
-        assert len(x) == len(shingles(" ".join(words)))
+def sets_of(texts):
+    raw, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    return ngram_join.Sets(raw, ends, 3)
+
+
+@pytest.mark.parametrize("n", [50, 200, 1020, 5000])
+def test_the_suffix_filter_bounds_the_difference_from_below(spark, n):
+    """Odd classes of two sets never exceed their difference, also where the sets have different numbers of classes;
+    unrelated sets are told apart, also long ones."""
+    rng = random.Random(n)
+    rows = []
+    for k in range(30):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+        other = list(words) + ["more"] * 0 + [f"x{i}" for i in range(rng.randrange(n // 20 + 1))]
+        for _ in range(rng.randrange(1, 3 + n // 60)):
+            other[rng.randrange(len(other))] = "edit"
+        unlike = [f"w{rng.randrange(10 ** 6)}" for _ in range(n)]
+        sets = sets_of([" ".join(t).encode() for t in (words, other, unlike)])
+        x, y, z = (set(sets.shingle[a:b].tolist()) for a, b in zip(sets.bounds, sets.bounds[1:], strict=False))
+        assert (len(x), len(y)) == (len(shingles(" ".join(words))), len(shingles(" ".join(other))))
+        longs, sizes = sets.parities()
+        parts = np.split(longs, np.cumsum(sizes)[:-1])
+        rows += [(3 * k + i, len(s), p.tolist()) for i, (s, p) in enumerate(zip((x, y, z), parts, strict=True))]
+        small = min(map(len, parts[:2]))
+        fold = lambda p: np.bitwise_xor.reduce(p.reshape(-1, small), axis=0)
+        assert int(np.bitwise_count((fold(parts[0]) ^ fold(parts[1])).view(np.uint64)).sum()) <= len(x ^ y)
+        linked = 100 * len(x & y) >= 90 * len(x | y)
+        rows[-2] += (linked,)
+    lights = spark.createDataFrame([r[:3] for r in rows], "sid long, n long, parities array<long>")
+    pairs = spark.createDataFrame([(3 * k, 3 * k + i) for k in range(30) for i in (1, 2)], "a long, b long")
+    near = {(r.a, r.b) for r in ngram_join._similar(pairs, lights, 90).collect()}
+    assert near >= {(r[0] - 1, r[0]) for r in rows if len(r) == 4 and r[3]} and not any(b % 3 == 2 for _, b in near)
 
 
 def test_bitmaps_hold_all_values(spark):
