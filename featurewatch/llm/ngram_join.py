@@ -48,6 +48,8 @@ PERCENT = 90
 POSTING = 512
 #: Rows of one leader are dealt over so many groups.
 SALTS = 64
+#: Pairs that are compared at once.
+CELLS = 1 << 20
 PART = 1 << 21
 REPORTED = 4
 ORDERED = 1 << 16
@@ -236,28 +238,25 @@ def _apart(longs: np.ndarray, ends: np.ndarray, x: np.ndarray, y: np.ndarray) ->
 
 
 def _member_pairs(percent: int):
-    """Pairs of a posting's members in different components that pass the length, positional and suffix filters."""
+    """Pairs of a posting's members in different components that pass the length and positional filters."""
     def run(batches):
         for batch in batches:
             lists = batch.column(0)
             offs, flat = lists.offsets.to_numpy(), lists.values
             sid, n, place, comp = (flat.field(c).to_numpy() for c in ("sid", "n", "place", "comp"))
-            parity = flat.field("parities")
-            ends, longs = parity.offsets.to_numpy(), parity.values.to_numpy().view(np.uint64)
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                x, y = np.triu_indices(b - a, 1)
-                x, y = x + a, y + a
-                keep = comp[x] != comp[y]
-                x, y = x[keep], y[keep]
-                keep = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-                x, y = x[keep], y[keep]
-                need = -(-percent * (n[x] + n[y]) // (100 + percent))
-                keep = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
-                x, y, need = x[keep], y[keep], need[keep]
-                near = _apart(longs, ends, x, y) <= n[x] + n[y] - 2 * need
-                left.append(np.minimum(sid[x[near]], sid[y[near]]))
-                right.append(np.maximum(sid[x[near]], sid[y[near]]))
+            size = np.diff(offs)
+            for members in np.unique(size).tolist():                  # postings of one length together, some pairs at a time
+                starts, (i, j) = offs[:-1][size == members, None], np.triu_indices(members, 1)
+                step = max(1, CELLS // max(len(i), 1))
+                for at in range(0, len(starts), step):
+                    x, y = (starts[at:at + step] + i).ravel(), (starts[at:at + step] + j).ravel()
+                    keep = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+                    x, y = x[keep], y[keep]
+                    need = -(-percent * (n[x] + n[y]) // (100 + percent))
+                    keep = np.minimum(n[x] - place[x], n[y] - place[y]) >= need
+                    left.append(np.minimum(sid[x[keep]], sid[y[keep]]))
+                    right.append(np.maximum(sid[x[keep]], sid[y[keep]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
     return run
 
@@ -323,8 +322,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     order = np.argsort(frequent)
     prefixes = _over_pieces(texts, size, "shingle long, sid long, n long, place long", _prefixes(frequent[order], times[order], percent))
     prefixes = stored(prefixes, "prefixes")
-    # only shingles that stand in the prefixes of two sets give candidates
-    common = prefixes.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most")).filter("least <> most").select("shingle")
+    # only shingles that stand in the prefixes of two sets give candidates; the positional filter lets the smaller set of a
+    # pair meet the other only at a place from which on it could be found whole in a set of its own size
+    first_half = F.col("n") - F.col("place") >= _needed(F.col("n"), F.col("n"), percent)
+    common = prefixes.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most"), F.max(first_half.cast("int")).alias("first")
+                                             ).filter("least <> most and first = 1").select("shingle")
     common = stored(common, "common")
     postings = _maybe_in(prefixes, "shingle", common).groupBy("shingle", "sid").agg(F.min("n").alias("n"), F.min("place").alias("place"))
     postings = stored(postings.join(common, "shingle", "left_semi"), "postings")
@@ -353,12 +355,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = stored(members, "members")
     apart = stored(members.groupBy("shingle").agg(F.count("*").alias("count"), F.min("comp").alias("least"), F.max("comp").alias("most"))
                    .filter("least <> most").select("shingle", "count"), "apart")
-    open_postings = members.join(apart, "shingle").join(lights.select("sid", "parities"), "sid").select(
-        "shingle", "count", F.struct("sid", "n", "place", "comp", "parities").alias("member"))
+    open_postings = members.join(apart, "shingle").select("shingle", "count", F.struct("sid", "n", "place", "comp").alias("member"))
     lists = _dealt(open_postings).groupBy("key").agg(F.collect_list("member").alias("members")).select("members")
     pairs = lists.mapInArrow(_member_pairs(percent), "a long, b long").distinct()
     done = first.filter("not linked").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.join(done, ["a", "b"], "left_anti"), "second_candidates")
+    pairs = stored(_similar(pairs.join(done, ["a", "b"], "left_anti"), lights, percent), "second_candidates")
     if not pairs.isEmpty():
         second = verified(pairs, "second").filter("linked").select("a", "b")
         joined = stored(connected_components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second)), "rejoined")
