@@ -103,8 +103,8 @@ def flag_and_drop(df: DataFrame, source: str, flag_name: str) -> DataFrame:
 def impute_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """Fill NULLs with the exact (interpolated) median of each column over
     ``fit`` (default: the same frame).  All columns are reduced to
-    ``(column, value) -> count`` in one pass and ranked in buckets, so no task
-    holds a column's values; the medians are attached as scalar subqueries.  A
+    ``(column, value) -> count`` in one pass and ranked by ranges, so no task
+    holds a column's values; the medians are attached by one scalar subquery.  A
     column without any value keeps its NULLs."""
     from featurewatch.operators.log_stats import exact_percentiles
     src = fit if fit is not None else df
@@ -113,8 +113,8 @@ def impute_median(df: DataFrame, cols: Sequence[str], fit: DataFrame | None = No
         return df
     long = src.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot([], cols, "__column", "__value")
     med = exact_percentiles(long, "__value", [0.5], groups=["__column"]).agg(
-        *[F.max(F.when(F.col("__column") == c, F.col("p_0"))).alias(c) for c in cols])
-    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), med.select(F.col(f"`{c}`")).scalar()) for c in cols})
+        F.struct(*[F.max(F.when(F.col("__column") == c, F.col("p_0"))).alias(f"m{i}") for i, c in enumerate(cols)]).alias("medians")).scalar()
+    return df.withColumns({c: F.coalesce(F.col(f"`{c}`"), med[f"m{i}"]) for i, c in enumerate(cols)})
 
 
 def flag_lenient(df: DataFrame, name: str) -> Column:

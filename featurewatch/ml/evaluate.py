@@ -12,16 +12,19 @@ import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from featurewatch.ml.expressions import Compiled, Tree, compile_model
 from featurewatch.ml.split import hash_order, stratified_folds
 from featurewatch.operators import classify as C
 from featurewatch.operators.ordering import global_row_number
-from featurewatch.session import materialize
+from featurewatch.session import let_workers_import, materialize
 
 SEED = 42
 N_ITER = 50
@@ -114,12 +117,11 @@ def learning_curve(df: DataFrame, make: Callable[[], Pipeline], label: str = "la
     folds), mean and std per size, and the diagnosis overfit / underfit / healthy."""
     num, txt = hash_order(F.col(key), seed)
     fdf = stratified_folds(df, key, label, k=folds, seed=seed).withColumn("__h", num).withColumn("__ht", txt)
-    trains = []
-    for i in range(folds):
-        own = fdf.filter(F.col("fold") != i)
-        n = own.count()
-        trains.append(materialize(global_row_number(own, ["__h", "__ht"], name="__pos").withColumn("__n", F.lit(n))))
     fdf = materialize(fdf)
+    # the rank of a row among the training rows of each fold: all folds are ranked in one pass
+    others = F.filter(F.array(*[F.lit(i) for i in range(folds)]), lambda i: i != F.col("fold"))
+    ranked = materialize(global_row_number(fdf.withColumn("__of", F.explode(others)), ["__h", "__ht"], groups=["__of"], name="__pos", count="__n"))
+    trains = [ranked.filter(F.col("__of") == i) for i in range(folds)]
 
     def one(args):
         size, i = args
@@ -140,55 +142,104 @@ def learning_curve(df: DataFrame, make: Callable[[], Pipeline], label: str = "la
 
 
 def importance_native(model: PipelineModel, names: Sequence[str]) -> list[tuple[str, float]] | None:
-    """M12 first choice: tree importances (or |coefficients| normalised for
-    linear models); ``None`` when the model has neither."""
+    """M12 first choice: tree importances; ``None`` for a model without trees (also a linear one, as in the reference)."""
     last = model.stages[-1]
-    if hasattr(last, "featureImportances"):
-        vals = list(last.featureImportances.toArray())
-    elif hasattr(last, "coefficients") and last.coefficients.size == len(names):
-        raw = [abs(v) for v in last.coefficients.toArray()]
-        s = sum(raw) or 1.0
-        vals = [v / s for v in raw]
-    else:
+    if not hasattr(last, "featureImportances"):
         return None
-    return sorted(zip(names, [float(v) for v in vals]), key=lambda t: -t[1])
+    return sorted(zip(names, map(float, last.featureImportances.toArray()), strict=True), key=lambda t: -t[1])
+
+
+def importance_of_nodes(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """M12 first choice as a query over the stored trees of a boosted model (``nodeData``): each split adds its gain,
+    weighted by its rows, to its feature; shares of the sum over all trees."""
+    n = F.col("nodeData")
+    rows = F.when(F.size(n["impurityStats"]) > 0, n["impurityStats"][0]).otherwise(n["rawCount"])
+    gains = nodes.filter(n["leftChild"] >= 0).groupBy(n["split"]["featureIndex"].alias("i")).agg(F.sum(n["gain"] * rows).alias("g"))
+    total = gains.agg(F.sum("g")).scalar()
+    named = nodes.sparkSession.createDataFrame(list(enumerate(names)), "i int, feature string")
+    return named.join(gains, "i", "left").select("feature", F.coalesce(F.try_divide(F.col("g"), total), F.lit(0.0)).alias("importance"))
 
 
 def importance_table(spark, pairs: Sequence[tuple[str, float]]) -> DataFrame:
     return spark.createDataFrame(list(pairs), "feature string, importance double")
 
 
-def importance_permutation(model: PipelineModel, df: DataFrame, vector_col: str, names: Sequence[str],
-                           label: str = "label", key: str = "id", repeats: int = 5, seed: int = SEED) -> DataFrame:
-    """M12 fallback: accuracy drop when one feature is shuffled, mean over repeats.
-
-    Each repeat shuffles by pairing the row at key rank r with the row at hash
-    rank r (two bucketed row numbers and one equi-join), then scores ALL
-    features in one job: the frame is exploded over feature indices and the
-    j-th slot is replaced by the donor row's value."""
-    k = len(names)
-    base_acc = C.classification_metrics(scored(model, df), label, "yhat").select("accuracy")
-    arr = df.select(key, label, vector_to_array(F.col(vector_col)).alias("__x"))
-    by_key = global_row_number(arr, [key], name="__r")
-    parts = []
-    for r in range(repeats):
-        h = arr.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed + r)))
-        by_hash = global_row_number(h, ["__h", key], name="__r").select("__r", F.col("__x").alias("__d"))
-        pair = by_key.join(by_hash, "__r")
-        ex = pair.select(key, label, "__x", "__d", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("__j"))
-        perm = ex.withColumn(vector_col, F.expr("transform(__x, (v, i) -> IF(i = __j, __d[i], v))"))
-        from pyspark.ml.functions import array_to_vector
-        perm = perm.withColumn(vector_col, array_to_vector(vector_col))
-        sc = scored(model, perm)
-        acc = sc.groupBy("__j").agg(F.avg((F.col("yhat") == F.col(label)).cast("double")).alias("acc"))
-        parts.append(acc.withColumn("repeat", F.lit(r)))
-    allr = parts[0]
-    for p in parts[1:]:
-        allr = allr.unionByName(p)
-    names_df = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], "__j int, feature string")
-    drop = allr.withColumn("drop", base_acc.scalar() - F.col("acc"))
-    g = drop.groupBy("__j").agg(F.avg("drop").alias("importance"))
-    return g.join(names_df, "__j").select("feature", F.round("importance", 6).alias("importance"))
+def _donors(rows: DataFrame, key: str, repeats: int, seed: int) -> DataFrame:
+    """(key, __p, __donor): in repeat p the row at rank r of the key order is paired with the row at rank r of a hash
+    order.  All orders are ranked in one pass over the keys alone."""
+    orders = F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).cast("long").alias("h")),
+                     *[F.struct(F.lit(r).alias("p"), F.xxhash64(F.col(key), F.lit(seed + r)).alias("h")) for r in range(repeats)])
+    ranked = global_row_number(rows.select(key, F.inline(orders)), ["h", key], groups=["p"], name="__r")
+    return ranked.filter("p = -1").select(key, "__r").join(
+        ranked.filter("p >= 0").select("__r", F.col("p").alias("__p"), F.col(key).alias("__donor")), "__r").drop("__r")
+
+
+def _tree_hits(trees: list[tuple[float, Tree]], k: int, label: str):
+    """Counts rows that weighted trees over ``k`` inputs get right, with each input replaced by the donor's (place -1:
+    none replaced)."""
+    def run(batches):
+        hits: dict[int, np.ndarray] = {}
+        for batch in batches:
+            get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
+            own, donor = (get(c).flatten().to_numpy().reshape(-1, k) for c in ("__x", "__d"))
+            y, repeat = get(label).to_numpy(), get("__p").to_numpy()
+            n = len(own)
+            change = np.zeros((k + 1, n))                     # of the margin; the last: none
+            base = np.zeros(n)
+            for w, tree in trees:
+                value = tree.evaluate(lambda i: own[:, i], n)  # noqa: B023
+                base += w * value
+                for j in tree.used():
+                    change[j] += w * (tree.evaluate(lambda i: donor[:, i] if i == j else own[:, i], n) - value)  # noqa: B023
+            right = ((1.0 - 1.0 / (1.0 + np.exp(2.0 * (base + change))) >= 0.5) == (y == 1))
+            for p in np.unique(repeat).tolist():
+                hits[p] = hits.get(p, 0) + right[:, repeat == p].sum(axis=1)
+        rows = [(p, j if j < k else -1, int(v)) for p, counts in hits.items() for j, v in enumerate(counts.tolist())]
+        cols = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["__p", "j", "hits"])
+    return run
+
+
+def importance_permutation(model: PipelineModel | Compiled, df: DataFrame, names: Sequence[str], label: str = "label", key: str = "id",
+                           repeats: int = 5, seed: int = SEED) -> DataFrame:
+    """M12 fallback: accuracy drop when one feature is shuffled, mean over repeats (unrounded: a mean of exact counts).
+
+    Each row meets one donor row per repeat and keeps its own margin; what
+    replacing feature j changes is added to it: the coefficient times the
+    difference for a linear model, the trees that split on j for boosted ones.
+    So ``rows x repeats`` rows are scored, however many features there are."""
+    compiled = model if isinstance(model, Compiled) else compile_model(model, names)
+    k = len(compiled.inputs)
+    rows = df.select(key, F.col(label).cast("int").alias(label), F.array(*compiled.inputs).alias("__x"))
+    pairs = _donors(rows, key, repeats, seed).join(rows, key).join(
+        rows.select(F.col(key).alias("__donor"), F.col("__x").alias("__d")), "__donor").select("__p", label, "__x", "__d")
+    if compiled.trees is not None:
+        let_workers_import(df.sparkSession)
+        hits = pairs.mapInArrow(_tree_hits(compiled.trees, k, label), "__p int, j int, hits long").groupBy("__p", "j").agg(F.sum("hits").alias("hits"))
+    else:
+        x, d = F.col("__x"), F.col("__d")
+        margins = pairs.withColumn("__m", compiled.margin(lambda i: x[i]))
+        right = lambda m: F.count_if((compiled.probability_of(m) >= 0.5) == (F.col(label) == 1))
+        counts = margins.groupBy("__p").agg(right(F.col("__m")).alias("c-1"), *[
+            right(F.col("__m") + F.lit(c) * (d[j] - x[j])).alias(f"c{j}") for j, c in enumerate(compiled.coefficients)])
+        hits = counts.select("__p", F.inline(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"c{j}").alias("hits")) for j in range(-1, k)])))
+    per = hits.groupBy("j").agg(F.sum("hits").alias("hits"))
+    n = F.lit(repeats) * df.agg(F.count(F.lit(1))).scalar()
+    whole = per.filter("j = -1").select("hits").scalar()
+    named = F.get(F.array(*[F.lit(name) for name in compiled.names]), F.col("j"))
+    return per.filter("j >= 0").select(named.alias("feature"), F.round((whole - F.col("hits")) / n, 6).alias("importance"))
+
+
+def importances(model: PipelineModel, df: DataFrame, names: Sequence[str], label: str = "label", key: str = "id") -> list[tuple[str, float]]:
+    """Native, else by permutation over ``df``, else uniform; greatest first.  The table has one row per feature."""
+    pairs = importance_native(model, names)
+    if pairs is None:
+        try:
+            table = importance_permutation(model, df, names, label, key)
+        except ValueError:                                    # no expression for the model
+            table = uniform_importance(df.sparkSession, names)
+        pairs = sorted(((r.feature, r.importance) for r in table.collect()), key=lambda t: (-t[1], t[0]))
+    return pairs
 
 
 def uniform_importance(spark, names: Sequence[str]) -> DataFrame:

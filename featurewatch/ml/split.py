@@ -2,8 +2,8 @@
 
 Randomness is replaced by a hash order: rows are ranked inside each class by
 ``md5(key || '-' || seed)``, which is identical in any engine, repeatable
-across runs and independent of partitioning.  Ranks come from the bucketed
-row number, so a class holding most rows is still spread over many tasks.
+across runs and independent of partitioning.  Ranks come from the row
+number by ranges, so a class holding most rows is still spread over many tasks.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featurewatch.operators.ordering import BUCKETS, global_row_number, join_counted
+from featurewatch.operators.ordering import BUCKETS, global_row_number
 
 SEED = 42
 TEST_SIZE = 0.2
@@ -26,15 +26,14 @@ def hash_order(key: Column, seed: int = SEED) -> tuple[Column, Column]:
     return F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), h
 
 
-def _ranked(df: DataFrame, key: str, label: str, seed: int, buckets: int) -> DataFrame:
+def _ranked(df: DataFrame, key: str, label: str, seed: int, buckets: int | None) -> DataFrame:
     num, txt = hash_order(F.col(key), seed)
     d = df.withColumn("__h", num).withColumn("__ht", txt)
-    r = global_row_number(d, ["__h", "__ht"], groups=[label], name="__rn", buckets=buckets)
-    return join_counted(r, d.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), [label])
+    return global_row_number(d, ["__h", "__ht"], groups=[label], name="__rn", buckets=buckets, count="__n")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_size: float = TEST_SIZE,
-                     seed: int = SEED, buckets: int = BUCKETS) -> DataFrame:
+                     seed: int = SEED, buckets: int | None = BUCKETS) -> DataFrame:
     """M1: ``split`` = train when the in-class percent rank is below 1 - test_size."""
     r = _ranked(df, key, label, seed, buckets)
     prank = F.when(F.col("__n") > 1, (F.col("__rn") - 1) / (F.col("__n") - 1)).otherwise(F.lit(0.0))
@@ -43,7 +42,7 @@ def stratified_split(df: DataFrame, key: str, label: str, test_size: float = TES
 
 
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = CV_FOLDS, seed: int = SEED,
-                     buckets: int = BUCKETS) -> DataFrame:
+                     buckets: int | None = BUCKETS) -> DataFrame:
     """M9: ``fold`` = (in-class hash rank - 1) mod k, so every fold has each class share."""
     r = _ranked(df, key, label, seed, buckets)
     return r.withColumn("fold", ((F.col("__rn") - 1) % k).cast("int")).drop("__h", "__ht", "__rn", "__n")

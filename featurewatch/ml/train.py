@@ -66,8 +66,7 @@ def run_training(df: DataFrame, key: str, label: str, wanted: Sequence[str], mod
     model, candidates, _, n = fit_weighted(train, model_type, label, key, features, optimize=optimize, n_iter=n_iter)
     scored = materialize(EV.scored(model, test).select(key, label, "p1", "yhat"))
     metrics = EV.metrics(scored, label)
-    pairs = EV.importance_native(model, features)
-    importances = EV.importance_table(df.sparkSession, pairs) if pairs else EV.uniform_importance(df.sparkSession, features)
+    importances = EV.importance_table(df.sparkSession, EV.importances(model, test, features, label, key))
     cv = None
     if run_cv:
         whole = weighted(rows, label, model_type, WEIGHT)

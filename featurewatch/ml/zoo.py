@@ -15,9 +15,11 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.tuning import ParamGridBuilder
 
+from featurewatch.ml.median import ExactMedianImputer
+
 SEED = 42
 
 # ---- fixed values: default parameters of the reference's model catalogue ----
@@ -84,7 +86,7 @@ def _prep_stages(features: Sequence[str], vector_col: str | None):
     if vector_col:
         return [], vector_col
     imputed = [f"{c}__imp" for c in features]
-    imp = Imputer(inputCols=list(features), outputCols=imputed, strategy="median")
+    imp = ExactMedianImputer(inputCols=list(features), outputCols=imputed)
     asm = VectorAssembler(inputCols=imputed, outputCol="features", handleInvalid="keep")
     return [imp, asm], "features"
 

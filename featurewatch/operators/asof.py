@@ -11,7 +11,10 @@ value.  Two physical plans:
     feature row of each (key, bucket) is also put into the buckets after it,
     up to the next bucket that has one or to the end of its TTL, so a hot key
     is split into time buckets instead of one task holding its whole history.
-    The entity rows are read once.  Work is linear: one sort, no pairs.
+    Buckets have variable width: a (key, bucket) with more than ``heavy_rows``
+    rows is cut at quantiles of its own times into parts, and what is latest
+    before each part is put in front of it.  Work is linear: one count of keys
+    and times, one sort, no pairs.
 
 ``asof_join_range``  — left range join on the key plus ``groupBy(row id)``
     ``max_by``.  Multiplies rows for keys with dense histories; only for callers
@@ -87,38 +90,97 @@ def _bucket(ts: Column, width_days: int) -> Column:
     return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(width_days * 86400)).cast("long")
 
 
+#: A (key, bucket) with more rows than this is cut into parts.
+HEAVY_ROWS = 1_000_000
+#: Heavy buckets hold at least this share of all rows each, so there are at most as many as its inverse.
+LEAST_SHARE = 1e-4
+#: Parts of a heavy bucket at most, and places of the first step of the search for a row's part.
+PARTS, COARSE = 4096, 64
+
+
+def _heavy_bounds(times: DataFrame, heavy_rows: int) -> DataFrame | None:
+    """(__k, __b, __bounds) of the buckets of ``times`` (__k, __b, __t) that hold too many rows, with the times at which
+    each is cut; None if there is none.  At most ``1 / LEAST_SHARE`` rows, so the driver and a broadcast hold them."""
+    counted = times.groupBy("__k", "__b").agg(F.count(F.lit(1)).alias("n"))
+    rows = counted.filter(F.col("n") > heavy_rows)
+    total = F.sum("n").over(Window.partitionBy())
+    heavy = rows.withColumn("all", total).filter(F.col("n") >= LEAST_SHARE * F.col("all")).drop("all").collect()
+    if not heavy:
+        return None
+    spark = times.sparkSession
+    cells = spark.createDataFrame(heavy, counted.schema)
+    most = min(PARTS, max(2, max(-(-r.n // heavy_rows) for r in heavy)))
+    cuts = F.percentile_approx("__t", [i / most for i in range(1, most)], 20 * most)
+    found = times.join(F.broadcast(cells.select("__k", "__b")), ["__k", "__b"], "left_semi").groupBy("__k", "__b").agg(F.array_distinct(cuts).alias("__bounds"))
+    return spark.createDataFrame(found.collect(), found.schema)
+
+
+def _with_part(df: DataFrame, bounds: DataFrame | None) -> DataFrame:
+    """``df`` (__k, __b, __t, ...) with ``__s``: the part of its bucket, 0 in most."""
+    if bounds is None:
+        return df.withColumn("__s", F.lit(0))
+    b = bounds.withColumnsRenamed({"__k": "__hk", "__b": "__hb"}).select(
+        "*", F.transform(F.sequence(F.lit(0), F.floor(F.size("__bounds") / COARSE).cast("int")), lambda i: F.get("__bounds", i * COARSE)).alias("__first"))
+    j = df.join(F.broadcast(b), (F.col("__k") == F.col("__hk")) & (F.col("__b") == F.col("__hb")), "left")
+    t = F.col("__t")
+    # the number of bounds at or before the row's time: first among each 64th, then among the 64 there
+    step = F.greatest(F.size(F.filter("__first", lambda x: x <= t)) - 1, F.lit(0)) * COARSE
+    part = step + F.size(F.filter(F.slice("__bounds", step + 1, F.lit(COARSE)), lambda x: x <= t))
+    return j.withColumn("__s", F.when(F.col("__hk").isNull(), 0).otherwise(part)).drop(*b.columns)
+
+
 def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[ViewInput],
-                    bucket_days: int = 30) -> DataFrame:
-    """J1/J2, default plan: one union + one bucketed sort for all views."""
+                    bucket_days: int = 30, heavy_rows: int | None = HEAVY_ROWS) -> DataFrame:
+    """J1/J2, default plan: one union + one bucketed sort for all views.  ``heavy_rows=None``: no bucket is cut, and
+    the rows are not counted first."""
     ecols = entity.columns
     n = len(views)
     no_row = [F.lit(None).cast(_ptype(v, v.df)).alias(f"__p{j}") for j, v in enumerate(views)]
     no_tie = [F.lit(None).cast(_tie_type(v)).alias(f"__tb{j}") for j, v in enumerate(views)]
-    astray = F.pmod(F.xxhash64(*[F.col(c) for c in ecols]), F.lit(1 << 16))    # rows without a key
+    astray = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in ecols]), F.lit(1 << 16))    # rows without a key or a time
+    own_bucket = F.when(F.col(ekey).isNull() | F.col(ets).isNull(), astray).otherwise(_bucket(F.col(ets), bucket_days))
+    feature_rows = [v.df.filter(F.col(v.key).isNotNull() & F.col(v.ts).isNotNull()).select(
+        F.col(v.key).alias("__k"), _bucket(F.col(v.ts), bucket_days).alias("__b"), F.col(v.ts).alias("__t"),
+        (F.col(v.tiebreak) if v.tiebreak else F.lit(0)).alias("__tie"),
+        F.struct(*[F.col(c).alias(v.out(c)) for c in v.features], F.col(v.ts).alias("__fts")).alias("__p")) for v in views]
+    bounds = None
+    if heavy_rows is not None:
+        times = entity.filter(F.col(ekey).isNotNull() & F.col(ets).isNotNull()).select(F.col(ekey).alias("__k"), own_bucket.alias("__b"), F.col(ets).alias("__t"))
+        for f in feature_rows:
+            times = times.unionByName(f.select("__k", "__b", "__t"))
+        bounds = _heavy_bounds(times, heavy_rows)
     # entity rows: side 1 sorts after feature rows at equal time (ts <= t)
-    rows = entity.select(
-        F.col(ekey).alias("__k"), F.when(F.col(ekey).isNull(), astray).otherwise(_bucket(F.col(ets), bucket_days)).alias("__b"),
-        F.col(ets).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in ecols]).alias("__e"), *no_tie, *no_row)
+    rows = _with_part(entity.select(
+        F.col(ekey).alias("__k"), own_bucket.alias("__b"), F.col(ets).alias("__t"), F.lit(1).alias("__side"),
+        F.struct(*[F.col(c) for c in ecols]).alias("__e"), *no_tie, *no_row), bounds)
     no_entity = F.lit(None).cast(rows.schema["__e"].dataType).alias("__e")
-    for j, v in enumerate(views):
-        payload = F.struct(*[F.col(c).alias(v.out(c)) for c in v.features], F.col(v.ts).alias("__fts"))
-        tie = (F.col(v.tiebreak) if v.tiebreak else F.lit(0)).alias("__tie")
-        f = v.df.filter(F.col(v.key).isNotNull() & F.col(v.ts).isNotNull()).select(
-            F.col(v.key).alias("__k"), _bucket(F.col(v.ts), bucket_days).alias("__b"), F.col(v.ts).alias("__t"), tie, payload.alias("__p"))
-        newest = f.groupBy("__k", "__b").agg(F.max_by(F.struct("__t", "__tie", "__p"), F.struct("__t", "__tie")).alias("__l"))
+    for j, (v, f) in enumerate(zip(views, feature_rows, strict=True)):
+        latest = F.max_by(F.struct("__t", "__tie", "__p"), F.struct("__t", "__tie")).alias("__l")
+        newest = f.groupBy("__k", "__b").agg(latest)
         following = F.lead("__b").over(Window.partitionBy("__k").orderBy("__b"))
         if v.ttl_days is None:
             last = F.coalesce(following, entity.agg(F.max(_bucket(F.col(ets), bucket_days))).scalar())
         else:
             last = F.least(following, F.col("__b") + v.ttl_days // bucket_days + 1)    # least() skips NULL
         ahead = newest.withColumn("__last", last).filter(F.col("__last") > F.col("__b")).select(
-            "__k", F.explode(F.sequence(F.col("__b") + 1, F.col("__last"))).alias("__b"), "__l.*")
-        for part in (f, ahead.select(*f.columns)):
+            "__k", F.explode(F.sequence(F.col("__b") + 1, F.col("__last"))).alias("__b"), "__l.*").select(f.columns)
+        parts = [_with_part(f, bounds), ahead.withColumn("__s", F.lit(0))]
+        if bounds is not None:
+            # a heavy bucket: the latest row before each of its parts, be it from a bucket before or a part before
+            grid = bounds.select("__k", "__b", F.explode(F.sequence(F.lit(0), F.size("__bounds"))).alias("__s"), F.lit(None).cast(newest.schema["__l"].dataType).alias("__l"))
+            cells = F.broadcast(bounds.select("__k", "__b"))
+            inside = _with_part(f.join(cells, ["__k", "__b"], "left_semi"), bounds).groupBy("__k", "__b", "__s").agg(latest)
+            entering = ahead.join(cells, ["__k", "__b"], "left_semi").select("__k", "__b", F.lit(-1).alias("__s"), F.struct("__t", "__tie", "__p").alias("__l"))
+            every = grid.unionByName(inside).unionByName(entering).groupBy("__k", "__b", "__s").agg(F.first("__l", ignorenulls=True).alias("__l"))
+            earlier = Window.partitionBy("__k", "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+            carried = every.withColumn("__l", F.last("__l", ignorenulls=True).over(earlier)).filter("__s > 0 and __l is not null")
+            parts.append(carried.select("__k", "__b", "__l.*", "__s").select(parts[0].columns))
+        for part in parts:
             rows = rows.unionByName(part.select(
-                "__k", "__b", "__t", F.lit(0).alias("__side"), no_entity,
+                "__k", "__b", "__s", "__t", F.lit(0).alias("__side"), no_entity,
                 *[F.col("__tie").alias(f"__tb{i}") if i == j else no_tie[i] for i in range(n)],
                 *[F.col("__p").alias(f"__p{i}") if i == j else no_row[i] for i in range(n)]))
-    w = (Window.partitionBy("__k", "__b").orderBy("__t", "__side", *[f"__tb{j}" for j in range(n)])
+    w = (Window.partitionBy("__k", "__b", "__s").orderBy("__t", "__side", *[f"__tb{j}" for j in range(n)])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     filled = rows.select("__side", "__e", *[F.last(f"__p{j}", ignorenulls=True).over(w).alias(f"__p{j}") for j in range(n)])
     ent = filled.filter(F.col("__side") == 1)

@@ -3,7 +3,7 @@
 All metrics come from one pass of conditional counts (``count_if``) — the
 confusion matrix — so they are a single partial/final aggregate at any
 scale.  AUC uses the rank-sum formula over ``score -> (n_pos, n_neg)``
-reduced counts, ranked with bucketed running sums (no global sort task).
+reduced counts, ranked with running sums by ranges (no global sort task).
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featurewatch.operators.ordering import BUCKETS, running_sums
-from featurewatch.session import materialize
 
 
 def _safe_div(a: Column, b: Column) -> Column:
@@ -51,11 +50,10 @@ def classification_metrics(df: DataFrame, y: str, yhat: str) -> DataFrame:
     return metrics_from_counts(confusion_counts(df, y, yhat))
 
 
-def auc_roc(df: DataFrame, label: str, score: str, buckets: int = BUCKETS) -> DataFrame:
+def auc_roc(df: DataFrame, label: str, score: str, buckets: int | None = BUCKETS) -> DataFrame:
     """A10: area under ROC via tie-averaged rank sums; one class only -> 0.0."""
-    red = materialize(df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-                      .groupBy(score).agg(F.count_if(F.col(label) == 1).alias("npos"),
-                                          F.count_if(F.col(label) == 0).alias("nneg")))
+    red = (df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+           .groupBy(score).agg(F.count_if(F.col(label) == 1).alias("npos"), F.count_if(F.col(label) == 0).alias("nneg")))
     cum = running_sums(red, [], [score], {"cum": F.col("npos") + F.col("nneg")}, buckets=buckets)
     cnt = F.col("npos") + F.col("nneg")
     avg_rank = F.col("cum") - cnt + (cnt + 1) / 2.0

@@ -1,7 +1,7 @@
 """Concept drift over positional windows of confirmed predictions.
 
 Windows are consecutive blocks of ``window_size`` confirmed rows in logging
-order.  The position of each row is a bucketed global row number (no
+order.  The position of each row is a row number by ranges (no
 single-task window), after which every window is an ordinary ``groupBy``.
 """
 
@@ -22,7 +22,7 @@ F1_DELTA_WARNING = -0.10
 def concept_windows(confirmed: DataFrame, order_col: str, y: str, yhat: str,
                     window_size: int = WINDOW_SIZE, min_rows: int = MIN_WINDOW_ROWS,
                     ts_col: str | None = None, groups: list[str] | None = None,
-                    buckets: int = BUCKETS) -> DataFrame:
+                    buckets: int | None = BUCKETS) -> DataFrame:
     """W1 + W2: per window counts, precision, recall, F1, accuracy (rounded 4),
     first and last order value (and time); windows under ``min_rows`` dropped."""
     groups = groups or []

@@ -7,16 +7,18 @@ tables with ``unpivot``.  All features are processed by ONE plan keyed on
 
 * the scan is reduced once to ``(feature, value) -> (n_ref, n_prod)``, a
   map-side combinable aggregate, so a hot value costs one row per task;
-* moments, the shared histogram (H1), PSI (H2), KL (H3), the two-sample KS
-  statistic (H4/H5) and the mean shift (H6) are all computed from that
-  reduced table, which Spark computes once and reuses (exchange reuse);
-* the per-feature tables joined back (histogram edges, bin grid) hold
-  ``features x bins`` rows — bounded by the schema, not by the data.
+* the report ranks that reduced table once (``ordering``): cumulative counts for
+  the KS statistic (H4/H5), and with them the range, sizes and sums of each
+  feature, so the shared histogram (H1), PSI (H2), KL (H3) and the mean shift
+  (H6) come from the same pass, without a join;
+* the histogram alone stores the reduced table and attaches each feature's
+  range, a table with one row per feature — bounded by the schema, not by the data.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featurewatch.functions.nulls import nan_to_null
-from featurewatch.operators.ordering import BUCKETS, join_counted, running_sums
+from featurewatch.operators.ordering import BUCKETS, running_sums
 from featurewatch.session import let_workers_import, materialize
 
 REF, PROD = "reference", "production"
@@ -67,36 +69,18 @@ def map_long_format(df: DataFrame, map_col: str, side: str) -> DataFrame:
 
 def restrict_to_reference(long: DataFrame) -> DataFrame:
     """Keep production features that the reference knows, before anything
-    is shuffled (the reference's features are stored and counted, and broadcast
-    if they are few)."""
+    is shuffled.  The reference's features are the columns of a model's table,
+    so the list is as small as a schema and is broadcast."""
     known = long.filter(F.col("side") == REF).select("feature").distinct()
-    return join_counted(long, known, ["feature"])
+    return long.join(F.broadcast(known), "feature", "left_semi")
 
 
-def reduce_values(long: DataFrame, materialized: bool = True) -> DataFrame:
-    """``(feature, value) -> n_ref, n_prod`` over non-null values, computed once
-    (checkpointed) because every statistic below reads it."""
-    red = (long.filter(F.col("value").isNotNull())
-           .groupBy("feature", "value")
-           .agg(F.count_if(F.col("side") == REF).alias("n_ref"),
-                F.count_if(F.col("side") == PROD).alias("n_prod")))
-    return materialize(red) if materialized else red
-
-
-def _moments(red: DataFrame) -> DataFrame:
-    first = red.groupBy("feature").agg(
-        F.sum("n_ref").alias("n_ref"), F.sum("n_prod").alias("n_prod"),
-        F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.try_divide(F.sum(F.col("value") * F.col("n_ref")), F.sum("n_ref")).alias("ref_mean"),
-        F.try_divide(F.sum(F.col("value") * F.col("n_prod")), F.sum("n_prod")).alias("prod_mean"),
-    )
-    # Two-pass population std of the reference (numpy's np.std).
-    second = (join_counted(red.drop("__tot"), first.select("feature", "ref_mean", F.col("n_ref").alias("__tot")), ["feature"])
-              .groupBy("feature")
-              .agg(F.sqrt(F.try_divide(
-                  F.sum(F.col("n_ref") * (F.col("value") - F.col("ref_mean")) ** 2),
-                  F.first("__tot"))).alias("ref_std")))
-    return first.join(second, "feature")
+def reduce_values(long: DataFrame) -> DataFrame:
+    """``(feature, value) -> n_ref, n_prod`` over non-null values."""
+    return (long.filter(F.col("value").isNotNull())
+            .groupBy("feature", "value")
+            .agg(F.count_if(F.col("side") == REF).alias("n_ref"),
+                 F.count_if(F.col("side") == PROD).alias("n_prod")))
 
 
 # ---------------------------------------------------------- histogram (H1)
@@ -115,67 +99,54 @@ def _bin_index(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.least(hits, F.lit(bins))
 
 
-def histogram_from_reduced(red: DataFrame, moments: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
-    m = moments.select("feature", "n_ref", "n_prod", "lo", "hi")
-    counted = (join_counted(red, m.select("feature", "lo", "hi"), ["feature"])
-               .withColumn("bin", _bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
-               .groupBy("feature", "bin")
-               .agg(F.sum("n_ref").alias("ref_count"), F.sum("n_prod").alias("prod_count")))
-    grid = m.select("*", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+def _bin_counts(bins: int) -> list[Column]:
+    """Aggregates of rows with ``__bin``: both samples' counts of each bin."""
+    return [F.sum(F.when(F.col("__bin") == k, F.col(c)).otherwise(0)).alias(f"__{c}{k}") for k in range(1, bins + 1) for c in ("n_ref", "n_prod")]
 
-    def edge_at(k: Column) -> Column:
-        out = None
-        for i in range(bins + 1):
-            e = _edge(i, F.col("lo"), F.col("hi"), bins)
-            out = F.when(k == i, e) if out is None else out.when(k == i, e)
-        return out
 
-    return (grid.join(counted, ["feature", "bin"], "left")
-            .select("feature", "bin",
-                    edge_at(F.col("bin") - 1).alias("lower_edge"),
-                    edge_at(F.col("bin")).alias("upper_edge"),
-                    F.coalesce("ref_count", F.lit(0)).cast("long").alias("ref_count"),
-                    F.coalesce("prod_count", F.lit(0)).cast("long").alias("prod_count"),
-                    "n_ref", "n_prod"))
+def binned(long: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
+    """One row per feature: sizes, range and the counts of each bin.  The reduced values are stored, because the bins need
+    the range first; the ranges (a row per feature) are broadcast."""
+    red = materialize(reduce_values(long))
+    ends = red.groupBy("feature").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    rows = red.join(F.broadcast(ends), "feature").withColumn("__bin", _bin_index(F.col("value"), F.col("lo"), F.col("hi"), bins))
+    return rows.groupBy("feature").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_prod").alias("n_prod"),
+                                       F.first("lo").alias("lo"), F.first("hi").alias("hi"), *_bin_counts(bins))
 
 
 def histogram_pair(long: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
     """H1: shared equal-width histogram of both samples, proportions + eps."""
-    red = reduce_values(long)
-    h = histogram_from_reduced(red, _moments(red), bins)
+    lo, hi = F.col("lo"), F.col("hi")
+    rows = F.array(*[F.struct(F.lit(k).alias("bin"), _edge(k - 1, lo, hi, bins).alias("lower_edge"), _edge(k, lo, hi, bins).alias("upper_edge"),
+                              F.col(f"__n_ref{k}").alias("ref_count"), F.col(f"__n_prod{k}").alias("prod_count")) for k in range(1, bins + 1)])
+    h = binned(long, bins).select("feature", "n_ref", "n_prod", F.inline(rows))
     return h.select("feature", "bin", "lower_edge", "upper_edge", "ref_count", "prod_count",
                     (F.try_divide(F.col("ref_count"), F.col("n_ref")) + HIST_EPS).alias("ref_share"),
                     (F.try_divide(F.col("prod_count"), F.col("n_prod")) + HIST_EPS).alias("prod_share"))
 
 
-def _psi_kl(hist: DataFrame) -> DataFrame:
+def _psi_kl(bins: int) -> tuple[Column, Column]:
+    """PSI, and KL on the renormalised shares, of a row with the counts of each bin; what cannot be computed (a feature of
+    one side only) counts as no drift."""
     # a feature seen on one side only has a zero count on the other: NULL, not an error
-    r = F.try_divide(F.col("ref_count"), F.col("n_ref")) + HIST_EPS
-    p = F.try_divide(F.col("prod_count"), F.col("n_prod")) + HIST_EPS
-    h = hist.select("feature", r.alias("r"), p.alias("p"))
-    agg = h.groupBy("feature").agg(
-        F.sum((F.col("p") - F.col("r")) * F.log(F.col("p") / F.col("r"))).alias("psi"),
-        F.sum("r").alias("sr"), F.sum("p").alias("sp"),
-        F.collect_list(F.struct("r", "p")).alias("rp"))
-    # KL on the renormalised shares; bins are few (default 10), so the list is bounded.
-    kl = F.aggregate("rp", F.lit(0.0), lambda acc, s: acc + (s["p"] / F.col("sp")) * F.log(
-        (s["p"] / F.col("sp")) / (s["r"] / F.col("sr"))))
-    # what cannot be computed (a feature of one side only) counts as no drift
-    return agg.select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"), F.coalesce(kl, F.lit(0.0)).alias("kl"))
+    r = [F.try_divide(F.col(f"__n_ref{k}"), F.col("n_ref")) + HIST_EPS for k in range(1, bins + 1)]
+    p = [F.try_divide(F.col(f"__n_prod{k}"), F.col("n_prod")) + HIST_EPS for k in range(1, bins + 1)]
+    total = lambda xs: reduce(lambda a, b: a + b, xs)
+    sr, sp = total(r), total(p)
+    psi = total([(y - x) * F.log(y / x) for x, y in zip(r, p, strict=True)])
+    kl = total([(y / sp) * F.log((y / sp) / (x / sr)) for x, y in zip(r, p, strict=True)])
+    return F.coalesce(psi, F.lit(0.0)), F.coalesce(kl, F.lit(0.0))
 
 
 def psi(long: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
     """H2: PSI per feature (unrounded value and rounded 6)."""
-    red = reduce_values(long)
-    pk = _psi_kl(histogram_from_reduced(red, _moments(red), bins))
+    pk = binned(long, bins).select("feature", _psi_kl(bins)[0].alias("psi"))
     return pk.select("feature", F.round("psi", 6).alias("psi"), psi_band(F.col("psi")).alias("psi_status"))
 
 
 def kl_divergence(long: DataFrame, bins: int = DEFAULT_BINS) -> DataFrame:
     """H3: KL(production || reference) over renormalised shares, rounded 6."""
-    red = reduce_values(long)
-    pk = _psi_kl(histogram_from_reduced(red, _moments(red), bins))
-    return pk.select("feature", F.round("kl", 6).alias("kl_divergence"))
+    return binned(long, bins).select("feature", F.round(_psi_kl(bins)[1], 6).alias("kl_divergence"))
 
 
 def psi_band(p: Column) -> Column:
@@ -186,15 +157,15 @@ def psi_band(p: Column) -> Column:
 
 # ---------------------------------------------------------------- KS (H4/H5)
 
-def _ks_from_reduced(red: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    cum = running_sums(red, ["feature"], ["value"],
-                       {"cum_ref": F.col("n_ref"), "cum_prod": F.col("n_prod")}, buckets=buckets)
-    tot = red.groupBy("feature").agg(F.sum("n_ref").alias("tr"), F.sum("n_prod").alias("tp"))
-    return (join_counted(cum, tot, ["feature"])
-            .groupBy("feature", "tr", "tp")
-            .agg(F.max(F.abs(F.try_divide(F.col("cum_ref"), F.col("tr"))
-                             - F.try_divide(F.col("cum_prod"), F.col("tp"))))
-                 .alias("d")))
+def _cumulated(red: DataFrame, buckets: int | None, facts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Reduced values with both cumulative counts (``cum_ref``, ``cum_prod``) and sample sizes (``tr``, ``tp``)."""
+    return running_sums(red, ["feature"], ["value"], {"cum_ref": F.col("n_ref"), "cum_prod": F.col("n_prod")}, buckets=buckets,
+                        facts={"tr": ("sum", F.col("n_ref")), "tp": ("sum", F.col("n_prod")), **(facts or {})})
+
+
+def _gap() -> Column:
+    """Aggregate: the greatest distance of the two empirical distribution functions."""
+    return F.max(F.abs(F.try_divide(F.col("cum_ref"), F.col("tr")) - F.try_divide(F.col("cum_prod"), F.col("tp")))).alias("d")
 
 
 def kolmogorov_pvalue(d: Column, n1: Column, n2: Column, terms: int = 100) -> Column:
@@ -235,14 +206,14 @@ def ks_pvalue_of(d: Column, n1: Column, n2: Column) -> Column:
     return F.when(few, F.pandas_udf(_exact_pvalues, T.DoubleType())(F.when(few, d), F.when(few, n1), F.when(few, n2))).otherwise(kolmogorov_pvalue(d, n1, n2))
 
 
-def ks_statistic(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def ks_statistic(long: DataFrame, buckets: int | None = BUCKETS) -> DataFrame:
     """H4: two-sample KS statistic per feature (max gap of the empirical CDFs)."""
-    ks = _ks_from_reduced(reduce_values(long), buckets)
+    ks = _cumulated(reduce_values(long), buckets).groupBy("feature").agg(_gap())
     return ks.select("feature", F.round("d", 6).alias("ks_statistic"))
 
 
-def ks_pvalue(long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    ks = _ks_from_reduced(reduce_values(long), buckets)
+def ks_pvalue(long: DataFrame, buckets: int | None = BUCKETS) -> DataFrame:
+    ks = _cumulated(reduce_values(long), buckets).groupBy("feature").agg(_gap(), F.first("tr").alias("tr"), F.first("tp").alias("tp"))
     return ks.select("feature", F.round("d", 6).alias("ks_statistic"),
                      F.round(ks_pvalue_of(F.col("d"), F.col("tr"), F.col("tp")), 6).alias("ks_pvalue"))
 
@@ -255,7 +226,10 @@ def _shift(m: DataFrame) -> Column:
 
 
 def mean_shift(long: DataFrame) -> DataFrame:
-    m = _moments(reduce_values(long))
+    """H6: one aggregate over the values; the population std (numpy's np.std) is Spark's, which merges centred moments."""
+    of = lambda side: F.when(F.col("side") == side, F.col("value"))
+    m = long.filter(F.col("value").isNotNull()).groupBy("feature").agg(
+        F.avg(of(REF)).alias("ref_mean"), F.avg(of(PROD)).alias("prod_mean"), F.stddev_pop(of(REF)).alias("ref_std"))
     return m.select("feature", F.round("ref_mean", 6).alias("reference_mean"),
                     F.round("prod_mean", 6).alias("production_mean"),
                     F.round("ref_std", 6).alias("reference_std"),
@@ -271,20 +245,28 @@ def verdict(pvalue: Column, shift: Column) -> Column:
             .otherwise("OK"))
 
 
-def drift_report(long: DataFrame, bins: int = DEFAULT_BINS, buckets: int = BUCKETS,
+def drift_report(long: DataFrame, bins: int = DEFAULT_BINS, buckets: int | None = BUCKETS,
                  min_production: int = MIN_PRODUCTION_VALUES) -> DataFrame:
     """One row per feature that the reference knows (J7) with enough production values (H9)."""
     return report_from_reduced(reduce_values(restrict_to_reference(long)), bins, buckets, min_production)
 
 
-def report_from_reduced(red: DataFrame, bins: int = DEFAULT_BINS, buckets: int = BUCKETS,
+def report_from_reduced(red: DataFrame, bins: int = DEFAULT_BINS, buckets: int | None = BUCKETS,
                         min_production: int = MIN_PRODUCTION_VALUES) -> DataFrame:
-    """The report from ``reduce_values``'s table."""
-    m = _moments(red)
-    pk = _psi_kl(histogram_from_reduced(red, m, bins))
-    ks = _ks_from_reduced(red, buckets)
-    j = (m.filter((F.col("n_prod") >= min_production) & (F.col("n_ref") > 0))
-         .join(ks, "feature").join(pk, "feature"))
+    """The report from ``reduce_values``'s table.  The range, sizes and means of a feature come with its ranked rows, so one
+    pass over them gives the bins, the spread around the mean and the gap of the distributions."""
+    v = F.col("value")
+    rows = _cumulated(red, buckets, {"lo": ("min", v), "hi": ("max", v), "ref_sum": ("sum", v * F.col("n_ref")), "prod_sum": ("sum", v * F.col("n_prod"))})
+    rows = rows.withColumn("ref_mean", F.try_divide(F.col("ref_sum"), F.col("tr"))).withColumn(
+        "__bin", _bin_index(v, F.col("lo"), F.col("hi"), bins))
+    one = rows.groupBy("feature").agg(
+        _gap(), F.first("tr").alias("tr"), F.first("tp").alias("tp"), F.first("ref_mean").alias("ref_mean"),
+        F.first(F.try_divide(F.col("prod_sum"), F.col("tp"))).alias("prod_mean"),
+        F.sum(F.col("n_ref") * (v - F.col("ref_mean")) ** 2).alias("__squares"), *_bin_counts(bins))
+    j = one.filter((F.col("tp") >= min_production) & (F.col("tr") > 0)).withColumns(
+        {"n_ref": F.col("tr"), "n_prod": F.col("tp"), "ref_std": F.sqrt(F.col("__squares") / F.col("tr"))})
+    psi, kl = _psi_kl(bins)
+    j = j.withColumn("psi", psi).withColumn("kl", kl)
     shift = _shift(j)
     j = j.withColumn("__p", ks_pvalue_of(F.col("d"), F.col("tr"), F.col("tp")))
     p = F.col("__p")

@@ -8,8 +8,8 @@ The log is an append-only table, one row per prediction::
 
 ``seq`` is the logging order (the reference's list position).  Feedback is a
 separate table joined in (operators/feedback.py) instead of mutating rows.
-Every statistic here is a single aggregate (partial + final) or a bucketed
-running count — no operator collects the log into one task.
+Every statistic here is a single aggregate (partial + final) or a running
+count by ranges — no operator collects the log into one task.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from featurewatch.functions.derive import risk_band
 from featurewatch.operators.feedback import feedback_join
 from featurewatch.operators.ordering import BUCKETS, running_sums
-from featurewatch.session import materialize, storage_path
+from featurewatch.session import storage_path
 
 
 def build_log(df: DataFrame, id_col: Column, seq_col: Column, ts_col: Column, prediction: Column,
@@ -82,26 +82,14 @@ def prediction_stats(log: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float], groups: Sequence[str] = (),
-                      buckets: int = BUCKETS) -> DataFrame:
+                      buckets: int | None = BUCKETS) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy / Spark ``percentile``)
     without holding all values in one task: values are reduced to
-    ``value -> count``, ranked with bucketed running counts, and the two
+    ``value -> count``, ranked with running counts by ranges, and the two
     order statistics around each position ``(n-1)p`` are selected by a
     filtered aggregate.  One row with ``p_<i>`` columns, per group if given."""
-    # the reduced table feeds bounds, totals, offsets and the count: store it once
-    red = materialize(df.filter(F.col(value_col).isNotNull()).groupBy(*groups, value_col)
-                      .agg(F.count(F.lit(1)).alias("cnt")))
-    cum = running_sums(red, groups, [value_col], {"cum": F.col("cnt")}, buckets=buckets)
-    # the running count of a group's largest value is the group's size; positions follow from it
-    sizes = red.groupBy(*groups).agg(F.sum("cnt").alias("n"))
-    if groups:
-        sizes = sizes.withColumnsRenamed({g: f"__{g}" for g in groups})
-        same = F.lit(True)
-        for g in groups:
-            same = same & cum[g].eqNullSafe(sizes[f"__{g}"])
-        j = cum.join(sizes, same)
-    else:
-        j = cum.withColumn("n", sizes.scalar())
+    red = df.filter(F.col(value_col).isNotNull()).groupBy(*groups, value_col).agg(F.count(F.lit(1)).alias("cnt"))
+    j = running_sums(red, groups, [value_col], {"cum": F.col("cnt")}, buckets=buckets, facts={"n": ("sum", F.col("cnt"))})
     aggs = []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
@@ -122,7 +110,7 @@ def numpy_lerp(a: Column, b: Column, t: Column) -> Column:
     return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
 
 
-def latency_percentiles(log: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+def latency_percentiles(log: DataFrame, buckets: int | None = BUCKETS) -> DataFrame:
     """A2: count/avg/min/max/p50/p95/p99 of non-null latencies, rounded to 2; empty -> zeros."""
     lat = log.select(F.col("latency_ms").alias("v")).filter(F.col("v").isNotNull())
     basic = lat.agg(F.count(F.lit(1)).alias("count"), F.avg("v").alias("avg"),

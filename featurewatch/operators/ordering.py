@@ -2,23 +2,24 @@
 
 ``Window.orderBy(x)`` with no ``partitionBy`` moves every row into one task.
 For cumulative distributions (KS statistic), positional windows (concept
-drift) and row numbers over a whole log we use a two-level scheme instead:
-
-1. approximate quantiles of the order key (a map-side sketch aggregate) cut
-   each group into ``BUCKETS`` ranges of similar size;
-2. per (group, bucket) totals form a tiny table; an exclusive running sum over
-   it gives each bucket's offset;
-3. a window partitioned by (group, bucket) adds the in-bucket running sum to
-   the offset.
-
-A row finds its range in two steps, first among ``COARSE`` bounds, then among
-the fine bounds of that part, so the generated code and the bounds that a row
-carries stay small whatever the number of ranges or of shuffle partitions.
-Rows with equal order keys always land in the same bucket, so ties behave
-exactly as in a global window.  NULL groups are groups like any other; NULL
-order keys come first.  The bound and offset tables hold ``groups x buckets``
-rows, independent of the data volume; they are broadcast only when the groups
-were counted and are few.
+drift), medians, splits and row numbers over a whole log we use a two-level
+scheme instead:
+
+1. ``placed`` deals the rows by ``repartitionByRange(groups, order)`` and
+   stores them with the number of their range, ``__part``: rows of one range are
+   neighbours in the order, and rows with equal keys share a range, so ties
+   behave as in a global window;
+2. per (group, range) totals form a tiny table (at most one row per range and
+   one more per group); an exclusive running sum over it is what comes before
+   each range;
+3. these rows are put in front of the rows of their range, and one window per
+   (group, range) sums both.
+
+There is no join and no broadcast: what a whole group is known by (``facts``:
+sums, least and greatest values) travels with the rows put in front, too.  NULL
+groups are groups like any other; NULL order keys come first.  A call runs
+two jobs while the plan is built: Spark's sample for the range bounds and the
+write of the placed rows.
 """
 
 from __future__ import annotations
@@ -30,90 +31,57 @@ from pyspark.sql import functions as F
 
 from featurewatch.session import materialize
 
-COARSE = 32
-BUCKETS = 512
-#: With more groups than this the planner chooses the join of bounds and offsets.
-BROADCAST_GROUPS = 1000
-
-
-def _join_groups(df: DataFrame, side: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
-    """Inner join on ``keys``, NULL matching NULL; the side's keys are dropped."""
-    side = side.withColumnsRenamed({k: f"__k_{k}" for k in keys})
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & df[k].eqNullSafe(side[f"__k_{k}"])
-    return df.join(F.broadcast(side) if small else side, cond).drop(*[f"__k_{k}" for k in keys])
-
-
-def join_counted(df: DataFrame, side: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join with one row per group, NULL matching NULL.  The side is
-    stored and counted, and broadcast only if it has few rows."""
-    side = materialize(side)
-    return _join_groups(df, side, keys, side.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS)
-
-
-def _bucketed(df: DataFrame, groups: Sequence[str], order_col: str, buckets: int) -> tuple[DataFrame, bool]:
-    """``df`` with its ``__bucket``, and whether the groups are few."""
-    coarse = min(COARSE, max(2, buckets))
-    fine = -(-max(2, buckets) // coarse)
-    n = coarse * fine
-    key = F.col(order_col)
-    # percentile_approx needs a numeric/datetime input; order keys are numeric or timestamps.
-    bounds = materialize(df.groupBy(*groups).agg(
-        F.percentile_approx(key, [i / n for i in range(1, n)], 20 * n).alias("__bounds")))
-    small = not groups or bounds.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    first = bounds.select(*groups, F.array(*[F.col("__bounds")[k * fine - 1] for k in range(1, coarse)]).alias("__bounds"))
-    out = _join_groups(df, first, groups, small)
-    out = out.withColumn("__part", count_below(F.col("__bounds"), key, coarse - 1)).drop("__bounds")
-    if fine == 1:
-        return out.withColumnRenamed("__part", "__bucket"), small
-    parts = bounds.select(*groups, F.posexplode(F.array(*[
-        F.slice("__bounds", k * fine + 1, fine - 1) for k in range(coarse)])).alias("__part", "__bounds"))
-    out = _join_groups(out, parts, [*groups, "__part"], small)
-    return out.withColumn("__bucket", F.col("__part") * fine + count_below(F.col("__bounds"), key, fine - 1)).drop(
-        "__bounds", "__part"), small
-
-
-def count_below(bounds: Column, key: Column, n: int, lo: int = 0, hi: int | None = None) -> Column:
-    """Number of entries of the sorted array ``bounds`` (length ``n``) that are
-    ``< key``: a balanced CASE tree, O(log n) comparisons per row and plain
-    codegen'd expressions (an array lambda would leave whole-stage codegen)."""
-    hi = n if hi is None else hi
-    if hi - lo <= 4:
-        return sum((F.when(bounds[j] < key, 1).otherwise(0) for j in range(lo, hi)), F.lit(lo))
-    mid = (lo + hi) // 2
-    return F.when(bounds[mid] < key, count_below(bounds, key, n, mid + 1, hi)) \
-        .otherwise(count_below(bounds, key, n, lo, mid))
-
-
-def running_sums(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str],
-                 sums: dict[str, Column], buckets: int = BUCKETS,
-                 ties_together: bool = True) -> DataFrame:
-    """Add inclusive running sums ``{name: expr}`` over ``order_cols`` within ``groups``.
-
-    The first order column drives bucketing; later ones only break ties inside
-    a bucket.  With ``ties_together`` rows sharing all order values get the same
-    (RANGE frame) running sum, like a cumulative distribution.
-    """
-    groups = list(groups)
-    base = df.select("*", *[e.alias(f"__v_{n}") for n, e in sums.items()])
-    b, small = _bucketed(base, groups, order_cols[0], buckets)
-    part = groups + ["__bucket"]
-    totals = b.groupBy(*part).agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
-    wt = Window.partitionBy(*groups).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, *[
-        F.coalesce(F.sum(f"__t_{n}").over(wt), F.lit(0)).alias(f"__o_{n}") for n in sums])
-    w = Window.partitionBy(*part).orderBy(*[F.col(c) for c in order_cols])
-    w = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if ties_together and len(order_cols) == 1
+#: Ranges for each shuffle partition, so that ranges dealt by hash fill all partitions about evenly.
+RANGES_PER_PARTITION = 3
+#: Number of ranges; None: by the shuffle partitions of the session.
+BUCKETS: int | None = None
+
+PART = "__part"
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def placed(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str], buckets: int | None = BUCKETS) -> DataFrame:
+    """The rows of ``df``, stored, with the number of their range of (groups, order) in ``__part``."""
+    n = buckets or RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *groups, *order_cols).withColumn(PART, F.spark_partition_id()))
+
+
+def running_sums_of(rows: DataFrame, groups: Sequence[str], order_cols: Sequence[str], sums: dict[str, Column],
+                    ties_together: bool = True, facts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """``running_sums`` of rows that ``placed`` has stored."""
+    groups, facts = list(groups), facts or {}
+    cell = [*groups, PART]
+    totals = rows.groupBy(*cell).agg(*[F.sum(e).alias(f"__s_{n}") for n, e in sums.items()],
+                                     *[_MERGE[kind](e).alias(f"__f_{n}") for n, (kind, e) in facts.items()])
+    group = Window.partitionBy(*groups)
+    earlier = group.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    front = totals.select(*cell, *[F.coalesce(F.sum(f"__s_{n}").over(earlier), F.lit(0)).cast(totals.schema[f"__s_{n}"].dataType).alias(f"__s_{n}") for n in sums],
+                          *[_MERGE[kind](f"__f_{n}").over(group).cast(totals.schema[f"__f_{n}"].dataType).alias(f"__f_{n}") for n, (kind, _) in facts.items()],
+                          F.lit(0).alias("__own"))
+    own = rows.select("*", *[e.cast(totals.schema[f"__s_{n}"].dataType).alias(f"__s_{n}") for n, e in sums.items()], F.lit(1).alias("__own"))
+    both = own.unionByName(front, allowMissingColumns=True)
+    w = Window.partitionBy(*cell).orderBy("__own", *order_cols)
+    w = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) if ties_together
          else w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = _join_groups(b, offsets, part, small)
-    return out.select(*df.columns, *[
-        (F.col(f"__o_{n}") + F.sum(f"__v_{n}").over(w)).alias(n) for n in sums])
+    names = [c for c in rows.columns if c != PART]
+    out = both.select(*names, "__own", *[F.sum(f"__s_{n}").over(w).alias(n) for n in sums], *[F.first(f"__f_{n}").over(w).alias(n) for n in facts])
+    return out.filter("__own = 1").select(*names, *sums, *facts)
+
+
+def running_sums(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str], sums: dict[str, Column], buckets: int | None = BUCKETS,
+                 ties_together: bool = True, facts: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
+    """Add inclusive running sums ``{name: expr}`` over ``order_cols`` within ``groups``, and ``facts`` of the whole
+    group: ``{name: ("sum" | "min" | "max", expr)}``.
+
+    With ``ties_together`` rows sharing all order values get the same (RANGE frame) running sum, like a cumulative
+    distribution.
+    """
+    return running_sums_of(placed(df, groups, order_cols, buckets), groups, order_cols, sums, ties_together, facts)
 
 
 def global_row_number(df: DataFrame, order_cols: Sequence[str], groups: Sequence[str] = (),
-                      name: str = "rn", buckets: int = BUCKETS) -> DataFrame:
-    """``row_number() over (partition by groups order by order_cols)`` computed
-    with the bucketed scheme; ``order_cols`` must identify rows uniquely."""
-    return running_sums(df, groups, order_cols, {name: F.lit(1).cast("long")},
-                        buckets=buckets, ties_together=False)
+                      name: str = "rn", buckets: int | None = BUCKETS, count: str | None = None) -> DataFrame:
+    """``row_number() over (partition by groups order by order_cols)`` computed by ranges; ``order_cols`` must identify
+    rows uniquely.  ``count`` names a column for the number of rows of the group."""
+    one = F.lit(1).cast("long")
+    return running_sums(df, groups, order_cols, {name: one}, buckets, ties_together=False, facts={count: ("sum", one)} if count else None)

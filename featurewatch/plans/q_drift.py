@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from featurewatch.operators import drift as D
-from featurewatch.plans.roles import LOG_SQL, drift_long, drift_long_sql, prediction_log
+from featurewatch.operators import drift_days as DD
+from featurewatch.plans.roles import DRIFT_FEATURES, LOG_SQL, drift_long, drift_long_sql, prediction_log
+from featurewatch.session import storage_path
+from featurewatch.sources.tables import load
 
 Q, SQL = {}, {}
 
@@ -180,3 +185,24 @@ def drift_overview(spark, d):
 
 SQL["drift_overview"] = "SELECT s.*, p.total_predictions, p.risk_rate FROM (" + SQL["drift_summary"] + f""") s,
   (WITH {LOG_SQL} SELECT count(*) AS total_predictions, round(coalesce(avg(prediction), 0.0), 6) AS risk_rate FROM log) p"""
+
+
+N_DAYS = 90
+
+
+@q("drift_last_days")
+def drift_last_days(spark, d):
+    """Production is the last 90 days of the log, which comes in three batches; the last one brings rows of days
+    that the window holds already."""
+    rows = load(spark, d, "lineitem").filter("l_returnflag = 'R'").select(
+        F.col("l_shipdate").cast("date").alias("day"), "l_orderkey", *[F.col(c).cast("double").alias(c) for c in DRIFT_FEATURES])
+    long = rows.unpivot(["day", "l_orderkey"], DRIFT_FEATURES, "feature", "value")
+    recent, odd = F.col("day") >= F.lit("2001-09-01").cast("date"), F.col("l_orderkey") % 2 == 1
+    batches = [long.filter(~recent), long.filter(recent & ~odd), long.filter(recent & odd)]
+    return DD.drift_last_days(drift_long(spark, d), [b.drop("l_orderkey") for b in batches], N_DAYS, storage_path(spark, "drift_days", uuid.uuid4().hex))
+
+
+SQL["drift_last_days"] = _BASE.replace(
+    "FROM lineitem WHERE l_returnflag IN ('A', 'R')",
+    "FROM lineitem WHERE l_returnflag = 'A' OR (l_returnflag = 'R' AND CAST(l_shipdate AS DATE) > "
+    f"(SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem WHERE l_returnflag = 'R') - INTERVAL {N_DAYS} DAYS)") + _REPORT_SELECT

@@ -176,6 +176,21 @@ SQL["fv_materialize_incremental"] = f"WITH {_FV_SQL} " + _LATEST_SQL.format(
     where="WHERE event_timestamp <= TIMESTAMP '2001-08-01'")
 
 
+@q("fv_materialize_late")
+def fv_materialize_late(spark, d):
+    """S5 with rows that come late: a quarter of the orders is ingested after the first run, with event times before
+    and after its mark; the second run merges them by the list of files that the first one has read."""
+    view, rows = _own_view("orders_value"), orders_value(spark, d)
+    FS.write_view(spark, view.name, rows.filter("o_orderkey % 4 <> 0"), key="cust_id")
+    FS.publish(spark, view, FS.read_view(spark, view), end="2000-01-01", tiebreak="o_orderkey", days=None, late_rows=True)
+    FS.write_view(spark, view.name, rows.filter("o_orderkey % 4 = 0"), key="cust_id")
+    FS.publish(spark, view, FS.read_view(spark, view), end="2001-08-01", tiebreak="o_orderkey", late_rows=True)
+    return FS.read_snapshot(spark, view.name)
+
+
+SQL["fv_materialize_late"] = SQL["fv_materialize_incremental"]
+
+
 @q("latest_per_key")
 def latest_per_key_q(spark, d):
     return latest_per_key(orders_value(spark, d), "cust_id", FS.EVENT_TS, ["o_totalprice", "o_orderkey"],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from featurewatch.operators.drift import PROD, REF
 from featurewatch.plans.roles import DRIFT_FEATURES, FEEDBACK_SQL, LOG_SQL, drift_long, feedback_from_events, log_from_events
 from featurewatch.sources import feature_store as FS
+from featurewatch.streaming import feedback_state as FB
 from featurewatch.streaming import streams as S
 
 Q, SQL = {}, {}
@@ -132,6 +133,26 @@ SELECT prediction_id, "timestamp", prediction, actual_outcome, feedback_timestam
 UNION ALL SELECT * FROM u"""
 
 
+@q("stream_feedback_final")
+def stream_feedback_final(spark, d):
+    """T5 with keyed state: one row per prediction when its deadline has passed, the last call wins in the stream."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, FB.ROCKSDB)
+    try:
+        calls = feedback_from_events(S.table_stream(spark, d, "events"))
+        return S.run_available(FB.final_outcomes(_log_stream(spark, d), calls, max_delay_days=10), "feedback_final")
+    finally:
+        spark.conf.set(name, before)
+
+
+SQL["stream_feedback_final"] = f"""WITH {LOG_SQL}, {FEEDBACK_SQL},
+l AS (SELECT prediction_id, "timestamp", prediction FROM log WHERE "timestamp" + INTERVAL 10 DAY < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR),
+m AS (SELECT l.prediction_id, f.outcome, f.feedback_timestamp, row_number() OVER (PARTITION BY l.prediction_id ORDER BY f.feedback_timestamp DESC, f.fb_seq DESC) AS rn
+  FROM l JOIN fb_raw f ON l.prediction_id = f.prediction_id AND f.feedback_timestamp BETWEEN l."timestamp" AND l."timestamp" + INTERVAL 10 DAY)
+SELECT l.prediction_id, l."timestamp", l.prediction, m.outcome AS actual_outcome, m.feedback_timestamp FROM l LEFT JOIN m ON m.prediction_id = l.prediction_id AND m.rn = 1"""
+
+
 @q("stream_concept")
 def stream_concept(spark, d):
     lab = S.table_stream(spark, d, "labels").withColumn("model", F.lit("quality_model"))

@@ -189,26 +189,52 @@ def read_snapshot(spark: SparkSession, name: str) -> DataFrame:
     return spark.read.parquet(storage_path(spark, "latest", name, f"v={state[0]}"))
 
 
+def _ingested_path(spark: SparkSession, name: str) -> str:
+    return storage_path(spark, "latest", name, "_files")
+
+
+def _unseen_rows(spark: SparkSession, view: FeatureView, table: DataFrame) -> DataFrame | None:
+    """The rows of the table's files that no published version has read; ``None`` if there are none.  Only the list of
+    files is compared (file names, which the driver lists for any scan), and only new files are opened."""
+    files = spark.createDataFrame([(f,) for f in table.inputFiles()], "file string")
+    seen = spark.read.schema("file string").parquet(_ingested_path(spark, view.name))
+    new = [r.file for r in files.join(seen, "file", "left_anti").collect()]
+    return spark.read.option("basePath", view_path(spark, view.name)).parquet(*new).select(table.columns) if new else None
+
+
 def publish(spark: SparkSession, view: FeatureView, table: DataFrame, start=None, end=None, tiebreak: str | None = None,
-            incremental: bool = True, days: int | None = DEFAULT_TTL_DAYS) -> DataFrame:
+            incremental: bool = True, days: int | None = DEFAULT_TTL_DAYS, late_rows: bool = False) -> DataFrame:
     """Materialise a view and publish the snapshot.  The first run (or
     ``incremental=False``) takes [start, end], by default the last ``days`` days
     up to the newest row; a later one takes only rows after the stored
     high-water mark and merges them.  A new version is written whole, then
-    named in the state, so readers see the old or the new one; returns the table."""
+    named in the state, so readers see the old or the new one; returns the table.
+
+    Rows that arrive later with an event time before the mark are passed over,
+    as in the reference.  With ``late_rows`` they count: ``table`` is then the
+    stored view (``read_view``), each version lists the files that it has read,
+    and the next one also merges all rows of files that are not listed, so such
+    a row reaches the snapshot if it is newer than the value of its key.  Give
+    it from the first run on."""
     key, state = view.entity.join_key, snapshot_state(spark, view.name)
     newest = table.agg(F.max(EVENT_TS)).first()[0] if end is None else end
     if newest is None:
         return read_snapshot(spark, view.name) if state else latest_per_key(
             table, key, EVENT_TS, [c for c in table.columns if c not in (key, EVENT_TS, EVENT_DATE, EVENT_MONTH)], tiebreak)
     if incremental and state:
-        out = materialize_incremental(read_snapshot(spark, view.name), table, key, state[1], newest, tiebreak)
+        before = read_snapshot(spark, view.name)
+        late = _unseen_rows(spark, view, table) if late_rows else None
+        if late is not None:
+            before = materialize_incremental(before, late, key, None, newest, tiebreak)
+        out = materialize_incremental(before, table, key, state[1], newest, tiebreak)
     else:
         out = materialize(table, key, start, newest, tiebreak, days=days)
     version = state[0] + 1 if state else 0
     mark = F.lit(newest).cast("timestamp_ntz")
     mark = F.greatest(mark, F.lit(state[1]).cast("timestamp_ntz")) if state and incremental else mark
     out.write.parquet(storage_path(spark, "latest", view.name, f"v={version}"))
+    if late_rows:
+        spark.createDataFrame([(f,) for f in table.inputFiles()], "file string").write.parquet(f"{_ingested_path(spark, view.name)}/v={version}")
     spark.range(1).select(F.lit(version).cast("long").alias("version"), mark.alias("high_water_mark")).coalesce(1).write.mode(
         "append").parquet(storage_path(spark, "latest", view.name, "_state"))
     return read_snapshot(spark, view.name)

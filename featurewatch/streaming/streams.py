@@ -191,7 +191,7 @@ def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y
     each when complete, with the verdict against all earlier windows.
 
     Each micro-batch is processed with the distributed batch operators (no
-    per-model task): rows get their position by a bucketed row number after
+    per-model task): rows get their position by a row number by ranges after
     the rows still pending from earlier batches; complete windows are a
     ``groupBy``; the open window's rows (< window_size per model) and the
     per-model counters (windows seen, F1 sum) are the state for the next
@@ -203,20 +203,20 @@ def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y
 
     def fn(batch, batch_id):
         from featurewatch.operators.ordering import global_row_number
-        from featurewatch.session import materialize
         pend = state_before(spark, f"{root}/_state/pending", batch_id, PENDING_SCHEMA)
         prev = state_before(spark, f"{root}/_state/counters", batch_id, COUNTER_SCHEMA)
         rows = pend.unionByName(batch)
-        ranked = materialize(global_row_number(rows, ["seq"], groups=["model"], name="__rn")
-                             .withColumn("__w", F.floor((F.col("__rn") - 1) / window_size)))
+        ranked = global_row_number(rows, ["seq"], groups=["model"], name="__rn", count="__n").withColumn(
+            "__w", F.floor((F.col("__rn") - 1) / window_size))
         t, p = F.col("y"), F.col("p")
         g = ranked.groupBy("model", "__w").agg(
             F.count(F.lit(1)).alias("n"), F.count_if((t == 1) & (p == 1)).alias("tp"),
             F.count_if((t == 0) & (p == 1)).alias("fp"), F.count_if((t == 1) & (p == 0)).alias("fn"),
             F.count_if((t == 0) & (p == 0)).alias("tn"), F.min("seq").alias("start_seq"),
             F.max("seq").alias("end_seq"))
-        done = g.filter(F.col("n") == window_size).join(prev, "model", "left") \
-            .fillna({"n_windows": 0, "f1_sum": 0.0})
+        seen = prev.withColumnRenamed("model", "__model")     # a NULL model is a model like any other
+        done = g.filter(F.col("n") == window_size).join(seen, F.col("model").eqNullSafe(F.col("__model")), "left") \
+            .drop("__model").fillna({"n_windows": 0, "f1_sum": 0.0})
         prec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
         rec = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))
         f1 = F.round(F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(F.lit(0.0)), 4)
@@ -233,14 +233,11 @@ def concept_windows(confirmed_stream: DataFrame, model_col: str, seq_col: str, y
             F.when(F.col("f1") - base > F1_DELTA_OK, "OK").when(F.col("f1") - base > F1_DELTA_WARNING, "WARNING")
             .otherwise("DRIFT_DETECTED").alias("status"), "start_seq", "end_seq")
         res.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
-        open_w = g.filter(F.col("n") < window_size).select("model", "__w")
-        write_state(ranked.join(open_w, ["model", "__w"], "left_semi").select("model", "seq", "y", "p"),
-                    f"{root}/_state/pending", batch_id)
-        new = res.groupBy("model").agg(F.count(F.lit(1)).alias("dn"), F.sum("f1").alias("ds"))
-        write_state(prev.join(new, "model", "full").select(
-            "model", (F.coalesce("n_windows", F.lit(0)) + F.coalesce("dn", F.lit(0))).alias("n_windows"),
-            (F.coalesce("f1_sum", F.lit(0.0)) + F.coalesce("ds", F.lit(0.0))).alias("f1_sum")),
-            f"{root}/_state/counters", batch_id)
+        open_rows = ranked.filter(F.col("__rn") > F.floor(F.col("__n") / window_size) * window_size)
+        write_state(open_rows.select("model", "seq", "y", "p"), f"{root}/_state/pending", batch_id)
+        new = spark.read.schema(CONCEPT_OUT).parquet(f"{root}/data/batch={batch_id}").select("model", F.lit(1).cast("long").alias("n_windows"), F.col("f1").alias("f1_sum"))
+        write_state(prev.unionByName(new).groupBy("model").agg(F.sum("n_windows").alias("n_windows"), F.sum("f1_sum").alias("f1_sum")),
+                    f"{root}/_state/counters", batch_id)
 
     run_foreach_batch(s, fn, root)
     if not exists(spark, f"{root}/data"):                 # the stream had no batch yet
@@ -271,22 +268,43 @@ def drift_per_batch(stream: DataFrame, reference_long: DataFrame, to_long: Calla
     root = _root(spark, name, root)
     stored = f"{root}/_reference"
     if not exists(spark, f"{stored}/_SUCCESS"):
-        reduce_values(reference_long, materialized=False).write.mode("overwrite").parquet(stored)
+        reduce_values(reference_long).write.mode("overwrite").parquet(stored)
     reference = spark.read.parquet(stored)
 
     def fn(batch, batch_id):
-        from featurewatch.session import materialize
         own = to_long(batch).filter(F.col("side") == PROD)
         known = own.join(reference.select("feature").distinct(), "feature", "left_semi")
-        both = reference.unionByName(reduce_values(known, materialized=False)).groupBy("feature", "value").agg(
+        both = reference.unionByName(reduce_values(known)).groupBy("feature", "value").agg(
             F.sum("n_ref").alias("n_ref"), F.sum("n_prod").alias("n_prod"))
-        rep = report_from_reduced(materialize(both))
+        rep = report_from_reduced(both)
         rep.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
 
     run_foreach_batch(stream, fn, root)
     return spark.read.parquet(f"{root}/data").drop("batch")
 
 
+def drift_over_days(stream: DataFrame, reference_long: DataFrame, to_rows: Callable[[DataFrame], DataFrame], n_days: int,
+                    name: str = "drift_days", root: str | None = None) -> DataFrame:
+    """T7 over the last ``n_days`` days of the log: each micro-batch adds its rows (``to_rows``: ``day``, ``feature``,
+    ``value``) to the stored days, moves the window and reports on it."""
+    from featurewatch.operators.drift import REF, reduce_values
+    from featurewatch.operators.drift_days import DayWindow, report_of_window
+    spark = stream.sparkSession
+    root = _root(spark, name, root)
+    stored = f"{root}/_reference"
+    if not exists(spark, f"{stored}/_SUCCESS"):
+        reduce_values(reference_long.filter(F.col("side") == REF)).write.mode("overwrite").parquet(stored)
+    reference, window = spark.read.parquet(stored), DayWindow(spark, f"{root}/_state", n_days)
+
+    def fn(batch, batch_id):
+        window.add(to_rows(batch), batch_id)
+        report = report_of_window(reference, window.advance(batch_id))
+        report.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
+
+    run_foreach_batch(stream, fn, root)
+    return spark.read.parquet(f"{root}/data").drop("batch")
+
+
 def materialize_stream(stream: DataFrame, key: str, ts: str, cols: list[str], tiebreak: str | None = None,
                        name: str = "materialize", root: str | None = None, parts: int = 64) -> DataFrame:
     """Incremental latest-per-key snapshot.  Keys are dealt into ``parts``;

@@ -1,6 +1,4 @@
-"""Bucketed running sums, row numbers and percentiles: NULL groups, bucket counts, exactness."""
-
-import time
+"""Running sums, row numbers and percentiles by ranges: NULL groups, numbers of ranges, exactness, plans."""
 
 import numpy as np
 import pytest
@@ -8,8 +6,11 @@ from pyspark.sql import functions as F
 
 from featurewatch.functions.encode import impute_median
 from featurewatch.ml.split import stratified_folds, stratified_split
+from featurewatch.operators.classify import auc_roc
+from featurewatch.operators.concept import concept_windows
+from featurewatch.operators.drift import drift_report
 from featurewatch.operators.log_stats import exact_percentiles, log_retention
-from featurewatch.operators.ordering import global_row_number, running_sums
+from featurewatch.operators.ordering import PART, global_row_number, placed, running_sums
 
 
 @pytest.mark.parametrize("buckets", [2, 7, 40, 512, 2000])
@@ -29,15 +30,53 @@ def test_row_numbers_over_null_and_plain_groups(spark):
     assert sorted((str(r.g), r.k, r.rn) for r in got) == sorted((str(g), k, k // 2 + 1) for g, k in rows)
 
 
-def test_many_buckets_compile_and_cost_little_more(spark):
+def jobs_of(spark, fn):
+    """Number of Spark jobs that ``fn`` runs."""
+    spark.sparkContext.setJobGroup(group := f"jobs-{id(fn)}", "")
+    try:
+        fn()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("buckets", [8, 2000])
+def test_the_plan_does_not_grow_with_the_ranges(spark, buckets):
     df = spark.range(20_000).select((F.col("id") % 997).cast("double").alias("x"), F.lit(1).alias("c"))
-    took = {}
-    for n in (8, 2000):
-        running_sums(df, [], ["x"], {"cum": F.col("c")}, buckets=n).agg(F.max("cum")).first()
-        t = time.perf_counter()
-        assert running_sums(df, [], ["x"], {"cum": F.col("c")}, buckets=n).agg(F.max("cum")).first()[0] == 20_000
-        took[n] = time.perf_counter() - t
-    assert took[2000] < 3 * took[8] + 1
+    out = []
+    assert jobs_of(spark, lambda: out.append(running_sums(df, [], ["x"], {"cum": F.col("c")}, buckets=buckets).agg(F.max("cum").alias("m")))) <= 3
+    assert out[0].collect()[0].m == 20_000
+    plan = out[0]._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN" not in plan and "Join" not in plan and "Broadcast" not in plan and len(plan) < 40_000
+    assert "*(" in plan and "MapInArrow" not in plan                  # what is beside the windows is generated code
+
+
+def test_facts_are_those_of_the_whole_group(spark):
+    rows = [([None, "a", "b"][i % 3], float(i % 50), i % 7) for i in range(600)]
+    facts = {"n": ("sum", F.lit(1)), "lo": ("min", F.col("x")), "hi": ("max", F.col("x")), "s": ("sum", F.col("x") * F.col("c"))}
+    got = running_sums(spark.createDataFrame(rows, "g string, x double, c int"), ["g"], ["x"], {"cum": F.col("c")}, buckets=9, facts=facts).collect()
+    assert len(got) == 600
+    for r in got:
+        own = [(x, c) for g, x, c in rows if g == r.g]
+        assert (r.n, r.lo, r.hi, r.s) == (len(own), min(own)[0], max(own)[0], sum(x * c for x, c in own))
+
+
+@pytest.mark.parametrize(("build", "most"), [
+    # adaptive execution runs a job for each shuffle: of the values (where they are reduced first), the sample, the ranges, the write
+    (lambda df: stratified_split(df, "id", "y"), 3), (lambda df: concept_windows(df, "id", "y", "y"), 3),
+    (lambda df: exact_percentiles(df, "x", [0.5], groups=["y"]), 4), (lambda df: impute_median(df, ["x"]), 4), (lambda df: auc_roc(df, "y", "x"), 4),
+    (lambda df: drift_report(df.select(F.lit("x").alias("feature"), F.when(F.col("y") == 1, "reference").otherwise("production").alias("side"), "x").withColumnRenamed("x", "value")), 6)])
+def test_few_jobs_run_while_a_plan_is_built(spark, build, most):
+    df = spark.range(5000).select("id", (F.col("id") % 2).cast("int").alias("y"), (F.col("id") * 7919 % 4999).cast("double").alias("x"))
+    out = []
+    assert jobs_of(spark, lambda: out.append(build(df))) <= most
+    assert out[0].count() > 0
+
+
+def test_rows_of_one_group_are_ranked_by_several_tasks(spark):
+    rows = placed(spark.range(100_000).select(F.lit("hot").alias("g"), (F.col("id") * 7919 % 100_003).alias("x")), ["g"], ["x"], buckets=16)
+    sizes = [r["count"] for r in rows.groupBy(PART).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 3 * 100_000 / 16
 
 
 def test_percentiles_by_group_and_medians_without_a_single_task(spark):

@@ -75,6 +75,41 @@ def test_asof_null_keys_dense_keys_and_text_ties(spark, plan):
         assert got == {1: 2.0, 2: None, 3: None, 4: 1500.0, 5: 2999.0, 6: None if ttl else 2999.0} | {100 + i: None for i in range(50)}
 
 
+@pytest.mark.parametrize("ttl", [3, 365, None])
+def test_asof_heavy_buckets_are_cut_with_equal_results(spark, ttl):
+    f = spark.range(2000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("key"),
+                                 (F.lit(_ts(0)) + F.make_dt_interval(F.pmod(F.xxhash64("id"), F.lit(70)).cast("int"), F.pmod(F.col("id"), F.lit(24)).cast("int"))).alias("ts"),
+                                 F.col("id"), (F.col("id") * 1.0).alias("v"))
+    e = spark.range(3000).select(F.col("id").alias("eid"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 45)).alias("key"),
+                                 F.when(F.col("id") % 70 != 2, F.lit(_ts(-5)) + F.make_dt_interval(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(100)).cast("int"), F.lit(0), F.lit(0), F.lit(1.5))).alias("t"))
+    views = [A.ViewInput("v", f, "key", "ts", ["v"], tiebreak="id", ttl_days=ttl),
+             A.ViewInput("w", f.filter("id % 7 = 0 or (key = 'hot' and id < 30)"), "key", "ts", ["v"], tiebreak="id", ttl_days=ttl, prefix="w_")]
+    plain = A.asof_join_union(e, "key", "t", views, heavy_rows=None)
+    for heavy in (100, 7):
+        cut = A.asof_join_union(e, "key", "t", views, heavy_rows=heavy)
+        assert cut.count() == 3000 and cut.exceptAll(plain).count() == 0
+    one = A.asof_join_range(e.withColumn("x", F.lit(1)), "key", "t", ["eid"], views[0]).drop("x")
+    assert plain.select(e.columns + ["v", "feature_ts"]).exceptAll(one).count() == 0
+
+
+def test_asof_hot_key_within_one_month_is_dealt_over_tasks(spark):
+    """A third of all rows belong to one key and one month: the rows of each task of the sort are read from the plan's result."""
+    f = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("key"),
+                                 (F.lit(_ts(2)) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id") * 60)).alias("ts"), F.col("id").alias("v"))
+    e = f.select(F.col("v").alias("eid"), "key", F.col("ts").alias("t"))
+    view = A.ViewInput("v", f, "key", "ts", ["v"], tiebreak="v")
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        largest = lambda df: max(r["count"] for r in df.filter("key = 'hot'").groupBy(F.spark_partition_id()).count().collect())
+        assert largest(A.asof_join_union(e, "key", "t", [view], heavy_rows=None)) == 3000
+        assert largest(A.asof_join_union(e, "key", "t", [view], heavy_rows=150)) <= 900
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
 def test_latest_and_online_lookup(spark, fixture_f3):
     f, _ = fixture_f3
     latest = A.latest_per_key(f, "key", "ts", ["v", "id"], tiebreak="id")
@@ -204,3 +239,25 @@ def test_a_busy_day_of_the_log_is_written_by_several_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     log = log_stats.read_log(spark, name)
     assert log.count() == 2000 and log.select(F.input_file_name()).distinct().count() > 1
+
+
+def test_late_rows_reach_the_snapshot_by_the_list_of_files(spark):
+    import uuid
+    view = FS.FeatureView(f"late_{uuid.uuid4().hex}", FS.EntityDef("thing", "thing_id"), T.StructType([T.StructField("v", T.DoubleType()), T.StructField("id", T.LongType())]))
+    schema = "key string, ts timestamp_ntz, id long, v double"
+    first = spark.createDataFrame([("a", _ts(10), 1, 1.0), ("b", _ts(50), 2, 2.0), ("c", _ts(40), 3, 3.0), ("d", _ts(90), 9, 9.0)], schema)
+    # late: newer than a's value, older than b's, a new key; in time: newer than all
+    second = spark.createDataFrame([("a", _ts(20), 4, 4.0), ("b", _ts(30), 5, 5.0), ("z", _ts(5), 6, 6.0), ("c", _ts(95), 7, 7.0)], schema)
+    publish = lambda **kw: {r.thing_id: r.v for r in FS.publish(spark, view, FS.read_view(spark, view), tiebreak="id", days=None, **kw).collect()}
+    FS.write_view(spark, view.name, FS.ingest_view(first, view, "key", "ts"), key="thing_id")
+    assert publish(end=_ts(60), late_rows=True) == {"a": 1.0, "b": 2.0, "c": 3.0}
+    FS.write_view(spark, view.name, FS.ingest_view(second, view, "key", "ts"), key="thing_id")
+    assert publish(end=_ts(100), late_rows=True) == {"a": 4.0, "b": 2.0, "c": 7.0, "d": 9.0, "z": 6.0}
+    assert publish(end=_ts(100), late_rows=True) == {"a": 4.0, "b": 2.0, "c": 7.0, "d": 9.0, "z": 6.0}
+    # the reference's rule passes late rows over
+    other = FS.FeatureView(view.name + "_r", view.entity, view.schema)
+    FS.write_view(spark, other.name, FS.ingest_view(first, other, "key", "ts"), key="thing_id")
+    FS.publish(spark, other, FS.read_view(spark, other), end=_ts(60), tiebreak="id", days=None)
+    FS.write_view(spark, other.name, FS.ingest_view(second, other, "key", "ts"), key="thing_id")
+    got = {r.thing_id: r.v for r in FS.publish(spark, other, FS.read_view(spark, other), end=_ts(100), tiebreak="id", days=None).collect()}
+    assert got == {"a": 1.0, "b": 2.0, "c": 7.0, "d": 9.0}

@@ -87,3 +87,17 @@ def test_last_feedback_call_wins(spark):
     df = spark.createDataFrame([("p", T0, 1, 0, T0, 1), ("p", T0, 1, 1, T0, 2), ("q", T0, 0, None, None, None)],
                                "prediction_id string, timestamp timestamp, prediction int, actual_outcome int, feedback_timestamp timestamp, fb_seq long")
     assert sorted((r.prediction_id, r.actual_outcome) for r in S.latest_outcomes(df).collect()) == [("p", 1), ("q", None)]
+
+
+def test_concept_windows_of_a_null_model_over_three_batches(spark, tmp_path):
+    src, root = f"{tmp_path}/in", f"{tmp_path}/q"
+    df = spark.createDataFrame([(m, 2 * i + (m is None), i % 3 % 2, i % 4 % 2) for i in range(63) for m in ("m", None)], "model string, seq long, y int, p int")
+    for a, b in ((0, 50), (50, 90), (90, 126)):            # 25, 20 and 18 rows a model
+        _write(df.filter((F.col("seq") >= a) & (F.col("seq") < b)), src)
+    got = S.concept_windows(_stream(spark, df.schema, src), "model", "seq", "y", "p", root=root).collect()
+    want = CD.concept_windows(df, "seq", "y", "p", groups=["model"]).filter("n = 20").collect()
+    assert sorted((str(r.model), r.window_index, r.f1, r.start_seq, r.end_seq) for r in got) == sorted(
+        (str(r.model), r.window_index, r.f1, r.start_time, r.end_time) for r in want)
+    assert [r.window_index for r in sorted(got, key=lambda r: r.window_index) if r.model is None] == [0, 1, 2]
+    counters = spark.read.parquet(f"{root}/_state/counters/v=2").collect()
+    assert sorted((str(r.model), r.n_windows) for r in counters) == [("None", 3), ("m", 3)]
