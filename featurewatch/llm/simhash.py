@@ -170,12 +170,23 @@ def _posting_links(postings: DataFrame) -> DataFrame:
     return lists.select("fps").mapInArrow(_pair_links, "a long, b long")
 
 
+#: Groups over which the members of one posting are dealt until it is known how long it is.
+SALTS = 64
+
+
+def _sized(level: DataFrame) -> DataFrame:
+    """Members (``key``, ``fp``) of postings that have several, with their ``count``."""
+    salted = level.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)))
+    parts = salted.groupBy("key", "salt").count()
+    sizes = parts.groupBy("key").agg(F.sum("count").alias("count")).filter("count > 1")
+    return salted.join(parts.select("key", "salt").join(sizes, "key"), ["key", "salt"]).drop("salt")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join exactly the distinct fingerprints ``fp`` which chains of near pairs join."""
     out, level = None, fps.select("fp", _first_keys().alias("key"))
     for refine in (_second_keys, _third_keys, None):
-        sizes = level.groupBy("key").count().filter("count > 1")
-        sized = level.join(sizes, "key")
+        sized = _sized(level)
         found = _posting_links(sized.filter(F.col("count") <= POSTING).select("key", "fp"))
         out = found if out is None else out.unionByName(found)
         if refine is None:
