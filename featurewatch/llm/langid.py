@@ -7,8 +7,10 @@ labels the words, with a penalty for each switch of language, and so finds the s
 one whose spans hold most letters.
 
 The classifier is fitted on a bounded sample of labelled rows, about ``SAMPLE_ROWS``, chosen by a hash of id and text
-in each language: up to ``LANGUAGE_ROWS`` of every language, then more in proportion, so no labelled language is left out. All
-texts are labelled whole. A text that is null or has no letter is ``und`` with score 0 and no spans. Rows with a null
+in each language: up to ``LANGUAGE_ROWS`` of every language, then more in proportion. At most ``LANGUAGES`` labels are
+learned, those with most rows, so that a column with many stray labels does no harm. Counts are kept sparse, for the
+combinations that the sample holds, and characters have places by script (the most frequent ``ALPHABET`` of each), so the
+model's size depends on the sample, not on the languages times the alphabet. All texts are labelled whole. A text that is null or has no letter is ``und`` with score 0 and no spans. Rows with a null
 id are never learned from; repeated rows and ids stay. Extra columns are dropped. Without any labelled row every
 text is ``und``.
 """
@@ -22,13 +24,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featurewatch.llm.arrow_text import binary_parts, importable, row_pieces
+from featurewatch.llm.arrow_text import PIECE_BYTES, binary_parts, importable, row_pieces, runs
 from featurewatch.llm.words import Words
 
 SAMPLE_ROWS = 20_000
 #: Rows of each language that come first (fewer if the languages are so many that these alone would exceed the sample).
 LANGUAGE_ROWS = 300
+LANGUAGES = 256
+#: Characters of each script that have a place of their own.
 ALPHABET = 96
+#: Scores [character combination, language] that are made at once.
+CELLS = 1 << 22
 SWITCH = 16.0
 WORD_BOUND = 6.0
 UNDETERMINED = "und"
@@ -75,16 +81,55 @@ def script_of(cps: np.ndarray) -> np.ndarray:
     return _CACHE["scripts"][cps]
 
 
+@dataclass
+class Counts:
+    """Counts by key and language, those that are not zero: ``lang[starts[i]:starts[i + 1]]`` and ``n[...]`` belong to ``keys[i]``."""
+    keys: np.ndarray
+    starts: np.ndarray
+    lang: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def summed(cls, keys: np.ndarray, lang: np.ndarray, n: np.ndarray) -> Counts:
+        order = np.lexsort((lang, keys))
+        keys, lang, n = keys[order], lang[order], n[order]
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (lang[1:] != lang[:-1])]) if len(keys) else np.zeros(0, np.int64)
+        keys, lang, n = keys[first], lang[first], np.add.reduceat(n, first) if len(first) else n
+        heads = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return cls(keys[heads], np.r_[heads, len(keys)].astype(np.int64), lang.astype(np.uint16), n.astype(np.float32))
+
+    def rows(self, wanted: np.ndarray, languages: int) -> np.ndarray:
+        """[wanted key, language], zero where there is no count."""
+        out = np.zeros((len(wanted), languages), np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            known = np.flatnonzero(self.keys[at] == wanted)
+            size = (self.starts[at + 1] - self.starts[at])[known]
+            entries = runs(self.starts[at[known]], size)
+            out[np.repeat(known, size), self.lang[entries]] = self.n[entries]
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
     alphabet: list[int]             # code points with a place of their own; 0 is the edge of a word, 1 any other
-    scores: np.ndarray              # [first, second, third, language], less the mean over languages
+    thirds: Counts                  # of three characters
+    contexts: Counts                # of the first two of them
+    pairs: Counts                   # of the last two
+    seconds: Counts                 # of the second one
     scripts: np.ndarray             # [script, language]: seen together
 
+    def gram_scores(self, grams: np.ndarray) -> np.ndarray:
+        """[gram, language]: log probability of the third character after the two before, less the mean over languages."""
+        size, k = len(self.alphabet) + 2, len(self.languages)
+        after_one = (self.pairs.rows(grams % size ** 2, k) + 0.05) / (self.seconds.rows(grams // size % size, k) + 0.05 * (ALPHABET + 2))
+        logs = np.log((self.thirds.rows(grams, k) + 2 * after_one) / (self.contexts.rows(grams // size, k) + 2))
+        return logs - logs.mean(axis=1, keepdims=True)
+
     def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Scores [word, language] and letters of each word. Words of no letter score 0 for all."""
-        n, size = len(words), len(self.alphabet) + 2
+        n, size, k = len(words), len(self.alphabet) + 2, len(self.languages)
         cps = np.frombuffer(b" ".join(words).decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32) if n else np.zeros(0, np.uint32)
         place = np.ones(0x110000, np.int64)
         place[self.alphabet] = np.arange(2, size)
@@ -96,14 +141,21 @@ class Model:
         before = np.r_[0, inner[:-1]]
         second = np.where(before == 0, 0, np.r_[0, 0, inner[:-2]])
         gram = (second * size + before) * size + inner
-        total = np.zeros((n, len(self.languages)), np.float32)
+        total = np.zeros((n, k), np.float32)
         of = np.r_[word, n - 1] if n else word
-        flat = self.scores.reshape(size ** 3, len(self.languages))
-        if n:
+        if n and k:
             # the blank after a word is its closing edge, so it counts for the word before
             own = np.where(inner == 0, np.r_[0, of[:-1]], of)
             heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            total[own[heads]] = np.add.reduceat(flat[gram], heads, axis=0)
+            distinct, which = np.unique(gram, return_inverse=True)
+            step = max(1, CELLS // k)
+            table = np.concatenate([self.gram_scores(distinct[i:i + step]).astype(np.float32) for i in range(0, len(distinct), step)])
+            ends = np.r_[heads[1:], len(own)]
+            a = 0
+            while a < len(heads):                                     # some words at a time
+                b = max(a + 1, int(np.searchsorted(ends, heads[a] + step, "right")))
+                total[own[heads[a:b]]] = np.add.reduceat(table[which[heads[a]:ends[b - 1]]], heads[a:b] - heads[a], axis=0)
+                a = b
         main = np.zeros(n, np.int64)
         main[word[kind > 0][::-1]] = kind[kind > 0][::-1]             # script of the word's first letter
         seen = self.scripts[main]
@@ -148,14 +200,14 @@ def _sampled(df: DataFrame, id_col: str, rows: int) -> DataFrame:
 def _sampled_by_language(df: DataFrame, rows: int) -> DataFrame:
     """``_sampled`` of ``id``, ``text`` and ``lang``, within each language: small ones whole, none without a row."""
     hashed = F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 20))
-    counted = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).collect()
+    counted = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(hashed).alias("least")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     n = sum(r.n for r in counted)
     if n <= rows:
-        return df
+        return df.filter(F.col("lang").isin([r.lang for r in counted]))
     first = {r.lang: min(r.n, LANGUAGE_ROWS, max(1, rows // len(counted))) for r in counted}
     share = max(0, rows - sum(first.values())) / max(1, n - sum(first.values()))
     below = [(r.lang, max(r.least + 1, int((first[r.lang] + share * (r.n - first[r.lang])) / r.n * (1 << 20)))) for r in counted]
-    return df.filter(hashed < F.create_map(*[F.lit(x) for pair in below for x in pair])[F.col("lang")])
+    return df.filter(F.col("lang").isin([k for k, _ in below])).filter(hashed < F.create_map(*[F.lit(x) for pair in below for x in pair])[F.col("lang")])
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -169,27 +221,33 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     grams = padded.select("lang", "n", F.explode(F.sequence(F.lit(1), F.length("w") - 2)).alias("i"), "w").groupBy(
         "lang", F.substring("w", F.col("i"), F.lit(3)).alias("gram")).agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(grams["lang"]))
+    none = Counts.summed(*[np.zeros(0, np.int64)] * 3)
     if not languages:
-        return Model([], [], np.zeros((2, 2, 2, 0), np.float32), np.zeros((len(SCRIPTS) + 2, 0), bool))
-    thirds = grams.assign(c=[g[-1] for g in grams["gram"]]).query("c != ' '").groupby("c")["n"].sum().sort_values(ascending=False, kind="stable")
-    alphabet = sorted(ord(c) for c in thirds.index[:ALPHABET])
-    place = {chr(c): k + 2 for k, c in enumerate(alphabet)} | {" ": 0}
-    size, k = len(alphabet) + 2, len(languages)
-    counts = np.zeros((size, size, size, k))
-    script_counts = np.zeros((len(SCRIPTS) + 2, k))
+        return Model([], [], none, none, none, none, np.zeros((len(SCRIPTS) + 2, 0), bool))
     of = {x: i for i, x in enumerate(languages)}
-    for lang, gram, n in zip(grams["lang"], grams["gram"], grams["n"], strict=True):
-        a, b, c = (place.get(x, 1) for x in gram)
-        counts[a, b, c, of[lang]] += n
-        if gram[-1] != " ":
-            script_counts[script_of(np.array([ord(gram[-1])]))[0], of[lang]] += n
-    pairs = counts.sum(axis=0)                                        # [second, third, language]
-    after_one = (pairs + 0.05) / (pairs.sum(axis=1, keepdims=True) + 0.05 * size)
-    after_two = (counts + 2 * after_one[None]) / (counts.sum(axis=2, keepdims=True) + 2)
-    logs = np.log(after_two)
+    lang, n = np.array([of[x] for x in grams["lang"]]), grams["n"].to_numpy(np.int64)
+    cps = np.frombuffer("".join(grams["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, 3).astype(np.int64)
+    third = cps[:, 2]
+    kind, letter = script_of(third), third != 32
+    script_counts = np.zeros((len(SCRIPTS) + 2, len(languages)))
+    np.add.at(script_counts, (kind[letter], lang[letter]), n[letter])
+    alphabet: list[int] = []
+    for script in np.unique(kind[letter]).tolist():
+        own = letter & (kind == script)
+        chars, at = np.unique(third[own], return_inverse=True)
+        often = np.bincount(at, weights=n[own])
+        alphabet += chars[np.lexsort((chars, -often))[:ALPHABET]].tolist()
+    alphabet.sort()
+    size = len(alphabet) + 2
+    place = np.ones(0x110000, np.int64)
+    place[alphabet] = np.arange(2, size)
+    place[32] = 0
+    a, b, c = place[cps].T
     scripts = script_counts >= 0.005 * script_counts.sum(axis=0)
     scripts[0] = False
-    return Model(languages, alphabet, (logs - logs.mean(axis=-1, keepdims=True)).astype(np.float32), scripts)
+    # pairs count the last two characters of every three, so a character's own count is that of the pairs it begins
+    return Model(languages, alphabet, Counts.summed((a * size + b) * size + c, lang, n), Counts.summed(a * size + b, lang, n),
+                 Counts.summed(b * size + c, lang, n), Counts.summed(b, lang, n), scripts)
 
 
 def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -205,10 +263,10 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         k = len(own.languages)
         for batch in batches:
             offsets, raw = binary_parts(batch.column(1))
-            for a, b in row_pieces(offsets):
+            for a, b in row_pieces(offsets, max(1 << 16, PIECE_BYTES // max(1, k // 8))):
                 words = Words(raw, offsets[a:b + 1], _INSIDE)
                 by_word, by_letters = own.word_scores(words.distinct)
-                scores, letters = by_word[words.code], by_letters[words.code]
+                letters = by_letters[words.code]
                 lang, sure, spans = [], [], []
                 bounds = words.bounds.tolist()
                 for x, y in zip(bounds, bounds[1:], strict=False):
@@ -219,7 +277,7 @@ def identify(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                         sure.append(0.0)
                         spans.append([])
                         continue
-                    part = scores[x:y]
+                    part = by_word[words.code[x:y]]
                     path = viterbi(part)
                     share = np.bincount(path, weights=count, minlength=k)
                     best = int(share.argmax())

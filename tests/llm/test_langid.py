@@ -1,5 +1,7 @@
 import itertools
+import pickle
 import random
+import re
 import zlib
 
 import numpy as np
@@ -79,3 +81,54 @@ def test_a_small_language_is_learned_beside_large_ones(frame):
     sample = langid._sampled_by_language(df.filter("text rlike '[^0-9 ]'").select(F.col("doc_id").alias("id"), "text", "lang"), 200)
     counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
     assert counts["he"] == 30 and counts["ru"] == 2 and counts["zz"] == 1 and sum(counts.values()) < 300
+
+
+def test_two_hundred_languages_and_two_of_a_minor_script(spark):
+    """The model follows the sample's size, not languages x alphabet; a script that is rare has its own characters."""
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = {f"l{k:03d}": ["".join(rng.choices(letters, k=5)) for _ in range(4)] for k in range(200)}
+    stems |= {"ru": ["москва", "который", "хорошо", "ещё"], "uk": ["київ", "який", "добре", "їжак"], "zh": ["语言", "文字"] + [chr(0x4E00 + 7 * i) for i in range(300)]}
+    rows = [(i, " ".join(rng.choices(stems[lang], k=12)), lang) for i in range(6000) for lang in [list(stems)[i % 200 if i % 10 else 200 + i // 10 % 3]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df, sample_rows=3000)
+    assert len(model.languages) == 183 and len(pickle.dumps(model)) < 4 << 20
+    got = langid.identify(df, model, carry=["lang"]).select((F.col("lang_pred") == F.col("row.lang")).alias("right"), F.col("row.lang").alias("lang")).toPandas()
+    assert got.right.mean() > 0.99 and got[got.lang.isin(["ru", "uk"])].right.mean() == 1.0
+
+
+def test_stray_labels_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [(i, text(random.Random(i), ("aa", "bb", "cc")[i % 3], 8), ("aa", "bb", "cc")[i % 3]) for i in range(90)] + [(1000 + i, "stray word", f"x{i}") for i in range(50)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_rows=60)
+    assert model.languages == ["aa", "bb", "cc"]
+
+
+def brute_gram_scores(model, rows, gram):
+    """Scores of one combination from counts in plain dictionaries."""
+    known = set(map(chr, model.alphabet))
+    counts = {}
+    for t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            padded = "  " + "".join(c if c in known else "?" for c in w) + " "
+            for i in range(len(padded) - 2):
+                counts[lang, padded[i:i + 3]] = counts.get((lang, padded[i:i + 3]), 0) + 1
+    total = lambda lang, test: sum(n for (g, x), n in counts.items() if g == lang and test(x))
+    logs = []
+    for lang in model.languages:
+        one = (total(lang, lambda x: x[1:] == gram[1:]) + 0.05) / (total(lang, lambda x: x[1] == gram[1]) + 0.05 * (langid.ALPHABET + 2))
+        logs.append(np.log((total(lang, lambda x: x == gram) + 2 * one) / (total(lang, lambda x: x[:2] == gram[:2]) + 2)))
+    return np.array(logs) - np.mean(logs)
+
+
+def test_scores_equal_counts_in_dictionaries(frame):
+    rng = random.Random(9)
+    rows = [(text(rng, lang, 9), lang) for _ in range(40) for lang in STEMS]
+    model = langid.fit(frame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string"))
+    place = {chr(c): k + 2 for k, c in enumerate(model.alphabet)} | {" ": 0, "?": 1}
+    size = len(model.alphabet) + 2
+    for gram in ["  l", " lo", "lor", "em ", "qui", "быс", "zzz", "?ор", " l?"]:
+        gram = "".join(c if c in place else "?" for c in gram)
+        a, b, c = (place[x] for x in gram)
+        got = model.gram_scores(np.array([(a * size + b) * size + c]))[0]
+        assert got == pytest.approx(brute_gram_scores(model, rows, gram), abs=1e-4)
