@@ -1,14 +1,14 @@
 """Drift over the last N days of a log.
 
-Production values are kept as one reduced table per batch and day,
-``(feature, value) -> n``; such tables can be added and subtracted.  A window
-of N days is kept the same way: when it moves, only the days that enter or
-leave it, and batches that came since, are read and added to or taken from the
-counts of the window.  The report then is the batch report of these counts, so
+Production values are kept as reduced tables per day, ``(day, feature, value)
+-> n``, in a folder per batch and month; such tables can be added and
+subtracted.  A window of N days is kept the same way: when it moves, only the
+months of the days that enter or leave it, and the batches that came since, are
+read, and these days are added to or taken from the counts of the window.  The report then is the batch report of these counts, so
 it equals a report over the raw rows of these days, late rows included.
 
 Everything lies under one folder, and every batch writes folders of its own
-(``days/batch=<id>/day=<date>``, ``window/v=<id>``), so a replayed batch
+(``days/batch=<id>/month=<month>``, ``window/v=<id>``), so a replayed batch
 overwrites what it wrote before and reads the version before its own.
 """
 
@@ -22,11 +22,19 @@ from pyspark.sql import functions as F
 
 from featurewatch.operators.drift import MIN_PRODUCTION_VALUES, REF, reduce_values, report_from_reduced
 
-_DAYS = "feature string, value double, n long, batch long, day date"
+_DAYS = "day date, feature string, value double, n long, batch long, month string"
 _WINDOW = "feature string, value double, n long"
 _META = "as_of date, n_days int"
 
 
+def _window_days(as_of: dt.date | None, n_days: int) -> set[dt.date]:
+    return {as_of - dt.timedelta(days=i) for i in range(n_days)} if as_of else set()
+
+
+def _months(days: set[dt.date]) -> list[str]:
+    return sorted({d.strftime("%Y-%m") for d in days})
+
+
 class DayWindow:
     """The last ``n_days`` days of production values, stored under ``root``; batches are numbered 0, 1, 2, ..."""
 
@@ -37,7 +45,8 @@ class DayWindow:
         """Stores the rows (``day``, ``feature``, ``value``) of a batch, reduced; rows without a value or day are left out."""
         reduced = rows.filter("value is not null and not isnan(value) and day is not null").groupBy("feature", "value", F.col("day").cast("date").alias("day")).agg(
             F.count(F.lit(1)).alias("n"))
-        reduced.repartition("day", F.pmod(F.xxhash64("feature", "value"), F.lit(8))).write.mode("overwrite").partitionBy("day").parquet(f"{self.root}/days/batch={batch}")
+        reduced = reduced.withColumn("month", F.date_format("day", "yyyy-MM"))
+        reduced.repartitionByRange("day", "feature", "value").write.mode("overwrite").partitionBy("month").parquet(f"{self.root}/days/batch={batch}")
 
     def _meta(self, batch: int) -> tuple[dt.date, int] | None:
         row = self.spark.read.schema(_META).parquet(f"{self.root}/meta/v={batch}").first() if batch >= 0 else None
@@ -51,10 +60,12 @@ class DayWindow:
         if as_of is None:
             newest = days.agg(F.max("day")).first()[0]
             as_of = max((d for d in (newest, before[0] if before else None) if d), default=None)
-        # a test on folders only: Spark reads those whose place in the window has changed
-        now = F.col("day").between(F.lit(as_of) - F.expr(f"INTERVAL {self.n_days - 1} DAYS"), F.lit(as_of)) if as_of else F.lit(False)
-        was = (F.col("batch") < batch) & F.col("day").between(F.lit(before[0] - dt.timedelta(days=before[1] - 1)), F.lit(before[0])) if before else F.lit(False)
-        changed = days.filter(now != was).select("feature", "value", F.when(now, F.col("n")).otherwise(-F.col("n")).alias("n"))
+        own = _window_days(as_of, self.n_days)
+        old = _window_days(*before) if before else set()
+        # folders first (batch and month), then the days whose place in the window has changed
+        now, was = F.col("day").isin(own), (F.col("batch") < batch) & F.col("day").isin(old)
+        folders = ((F.col("batch") == batch) & F.col("month").isin(_months(own))) | ((F.col("batch") < batch) & F.col("month").isin(_months(own ^ old)))
+        changed = days.filter(folders).filter(now != was).select("feature", "value", F.when(now, F.col("n")).otherwise(-F.col("n")).alias("n"))
         if before:
             changed = changed.unionByName(self.spark.read.schema(_WINDOW).parquet(f"{self.root}/window/v={batch - 1}"))
         counts = changed.groupBy("feature", "value").agg(F.sum("n").alias("n")).filter("n <> 0")

@@ -41,17 +41,19 @@ def test_windows_equal_the_rows_of_their_days(spark, tmp_path):
     assert {(r.feature, r.value): r.n for r in early.collect()} == _counts(seen, T0 + dt.timedelta(days=20), 7)
 
 
-def test_only_changed_days_are_read(spark, tmp_path):
-    window = DayWindow(spark, str(tmp_path), 10)
-    for batch, days in enumerate([(0, 20), (20, 21)]):
-        window.add(_rows(spark, batch, days)[1], batch)
+def test_only_months_with_changed_days_are_read(spark, tmp_path, monkeypatch):
+    window, read = DayWindow(spark, str(tmp_path), 10), []
+    for batch, days in enumerate([(0, 100), (100, 101)]):
+        window.add(_rows(spark, batch, days, 600)[1], batch)
+        if batch:                                                     # the plan of the second move
+            inner = type(spark.range(1)).filter
+            monkeypatch.setattr(type(spark.range(1)), "filter", lambda df, c: read.append(out := inner(df, c)) or out)
         counts = window.advance(batch)
-    assert counts.count() > 0
-    days = spark.read.parquet(f"{tmp_path}/days")
-    read = days.filter(((F.col("day") <= F.lit(T0 + dt.timedelta(days=20))) & (F.col("day") > F.lit(T0 + dt.timedelta(days=10))))
-                       != ((F.col("batch") < 1) & F.col("day").between(F.lit(T0 + dt.timedelta(days=10)), F.lit(T0 + dt.timedelta(days=19)))))
-    plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and {r.day.day for r in read.select("day").distinct().collect()} == {11, 21}
+    monkeypatch.undo()
+    folders = [r for r in read if "month" in r.columns][1]              # after the filter on batches, the one on folders
+    assert {(r.batch, r.month) for r in folders.select("batch", "month").distinct().collect()} == {(0, "2024-05"), (0, "2024-06"), (1, "2024-06"), (1, "2024-05")} & {
+        (r.batch, r.month) for r in spark.read.parquet(f"{tmp_path}/days").select("batch", "month").distinct().collect()}
+    assert "PartitionFilters: [" in folders._jdf.queryExecution().executedPlan().toString() and counts.count() > 0
 
 
 def test_report_equals_the_batch_report_of_these_days(spark, tmp_path):
