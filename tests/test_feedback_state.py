@@ -30,7 +30,7 @@ def query(spark, tmp_path):
 
     def run():
         read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
-        out = S.run_available(FB.final_outcomes(read("log", LOG), read("calls", CALLS), max_delay_days=10), "final", root=f"{tmp_path}/q")
+        out = S.run_available(FB.final_outcomes(read("log", LOG), read("calls", CALLS), max_delay_days=10, delay="5 days"), "final", root=f"{tmp_path}/q")
         return sorted((r.prediction_id, r.prediction, r.actual_outcome, r.feedback_timestamp) for r in out.withColumn("feedback_timestamp", F.col("feedback_timestamp").cast("timestamp_ntz")).collect())
 
     yield add, run
@@ -45,10 +45,12 @@ def test_last_call_wins_over_batches_and_restarts(query):
     add("calls", [("a", 1, at(2), 9), ("b", 1, at(11), 4), ("c", 0, at(13), 5)])
     # a: of two calls at one time the later one; b: a call at the deadline counts; c: a call after it does not
     add("log", [("early", at(4), 0), ("a", at(5), 0)])                    # a call came before its prediction; a repeated id
-    assert run()[:1] == [("a", 1, 1, at(2))]
+    assert run() == []                                                    # the watermark is five days behind
+    add("log", [("mid", at(16), 1)])
+    assert run() == [("a", 1, 1, at(2))]
     add("log", [("far", at(60), 1)])
     got = run()
-    assert got == [("a", 1, 1, at(2)), ("b", 0, 1, at(11)), ("c", 1, None, None), ("early", 0, 1, at(4)), ("late", 1, None, None)]
+    assert got == [("a", 1, 1, at(2)), ("b", 0, 1, at(11)), ("c", 1, None, None), ("early", 0, 1, at(4)), ("late", 1, None, None), ("mid", 1, None, None)]
     add("calls", [("late", 1, at(5), 8)])                                 # too late: its row is out
     assert run() == got
 
