@@ -15,13 +15,15 @@ its edited copies); the links give components. Then every pair of a posting whos
 components is a candidate, so no link that joins different components is lost. Long postings are dealt into pairs of
 blocks. Links within a component are not listed: the result is the class of each document.
 
-The order needs no exact counts: any order gives the same result. Each task counts the shingles of all its documents in
-parts of about ``PART`` and reports those that occur ``REPORTED`` times in a part; the sums of the ``ORDERED`` most
-frequent ones make the order, and all others come before them, by their hash.
+Documents are dealt into blocks. Each block sends its distinct shingles (the first ``KEY_BITS`` bits, delta-coded, with
+their counts) to hash ranges; a range adds up the counts of all blocks and sends back which shingles are not unique, and
+how frequent they are. So the order is by counts over all documents, and a prefix is indexed only as far as it holds
+shingles that another document has too: prose that nobody copied sends nothing more. (Shingles with equal first bits
+share a count, which changes the order, the same for all documents, and no result.)
 
-Sets are read again from the texts only for pairs that pass all filters. Filters of fixed size (bitmaps of ``BITS`` bits,
-made by Spark) go out with the tasks: of the shingles that stand in the prefixes of two sets, and of the texts whose
-sets are to be verified. They let through some rows too many, which joins then drop, and save shuffling all prefixes and sets.
+Sets are read again from the texts only for pairs that pass all filters. A filter of fixed size (a bitmap of ``BITS`` bits
+of the texts to be verified, made by Spark) goes out with the tasks; it lets through some texts too many, which a join
+then drops.
 
 A text of fewer words than a shingle is one shingle of all its words. Texts without words (null, empty) have an empty
 set, are linked with nothing and are a class of their own. Null ids are linked like others; a class is named by its
@@ -39,6 +41,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from featurewatch.llm.arrow_text import binary_parts, id_and_text, list_array, row_pieces, runs
 from featurewatch.llm.components import connected_components
+from featurewatch.llm.substring_dedup import _restored, _squeezed, n_blocks
 from featurewatch.llm.words import Words
 from featurewatch.session import storage_path
 
@@ -50,9 +53,7 @@ POSTING = 512
 SALTS = 64
 #: Pairs that are compared at once.
 CELLS = 1 << 20
-PART = 1 << 21
-REPORTED = 4
-ORDERED = 1 << 16
+KEY_BITS = 40
 BITS = 1 << 25
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -109,73 +110,112 @@ class Sets:
         return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), longs
 
 
-def _over_pieces(df: DataFrame, size: int, schema: str, rows, last=None, only=None) -> DataFrame:
-    """``rows(ids, sets, hashes, state)`` for each piece of a table of ``id``, ``text`` and ``hash`` (of the text), and
-    ``last(state)`` at the end of a task. ``only``: a shared bitmap of the hashes that count."""
-    def run(batches):
-        state: dict = {}
-        for batch in batches:
-            if only is not None:
-                batch = batch.filter(pa.array(_in_bitmap(only.value, batch.column(2).to_numpy())))
-            offsets, raw = binary_parts(batch.column(1))
-            for a, b in row_pieces(offsets):
-                yield from rows(batch.column(0).slice(a, b - a), Sets(raw, offsets[a:b + 1], size), batch.column(2).slice(a, b - a), state)
-        if last:
-            yield from last(state)
+def _block_sets(table: pa.Table, size: int) -> Sets:
+    text = pa.concat_arrays([c.cast(pa.large_binary()) for c in table["text"].chunks]) if table.num_rows else pa.array([], pa.large_binary())
+    offsets, raw = binary_parts(text)
+    return Sets(raw, offsets, size)
+
 
-    return df.mapInArrow(run, schema)
+def _keys(sets: Sets, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The distinct keys (first bits) of a block's shingles, the key of each shingle, the counts, and where each of
+    ``parts`` equal ranges of keys begins."""
+    keys, which, counts = np.unique(sets.shingle >> np.uint64(64 - KEY_BITS), return_inverse=True, return_counts=True)
+    cuts = np.searchsorted(keys, np.array([(p << KEY_BITS) // parts for p in range(parts)], np.uint64)).tolist() + [len(keys)]
+    return keys, which, counts, cuts
 
 
-_NAMED = ["id", "n", "sid", "hash", "parities", "shingle", "times"]
-_PARITIES = pa.list_(pa.int64())
+def _index(size: int, parts: int):
+    def run(key, table):
+        keys, _, counts, cuts = _keys(_block_sets(table, size), parts)
+        rows = [(p, key[0].as_py(), _squeezed(keys[a:b], True), _squeezed(counts[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if a < b]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "keys", "counts"])
+    return run
 
 
-def _named(ids: pa.Array, sets: Sets, hashes: pa.Array, state: dict):
-    none = pa.nulls(len(ids), pa.int64())
-    yield pa.RecordBatch.from_arrays([ids, pa.array(sets.counts.astype(np.int64)), pa.array(sets.names()), hashes,
-                                      list_array(*sets.parities(), pa.int64()), none, none], _NAMED)
-    state.setdefault("part", []).append(sets.shingle)
-    if sum(map(len, state["part"])) >= PART:
-        yield from _reported(state)
+def _merge(key, table):
+    """All blocks' keys of one range: which of each block's are not unique, and how often they occur in all blocks."""
+    lists = [_restored(x.as_py(), np.uint64, True) for x in table["keys"]]
+    every, counts = np.concatenate(lists), np.concatenate([_restored(x.as_py(), np.uint32) for x in table["counts"]])
+    order = np.argsort(every, kind="stable")
+    ordered = every[order]
+    heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    total = np.empty(len(every), np.uint32)
+    total[order] = np.repeat(np.minimum(np.add.reduceat(counts[order].astype(np.int64), heads), (1 << 32) - 1), np.diff(np.r_[heads, len(every)]))
+    rows, a = [], 0
+    for block, n in zip(table["block"].to_pylist(), map(len, lists), strict=True):
+        hit = np.flatnonzero(total[a:a + n] > 1)
+        if len(hit):
+            rows.append((block, key[0].as_py(), _squeezed(hit.astype(np.uint32), True), _squeezed(total[a:a + n][hit])))
+        a += n
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["block", "part", "hits", "counts"])
+
+
+_ROW = "id long, n long, sid long, hash long, parities array<long>, shingle long, place long"
+
+
+def _named(size: int, parts: int, percent: int):
+    """A row for each document, and one for each shingle of its prefix that is not unique, with its place in the set."""
+    def run(key, table, matches):
+        sets = _block_sets(table, size)
+        _, which, counts, cuts = _keys(sets, parts)
+        often = np.ones(len(counts), np.int64)
+        for part, hits, found in zip(*(matches[c].to_pylist() for c in ("part", "hits", "counts")), strict=True):
+            often[cuts[part] + _restored(hits, np.uint32, True).astype(np.int64)] = _restored(found, np.uint32)
+        often, n, names = often[which], sets.counts, sets.names()
+        more = np.flatnonzero(often > 1)                                # unique shingles come first in every set
+        unique = n - np.bincount(sets.doc[more], minlength=len(n))
+        more = more[np.lexsort((sets.shingle[more], often[more], sets.doc[more]))]
+        doc = sets.doc[more]
+        head = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(more) else np.zeros(0, np.int64)
+        place = unique[doc] + np.arange(len(more)) - np.repeat(head, np.diff(np.r_[head, len(more)]))
+        inside = place < prefix_length(n, percent)[doc]
+        more, doc, place = more[inside], doc[inside], place[inside]
+        k, m = len(n), len(more)
+        joined = lambda a, b, t=pa.int64(): pa.concat_arrays([pa.array(a, t) if not isinstance(a, pa.Array) else a, b if isinstance(b, pa.Array) else pa.array(b, t)])
+        none = lambda count, t=pa.int64(): pa.nulls(count, t)
+        whole = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) and c.num_chunks != 1 else c.chunk(0)
+        ids, hashes = (whole(table[c]) if k else none(0) for c in ("id", "hash"))
+        parities = list_array(*sets.parities(), pa.int64()) if k else none(0, pa.list_(pa.int64()))
+        return pa.table([joined(ids, none(m)), joined(n.astype(np.int64), n[doc].astype(np.int64)), joined(names, names[doc]), joined(hashes, none(m)),
+                         pa.concat_arrays([parities.cast(pa.list_(pa.int64())), none(m, pa.list_(pa.int64()))]),
+                         joined(none(k), sets.shingle[more].view(np.int64)), joined(none(k), place.astype(np.int64))],
+                        ["id", "n", "sid", "hash", "parities", "shingle", "place"])
+    return run
 
 
-def _reported(state: dict):
-    parts = state.pop("part", [])
-    if parts:
-        shingle, times = np.unique(np.concatenate(parts), return_counts=True)
-        often = times >= REPORTED
-        none = pa.nulls(int(often.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), _PARITIES), pa.array(shingle[often].view(np.int64)),
-                                          pa.array(times[often].astype(np.int64))], _NAMED)
+def _named_rows(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    parts = n_blocks(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    # rows with a null id are dealt by their place too, so that very many of one text do not meet
+    dealt = F.xxhash64("id", "hash", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    docs = texts.withColumn("block", F.pmod(dealt, F.lit(parts)))
+    index = docs.groupBy("block").applyInArrow(_index(size, parts), "part int, block long, keys binary, counts binary")
+    matches = index.groupBy("part").applyInArrow(_merge, "block long, part int, hits binary, counts binary")
+    return docs.groupBy("block").cogroup(matches.groupBy("block")).applyInArrow(_named(size, parts, percent), _ROW)
 
 
-def prefix_length(n, percent: int):
-    return n - (percent * n + 99) // 100 + 1
+def _whole_sets(df: DataFrame, size: int, only) -> DataFrame:
+    """``sid``, ``n`` and ``shingles`` of the texts whose ``hash`` may be in the shared bitmap ``only``, each set once in a
+    piece of text."""
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(_in_bitmap(only.value, batch.column(2).to_numpy())))
+            offsets, raw = binary_parts(batch.column(1))
+            for a, b in row_pieces(offsets):
+                sets = Sets(raw, offsets[a:b + 1], size)
+                names = sets.names()
+                own = np.flatnonzero(sets.counts > 0)
+                own = own[np.unique(names[own], return_index=True)[1]]
+                members = runs(sets.bounds[own], sets.counts[own])
+                yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(sets.counts[own].astype(np.int64)),
+                                                  list_array(sets.shingle[members].view(np.int64), sets.counts[own], pa.int64())], ["sid", "n", "shingles"])
+
+    return df.mapInArrow(run, "sid long, n long, shingles array<long>")
 
 
-def _prefixes(frequent: np.ndarray, times: np.ndarray, percent: int):
-    def rows(ids, sets, hashes, state):
-        shingle, doc, n = sets.shingle, sets.doc, sets.counts
-        at = np.minimum(np.searchsorted(frequent, shingle), max(len(frequent) - 1, 0))
-        often = np.where(frequent[at] == shingle, times[at], 0) if len(frequent) else np.zeros(len(shingle), np.int64)
-        length = prefix_length(n, percent)
-        # the others come first, as they stand (by their hash); frequent ones follow where these do not fill the prefix
-        rare = often == 0
-        upto = np.r_[0, np.cumsum(rare)]
-        place = upto[:-1] - upto[sets.bounds[doc]]
-        n_rare = upto[sets.bounds[1:]] - upto[sets.bounds[:-1]]
-        first = np.flatnonzero(rare & (place < length[doc]))
-        more = np.flatnonzero(~rare & (n_rare < length)[doc])
-        more = more[np.lexsort((shingle[more], often[more], doc[more]))]
-        head = np.flatnonzero(np.r_[True, doc[more][1:] != doc[more][:-1]]) if len(more) else np.zeros(0, np.int64)
-        rank = np.arange(len(more)) - np.repeat(head, np.diff(np.r_[head, len(more)]))
-        behind = n_rare[doc[more]] + rank
-        fits = behind < length[doc[more]]
-        taken, placed = np.r_[first, more[fits]], np.r_[place[first], behind[fits]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(shingle[taken].view(np.int64)), pa.array(sets.names()[doc[taken]]), pa.array(n[doc[taken]].astype(np.int64)), pa.array(placed)],
-            ["shingle", "sid", "n", "place"])
-    return rows
+def prefix_length(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
 
 
 def _bitmap(values: DataFrame, column: str) -> np.ndarray:
@@ -194,28 +234,6 @@ def _in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
 
 
-def _maybe_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose ``column`` may be among ``values`` (those of the same column)."""
-    shared, at = df.sparkSession.sparkContext.broadcast(_bitmap(values, column)), df.columns.index(column)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_in_bitmap(shared.value, batch.column(at).to_numpy())))
-
-    return df.mapInArrow(run, df.schema)
-
-
-def _whole(ids: pa.Array, sets: Sets, hashes: pa.Array, state: dict):
-    """The sets of a piece, each once."""
-    names = sets.names()
-    own = np.flatnonzero(sets.counts > 0)
-    own = own[np.unique(names[own], return_index=True)[1]]
-    members = runs(sets.bounds[own], sets.counts[own])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(names[own]), pa.array(sets.counts[own].astype(np.int64)), list_array(sets.shingle[members].view(np.int64), sets.counts[own], pa.int64())],
-        ["sid", "n", "shingles"])
-
-
 def _needed(n: Column, m: Column, percent: int) -> Column:
     """The least intersection of sets of these sizes that are linked."""
     return F.ceil(percent * (n + m) / (100 + percent))
@@ -314,13 +332,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return spark.read.parquet(path)
 
     texts = id_and_text(df, id_col, text_col).withColumn("hash", F.xxhash64("text"))
-    rows = stored(_over_pieces(texts, size, "id long, n long, sid long, hash long, parities array<long>, shingle long, times long", _named, _reported), "rows")
-    docs = rows.filter("times is null").select("id", "n", "sid")
-    lights = stored(rows.filter("times is null and n > 0").select("sid", "n", "hash", "parities").dropDuplicates(["sid"]), "lights")
-    often = rows.filter("times is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(ORDERED).collect()
-    frequent, times = np.array([r.shingle for r in often], np.int64).view(np.uint64), np.array([r.times for r in often], np.int64)
-    order = np.argsort(frequent)
-    prefixes = _over_pieces(texts, size, "shingle long, sid long, n long, place long", _prefixes(frequent[order], times[order], percent))
+    rows = stored(_named_rows(texts, size, percent), "rows")
+    docs = rows.filter("shingle is null").select("id", "n", "sid")
+    lights = stored(rows.filter("shingle is null and n > 0").select("sid", "n", "hash", "parities").dropDuplicates(["sid"]), "lights")
+    prefixes = rows.filter("shingle is not null").groupBy("shingle", "sid").agg(F.min("n").alias("n"), F.min("place").alias("place"))
     prefixes = stored(prefixes, "prefixes")
     # only shingles that stand in the prefixes of two sets give candidates; the positional filter lets the smaller set of a
     # pair meet the other only at a place from which on it could be found whole in a set of its own size
@@ -328,8 +343,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     common = prefixes.groupBy("shingle").agg(F.min("sid").alias("least"), F.max("sid").alias("most"), F.max(first_half.cast("int")).alias("first")
                                              ).filter("least <> most and first = 1").select("shingle")
     common = stored(common, "common")
-    postings = _maybe_in(prefixes, "shingle", common).groupBy("shingle", "sid").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    postings = stored(postings.join(common, "shingle", "left_semi"), "postings")
+    postings = stored(prefixes.join(common, "shingle", "left_semi"), "postings")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Stored: the pairs, verified. Only the sets of these pairs are read again from the texts."""
@@ -337,8 +351,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
         active = stored(lights.join(wanted, "sid", "left_semi").select("sid", "hash"), f"{name}_active")
         bits = spark.sparkContext.broadcast(_bitmap(active, "hash"))
-        whole = _over_pieces(texts, size, "sid long, n long, shingles array<long>", _whole, only=bits)
-        sets = stored(whole.join(active, "sid", "left_semi").dropDuplicates(["sid"]), f"{name}_sets")
+        sets = stored(_whole_sets(texts, size, bits).join(active, "sid", "left_semi").dropDuplicates(["sid"]), f"{name}_sets")
         return stored(_verified(pairs, sets, percent), name)
 
     # the first round: every member of a posting with its leader

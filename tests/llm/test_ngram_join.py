@@ -53,10 +53,10 @@ def corpus(rng, words, originals, copies):
     return texts
 
 
-@pytest.mark.parametrize(("posting", "percent", "ordered"), [(512, 90, 1 << 16), (6, 90, 8), (512, 60, 0)])
-def test_components_equal_brute_force(frame, monkeypatch, posting, percent, ordered):
+@pytest.mark.parametrize(("posting", "percent", "blocks"), [(512, 90, 1), (6, 90, 23), (512, 60, 7)])
+def test_components_equal_brute_force(frame, monkeypatch, posting, percent, blocks):
     monkeypatch.setattr(ngram_join, "POSTING", posting)
-    monkeypatch.setattr(ngram_join, "ORDERED", max(ordered, 1))
+    monkeypatch.setattr(ngram_join, "n_blocks", lambda size: blocks)
     monkeypatch.setattr(ngram_join, "BITS", 1 << (25 if posting == 512 else 15))
     rng = random.Random(posting + percent)
     texts = corpus(rng, [f"w{i}" for i in range(40)] + ["Ünï", "ABC", "a\x0bb"], 70, 7)
