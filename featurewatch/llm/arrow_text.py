@@ -12,11 +12,19 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text worked on at once inside a task; a longer document is a piece of its own.
 PIECE_BYTES = 1 << 20
+#: Bytes of an Arrow batch (a longer row is a batch of its own): texts are long rows, and Spark's batches of 10,000 of them
+#: are held several times on the way to Python and back.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def importable(df: DataFrame) -> DataFrame:
     """Lets Python workers import this library from where the driver has it (where they run on the same image or it is
-    sent with --py-files, this changes nothing)."""
+    sent with --py-files, this changes nothing), and bounds the bytes of a batch that goes to them, unless the session has
+    a lower bound."""
+    bound = df.sparkSession.conf.get(_BATCH_CONF).rstrip("b")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        df.sparkSession.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
