@@ -1,8 +1,10 @@
 """T5 with keyed state: order of arrival, last call, deadlines, restart and replay."""
 
 import datetime as dt
+import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +70,37 @@ def test_a_replayed_batch_writes_the_same_rows(query, tmp_path):
     if crc.exists():
         crc.unlink()
     assert run() == want
+
+
+def test_state_is_kept_by_bucket_not_by_id(spark, query, tmp_path):
+    add, _ = query
+    add("log", [(f"p{i}", at(i / 1000), i % 2) for i in range(2000)])
+    add("calls", [(f"p{i}", 1, at(i / 1000 + 1), i) for i in range(0, 2000, 3)])
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+    out = FB.final_outcomes(read("log", LOG), read("calls", CALLS), max_delay_days=10, buckets=8)
+    q = out.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start(f"{tmp_path}/o")
+    q.awaitTermination()
+    assert max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators) <= 8 * 8
+
+
+def test_settle_equals_taking_calls_one_by_one():
+    rng, delay = random.Random(3), 50
+    for _ in range(50):
+        rows = [(f"p{rng.randrange(6)}", rng.random() < 0.7, rng.randrange(200), rng.choice([None, *range(5)]), rng.randrange(10_000), rng.randrange(3)) for _ in range(40)]
+        frame = pd.DataFrame(rows, columns=["prediction_id", "is_call", "at", "seq", "value", "chunk"]).astype({"seq": "Int64", "value": "Int32"})
+        logged, waiting = FB.settle(frame, delay)
+        want, left = {}, []
+        for key in sorted({r[0] for r in rows}):
+            own = [r for r in rows if r[0] == key]
+            predictions = sorted((chunk, t, v) for _, is_call, t, _, v, chunk in own if not is_call)
+            calls = [(t, -1 if s is None else s, v) for _, is_call, t, s, v, _ in own if is_call]
+            if predictions:
+                _, t, v = predictions[0]
+                most = max(((a, s) for a, s, _ in calls if t <= a <= t + delay), default=None)
+                want[key] = (t, v, most and {c[2] for c in calls if c[:2] == most})
+            else:
+                left += [(key, c[0]) for c in calls]
+        got = {r.prediction_id: (r.at, r.value, None if pd.isna(r.outcome) else r.outcome) for r in logged.itertuples()}
+        assert {k: v[:2] for k, v in got.items()} == {k: v[:2] for k, v in want.items()}
+        assert all(got[k][2] in o if o else got[k][2] is None for k, (_, _, o) in want.items())
+        assert sorted(zip(waiting.prediction_id, waiting.call_at, strict=True)) == sorted(left)
