@@ -59,16 +59,21 @@ def _moments(cols: Sequence[Column]) -> tuple[Column, Column, Column]:
     return n, mean, ss
 
 
+def _std(cols: Sequence[Column], least: int) -> Column:
+    """Sample std of at least ``least`` (2 or more) non-null values, else NULL.  The condition is in the divisor, not
+    around the sum: Spark computes a repeated expression (the mean) once only where it is not under a condition."""
+    n, _, ss = _moments(cols)
+    return F.sqrt(ss / F.when(n >= least, n - 1))
+
+
 def rowwise_std(cols: Sequence[Column]) -> Column:
     """Row-wise sample std (ddof 1) over non-null values; NULL below 2 values."""
-    n, _, ss = _moments(cols)
-    return F.when(n >= 2, F.sqrt(ss / (n - 1)))
+    return _std(cols, 2)
 
 
 def rowwise_std_serving(cols: Sequence[Column], supplied: Column | None = None, min_values: int = 3) -> Column:
     """Supplied value wins; std when >= 3 values present, else 0.0."""
-    n, _, ss = _moments(cols)
-    comp = F.when(n >= min_values, F.sqrt(ss / (n - 1))).otherwise(F.lit(0.0))
+    comp = F.coalesce(_std(cols, min_values), F.lit(0.0))
     return F.coalesce(supplied, comp) if supplied is not None else comp
 
 

@@ -161,3 +161,12 @@ def test_nan_is_null(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
     out = P.conform_schema(df, ["x"]).collect()
     assert out[0].x is None and not math.isnan(out[1].x)
+
+
+def test_row_std_is_not_under_a_condition(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 4.0), (1.0, None, 3.0), (None, None, None)], "a double, b double, c double")
+    for f, want in ((D.rowwise_std, [1.527525, 1.414214, None]), (D.rowwise_std_serving, [1.527525, 0.0, 0.0])):
+        out = df.select(F.round(f([F.col(c) for c in "abc"]), 6).alias("v"))
+        assert [r.v for r in out.collect()] == want
+        # under a condition Spark computes the mean anew at each of its places
+        assert "THEN SQRT" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
