@@ -6,15 +6,15 @@ a row keep NULL features.  Ties at equal ``ts`` go to the larger tie-break
 value.  Two physical plans:
 
 ``asof_join_union``  — the default.  Entity and feature rows of ALL views are
-    unioned and sorted once per ``(key, time bucket)``; a running
-    ``last(ignorenulls)`` carries each view's latest row forward.  The latest
-    feature row of each (key, bucket) is also put into the buckets after it,
-    up to the next bucket that has one or to the end of its TTL, so a hot key
-    is split into time buckets instead of one task holding its whole history.
-    Buckets have variable width: a (key, bucket) with more than ``heavy_rows``
-    rows is cut at quantiles of its own times into parts, and what is latest
-    before each part is put in front of it.  Work is linear: one count of keys
-    and times, one sort, no pairs.
+    unioned and sorted once per key; a running ``last(ignorenulls)`` carries
+    each view's latest row forward.  A key with more than ``heavy_rows`` rows is
+    split into time buckets, instead of one task holding its whole history: the
+    latest feature row of each of its (key, bucket) is also put into the buckets
+    after it, up to the next bucket that has one or to the end of its TTL.  A
+    (key, bucket) with more than ``heavy_rows`` rows is cut once more, at
+    quantiles of its own times, and what is latest before each part is put in
+    front of it.  Work is linear: one count of keys, one sort, no pairs; rows of
+    other keys are neither copied nor counted one by one.
 
 ``asof_join_range``  — left range join on the key plus ``groupBy(row id)``
     ``max_by``.  Multiplies rows for keys with dense histories; only for callers
@@ -98,6 +98,26 @@ LEAST_SHARE = 1e-4
 PARTS, COARSE = 4096, 64
 
 
+#: Rows are counted by this many groups of keys first; only the keys of groups with too many rows are counted themselves.
+SLOTS = 1 << 16
+
+
+def _heavy_keys(keys: DataFrame, heavy_rows: int) -> DataFrame | None:
+    """The keys (``__k``) with more than ``heavy_rows`` rows and at least ``LEAST_SHARE`` of the rows of all such keys;
+    None if there is none."""
+    slotted = keys.withColumn("__slot", F.pmod(F.xxhash64("__k"), F.lit(SLOTS)))
+    full = slotted.groupBy("__slot").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy_rows).select("__slot")
+    found = full.collect()
+    if not found:
+        return None
+    spark = keys.sparkSession
+    some = slotted.join(F.broadcast(spark.createDataFrame(found, full.schema)), "__slot", "left_semi")
+    rows = some.groupBy("__k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > heavy_rows).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    heavy = rows.filter(F.col("n") >= LEAST_SHARE * F.col("all")).select("__k")
+    found = heavy.collect()
+    return spark.createDataFrame(found, heavy.schema) if found else None
+
+
 def _heavy_bounds(times: DataFrame, heavy_rows: int) -> DataFrame | None:
     """(__k, __b, __bounds) of the buckets of ``times`` (__k, __b, __t) that hold too many rows, with the times at which
     each is cut; None if there is none.  At most ``1 / LEAST_SHARE`` rows, so the driver and a broadcast hold them."""
@@ -131,32 +151,56 @@ def _with_part(df: DataFrame, bounds: DataFrame | None) -> DataFrame:
 
 def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[ViewInput],
                     bucket_days: int = 30, heavy_rows: int | None = HEAVY_ROWS) -> DataFrame:
-    """J1/J2, default plan: one union + one bucketed sort for all views.  ``heavy_rows=None``: no bucket is cut, and
-    the rows are not counted first."""
+    """J1/J2, default plan: one union + one sort for all views, keys with more than ``heavy_rows`` rows by time buckets of
+    ``bucket_days`` and parts of them.  ``heavy_rows=None``: the rows are not counted first, all keys have buckets and no
+    bucket is cut."""
     ecols = entity.columns
+    # the key and the time are __k and __t already
+    rest = [F.col(c) for c in ecols if c not in (ekey, ets)] or [F.lit(True).alias("__none")]
     n = len(views)
+    tied = [j for j, v in enumerate(views) if v.tiebreak]
     no_row = [F.lit(None).cast(_ptype(v, v.df)).alias(f"__p{j}") for j, v in enumerate(views)]
-    no_tie = [F.lit(None).cast(_tie_type(v)).alias(f"__tb{j}") for j, v in enumerate(views)]
+    no_tie = {j: F.lit(None).cast(_tie_type(views[j])).alias(f"__tb{j}") for j in tied}
     astray = -1 - F.pmod(F.xxhash64(*[F.col(c) for c in ecols]), F.lit(1 << 16))    # rows without a key or a time
-    own_bucket = F.when(F.col(ekey).isNull() | F.col(ets).isNull(), astray).otherwise(_bucket(F.col(ets), bucket_days))
+    stray = F.col("__k").isNull() | F.col("__t").isNull()
     feature_rows = [v.df.filter(F.col(v.key).isNotNull() & F.col(v.ts).isNotNull()).select(
-        F.col(v.key).alias("__k"), _bucket(F.col(v.ts), bucket_days).alias("__b"), F.col(v.ts).alias("__t"),
+        F.col(v.key).alias("__k"), F.col(v.ts).alias("__t"),
         (F.col(v.tiebreak) if v.tiebreak else F.lit(0)).alias("__tie"),
         F.struct(*[F.col(c).alias(v.out(c)) for c in v.features], F.col(v.ts).alias("__fts")).alias("__p")) for v in views]
-    bounds = None
+    entity_rows = entity.select(F.col(ekey).alias("__k"), F.col(ets).alias("__t"), astray.alias("__astray"), F.struct(*rest).alias("__e"))
+    keys = heavy = bounds = None
     if heavy_rows is not None:
-        times = entity.filter(F.col(ekey).isNotNull() & F.col(ets).isNotNull()).select(F.col(ekey).alias("__k"), own_bucket.alias("__b"), F.col(ets).alias("__t"))
+        keys = entity_rows.filter(~stray).select("__k")
+        for f in feature_rows:
+            keys = keys.unionByName(f.select("__k"))
+        heavy = _heavy_keys(keys, heavy_rows)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        """With the bucket ``__b``: by time for heavy keys, 0 for others."""
+        bucket = _bucket(F.col("__t"), bucket_days)
+        if heavy is not None:
+            hot = F.broadcast(heavy.select(F.col("__k").alias("__hot")))
+            df, bucket = df.join(hot, F.col("__k") == F.col("__hot"), "left"), F.when(F.col("__hot").isNotNull(), bucket).otherwise(F.lit(0).cast("long"))
+        elif heavy_rows is not None:
+            bucket = F.lit(0).cast("long")
+        return df.withColumn("__b", bucket).drop("__hot")
+
+    def in_buckets(df: DataFrame) -> DataFrame:
+        """The rows of keys that have time buckets."""
+        return df.join(F.broadcast(heavy), "__k", "left_semi").select(df.columns) if heavy is not None else df
+
+    entity_rows, feature_rows = dealt(entity_rows).withColumn("__b", F.when(stray, F.col("__astray")).otherwise(F.col("__b"))), [dealt(f) for f in feature_rows]
+    if heavy is not None:
+        times = in_buckets(entity_rows.filter(~stray).select("__k", "__b", "__t"))
         for f in feature_rows:
-            times = times.unionByName(f.select("__k", "__b", "__t"))
+            times = times.unionByName(in_buckets(f.select("__k", "__b", "__t")))
         bounds = _heavy_bounds(times, heavy_rows)
     # entity rows: side 1 sorts after feature rows at equal time (ts <= t)
-    rows = _with_part(entity.select(
-        F.col(ekey).alias("__k"), own_bucket.alias("__b"), F.col(ets).alias("__t"), F.lit(1).alias("__side"),
-        F.struct(*[F.col(c) for c in ecols]).alias("__e"), *no_tie, *no_row), bounds)
+    rows = _with_part(entity_rows.select("__k", "__b", "__t", F.lit(1).alias("__side"), "__e", *no_tie.values(), *no_row), bounds)
     no_entity = F.lit(None).cast(rows.schema["__e"].dataType).alias("__e")
     for j, (v, f) in enumerate(zip(views, feature_rows, strict=True)):
         latest = F.max_by(F.struct("__t", "__tie", "__p"), F.struct("__t", "__tie")).alias("__l")
-        newest = f.groupBy("__k", "__b").agg(latest)
+        newest = in_buckets(f).groupBy("__k", "__b").agg(latest)
         following = F.lead("__b").over(Window.partitionBy("__k").orderBy("__b"))
         if v.ttl_days is None:
             last = F.coalesce(following, entity.agg(F.max(_bucket(F.col(ets), bucket_days))).scalar())
@@ -164,7 +208,9 @@ def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[View
             last = F.least(following, F.col("__b") + v.ttl_days // bucket_days + 1)    # least() skips NULL
         ahead = newest.withColumn("__last", last).filter(F.col("__last") > F.col("__b")).select(
             "__k", F.explode(F.sequence(F.col("__b") + 1, F.col("__last"))).alias("__b"), "__l.*").select(f.columns)
-        parts = [_with_part(f, bounds), ahead.withColumn("__s", F.lit(0))]
+        parts = [_with_part(f, bounds)]
+        if heavy is not None or heavy_rows is None:
+            parts.append(ahead.withColumn("__s", F.lit(0)).select(parts[0].columns))
         if bounds is not None:
             # a heavy bucket: the latest row before each of its parts, be it from a bucket before or a part before
             grid = bounds.select("__k", "__b", F.explode(F.sequence(F.lit(0), F.size("__bounds"))).alias("__s"), F.lit(None).cast(newest.schema["__l"].dataType).alias("__l"))
@@ -178,14 +224,16 @@ def asof_join_union(entity: DataFrame, ekey: str, ets: str, views: Sequence[View
         for part in parts:
             rows = rows.unionByName(part.select(
                 "__k", "__b", "__s", "__t", F.lit(0).alias("__side"), no_entity,
-                *[F.col("__tie").alias(f"__tb{i}") if i == j else no_tie[i] for i in range(n)],
+                *[F.col("__tie").alias(f"__tb{i}") if i == j else no_tie[i] for i in tied],
                 *[F.col("__p").alias(f"__p{i}") if i == j else no_row[i] for i in range(n)]))
-    w = (Window.partitionBy("__k", "__b", "__s").orderBy("__t", "__side", *[f"__tb{j}" for j in range(n)])
+    w = (Window.partitionBy("__k", "__b", "__s").orderBy("__t", "__side", *[f"__tb{j}" for j in tied])
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    filled = rows.select("__side", "__e", *[F.last(f"__p{j}", ignorenulls=True).over(w).alias(f"__p{j}") for j in range(n)])
+    filled = rows.select("__k", "__t", "__side", "__e", *[F.last(f"__p{j}", ignorenulls=True).over(w).alias(f"__p{j}") for j in range(n)])
     ent = filled.filter(F.col("__side") == 1)
-    out = [F.col(f"__e.{c}").alias(c) for c in ecols]
-    et = F.col(f"__e.{ets}")
+    # the union may have widened the key and the time
+    own = {c: F.col(at).cast(entity.schema[c].dataType) for c, at in ((ekey, "__k"), (ets, "__t"))}
+    out = [(own[c] if c in own else F.col(f"__e.{c}")).alias(c) for c in ecols]
+    et = own[ets]
     for j, v in enumerate(views):
         ok = F.col(f"__p{j}").isNotNull() & _ttl_ok(F.col(f"__p{j}.__fts"), et, v.ttl_days)
         for c in v.features:

@@ -261,3 +261,19 @@ def test_late_rows_reach_the_snapshot_by_the_list_of_files(spark):
     FS.write_view(spark, other.name, FS.ingest_view(second, other, "key", "ts"), key="thing_id")
     got = {r.thing_id: r.v for r in FS.publish(spark, other, FS.read_view(spark, other), end=_ts(100), tiebreak="id", days=None).collect()}
     assert got == {"a": 1.0, "b": 2.0, "c": 7.0, "d": 9.0}
+
+
+def test_asof_copies_no_rows_of_keys_with_few_rows(spark):
+    f = spark.range(400).select(F.concat(F.lit("k"), F.col("id") % 40).alias("key"), (F.lit(_ts(0)) + F.make_dt_interval(F.col("id").cast("int"))).alias("ts"), F.col("id").alias("v"))
+    e = f.select(F.col("v").alias("eid"), "key", (F.col("ts") + F.make_dt_interval(F.lit(200))).alias("t"))
+    view = A.ViewInput("v", f, "key", "ts", ["v"], tiebreak="v")
+    out = A.asof_join_union(e, "key", "t", [view])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.exceptAll(A.asof_join_union(e, "key", "t", [view], heavy_rows=None)).count() == 0 and out.count() == 400
+    # one key has many rows: it alone is split by time
+    hot = f.unionByName(spark.range(300).select(F.lit("hot").alias("key"), (F.lit(_ts(0)) + F.make_dt_interval(F.col("id").cast("int"))).alias("ts"), (F.col("id") + 1000).alias("v")))
+    view = A.ViewInput("v", hot, "key", "ts", ["v"], tiebreak="v")
+    e = hot.select(F.col("v").alias("eid"), "key", (F.col("ts") + F.make_dt_interval(F.lit(45))).alias("t"))
+    out = A.asof_join_union(e, "key", "t", [view], heavy_rows=100)
+    assert "Generate" in out._jdf.queryExecution().executedPlan().toString()
+    assert out.exceptAll(A.asof_join_union(e, "key", "t", [view], heavy_rows=None)).count() == 0 and out.count() == 700
