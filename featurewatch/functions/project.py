@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from featurewatch.functions.nulls import nan_to_null
 
@@ -55,12 +56,21 @@ def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in df.columns})
 
 
-def conform_schema(df: DataFrame, feature_names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def conform_schema(df: DataFrame, feature_names: Sequence[str], keep: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """Exactly ``feature_names`` in order, absent -> NULL, all cast to double
-    with unparseable values (and NaN) -> NULL."""
+    with unparseable values (and NaN) -> NULL, and rounded if ``digits`` is given.
+    Integer columns can hold neither NaN nor decimals: the cast is all they need,
+    which keeps the generated code of a wide projection small enough to be compiled."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     cols = [_q(k) for k in keep]
     for c in feature_names:
-        e = nan_to_null(_q(c).try_cast("double")) if c in df.columns else F.lit(None).cast("double")
+        if c not in types:
+            e = F.lit(None).cast("double")
+        elif isinstance(types[c], T.IntegralType):
+            e = _q(c).cast("double")
+        else:
+            e = nan_to_null(_q(c).try_cast("double"))
+            e = e if digits is None else F.round(e, digits)
         cols.append(e.alias(c))
     return df.select(*cols)
 

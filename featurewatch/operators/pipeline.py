@@ -125,8 +125,8 @@ _DIRECT = {  # model feature -> accepted input names, first present wins (fixed
 
 
 def serving_features(df: DataFrame, feature_names: Sequence[str] = tuple(MODEL_FEATURES_NO_IAN),
-                     keep: Sequence[str] = ()) -> DataFrame:
-    """Request rows (any alias spelling) -> model features in model order.
+                     keep: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    """Request rows (any alias spelling) -> model features in model order, rounded if ``digits`` is given.
     One alias table covers spaced, accented and underscored names, so fields
     the reference silently lost (gender, PV, highlights) are honoured."""
     cols = set(df.columns)
@@ -199,4 +199,4 @@ def serving_features(df: DataFrame, feature_names: Sequence[str] = tuple(MODEL_F
     f["delta_idade_fase"], f["mismatch_idade_fase"] = D.expected_delta_serving(
         f["Idade 22"], f["Fase_encoded"], sup_delta)
     staged = df.select(*[_c(k) for k in keep], *[e.alias(n) for n, e in f.items()])
-    return conform_schema(staged, feature_names, keep=keep)
+    return conform_schema(staged, feature_names, keep=keep, digits=digits)

@@ -590,8 +590,7 @@ def serving_requests(spark, d):
 def pipeline_serving_features(spark, d):
     from featurewatch.operators.pipeline import serving_features
     r = serving_requests(spark, d)
-    out = serving_features(r, keep=LI_KEY)
-    return out.select(*LI_KEY, *[F.round(F.col(f"`{c}`"), 6).alias(c) for c in out.columns if c not in LI_KEY])
+    return serving_features(r, keep=LI_KEY, digits=6)
 
 
 _SERVING_REQ_SQL = f"""r AS (SELECT {LI_KEY_SQL},

@@ -170,3 +170,26 @@ def test_row_std_is_not_under_a_condition(spark):
         assert [r.v for r in out.collect()] == want
         # under a condition Spark computes the mean anew at each of its places
         assert "THEN SQRT" not in out._jdf.queryExecution().optimizedPlan().toString().upper()
+
+
+def test_conform_schema_rounds_only_what_can_have_decimals(spark):
+    df = spark.createDataFrame([(7, 1.23456789, "2.3456789", float("nan")), (None, None, "x", -0.5)], "i int, d double, s string, n double")
+    out = P.conform_schema(df, ["i", "d", "s", "n", "absent"], digits=6)
+    assert [tuple(r) for r in out.collect()] == [(7.0, 1.234568, 2.345679, None, None), (None, None, None, -0.5, None)]
+    assert "round" not in P.conform_schema(df, ["i"], digits=6)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_serving_projection_is_small_enough_to_be_compiled(spark, tmp_path):
+    """HotSpot interprets methods above 8000 bytes of bytecode."""
+    from featurewatch.plans.q_features import Q
+    from featurewatch.sources.tables import SCHEMAS
+    values = {"l_orderkey": 1, "l_linenumber": 2, "l_partkey": 3, "l_suppkey": 60, "l_quantity": 7.0, "l_extendedprice": 12345.678,
+              "l_discount": 0.07, "l_tax": 0.02, "l_returnflag": "A", "l_linestatus": "F"}
+    row = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in SCHEMAS["lineitem"].fields]
+    spark.range(1).select(*row).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = Q["pipeline_serving_features"](spark, str(tmp_path))
+    first = out.first()
+    assert (first["IAA"], first["IDA"], first["Idade 22"], first["Fase_encoded"], first["Nº Av"]) == (1.4, 1.234568, 10.0, 2.0, 3.0)
+    codegen = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString
+    text = codegen(out._jdf.queryExecution().executedPlan())
+    assert max(int(part.split(";")[0].split(")")[0]) for part in text.split("maxMethodCodeSize:")[1:]) < 8000
