@@ -151,3 +151,26 @@ def test_quality_profiles(spark):
     cat = QU.catalog_profile(df, [("a", "g1", "x", True), ("zz", "g1", "absent", False)]).collect()
     got = {r.feature: (r.present, r.null_rate, r.category_n_present) for r in cat}
     assert got == {"a": (True, 0.25, 1), "zz": (False, None, 1)}
+
+
+def test_random_search_fits_the_common_stages_once_a_fold(spark, monkeypatch):
+    """Each candidate is scored as by a fit of the whole pipeline on the fold's own training rows."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    from featurewatch.ml.median import ExactMedianImputer
+    from featurewatch.ml.split import stratified_folds
+    df = spark.range(240).select("id", F.when(F.col("id") % 7 > 0, (F.col("id") * 13 % 50).cast("double")).alias("a"),
+                                 (F.col("id") * 7 % 11).cast("double").alias("b"),
+                                 ((F.col("id") * 13 % 50 + F.col("id") % 9) > 27).cast("int").alias("y"), F.lit(1.0).alias("w"))
+    pipe = Z.create_estimator("logistic_regression", ["a", "b"], "y", "w", n_rows=240)
+    grid = [c for c in Z.param_grid(pipe, "logistic_regression", 240) if 500 in c.values()][::4]
+    fits, fit = [], ExactMedianImputer._fit
+    monkeypatch.setattr(ExactMedianImputer, "_fit", lambda self, rows: fits.append(1) or fit(self, rows))
+    model, table = EV.random_search(df, pipe, grid, "y", "id", folds=3)
+    assert len(grid) == 3 and len(fits) == 3 + 1                     # the folds, and the best on all rows
+    assert len(model.stages) == len(pipe.getStages())
+    fdf = stratified_folds(df, "id", "y", k=3, seed=EV.SEED).cache()
+    ev = MulticlassClassificationEvaluator(labelCol="y", metricName="fMeasureByLabel", metricLabel=1.0)
+    for r in table.collect():
+        want = [ev.evaluate(pipe.fit(fdf.filter(F.col("fold") != f), grid[r.candidate]).transform(fdf.filter(F.col("fold") == f))) for f in range(3)]
+        assert r.mean_f1 == pytest.approx(sum(want) / 3, abs=1e-12)
