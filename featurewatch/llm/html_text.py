@@ -86,16 +86,17 @@ class Layout:
     def _put(self, data: str) -> None:
         if data:
             if not self.now:
-                self._open()
+                self._open(not data.isspace())
             self.now.append(data)
             self.blank = False
 
-    def _open(self) -> None:
+    def _open(self, marked: bool = True) -> None:
+        """Begins a line; the marker of a list item waits for one with text."""
         if self.lines and self.gap == 2 and self.lines[-1]:
             self.lines.append("")
         self.gap = 0
         pad = " " * min(self.indent, MAX_INDENT)
-        if self.marker:
+        if self.marker and marked:
             pad, self.marker = pad[:max(0, len(pad) - len(self.marker))] + self.marker, ""
         self.now.append(pad)
 

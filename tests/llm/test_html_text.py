@@ -107,3 +107,7 @@ def test_frame(frame):
 ])
 def test_math_svg_and_text_in_an_open_head(html, text):
     assert visible_text(html) == text
+
+
+def test_a_list_item_of_blanks_alone_has_no_marker():
+    assert visible_text("<li> <pre> <p>") == "" and visible_text("<li> <pre> x") == "-  x"
