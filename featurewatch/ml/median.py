@@ -27,7 +27,9 @@ def _value(name: str) -> Column:
 
 class ExactMedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
     """Replaces NULL and NaN by the exact (interpolated) median of the rows it is fitted on; a column without any value
-    gets 0."""
+    gets 0.  With ``countCol`` a row stands for so many equal ones."""
+
+    countCol = Param(Params._dummy(), "countCol", "number of rows that a row stands for", typeConverter=TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, inputCols=None, outputCols=None):
@@ -35,9 +37,11 @@ class ExactMedianImputer(Estimator, HasInputCols, HasOutputCols, DefaultParamsRe
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset: DataFrame) -> ExactMedianImputerModel:
-        cols = self.getInputCols()
-        long = dataset.select(*[_value(c).alias(f"c{i}") for i, c in enumerate(cols)]).unpivot([], [f"c{i}" for i in range(len(cols))], "column", "value")
-        found = {r.column: r.p_0 for r in exact_percentiles(long, "value", [0.5], groups=["column"]).collect()}     # a row per column
+        cols, names = self.getInputCols(), [f"c{i}" for i in range(len(self.getInputCols()))]
+        count = ["__rows"] if self.isSet("countCol") else []
+        values = dataset.select(*[_value(c).alias(n) for c, n in zip(cols, names, strict=True)], *[F.col(self.getOrDefault("countCol")).alias(c) for c in count])
+        long = values.unpivot(count, names, "column", "value")
+        found = {r.column: r.p_0 for r in exact_percentiles(long, "value", [0.5], groups=["column"], count_col=count[0] if count else None).collect()}  # a row per column
         model = ExactMedianImputerModel(inputCols=cols, outputCols=self.getOutputCols(), medians=[found.get(f"c{i}") or 0.0 for i in range(len(cols))])
         return self._copyValues(model)
 

@@ -82,13 +82,15 @@ def prediction_stats(log: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: Sequence[float], groups: Sequence[str] = (),
-                      buckets: int | None = BUCKETS) -> DataFrame:
+                      buckets: int | None = BUCKETS, count_col: str | None = None) -> DataFrame:
     """Exact linear-interpolation percentiles (numpy / Spark ``percentile``)
     without holding all values in one task: values are reduced to
     ``value -> count``, ranked with running counts by ranges, and the two
     order statistics around each position ``(n-1)p`` are selected by a
-    filtered aggregate.  One row with ``p_<i>`` columns, per group if given."""
-    red = df.filter(F.col(value_col).isNotNull()).groupBy(*groups, value_col).agg(F.count(F.lit(1)).alias("cnt"))
+    filtered aggregate.  One row with ``p_<i>`` columns, per group if given.
+    With ``count_col`` a row stands for so many equal ones."""
+    count = F.sum(count_col) if count_col else F.count(F.lit(1))
+    red = df.filter(F.col(value_col).isNotNull()).groupBy(*groups, value_col).agg(count.alias("cnt"))
     j = running_sums(red, groups, [value_col], {"cum": F.col("cnt")}, buckets=buckets, facts={"n": ("sum", F.col("cnt"))})
     aggs = []
     for i, p in enumerate(probs):
