@@ -11,7 +11,8 @@ iterates are the same but for the order in which numbers are added.
 Rows that agree in all that a fit reads (features, label, weight, fold) are
 one row with a count, as equal terms of a sum: codes leave few, continuous
 features leave all rows.  The passes run in the workers on blocks of numbers;
-the driver gets one array of sums from each partition.
+the driver gets one array of sums from each partition.  Few rows are iterated
+over by one task, with the same steps.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from featurewatch.session import let_workers_import, materialize
 ALL = -1
 #: Numbers in a block at most (rows x columns).
 BLOCK_VALUES = 1 << 18
+#: Bytes of blocks up to which one task iterates over them by itself: less work than the passes' own cost.
+ONE_TASK = 1 << 22
 #: Corrections that the optimisers keep (fixed in Spark's fit).
 MEMORY = 10
 #: Values that the stopping rule looks back at (fixed in Breeze).
@@ -295,13 +298,61 @@ def _hits(a: np.ndarray, fold: int, points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Scale:
-    """Training rows of a fold: mean and deviation of the features, weight, start of the intercept."""
+    """Training rows of a fold: mean and inverse deviation (0: constant) of the features, weight, start of the intercept."""
     mean: np.ndarray
-    std: np.ndarray
+    inverse: np.ndarray
     weight: float
     start: float
 
 
+@dataclass
+class Job:
+    """A fit in scaled features: fold, start, iteration limits, tolerance, and L1 and L2 penalties of each number."""
+    fold: int
+    start: np.ndarray
+    limits: list[int]
+    tol: float
+    l1: np.ndarray | None
+    l2: np.ndarray
+
+
+def _iterated(jobs: Sequence[Job], scales: dict[int, Scale], one_pass: Callable[[dict], dict[int, np.ndarray]]) -> list[dict[int, np.ndarray]]:
+    """The path of every job, each step of all of them by ``one_pass``: the last points within their iteration limits."""
+    out: list[dict[int, np.ndarray]] = [{}] * len(jobs)
+    paths = [optimum(j.start, j.limits, j.tol, j.l1) for j in jobs]
+    asked = {i: next(p) for i, p in enumerate(paths)}
+    while asked:
+        of_fold: dict[int, list[int]] = {}
+        for i in asked:
+            of_fold.setdefault(jobs[i].fold, []).append(i)
+        sums = one_pass({f: (scales[f].mean, scales[f].inverse, np.column_stack([asked[i] for i in members])) for f, members in of_fold.items()})
+        for f, members in of_fold.items():
+            table = sums[f].reshape(-1, len(members)) / scales[f].weight
+            for place, i in enumerate(members):
+                x, l2 = asked[i], jobs[i].l2
+                with np.errstate(all="ignore"):
+                    try:
+                        asked[i] = paths[i].send((table[0, place] + 0.5 * (l2 * x * x).sum(), table[1:, place] + l2 * x))
+                    except StopIteration as end:
+                        del asked[i]
+                        out[i] = end.value
+    return out
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch], width: int, jobs: Sequence[Job], scales: dict[int, Scale]) -> Iterator[pa.RecordBatch]:
+    """All iterations over rows that one task holds."""
+    rows: dict[int, list[np.ndarray]] = {f: [] for f in scales}
+    for batch in batches:
+        for whose, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            a = np.frombuffer(data.as_buffer()).reshape(width + 4, -1)
+            for fold in scales if whose is None else [whose]:
+                rows[fold].append(a)
+    found = _iterated(jobs, scales, lambda turn: {f: functools.reduce(np.add, [_losses(a, f, job) for a in rows[f]]).ravel() for f, job in turn.items()})
+    flat = [(i, n, x.tobytes()) for i, f in enumerate(found) for n, x in f.items()]
+    job, at, point = zip(*flat, strict=True)
+    yield pa.RecordBatch.from_arrays([pa.array(job, pa.int32()), pa.array(at, pa.int32()), pa.array(point, pa.binary())], ["job", "at", "point"])
+
+
 def supports(pipeline: Pipeline) -> bool:
     """A logistic regression without bounds or thresholds of its own, alone or after medians and vector assembly."""
     *before, last = pipeline.getStages()
@@ -371,49 +422,33 @@ class FoldFits:
         for f, (_, weight, weight2, positive, *_) in sizes.items():
             free = weight - weight2 / weight
             std = np.sqrt(np.maximum(squares[f] / free, 0.0)) if free > 0 else np.zeros(k)
-            self.scales[f] = Scale(means[f], std, weight, float(np.log(positive / (weight - positive))))
+            self.scales[f] = Scale(means[f], np.divide(1.0, std, out=np.zeros(k), where=std > 0), weight, float(np.log(positive / (weight - positive))))
+        self.small = (self.blocks.agg(F.sum(F.octet_length("block"))).first()[0] or 0) <= ONE_TASK
         self.usable = True
 
     def fit(self, jobs: Sequence[tuple[int, dict, Sequence[int]]]) -> list[dict[int, np.ndarray]]:
         """For each (fold, parameters by name, iteration limits): coefficients and, last, intercept at each limit."""
-        out: list[dict[int, np.ndarray] | None] = [None] * len(jobs)
-        paths, asked = {}, {}
-        est, k = self.last, self.width
-        l2: list[np.ndarray] = []
-        for i, (fold, params, limits) in enumerate(jobs):
-            value = lambda name: params.get(name, est.getOrDefault(name))  # noqa: B023, E731
-            std = self.scales[fold].std
+        todo, k = [], self.width
+        for fold, params, limits in jobs:
+            value = lambda name: params.get(name, self.last.getOrDefault(name))  # noqa: B023, E731
+            unit = np.ones(k) if value("standardization") else self.scales[fold].inverse
             reg, mix = value("regParam"), value("elasticNetParam")
-            unit = np.ones(k) if value("standardization") else np.divide(1.0, std, out=np.zeros(k), where=std > 0)
-            l2.append(np.append((1.0 - mix) * reg * unit * unit, 0.0))
-            l1 = np.append(mix * reg * unit, 0.0) if mix * reg else None
-            paths[i] = optimum(np.append(np.zeros(k), self.scales[fold].start), limits, value("tol"), l1)
-            asked[i] = next(paths[i])
-        while asked:
-            of_fold: dict[int, list[int]] = {}
-            for i in asked:
-                of_fold.setdefault(jobs[i][0], []).append(i)
-            turn = {}
-            for f, members in of_fold.items():
-                std = self.scales[f].std
-                turn[f] = (self.scales[f].mean, np.divide(1.0, std, out=np.zeros(k), where=std > 0), np.column_stack([asked[i] for i in members]))
-            sums = self._pass(turn, _losses)
-            for f, members in of_fold.items():
-                table = sums[f].reshape(k + 2, -1) / self.scales[f].weight
-                for place, i in enumerate(members):
-                    x = asked[i]
-                    with np.errstate(all="ignore"):
-                        try:
-                            asked[i] = paths[i].send((table[0, place] + 0.5 * (l2[i] * x * x).sum(), table[1:, place] + l2[i] * x))
-                        except StopIteration as end:
-                            del asked[i]
-                            out[i] = {n: self._plain(f, p) for n, p in end.value.items()}
-        return out
+            todo.append(Job(fold, np.append(np.zeros(k), self.scales[fold].start), list(limits), value("tol"),
+                            np.append(mix * reg * unit, 0.0) if mix * reg else None, np.append((1.0 - mix) * reg * unit * unit, 0.0)))
+        if self.small:
+            scales, width = self.scales, k
+            task = lambda b: _in_one_task(b, width, todo, scales)
+            found = [{} for _ in todo]
+            for r in self.blocks.coalesce(1).mapInArrow(task, "job int, at int, point binary").collect():
+                found[r.job][r.at] = np.frombuffer(r.point)
+        else:
+            found = _iterated(todo, self.scales, lambda turn: self._pass(turn, _losses))
+        return [{n: self._plain(job.fold, x) for n, x in f.items()} for job, f in zip(todo, found, strict=True)]
 
     def _plain(self, fold: int, x: np.ndarray) -> np.ndarray:
         """Coefficients and intercept of the features as they are."""
         s = self.scales[fold]
-        c = np.divide(x[:-1], s.std, out=np.zeros(self.width), where=s.std > 0)
+        c = x[:-1] * s.inverse
         return np.append(c, x[-1] - c @ s.mean)
 
     def counts(self, points: dict[int, list[np.ndarray]]) -> dict[int, np.ndarray]:

@@ -69,7 +69,7 @@ def run_training(df: DataFrame, key: str, label: str, wanted: Sequence[str], mod
     importances = EV.importance_table(df.sparkSession, EV.importances(model, test, features, label, key))
     cv = None
     if run_cv:
-        whole = weighted(rows, label, model_type, WEIGHT)
+        whole = weighted(split.drop("split"), label, model_type, WEIGHT)         # the stored rows, not the features again
         cv = EV.cross_validate(whole, lambda: Z.create_estimator(model_type, features, label, WEIGHT, n_rows=n), label, key)
     model_id = ST.new_model_id(model_type)
     if save:
